@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadtrace.llm import decontam, langid, linededup, packing, pii, rans
+from roadtrace.llm import decontam, langid, linededup, packing, pii, rans, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +21,28 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.summary(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.summary(linededup.drop_repeated_lines(_table(spark, sf_dir, "documents")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.summary(simhash.edited_fingerprints(_table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(_table(spark, sf_dir, "documents"))
     return found.selectExpr("doc.doc_id AS doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_documents(_table(spark, sf_dir, "documents"))
+    return sharded.selectExpr("doc.doc_id AS doc_id", "shard", "depth", "doc_bytes", "shard_bytes")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find_pii(_table(spark, sf_dir, "documents")))
 
@@ -43,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE}
+    return {"op4_line_dedup": linededup.ORACLE, "op8_extendible_hashing": sharding.ORACLE}
