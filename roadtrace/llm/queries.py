@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadtrace.llm import decontam, langid, linededup, packing, pii, rans, sharding, simhash, warc
+from roadtrace.llm import decontam, jaccard, langid, linededup, packing, pii, rans, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.summary(simhash.edited_fingerprints(_table(spark, sf_dir, "documents")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(_table(spark, sf_dir, "documents"))
     return found.selectExpr("doc.doc_id AS doc_id", "held_out", "lang_pred", "score")
