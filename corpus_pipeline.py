@@ -3,23 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadtrace.llm import packing
+from roadtrace.llm import decontam, jaccard, langid, linededup, packing
 from roadtrace.llm.storage import shared_folder
 
+#: Documents whose language is undetermined or less certain than this go.
+LEAST_CERTAIN = 0.5
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without letters or of an uncertain language go."""
+    found = langid.identify(docs)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_CERTAIN)).select("doc.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many documents share; ``n_chars`` follows the text."""
+    kept = linededup.drop_repeated_lines(docs)
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near duplicates."""
+    return jaccard.keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the token sequences of at most 4096 ids."""
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", packed)]
-#: The packing stage's token ids are no SQL; the tests hold the stages against brute force.
+STAGES = [
+    ("language id", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+#: Trained models and token ids are no SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         path = shared_folder(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
