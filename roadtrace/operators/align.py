@@ -64,7 +64,7 @@ def lag_sweep(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag: in
     types = dict(phone.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), SWEEP])
     left = phone.select(*keys, "row_idx", "speed_kmh", "lat", "lon").groupBy(*keys)
-    right = vehicle.select(*keys, "row_idx", "velocity_kmh", "vehicle_lat", "vehicle_lon").groupBy(*keys)
+    right = vehicle.select(*[F.col(c).alias(c) for c in (*keys, "row_idx", "velocity_kmh", "vehicle_lat", "vehicle_lon")]).groupBy(*keys)
     swept = left.cogroup(right).applyInPandas(sweep, schema)
     return swept.withColumns({c: stats.finite(c) for c in ("speed_corr", "median_separation", "p95_separation")})
 

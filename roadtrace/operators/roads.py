@@ -17,6 +17,11 @@ from roadtrace.functions.geo import _c
 CELL_M = 150.0
 
 
+def _own(df: DataFrame) -> DataFrame:
+    """The same rows with columns of their own, so that both sides of a cogroup may stem from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def bbox_filter(points: DataFrame, drive: DataFrame, pad_m: float = 300.0) -> DataFrame:
     """Points inside the drive's extent padded by ``pad_m`` metres (the extent is one row)."""
     dlat = F.degrees(F.lit(pad_m / geo.EARTH_RADIUS_M))
@@ -133,7 +138,7 @@ def route_distances(pairs: DataFrame, edges: DataFrame, keys: list[str], cap: fl
         return p.assign(distance=[route(i, (a, b), j, (c, d)) for i, a, b, j, c, d in p[["edge_i", "ei", "ni", "edge_j", "ej", "nj"]].itertuples(index=False)])
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in pairs.dtypes), "distance double"])
-    return pairs.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(run, schema)
+    return pairs.groupBy(*keys).cogroup(_own(edges).groupBy(*keys)).applyInPandas(run, schema)
 
 
 def viterbi(steps: list[list[tuple]], observed: list[tuple[float, float]], route, sigma: float, beta: float) -> list[int]:
@@ -180,7 +185,7 @@ def hmm_match(points: DataFrame, candidates: DataFrame, edges: DataFrame, keys:
     rows = points.select(*keys, order, "e", "n").join(cand, [*keys, order], "left")
     types = dict(points.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "edge string, match_e double, match_n double, matched boolean"])
-    return rows.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(run, schema)
+    return rows.groupBy(*keys).cogroup(_own(edges).groupBy(*keys)).applyInPandas(run, schema)
 
 
 def walk(place: dict, neighbours: dict, frm, to, along: float, yaw: np.ndarray, v: np.ndarray, dt: float, u_turn: bool) -> tuple[np.ndarray, int, float]:
@@ -233,4 +238,4 @@ def map_aided_walk(samples: DataFrame, anchors: DataFrame, edges: DataFrame, key
     types = dict(samples.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "map_e double, map_n double, junctions int"])
     rows = samples.select(*keys, order, "yaw_rate", "speed").join(anchors.select(*keys, "frm", "to", "along"), keys)
-    return rows.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(run, schema)
+    return rows.groupBy(*keys).cogroup(_own(edges).groupBy(*keys)).applyInPandas(run, schema)

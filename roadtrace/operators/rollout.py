@@ -107,15 +107,17 @@ def _smooth(x: np.ndarray, tau: float, dt: float = 0.1) -> np.ndarray:
     return out
 
 
-def control_speed(acceleration: np.ndarray, calibrated: np.ndarray, gyro: np.ndarray, v0: float, p: dict, dt: float = 0.1) -> np.ndarray:
-    """Speed under drift controls: smoothing, limited correction, decay, gain, and standing still."""
+def control_speeds(acceleration: np.ndarray, calibrated: np.ndarray, gyro: np.ndarray, v0: float, grid: list[dict], dt: float = 0.1) -> np.ndarray:
+    """Speeds [setting, sample] under drift controls: smoothing, limited correction, decay, gain, and standing still. Each smoothing is done once."""
     elapsed = np.arange(1, len(acceleration) + 1) * dt
-    limit = p["limit_kmh"] / 3.6
-    change = np.clip(np.cumsum(_smooth(acceleration, p["smoothing"]) * dt), -limit, limit)
-    decay = np.ones(len(elapsed)) if math.isinf(p["decay"]) else np.exp(-elapsed / p["decay"])
-    v = np.maximum(0.0, v0 + p["gain"] * decay * change)
-    if p["stationary"] and v0 < 0.75:
-        v[(np.abs(_smooth(calibrated, 0.5)) < 0.18) & (_smooth(gyro, 0.5) < 0.04)] = 0.0
+    smooth = {tau: np.cumsum(_smooth(acceleration, tau, dt) * dt) for tau in {p["smoothing"] for p in grid}}
+    limit = np.array([p["limit_kmh"] / 3.6 for p in grid])[:, None]
+    change = np.clip(np.stack([smooth[p["smoothing"]] for p in grid]), -limit, limit)
+    decay = np.exp(-elapsed / np.array([p["decay"] for p in grid])[:, None])  # an infinite time constant gives 1
+    v = np.maximum(0.0, v0 + np.array([p["gain"] for p in grid])[:, None] * decay * change)
+    if v0 < 0.75 and any(p["stationary"] for p in grid):
+        quiet = (np.abs(_smooth(calibrated, 0.5, dt)) < 0.18) & (_smooth(gyro, 0.5, dt) < 0.04)
+        v[np.ix_([p["stationary"] for p in grid], quiet)] = 0.0
     return v
 
 
@@ -145,11 +147,11 @@ def control_search(episodes: DataFrame, keys: list[str], grid: list[dict] | None
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = _episode_arrays(frame, order)
         a, c, g, truth = (f[n].to_numpy(float) for n in ("acceleration", "calibrated", "gyro", "true_speed"))
-        rows, distance = [], truth.sum() * dt
-        for i, p in enumerate(grid):
-            v = control_speed(a, c, g, float(f["v0"].iloc[0]), p, dt)
-            rows.append((i, int(f["duration"].iloc[0]), float(np.abs(v - truth).sum() * 3.6), len(v), abs(float(v.sum() * dt - distance)), float(distance)))
-        return pd.DataFrame(rows, columns=["setting", "duration", "abs_kmh", "n", "distance_error", "distance"])
+        v, distance = control_speeds(a, c, g, float(f["v0"].iloc[0]), grid, dt), float(truth.sum() * dt)
+        return pd.DataFrame({
+            "setting": np.arange(len(grid)), "duration": int(f["duration"].iloc[0]), "abs_kmh": np.abs(v - truth).sum(axis=1) * 3.6, "n": len(truth),
+            "distance_error": np.abs(v.sum(axis=1) * dt - distance), "distance": distance,
+        })
 
     sums = episodes.groupBy(*keys).applyInPandas(run, "setting int, duration int, abs_kmh double, n long, distance_error double, distance double")
     by = sums.groupBy("setting", "duration").agg(*[F.sum(c).alias(c) for c in ("abs_kmh", "n", "distance_error", "distance")])
@@ -164,7 +166,7 @@ def yaw_search(episodes: DataFrame, keys: list[str], speed: dict, grid: list[dic
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = _episode_arrays(frame, order)
         a, c, g, yaw, truth = (f[n].to_numpy(float) for n in ("acceleration", "calibrated", "gyro", "yaw", "true_speed"))
-        v = control_speed(a, c, g, float(f["v0"].iloc[0]), speed, dt)
+        v = control_speeds(a, c, g, float(f["v0"].iloc[0]), [speed], dt)[0]
         te, tn = float(f["true_east"].iloc[-1]), float(f["true_north"].iloc[-1])
         rows = []
         for i, p in enumerate(grid):
