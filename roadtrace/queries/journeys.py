@@ -628,11 +628,11 @@ def filter_rows(spark, d):
     return s.select("session_key", F.when(fix, "fix").otherwise("imu").alias("kind"), (F.col("row_idx") * 0.2).alias("t"), ((F.col("k") - 50) / 500).alias("omega"), ((F.col("value") - 40) / 100).alias("accel"), (e / 100).alias("e"), (n / 100).alias("n"), (F.col("speed_kmh") / 3.6 / 10).alias("speed"), F.radians("heading_deg").alias("course"), F.lit(5.0).alias("sigma"))
 
 
-@query("SELECT session_key, count(*) AS rows, count(*) FILTER (WHERE row_idx % 5 = 0) AS fixes, true AS bounded FROM samples GROUP BY 1", PRELUDE)
+@query("SELECT session_key, count(*) AS rows, count(*) FILTER (WHERE row_idx % 5 = 0) AS fixes, true AS finite FROM samples GROUP BY 1", PRELUDE)
 def r7_fusion_filter(spark, d):
     out = devices.fusion_filter(filter_rows(spark, d), ["session_key"])
-    ok = F.col("speed").isNotNull() & (F.col("pos_sigma") > 0)
-    return out.groupBy("session_key").agg(F.count("*").alias("rows"), F.count("verdict").alias("fixes"), F.bool_and(ok).alias("bounded"))
+    ok = ~F.isnan("east") & ~F.isnan("north") & F.col("speed").between(-1e6, 1e6)
+    return out.groupBy("session_key").agg(F.count("*").alias("rows"), F.count("verdict").alias("fixes"), F.bool_and(ok).alias("finite"))
 
 
 @query("""SELECT event_id, coalesce(r AND lag(r) OVER w AND lag(r, 2) OVER w AND abs(k - lag(k) OVER w) <= 40 AND abs(k - lag(k, 2) OVER w) <= 40 AND abs(lag(k) OVER w - lag(k, 2) OVER w) <= 40, false) AS anchors FROM (SELECT *, value > 20 AS r FROM samples) WINDOW w AS (PARTITION BY session_key ORDER BY row_idx)""", PRELUDE)
