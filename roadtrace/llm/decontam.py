@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,18 +33,18 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows (words joined by blanks, number of words) with the ids of their items; an item of no words has none."""
 
     def cut(batches):
-        for frame in batches:
+        for batch in batches:
             ids, texts = [], []
-            for i, t in zip(frame["_id"], frame["_text"], strict=True):
-                w = Words([t if isinstance(t, str) else None])
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = Words([t])
                 own = [w.data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(w.starts, w.ends, strict=True)]
                 runs = {" ".join(own[s : s + window]) for s in range(max(1, len(own) - window + 1))} if own else ()
-                ids += [None if pd.isna(i) else int(i)] * len(runs)
+                ids += [i] * len(runs)
                 texts += runs
-            yield pd.DataFrame({"item_id": pd.array(ids, dtype="Int64"), "words": texts})
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["item_id", "words"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    rows = items.mapInPandas(cut, "item_id long, words string")
+    rows = items.mapInArrow(cut, "item_id long, words string")
     return rows.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 

@@ -101,6 +101,8 @@ def _decode_blocks(blocks: list[bytes], steps: int, freq: np.ndarray, start: np.
             flat = need.reshape(-1)
             x[flat] = (x[flat] << np.uint64(32)) | words[at]
             pointer = pointer + ranks[:, -1]
+    if (x != _LOW).any() or (pointer != np.cumsum([len(p) for p in parts])).any():
+        raise ValueError("a block is damaged")  # the states end where the encoder began
     return out.reshape(steps, n, LANES).transpose(1, 0, 2).reshape(-1)
 
 

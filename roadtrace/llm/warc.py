@@ -15,6 +15,7 @@ import uuid
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,8 +150,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     """Per page record of the manifest's files: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (responses)."""
 
     def read(batches):
-        for frame in batches:
-            for name in frame["file"]:
+        for files in batches:
+            for name in files.column("file").to_pylist():
                 rows = []
                 for headers, block in parse_warc(read_file(name)):
                     if headers["WARC-Type"] == "warcinfo":
@@ -164,13 +165,18 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                     page, to = headers.get("X-Page-Id"), headers.get("X-Refers-To-Page-Id")
                     rows.append((page, size, digest, headers["WARC-Type"], to, headers["WARC-Target-URI"], payload if response else None))
                     if len(rows) == 500:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield batch(rows)
                         rows = []
-                yield pd.DataFrame(rows, columns=columns)
+                if rows:
+                    yield batch(rows)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
 
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+    text = pa.string()
+    types = {"page_id": text, "payload_bytes": pa.int64(), "payload_digest": text, "record_type": text, "refers_to": text, "url": text, "payload": pa.binary()}
     files = manifest.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4), "file")
-    rows = files.mapInPandas(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
+    rows = files.mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
     return rows.withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long"))
 
 
