@@ -157,7 +157,7 @@ def calibrate_procrustes(df: DataFrame, keys: list[str], time: str = "t", min_se
         out = calibrate_procrustes_window(col(time), acc, gravity, gyro, col("speed"), np.radians(col("course_deg")), np.radians(col("az_deg")), min_seconds, min_corr)
         rows = {k: [frame[k].iloc[0]] for k in keys} | {k: [v] for k, v in (out or {}).items()}
         names = [*keys, "forward", "fit", "accel_bias", "yaw_sign", "yaw_bias", "az_offset", "compass_r"]
-        return pd.DataFrame(rows if out else {n: [] for n in names})[names]
+        return pd.DataFrame(rows if out else {n: np.array([], object) for n in names})[names]
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "forward array<double>, fit double, accel_bias double, yaw_sign double, yaw_bias double, az_offset double, compass_r double"])

@@ -225,7 +225,7 @@ def map_aided_walk(samples: DataFrame, anchors: DataFrame, edges: DataFrame, key
     def run(s: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         cols = [*keys, order, "map_e", "map_n", "junctions"]
         if not len(s) or not len(g):
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame({c: np.array([], object) for c in cols})
         s = s.sort_values(order)
         place, near = {}, {}
         for a, b, ae, an, be, bn in g[["a", "b", "ae", "an", "be", "bn"]].itertuples(index=False):

@@ -297,7 +297,7 @@ def f3_episode_starts(spark, d):
 
 SPACING = 100.0
 LATTICE = """
-WITH RECURSIVE side AS (SELECT CAST(ceil(sqrt(count(DISTINCT user_id))) AS BIGINT) AS n FROM events
+WITH RECURSIVE side AS (SELECT greatest(8, CAST(ceil(sqrt(count(DISTINCT user_id))) AS BIGINT)) AS n FROM events
 ), grid AS (
   SELECT n, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, x * 1000 + y AS id, x * 100.0::DOUBLE AS e, y * 100.0::DOUBLE AS f FROM side, unnest(range(n)) a(x), unnest(range(n)) b(y)
 ), edges AS (
@@ -313,7 +313,7 @@ WITH RECURSIVE side AS (SELECT CAST(ceil(sqrt(count(DISTINCT user_id))) AS BIGIN
 
 
 def lattice(spark: SparkSession, d: str) -> DataFrame:
-    n = F.ceil(F.sqrt(F.count_distinct("user_id"))).cast("long")
+    n = F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long")
     g = table(spark, d, "events").agg(n.alias("n")).withColumn("x", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("y", F.explode(F.expr("sequence(0L, n - 1)")))
     to = F.explode(F.expr("filter(array(struct(x + 1 as x2, y as y2), struct(x as x2, y + 1 as y2)), p -> p.x2 < n and p.y2 < n)"))
     e = g.withColumn("t", to).select("x", "y", "t.x2", "t.y2")
@@ -324,7 +324,7 @@ def lattice(spark: SparkSession, d: str) -> DataFrame:
 
 def road_points(spark, d):
     e = table(spark, d, "events")
-    side = e.agg((F.ceil(F.sqrt(F.count_distinct("user_id"))).cast("long") - 1).alias("m"))
+    side = e.agg((F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long") - 1).alias("m"))
     return e.crossJoin(F.broadcast(side)).select("event_id", *[F.pmod(F.col("event_id") * f, 100 * F.col("m")).cast("double").alias(c) for c, f in (("e", 37), ("n", 53))])
 
 
