@@ -4,8 +4,8 @@ The pieces are those of a public SentencePiece vocabulary; a language is a
 probability for each piece. A word's probability is the sum over all ways to cut
 it into pieces (forward algorithm), and a text's is the product over its words,
 which are maximal runs of letters, lower-cased, with the vocabulary's word mark
-in front. Probabilities are fitted by expectation maximisation on at most
-``TRAIN_WORDS`` word types of each language, the most frequent in all its
+in front. Probabilities are fitted by expectation maximisation on
+about ``TRAIN_WORDS`` word types of each language, the most frequent in all its
 training documents; a character outside the vocabulary is a piece of its own.
 """
 
@@ -233,7 +233,7 @@ def train(docs: DataFrame, train_words: int = TRAIN_WORDS, path: str | None = No
     """Models of the languages of ``docs`` (rows of a null lang or text teach nothing).
 
     Words are counted over all rows; of each language the ``train_words`` commonest
-    types come to the fit, which bounds it whatever the corpus.
+    types (about; of the rarest count taken a share by hash) come to the fit, which bounds it whatever the corpus.
     """
     small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
@@ -259,10 +259,12 @@ def train(docs: DataFrame, train_words: int = TRAIN_WORDS, path: str | None = No
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keys], pa.string()), "word": pa.array([k[1] for k in keys], pa.string()), "n": pa.array(list(sums.values()), pa.int64())})
 
     counts = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # first the commonest of each of 64 parts of a language, so that no task sorts all its words
-    part = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64)))
-    best = part.withColumn("r", F.row_number().over(W.partitionBy("lang", "part").orderBy(F.desc("n"), "word"))).where(F.col("r") <= train_words)
-    best = best.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= train_words)
+    # words of like count are one class; whole classes are taken from the commonest on, of the last one a share by hash
+    classes = counts.groupBy("lang", "n").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(W.partitionBy("lang").orderBy(F.desc("n"))) - F.col("m")
+    classes = classes.withColumn("before", before).where(F.col("before") < train_words)  # at most train_words of each language
+    share = classes.select("lang", "n", F.least(F.lit(1.0), (train_words - F.col("before")) / F.col("m")).alias("share"))
+    best = counts.join(F.broadcast(share), ["lang", "n"]).where(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     total = sum(langs.values())
     return fit(best.select("lang", "word", "n").toPandas(), {k: n / total for k, n in langs.items()}, path)
