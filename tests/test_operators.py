@@ -285,3 +285,98 @@ def test_drive_log(spark, tmp_path):
     (tmp_path / "log.csv").write_text("\n".join([",".join(recordings.LOG), cells(kind="imu", t=0.1, ax=1.0), cells(kind="imu", t=0.2), cells(kind="gnss", t=0.3, lat=52.0)]))
     imu, fixes = recordings.split_log(recordings.read_drive_log(spark, str(tmp_path / "log.csv")))
     assert imu.count() == 2 and fixes.head()["lat"] == 52.0 and imu.orderBy("t").head()["ay"] is None
+
+
+# --- helpers against slow loops
+
+
+def test_distance_blackouts_against_a_loop(spark):
+    rng = np.random.default_rng(8)
+    v = np.abs(rng.normal(8, 5, 900)) + 0.2
+    df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "s string, row_idx long, v double")
+    got = [(r["start"], r["end"]) for r in episodes.distance_blackouts(df.repartition(3), ["s"], "v", [60.0], history=50, min_history=0.3).orderBy("start").collect()]
+    cum, want, s = np.cumsum(v) / 10, [], 50
+    while s < len(v) - 5:
+        e = next((i for i in range(len(v)) if cum[i] >= cum[s] + 60.0), len(v))
+        if e < len(v) and e - s >= 5 and v[s:e].mean() >= 3 and v[s - 50 : s].min() >= 0.3:
+            want.append((s, e))
+            s = e
+        else:
+            s += 50
+    assert got == want and want
+
+
+def test_straightest_segment_is_the_least_turning(spark):
+    turn = np.cumsum([0.5 if 300 < i < 500 else 0.01 for i in range(1000)])
+    df = spark.createDataFrame([("a", i, 10.0, float(t)) for i, t in enumerate(turn)], "s string, row_idx long, v double, turn double")
+    r = episodes.straightest_segment(df, ["s"], "v", "turn", 100.0).head()
+    assert (r["start"] >= 500 or r["end"] <= 301) and r["turning"] == pytest.approx(0.01 * (r["end"] - 1 - r["start"]), abs=0.02)
+
+
+def _slow_speed(a, c, g, v0, p):
+    def smooth(x, tau):
+        if tau <= 0:
+            return list(x)
+        out, state = [], x[0]
+        for y in x:
+            state += (1 - math.exp(-0.1 / tau)) * (y - state)
+            out.append(state)
+        return out
+
+    total, out, limit = 0.0, [], p["limit_kmh"] / 3.6
+    quiet = [abs(x) < 0.18 and y < 0.04 for x, y in zip(smooth(c, 0.5), smooth(g, 0.5), strict=True)]
+    for i, x in enumerate(smooth(a, p["smoothing"])):
+        total += x * 0.1
+        change = min(max(total, -limit), limit)
+        decay = 1.0 if math.isinf(p["decay"]) else math.exp(-(i + 1) * 0.1 / p["decay"])
+        v = max(0.0, v0 + p["gain"] * decay * change)
+        out.append(0.0 if p["stationary"] and v0 < 0.75 and quiet[i] else v)
+    return out
+
+
+@pytest.mark.parametrize("v0", [0.5, 9.0])
+def test_control_speeds_are_the_loop(v0):
+    rng = np.random.default_rng(2)
+    a, c, g = rng.normal(0, 2, 60), rng.normal(0, 0.2, 60), np.abs(rng.normal(0, 0.04, 60))
+    grid = rollout.speed_grid()
+    assert len(grid) == 385 and len(rollout.yaw_grid()) == 16
+    got = rollout.control_speeds(a, c, g, v0, grid)
+    for i in range(0, 385, 7):
+        assert got[i] == pytest.approx(_slow_speed(a, c, g, v0, grid[i]))
+
+
+def test_control_search_finds_the_setting_that_made_the_truth(spark):
+    rng = np.random.default_rng(4)
+    grid, rows = rollout.speed_grid()[:60], []
+    for e in range(6):
+        a = rng.normal(0.5, 1, 40)
+        truth = rollout.control_speeds(a, a, np.abs(a), 8.0, [grid[17]])[0]
+        rows += [(e, 4, i, float(x), float(x), 1.0, 8.0, float(t)) for i, (x, t) in enumerate(zip(a, truth, strict=True))]
+    df = spark.createDataFrame(rows, "e int, duration int, step int, acceleration double, calibrated double, gyro double, v0 double, true_speed double")
+    scores = rollout.control_search(df, ["e"], grid)
+    best = ranking.select_parameters(scores, ["setting"], "score").head()
+    assert best["score"] == pytest.approx(0, abs=1e-9) and scores.where(f"setting = {17} and score < 1e-9").count() == 1
+
+
+def test_reckon_track_modes():
+    n = 30
+    gravity, gyro = np.tile([0.0, 0.0, 9.81], (n, 1)), np.tile([0.0, 0.0, 0.1], (n, 1))
+    cal = {"forward": np.array([1.0, 0, 0]), "accel_bias": 0.0, "yaw_sign": 1.0, "yaw_bias": 0.0, "az_offset": 0.0}
+    course = 0.1 * np.arange(n) * 0.1
+    speed = np.full(n, 10.0)
+    for heading in ("gyro", "fused", "oracle", "compass"):
+        e, north, v, h = reckon.reckon_track(gravity, gravity, gyro, speed, course, course, cal, "ins", heading)
+        assert h == pytest.approx(course) and v == pytest.approx(speed) and e[0] == north[0] == 0
+        assert e[-1] == pytest.approx(sum(math.sin(x) for x in course[1:])) and north[-1] == pytest.approx(sum(math.cos(x) for x in course[1:]))
+    _, _, v, h = reckon.reckon_track(gravity + np.array([-30.0, 0, 0]), gravity, gyro, speed, course, course, cal, "ins", "hold")
+    assert v.min() == 0 and set(h) == {0.0}
+
+
+def test_ridge_from_moments_is_the_solve(spark):
+    rng = np.random.default_rng(6)
+    x, rows = rng.normal(3, 2, (50, 3)), []
+    y = x @ [1.0, -2.0, 0.5] + 4 + rng.normal(0, 0.1, 50)
+    rows = [("a", *map(float, r), float(t)) for r, t in zip(x, y, strict=True)] + [("a", None, 1.0, 1.0, 1.0)]
+    out = rollout.ridge_from_moments(spark.createDataFrame(rows, "k string, p double, q double, r double, y double"), ["k"], ["p", "q", "r"], "y", 2.0).head()
+    coef, intercept = rollout.ridge_solve(x, y, 2.0)
+    assert out["coef"] == pytest.approx(list(coef)) and out["intercept"] == pytest.approx(intercept) and out["n"] == 50
