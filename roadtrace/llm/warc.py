@@ -26,6 +26,8 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 ROLL_BYTES, LEVEL = 16 << 20, 4
+#: Repeated payloads (about 60 bytes each) up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_PAYLOADS = 100_000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name space of URLs
 
 
@@ -78,8 +80,11 @@ def first_of_each_payload(pages: DataFrame) -> DataFrame:
     keyed = rows.withColumn("_key", F.concat_ws(":", "_sha", "_size"))
     groups = materialize(keyed.groupBy("_key").agg(F.count("*").alias("_n"), F.max("page_id").alias("_response")), "payloads")
     shared = groups.where(F.col("_n") > 1)  # a payload of one row is its own response
-    total = groups.agg(F.sum("_n")).head()[0] or 0
-    out = join_hot(keyed, shared, "_key", "_n", total, ["_response"])
+    if shared.limit(BROADCAST_PAYLOADS + 1).count() <= BROADCAST_PAYLOADS:
+        out = keyed.join(F.broadcast(shared.select("_key", "_response")), "_key", "left")
+    else:
+        total = groups.agg(F.sum("_n")).head()[0] or 0
+        out = join_hot(keyed, shared, "_key", "_n", total, ["_response"])
     return out.withColumn("_response", F.coalesce("_response", "page_id"))
 
 
@@ -129,12 +134,23 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, per_
     return materialize(as_text.mapInPandas(write, "file string, part int, number int, n_records long, n_bytes long"), "warc-manifest")
 
 
+def _members(data: bytes, step: int = 1 << 16):
+    """The decompressed gzip members of a file, fed in small pieces: what follows a member would be copied at its end."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("the last member is cut off")
+            parts.append(z.decompress(view[at : at + step]))
+            at = min(at + step, len(view))
+        at -= len(z.unused_data)
+        yield b"".join(parts)
+
+
 def parse_warc(data: bytes):
     """(headers, block) of each record of a file of gzip members."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+    for raw in _members(data):
         head, _, rest = raw.partition(b"\r\n\r\n")
         first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         if first != VERSION:

@@ -279,7 +279,9 @@ def test_pii_table(spark):
 # --- WARC
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_warc(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", broadcast)
     rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>" * 50) for i in range(40)] + [(50, None, None), (51, "u\nv", ""), (None, "u", "<p>3</p>" * 50), (60, "a", "only"), (60, "b", "only"), (61, "é", "日本" * 30_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, refers_to string").repartition(4)
     manifest = warc.write_warc(df, storage.shared_folder(spark, "w"), roll_bytes=3000, per_task=4000)
