@@ -61,7 +61,7 @@ def shingle_sets(texts: list, k: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, key (null: no words), n (distinct shingles), bands (hashes), sig (low bytes of the minima)."""
+    """doc_id, text_hash, key (null: no words), n (distinct shingles), bands (hashes), sig (low bytes of the minima)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -80,9 +80,10 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     for column in m.reshape(BANDS, ROWS).T:
                         h = mix(h ^ column.astype(np.uint64), 1)
                     keys.append(set_key(s)), bands.append(h.view(np.int64)), sigs.append((m & 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "key", "n", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "key", "n", "bands", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n long, bands array<long>, sig binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(run, "doc_id long, text_hash long, key binary, n long, bands array<long>, sig binary")
 
 
 @functools.lru_cache(maxsize=8)
@@ -246,6 +247,10 @@ def similarity_join(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     doc_id. Repeated rows are copies of each other. A null doc_id counts as a row
     but names no class. An empty table gives no rows.
     """
+    return _joined(docs, k, threshold, tolerance).drop("text_hash")
+
+
+def _joined(docs: DataFrame, k: int, threshold: float, tolerance: float) -> DataFrame:
     sigs = materialize(signatures(docs, k), "signatures")
     grouped = sigs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(grouped, "classes")
@@ -260,12 +265,21 @@ def similarity_join(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     least = materialize(least, "least")
     info = join_hot(named, least, "root", "m", named.count(), ["class_id"])
     info = materialize(info.select("key", "class_id", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "size"), "info")
-    out = join_hot(sigs.select("doc_id", "key"), info, "key", "size", sigs.count(), ["class_id", "copy_id", "n_links"])
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"))
+    out = join_hot(sigs.select("doc_id", "text_hash", "key"), info, "key", "size", sigs.count(), ["class_id", "copy_id", "n_links"])
+    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, one row of each class of ``similarity_join``: that of the least doc_id. Rows of a null id all stay."""
-    joined = similarity_join(docs)
-    gone = joined.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The columns of ``docs``, one row of each class of ``similarity_join``: that of the least doc_id.
+
+    Rows that repeat both doc_id and text are one; rows of a null id all stay.
+    """
+    joined = materialize(_joined(docs, SHINGLE, THRESHOLD, TOLERANCE).select("doc_id", "text_hash", "class_id"), "joined")
+    own = [F.col("doc_id").cast("long") == F.col("_d"), F.xxhash64("text") == F.col("_t")]
+    named = lambda df: df.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    kept = docs.join(named(joined.where("class_id <> doc_id")), own, "left_anti")
+    twice = materialize(joined.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(named(twice), own, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(named(twice), own, "left_anti").unionByName(once)

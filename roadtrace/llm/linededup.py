@@ -160,13 +160,14 @@ class Shard:
 
 
 @functools.lru_cache(maxsize=1)
-def _load(path: str, group: int, groups: int) -> dict[int, Shard]:
+def _load(path: str, group: int, groups: int, n_shards: int) -> dict[int, Shard]:
     """The shards of a group, read from the index files; a worker holds one group."""
-    import pyarrow.parquet as pq
+    import pyarrow.dataset as ds
 
     fs, inner = open_fs(path)
-    rows = pq.read_table(inner, filesystem=fs).to_pylist()
-    return {r["shard"]: Shard(r) for r in rows if r["shard"] % groups == group}
+    files = ds.dataset(inner, filesystem=fs, format="parquet")
+    own = files.to_batches(filter=ds.field("shard").isin(list(range(group, n_shards, groups))), batch_size=1)
+    return {r["shard"]: Shard(r) for batch in own for r in batch.to_pylist()}
 
 
 def _repeated(lines: Lines, shards: dict[int, Shard], n_shards: int, min_chars: int) -> np.ndarray:
@@ -200,7 +201,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
         for group in range(groups):
 
             def probe(batches, group=group):
-                shards = _load(path, group, groups)
+                shards = _load(path, group, groups, n_shards)
                 for batch in batches:
                     texts, dropped = batch.column("text").to_pylist(), batch.column("dropped").to_pylist()
                     for a, b in chunks(texts):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
+@functools.lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="roadtrace-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -22,8 +28,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="roadtrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -49,14 +54,23 @@ def open_fs(uri: str):
 
 
 def write_committed(uri: str, data: list[bytes]) -> None:
-    """Write under a temporary name, then rename: a reader never sees half a file, and a repeated task replaces it whole."""
+    """Write under a temporary name, then rename: a reader never sees half a file.
+
+    A repeated task writes the same bytes; where the store does not rename onto an
+    existing file, the earlier one stays.
+    """
     fs, path = open_fs(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temporary) as out:
         for part in data:
             out.write(part)
-    fs.move(temporary, path)
+    try:
+        fs.move(temporary, path)
+    except OSError:
+        if not fs.get_file_info(path).is_file:
+            raise
+        fs.delete_file(temporary)
 
 
 def read_file(uri: str, start: int = 0, length: int | None = None) -> bytes:
