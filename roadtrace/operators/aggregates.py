@@ -85,15 +85,26 @@ def split_summary(sessions: DataFrame, split: str, rows: str) -> DataFrame:
     return sessions.groupBy(split, "driver_id").agg(F.count("*").alias("sessions"), F.sum(rows).alias("rows"))
 
 
-def summarize_blackouts(episodes: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: sample-level velocity errors (start left out), episode-level final error, bias, distance error and three drift figures."""
-    e = F.col("velocity_error_kmh")
-    s = samples.where("elapsed_seconds > 0").groupBy(*keys).agg(F.avg(F.abs(e)).alias("velocity_mae_kmh"), F.sqrt(F.avg(e * e)).alias("velocity_rmse_kmh"), (100 * F.avg((F.abs(e) <= 5).cast("double"))).alias("within_5_kmh_percent"))
+def summarize_blackouts(episodes: DataFrame, samples: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Per group: sample-level velocity errors (start left out), episode-level final error, bias, distance error and three drift figures.
+
+    Without ``samples`` the sample-level figures are pooled from the episodes' own
+    means and their numbers of steps, which gives the same without a second pass.
+    """
+    e, n = F.col("velocity_error_kmh"), F.col("steps")
+    pooled = [
+        F.try_divide(F.sum(F.col("velocity_mae_kmh") * n), F.sum(n)).alias("velocity_mae_kmh"), F.sqrt(F.try_divide(F.sum(F.col("velocity_rmse_kmh") ** 2 * n), F.sum(n))).alias("velocity_rmse_kmh"),
+        F.try_divide(F.sum(F.col("within_5_kmh_percent") * n), F.sum(n)).alias("within_5_kmh_percent"),
+    ]
     p = episodes.groupBy(*keys).agg(
         F.count("*").alias("episodes"), F.avg(F.abs("final_velocity_error_kmh")).alias("final_abs_error_kmh"), F.avg("final_velocity_error_kmh").alias("final_bias_kmh"),
         F.avg(F.abs("distance_error_m")).alias("abs_distance_error_m"), F.avg("distance_error_m").alias("distance_bias_m"), F.avg("drift_percent").alias("drift_mean_percent"),
         F.percentile("drift_percent", 0.5).alias("drift_median_percent"), (100 * F.try_divide(F.sum(F.abs("distance_error_m")), F.greatest(F.sum("true_distance_m"), F.lit(1.0)))).alias("drift_aggregate_percent"),
+        *([] if samples is not None else pooled),
     )
+    if samples is None:
+        return p
+    s = samples.where("elapsed_seconds > 0").groupBy(*keys).agg(F.avg(F.abs(e)).alias("velocity_mae_kmh"), F.sqrt(F.avg(e * e)).alias("velocity_rmse_kmh"), (100 * F.avg((F.abs(e) <= 5).cast("double"))).alias("within_5_kmh_percent"))
     return p.join(s, keys, "left")
 
 

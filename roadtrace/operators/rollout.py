@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadtrace.functions.geo import _c
+from roadtrace.operators.groups import cluster, frames
 
 
 def clamped_rollout(df: DataFrame, keys: list[str], initial: str, delta: str, out: str = "predicted", order: str = "step") -> DataFrame:
@@ -77,7 +78,7 @@ def score_episodes(samples: DataFrame, keys: list[str], truth: DataFrame | None
     out = s.groupBy(*keys).agg(
         F.avg(F.when(inner, F.abs("_e"))).alias("velocity_mae_kmh"), F.sqrt(F.avg(F.when(inner, F.col("_e") ** 2))).alias("velocity_rmse_kmh"),
         F.max_by("_e", order).alias("final_velocity_error_kmh"), (100 * F.avg(F.when(inner, (F.abs("_e") <= 5).cast("double")))).alias("within_5_kmh_percent"),
-        F.sum("_p").alias("predicted_distance_m"), F.sum("_t").alias("true_distance_m"),
+        F.sum("_p").alias("predicted_distance_m"), F.sum("_t").alias("true_distance_m"), F.count(F.when(inner, F.col("_e"))).alias("steps"),
     )
     if truth is not None:
         out = out.drop("true_distance_m").join(truth, keys)
@@ -131,29 +132,29 @@ def yaw_grid() -> list[dict]:
     return [{"gain": g, "smoothing": s} for g in (0.5, 0.75, 1.0, 1.25) for s in (0.0, 0.25, 0.5, 1.0)]
 
 
-def _episode_arrays(frame: pd.DataFrame, order: str):
-    return frame.sort_values(order)
-
-
 def control_search(episodes: DataFrame, keys: list[str], grid: list[dict] | None = None, order: str = "step", dt: float = 0.1) -> DataFrame:
-    """Score of every speed setting over all episodes, best first by (score, setting).
+    """Score of every speed setting over all episodes: setting, score, samples.
 
     ``episodes``: one row per sample with duration, acceleration, calibrated, gyro,
-    v0 and true_speed. All settings of an episode are tried in one task and only
-    sums per (setting, duration) leave it.
+    v0 and true_speed. A task tries all settings on each of its episodes and hands
+    on nothing but sums per (setting, duration).
     """
     grid = grid or speed_grid()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = _episode_arrays(frame, order)
-        a, c, g, truth = (f[n].to_numpy(float) for n in ("acceleration", "calibrated", "gyro", "true_speed"))
-        v, distance = control_speeds(a, c, g, float(f["v0"].iloc[0]), grid, dt), float(truth.sum() * dt)
-        return pd.DataFrame({
-            "setting": np.arange(len(grid)), "duration": int(f["duration"].iloc[0]), "abs_kmh": np.abs(v - truth).sum(axis=1) * 3.6, "n": len(truth),
-            "distance_error": np.abs(v.sum(axis=1) * dt - distance), "distance": distance,
-        })
-
-    sums = episodes.groupBy(*keys).applyInPandas(run, "setting int, duration int, abs_kmh double, n long, distance_error double, distance double")
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for f in frames(batches, keys):
+            a, c, g, truth = (f[n].to_numpy(float) for n in ("acceleration", "calibrated", "gyro", "true_speed"))
+            v, distance = control_speeds(a, c, g, float(f["v0"].iloc[0]), grid, dt), float(truth.sum() * dt)
+            n = len(grid)
+            own = np.stack([np.abs(v - truth).sum(axis=1) * 3.6, np.full(n, len(truth)), np.abs(v.sum(axis=1) * dt - distance), np.full(n, distance)])
+            d = int(f["duration"].iloc[0])
+            sums[d] = sums.get(d, 0) + own
+        for d, x in sums.items():
+            yield pd.DataFrame({"setting": np.arange(len(grid)), "duration": d, "abs_kmh": x[0], "n": x[1].astype(np.int64), "distance_error": x[2], "distance": x[3]})
+
+    rows = cluster(episodes.select(*keys, *[c for c in ("duration", order, "acceleration", "calibrated", "gyro", "v0", "true_speed") if c not in keys]), keys, order)
+    sums = rows.mapInPandas(run, "setting int, duration int, abs_kmh double, n long, distance_error double, distance double")
     by = sums.groupBy("setting", "duration").agg(*[F.sum(c).alias(c) for c in ("abs_kmh", "n", "distance_error", "distance")])
     part = F.col("abs_kmh") / F.col("n") / 10 + F.col("distance_error") / F.greatest("distance", F.lit(1.0))
     return by.groupBy("setting").agg(F.avg(part).alias("score"), F.sum("n").alias("samples"))
@@ -163,18 +164,24 @@ def yaw_search(episodes: DataFrame, keys: list[str], speed: dict, grid: list[dic
     """Score of every yaw setting under a chosen speed setting: aggregate endpoint drift per duration, averaged."""
     grid = grid or yaw_grid()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = _episode_arrays(frame, order)
-        a, c, g, yaw, truth = (f[n].to_numpy(float) for n in ("acceleration", "calibrated", "gyro", "yaw", "true_speed"))
-        v = control_speeds(a, c, g, float(f["v0"].iloc[0]), [speed], dt)[0]
-        te, tn = float(f["true_east"].iloc[-1]), float(f["true_north"].iloc[-1])
-        rows = []
-        for i, p in enumerate(grid):
-            h = float(f["h0"].iloc[0]) + np.cumsum(_smooth(yaw, p["smoothing"], dt) * p["gain"] * dt)
-            rows.append((i, int(f["duration"].iloc[0]), float(np.hypot((v * np.sin(h)).sum() * dt - te, (v * np.cos(h)).sum() * dt - tn)), float(truth.sum() * dt)))
-        return pd.DataFrame(rows, columns=["setting", "duration", "error", "distance"])
-
-    sums = episodes.groupBy(*keys).applyInPandas(run, "setting int, duration int, error double, distance double")
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for f in frames(batches, keys):
+            a, c, g, yaw, truth = (f[n].to_numpy(float) for n in ("acceleration", "calibrated", "gyro", "yaw", "true_speed"))
+            v = control_speeds(a, c, g, float(f["v0"].iloc[0]), [speed], dt)[0]
+            te, tn, h0 = (float(x) for x in (f["true_east"].iloc[-1], f["true_north"].iloc[-1], f["h0"].iloc[0]))
+            own = np.zeros((2, len(grid)))
+            for i, p in enumerate(grid):
+                h = h0 + np.cumsum(_smooth(yaw, p["smoothing"], dt) * p["gain"] * dt)
+                own[:, i] = np.hypot((v * np.sin(h)).sum() * dt - te, (v * np.cos(h)).sum() * dt - tn), truth.sum() * dt
+            d = int(f["duration"].iloc[0])
+            sums[d] = sums.get(d, 0) + own
+        for d, x in sums.items():
+            yield pd.DataFrame({"setting": np.arange(len(grid)), "duration": d, "error": x[0], "distance": x[1]})
+
+    wanted = ("duration", order, "acceleration", "calibrated", "gyro", "yaw", "v0", "h0", "true_speed", "true_east", "true_north")
+    rows = cluster(episodes.select(*keys, *[c for c in wanted if c not in keys]), keys, order)
+    sums = rows.mapInPandas(run, "setting int, duration int, error double, distance double")
     by = sums.groupBy("setting", "duration").agg(F.sum("error").alias("error"), F.sum("distance").alias("distance"))
     return by.groupBy("setting").agg(F.avg(100 * F.col("error") / F.greatest("distance", F.lit(1.0))).alias("score"))
 

@@ -158,7 +158,8 @@ def e10_drift_controls_hold(spark, d):
 @query(None)
 def e11_control_search(spark, d):
     grid = rollout.speed_grid()
-    best = rollout.control_search(control_samples(spark, d), EPISODE, grid)
+    found = rollout.control_search(control_samples(spark, d), EPISODE, grid)
+    best = spark.createDataFrame(found.collect(), found.schema)  # one row for each setting
     chosen = grid[ranking.select_parameters(best, ["setting"], "score").head()["setting"]]
     yaw = rollout.yaw_search(control_samples(spark, d), EPISODE, chosen)
     return best.select(F.lit("speed").alias("search"), "setting", "score").unionByName(yaw.select(F.lit("yaw").alias("search"), "setting", "score"))
@@ -255,10 +256,7 @@ SUMMARY = ("final_abs_error_kmh", "final_bias_kmh", "abs_distance_error_m", "dis
 JOIN (SELECT duration, avg(abs(e)) AS velocity_mae_kmh, sqrt(avg(e * e)) AS velocity_rmse_kmh, 100 * avg((abs(e) <= 5)::INT) AS within_5_kmh_percent FROM (SELECT duration, (predicted - true_speed) * 3.6 AS e FROM held WHERE elapsed > 0) GROUP BY 1) s USING (duration)""", SCORED)
 def a12_summarize_blackouts(spark, d):
     """The flagship: how far off a car is when it holds its last speed through simulated blackouts, by their duration."""
-    s = rollout.hold_last(steps(spark, d), EPISODE, "true_speed")
-    scores = rollout.score_episodes(s, EPISODE)
-    s = s.withColumns({"elapsed_seconds": F.col("elapsed"), "velocity_error_kmh": (F.col("predicted") - F.col("true_speed")) * 3.6})
-    out = aggregates.summarize_blackouts(scores, s, ["duration"])
+    out = aggregates.summarize_blackouts(hold_scores(spark, d), None, ["duration"])
     return rounded(out.select("duration", "episodes", *SUMMARY), *SUMMARY, places=2)
 
 

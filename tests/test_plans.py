@@ -39,6 +39,11 @@ def test_prepare_and_score(spark, fleet, tmp_path):
     assert by["model", 1]["velocity_mae_kmh"] == pytest.approx(by["hold_last_speed", 1]["velocity_mae_kmh"])
     assert by["model", 1]["episodes"] == sum(len(range(5, n - 10, 10)) for n in (50, 70, 50, 30, 50, 40, 50))
     assert score.representative_episodes(scores).count() == 4
+    from roadtrace.operators import aggregates
+
+    pooled = {(r["model"], r["duration"]): r for r in aggregates.summarize_blackouts(scores, None, ["model", "duration"]).collect()}
+    for k, r in by.items():
+        assert [pooled[k][c] for c in ("velocity_mae_kmh", "velocity_rmse_kmh", "within_5_kmh_percent")] == pytest.approx([r[c] for c in ("velocity_mae_kmh", "velocity_rmse_kmh", "within_5_kmh_percent")])
 
 
 def test_prepare_with_offset_reports_what_is_wrong(spark, fleet):
