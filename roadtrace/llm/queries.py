@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadtrace.llm import decontam, jaccard, langid, linededup, packing, pii, rans, sharding, simhash, warc
+from roadtrace.llm import decontam, jaccard, langid, linededup, oracles, packing, pii, rans, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE, "op8_extendible_hashing": sharding.ORACLE}
+    return oracles.ORACLES
