@@ -84,7 +84,23 @@ def j12_episode_truth(spark, d):
     return rounded(steps(spark, d).select(*EPISODE, "step", "true_speed", F.round("elapsed", 3).alias("elapsed")), "true_speed")
 
 
-@query(None)
+SCAN = PRELUDE.replace("WITH telemetry", "WITH RECURSIVE telemetry") + """, drive AS (
+  SELECT session_key, row_idx, v, sum(v / 10) OVER w AS cum, min(v) OVER (PARTITION BY session_key ORDER BY row_idx ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (PARTITION BY session_key) AS n
+  FROM (SELECT session_key, row_idx, speed_kmh / 3.6 AS v FROM long_samples) WINDOW w AS (PARTITION BY session_key ORDER BY row_idx ROWS UNBOUNDED PRECEDING)
+), ends AS (
+  SELECT a.session_key, dist, a.row_idx AS s, min(b.row_idx) AS e FROM drive a, (SELECT unnest([50, 200])::DOUBLE AS dist) x JOIN drive b ON b.session_key = a.session_key AND b.row_idx BETWEEN a.row_idx AND a.row_idx + 800 AND b.cum >= a.cum + dist GROUP BY ALL
+), judged AS (
+  SELECT a.session_key, x.dist, a.row_idx AS s, e.e, coalesce(e.e < a.n AND e.e - a.row_idx >= 5 AND (p.cum - a.cum + a.v / 10) * 10 / (e.e - a.row_idx) >= 3 AND a.before >= 0, false) AS ok
+  FROM drive a, (SELECT unnest([50, 200])::DOUBLE AS dist) x LEFT JOIN ends e ON e.session_key = a.session_key AND e.dist = x.dist AND e.s = a.row_idx LEFT JOIN drive p ON p.session_key = a.session_key AND p.row_idx = e.e - 1 WHERE a.row_idx < a.n - 5
+), scan AS (
+  SELECT session_key, dist, s, e, ok FROM judged WHERE s = 25
+  UNION ALL
+  SELECT j.session_key, j.dist, j.s, j.e, j.ok FROM scan c JOIN judged j ON j.session_key = c.session_key AND j.dist = c.dist AND j.s = CASE WHEN c.ok THEN c.e ELSE c.s + 50 END
+)
+"""
+
+
+@query("SELECT 'L' AS driver_id, session_key, dist AS distance_m, s AS start, e AS \"end\" FROM scan WHERE ok", SCAN)
 def e3_distance_blackouts(spark, d):
     s = long_samples(spark, d).withColumn("v", F.col("speed_kmh") / 3.6)
     return episodes.distance_blackouts(s, KEYS, "v", [50.0, 200.0], 25, 10.0, 3.0, 5.0, min_history=0.0)
@@ -652,11 +668,18 @@ def r10_alignment_states(spark, d):
     return out.groupBy("session_key", "state").agg(F.count("*").alias("rows"))
 
 
-@query(None)
+@query("SELECT session_key, row_idx FROM trail", PRELUDE.replace("WITH telemetry", "WITH RECURSIVE telemetry") + """, places AS (
+  SELECT session_key, row_idx, radians(lon + 1.5) * 6371000.0 * cos(radians(52)) AS e, radians(lat - 52) * 6371000.0 AS n FROM samples
+), trail AS (
+  SELECT session_key, row_idx, e, n FROM places WHERE row_idx = 0
+  UNION ALL
+  SELECT session_key, row_idx, e, n FROM (
+    SELECT p.*, row_number() OVER (PARTITION BY p.session_key ORDER BY p.row_idx) AS r FROM trail t JOIN places p ON p.session_key = t.session_key AND p.row_idx > t.row_idx AND sqrt((p.e - t.e) ** 2 + (p.n - t.n) ** 2) >= 2000) WHERE r = 1
+)""")
 def r11_trail_thinning(spark, d):
     e, n = geo.to_enu("lat", "lon", 52.0, -1.5)
     s = samples(spark, d).select("session_key", F.col("row_idx").cast("long").alias("row_idx"), e.alias("e"), n.alias("n"))
-    return devices.thin_trail(s, ["session_key"], "e", "n", "row_idx", 2000.0)
+    return devices.thin_trail(s, ["session_key"], "e", "n", "row_idx", 2000.0).select("session_key", "row_idx")
 
 
 @query("SELECT session_key, event_id, recency FROM (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY fix_t DESC) AS recency FROM fixes) WHERE recency <= 5", PRELUDE)
