@@ -53,6 +53,17 @@ def grid_index(edges: DataFrame, cell: float = CELL_M) -> DataFrame:
     return edges.select("edge", F.explode(F.sequence(low("e"), high("e"))).alias("cx"), low("n").alias("y0"), high("n").alias("y1")).select("edge", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
 
 
+def own_edges(points: DataFrame, edges: DataFrame, keys: list[str], reach, cell: float = CELL_M, e: str = "e", n: str = "n") -> DataFrame:
+    """Each key's own subgraph: all edges within ``reach`` (metres, or a column of them) of one of its points, and some more of the same cells.
+
+    Points go to the cells of their reach box and edges to theirs, so it is an equi-join.
+    """
+    side = lambda c: F.sequence(F.floor((_c(c) - F.col("_r")) / cell), F.floor((_c(c) + F.col("_r")) / cell))
+    p = points.withColumn("_r", _c(reach) if isinstance(reach, str) else F.lit(float(reach)))
+    cells = p.select(*keys, F.explode(side(e)).alias("cx"), side(n).alias("_y")).select(*keys, "cx", F.explode("_y").alias("cy")).distinct()
+    return cells.join(grid_index(edges, cell), ["cx", "cy"]).select(*keys, "edge").distinct().join(edges, "edge")
+
+
 def near_edges(points: DataFrame, edges: DataFrame, keys: list[str], radius: float, k: int = 8, e: str = "e", n: str = "n") -> DataFrame:
     """The at most ``k`` nearest edges within ``radius`` of each point, with foot point, distance and place along; rank from 1.
 

@@ -418,6 +418,35 @@ def m5_hmm_match(spark, d):
     return rounded(out.select("session_key", "row_idx", "match_e", "match_n", "matched"), "match_e", "match_n", places=4)
 
 
+FOLDED = PRELUDE + """, side AS (
+  SELECT CAST(greatest(8, ceil(sqrt(count(DISTINCT user_id)))) AS BIGINT) AS streets, 100.0 * (greatest(8, ceil(sqrt(count(DISTINCT user_id)))) - 1) AS length FROM events
+)"""
+
+
+def folded(along, length):
+    """Place on a street of ``length`` after ``along`` metres back and forth on it."""
+    return length - F.abs(F.pmod(along, 2 * length) - length)
+
+
+def whole_drives(spark, d):
+    """Each session with all its rows drives back and forth along its street of the whole lattice, a little beside it."""
+    side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
+    s = samples(spark, d).crossJoin(F.broadcast(side)).withColumn("length", (F.col("streets") - 1) * SPACING)
+    e = folded(F.col("row_idx") * 40.0 + 20, F.col("length"))
+    return s.select("session_key", F.col("row_idx").cast("long").alias("row_idx"), e.alias("e"), (F.pmod("user_id", F.col("streets")) * SPACING + F.pmod("event_id", F.lit(7))).cast("double").alias("n"))
+
+
+@query("SELECT session_key, row_idx, round(length - abs((row_idx * 40.0 + 20) % (2 * length) - length), 4) AS match_e, round(100.0 * (user_id % streets), 4) AS match_n, true AS matched FROM samples, side", FOLDED)
+def m5_hmm_match_whole(spark, d):
+    """All rows of all sessions on the whole lattice; ``m5_hmm_match`` has the twelve rows of its SQL. Routes of at most ``cap`` metres stay within half of it of the candidates' foot points."""
+    p, edges, cap, most = whole_drives(spark, d), lattice(spark, d), 2000.0, 200.0
+    cand = roads.near_edges_expanding(p, edges, ["session_key", "row_idx"], most=most)
+    # near_edges_expanding may double its radius past ``most`` once
+    reach = cap / 2 + 2 * most
+    out = roads.hmm_match(p, cand, roads.own_edges(p, edges, ["session_key"], reach, reach), ["session_key"], cap=cap)
+    return rounded(out.select("session_key", "row_idx", "match_e", "match_n", "matched"), "match_e", "match_n", places=4)
+
+
 @query("SELECT session_key, step, round(least(500, 15.0 + (step + 1) * 12), 4) AS map_e, round(100.0 * (user_id % 5), 4) AS map_n FROM (SELECT session_key, user_id, row_idx AS step FROM samples WHERE row_idx < 60)", PRELUDE)
 def m6_map_aided_walk(spark, d):
     """Straight on along a street from 15 m east of its start, to its end."""
@@ -429,6 +458,19 @@ def m6_map_aided_walk(spark, d):
     return rounded(out.select("session_key", "step", "map_e", "map_n"), "map_e", "map_n", places=4)
 
 
+@query("SELECT session_key, row_idx AS step, round(length - abs((15.0 + (row_idx + 1) * 12) % (2 * length) - length), 4) AS map_e, round(100.0 * (user_id % streets), 4) AS map_n FROM samples, side", FOLDED)
+def m6_map_aided_walk_whole(spark, d):
+    """All rows of all sessions along the whole of a street, turning back at its ends; ``m6_map_aided_walk`` has the sixty rows of its SQL."""
+    side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
+    s = samples(spark, d).select("session_key", "user_id", F.col("row_idx").cast("long").alias("step"), F.lit(0.0).alias("yaw_rate"), F.lit(12.0).alias("speed"))
+    start = s.groupBy("session_key", "user_id").agg((F.sum("speed") + SPACING).alias("reach")).crossJoin(F.broadcast(side))
+    start = start.select("session_key", F.lit(15.0).alias("e"), (F.pmod("user_id", F.col("streets")) * SPACING).cast("double").alias("n"), F.lit(math.pi / 2).alias("h"), F.least(F.col("reach"), F.col("streets") * SPACING).alias("reach"))
+    streets = lattice(spark, d).where("an = bn")
+    at = roads.anchor(start, streets, ["session_key"], "h")
+    out = roads.map_aided_walk(s, at, roads.own_edges(start, streets, ["session_key"], "reach"), ["session_key"], 1.0)
+    return rounded(out.select("session_key", "step", "map_e", "map_n"), "map_e", "map_n", places=4)
+
+
 @query(None)
 def m7_free_vs_map(spark, d):
     from roadtrace.plans import mapmatch
