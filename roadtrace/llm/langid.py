@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from roadtrace.llm.kernels import chunks, mix, ragged, span_hashes
+from roadtrace.llm.kernels import chunks, mix, span_hashes
 from roadtrace.llm.storage import small_batches
 
 #: Distinct words of each language that the models are fitted on: the commonest in all training documents.
 TRAIN_WORDS = 40_000
 ROUNDS = 4
-#: Longest piece used and longest word looked at in one go; longer words are scored in parts of this length.
-MAX_PIECE, MAX_WORD = 8, 48
+#: Places of a word looked at in one go; the sums of a longer word are carried on, scaled, from part to part.
+PART = 24
+#: Places of all words that are fitted together.
+FIT_PLACES = 240_000
 CACHE_WORDS = 1_000_000
 #: Rank of the documents that are held out: crc32(doc_id as text) mod FOLDS = HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
@@ -43,12 +45,12 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def _pieces(path: str) -> list[str]:
-    """Lower-case letter pieces of the vocabulary, with or without the word mark, of at most MAX_PIECE characters."""
+    """Lower-case letter pieces of the vocabulary, with or without the word mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    ok = lambda p: len(p) <= MAX_PIECE and p == p.lower() and (p.removeprefix("▁").isalpha() or p == "▁")
+    ok = lambda p: p == p.lower() and (p.removeprefix("▁").isalpha() or p == "▁")
     return sorted({p for p in pieces if ok(p)})
 
 
@@ -72,7 +74,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def letter_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case code points of all texts, starts and ends of letter runs (at most MAX_WORD - 1 long), and the bounds of each text's runs."""
+    """Lower-case code points of all texts, starts and ends of letter runs, and the bounds of each text's runs."""
     letter, lower = _letters()
     raw = "\n".join(t or "" for t in texts) + "\n"
     codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -80,12 +82,6 @@ def letter_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     inside[1:-1] = letter[codes]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    most = MAX_WORD - 1
-    parts = -(-(ends - starts) // most)
-    if len(parts) and parts.max() > 1:
-        first = np.repeat(starts, parts) + most * ragged(np.zeros(len(parts), np.int64), parts)
-        ends = np.minimum(first + most, np.repeat(ends, parts))
-        starts = first
     stops = np.cumsum([len(t or "") + 1 for t in texts])
     return lower[codes], starts, ends, np.concatenate([[0], np.searchsorted(starts, stops)])
 
@@ -100,60 +96,93 @@ class Lattice:
         keys = span_hashes(flat, ends - [len(c) for c in codes], ends)
         order = np.argsort(keys)
         self.keys, self.ids, self.n = keys[order], order, len(pieces)
-
-    def words(self, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids [word, start, length - 1] (n: not a piece, n + 1: single unknown character) and word lengths with the mark."""
-        n = ends - starts + 1
-        width = int(n.max())
+        self.longest = max((len(c) for c in codes), default=1)
+
+    def words(self, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int = 0, places: int | None = None) -> np.ndarray:
+        """Piece ids [word, place, length - 1] (n: not a piece, n + 1: single unknown character) of the marked words' places from ``first`` on, ``places`` of them or all."""
+        n = ends - starts + 1 - first
+        rest = int(n.max())
+        shown = min(rest, places or rest)
+        width = min(rest, shown + self.longest - 1)
+        place = np.arange(width)
+        inside = place[None, :] < n[:, None]
         grid = np.zeros((len(n), width), np.uint32)
-        grid[:, 0] = _MARK
-        row = np.repeat(np.arange(len(n)), n - 1)
-        column = ragged(np.ones(len(n), np.int64), n - 1)
-        grid[row, column] = lower[ragged(starts, ends - starts)]
+        at = starts[:, None] + (first - 1 + place)[None, :]
+        grid[inside] = lower[np.maximum(at[inside], 0)]
+        if first == 0:
+            grid[:, 0] = _MARK
         flat = grid.reshape(-1)
-        ids = np.full((len(n), width, MAX_PIECE), self.n, np.int32)
-        place = np.arange(len(flat)) % width
-        for k in range(1, min(MAX_PIECE, width) + 1):
-            at = np.flatnonzero((place + k <= np.repeat(n, width)))
-            h = span_hashes(flat, at, at + k)
+        ids = np.full((len(n), shown, min(self.longest, width)), self.n, np.int32)
+        for k in range(1, ids.shape[2] + 1):
+            row, column = np.nonzero(place[None, :shown] + k <= n[:, None])
+            h = span_hashes(flat, row * width + column, row * width + column + k)
             spot = np.minimum(np.searchsorted(self.keys, h), self.n - 1)
-            found = np.where(self.keys[spot] == h, self.ids[spot], self.n + 1 if k == 1 else self.n)
-            ids[at // width, at % width, k - 1] = found
-        return ids, n
-
-    def forward(self, ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """alpha [word, place, language], scaled values stay well inside doubles for words of MAX_WORD characters."""
-        m, width, _ = ids.shape
-        alpha = np.zeros((m, width + 1, prob.shape[1]))
-        alpha[:, 0] = 1
-        for i in range(1, width + 1):
-            for k in range(1, min(MAX_PIECE, i) + 1):
-                alpha[:, i] += alpha[:, i - k] * prob[ids[:, i - k, k - 1]]
-        return alpha
-
-    def score(self, ids: np.ndarray, n: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """log probability [word, language] over all segmentations."""
-        alpha = self.forward(ids, prob)
-        return np.log(np.maximum(alpha[np.arange(len(n)), n], 1e-300))
+            ids[row, column, k - 1] = np.where(self.keys[spot] == h, self.ids[spot], self.n + 1 if k == 1 else self.n)
+        return ids
+
+    def score(self, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        """log probability [word, language] over all segmentations; sums of open words go on from part to part."""
+        n, langs = ends - starts + 1, prob.shape[1]
+        out, live, first = np.zeros((len(n), langs)), np.arange(len(n)), 0
+        carry = np.zeros((len(n), self.longest, langs))
+        carry[:, 0] = 1
+        while len(live):
+            ids = self.words(lower, starts[live], ends[live], first, PART)
+            shown, longest = ids.shape[1:]
+            alpha = np.zeros((len(live), shown + self.longest, langs))
+            alpha[:, : self.longest] = carry
+            for i in range(shown):
+                alpha[:, i + 1 : i + 1 + longest] += alpha[:, i : i + 1] * prob[ids[:, i]]
+            left = n[live] - first
+            done, on = np.flatnonzero(left <= shown), np.flatnonzero(left > shown)
+            out[live[done]] += np.log(np.maximum(alpha[done, left[done]], 1e-300))
+            carry = alpha[on, shown:]
+            top = np.maximum(carry.max(axis=1, initial=0), 1e-300)
+            out[live[on]] += np.log(top)
+            carry, live, first = carry / top[:, None], live[on], first + shown
+        return out
 
-    def expected(self, ids: np.ndarray, n: np.ndarray, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def expected(self, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts [piece] of weighted words for one language (prob: one column)."""
-        m, width, _ = ids.shape
-        alpha = self.forward(ids, prob)[:, :, 0]
-        beta = np.zeros((m, width + 1))
+        ids, n, p = self.words(lower, starts, ends), ends - starts + 1, prob[:, 0]
+        m, width, longest = ids.shape
         rows = np.arange(m)
+        # sums are scaled at every PART-th place; ``scale`` has the logarithm for each place, ``late`` that of the sums from the end
+        alpha, scale = np.zeros((m, width + longest)), np.zeros((m, width + 1))
+        alpha[:, 0] = 1
+        for i in range(width):
+            if i and i % PART == 0:
+                top = alpha[:, i : i + longest].max(axis=1)
+                top = np.where(top > 0, top, 1)
+                alpha[:, i : i + longest] /= top[:, None]
+                scale[:, i:] += np.log(top)[:, None]
+            alpha[:, i + 1 : i + 1 + longest] += alpha[:, i : i + 1] * p[ids[:, i]]
+        total = np.log(np.maximum(alpha[rows, n], 1e-300)) + scale[rows, n]
+        beta, late = np.zeros((m, width + longest)), np.zeros(m)
         beta[rows, n] = 1
-        p = prob[:, 0]
+        posterior = np.zeros(ids.shape)
         for i in range(width - 1, -1, -1):
-            for k in range(1, min(MAX_PIECE, width - i) + 1):
-                beta[:, i] += beta[:, i + k] * p[ids[:, i, k - 1]]
-        total = np.maximum(alpha[rows, n], 1e-300)
-        out = np.zeros(len(p))
-        for i in range(width):
-            for k in range(1, min(MAX_PIECE, width - i) + 1):
-                own = ids[:, i, k - 1]
-                out += np.bincount(own, alpha[:, i] * p[own] * beta[:, i + k] / total * weight, len(p))
-        return out
+            if (i + 1) % PART == 0:
+                top = beta[:, i + 1 : i + 1 + longest].max(axis=1)
+                top = np.where(top > 0, top, 1)
+                beta[:, i + 1 : i + 1 + longest] /= top[:, None]
+                late += np.log(top)
+            ways = p[ids[:, i]] * beta[:, i + 1 : i + 1 + longest]
+            beta[:, i] += ways.sum(axis=1)
+            open_ = i < n
+            posterior[open_, i] = ways[open_] * (alpha[open_, i] * np.exp(np.minimum(scale[open_, i] + late[open_] - total[open_], 700)) * weight[open_])[:, None]
+        return np.bincount(ids.reshape(-1), posterior.reshape(-1), len(p))
+
+
+def like_lengths(n: np.ndarray, most: int, places: int):
+    """Indices of words in groups of like length, at most ``most`` words and about ``places`` places (one word at least)."""
+    order, a = np.argsort(n, kind="stable"), 0
+    while a < len(order):
+        b = min(a + most, len(order))
+        while b - a > 1 and (b - a) * int(n[order[b - 1]]) > places:
+            b = a + max(1, min((b - a) // 2, places // int(n[order[b - 1]]) or 1))
+        yield order[a:b]
+        a = b
 
 
 def fit(words: pd.DataFrame, priors: dict[str, float], path: str | None = None) -> dict:
@@ -171,11 +200,11 @@ def fit(words: pd.DataFrame, priors: dict[str, float], path: str | None = None)
             ends = np.cumsum(own["word"].str.len().to_numpy())
             starts = ends - own["word"].str.len().to_numpy()
             weight = own["n"].to_numpy(float)
+            groups = list(like_lengths(ends - starts + 1, 5000, FIT_PLACES))
             for _ in range(ROUNDS):
                 counts = np.zeros(size)
-                for a in range(0, len(own), 5000):
-                    ids, n = lattice.words(codes, starts[a : a + 5000], ends[a : a + 5000])
-                    counts += lattice.expected(ids, n, p, weight[a : a + 5000])
+                for g in groups:
+                    counts += lattice.expected(codes, starts[g], ends[g], p, weight[g])
                 counts[: len(pieces)] += 0.01
                 counts[len(pieces) + 1] = max(counts[len(pieces) + 1], 0.01)
                 counts[len(pieces)] = 0
@@ -210,8 +239,7 @@ class Scorer:
             parts = []
             for a in range(0, len(new), 4000):
                 at = first[new[a : a + 4000]]
-                ids, n = self.lattice.words(lower, starts[at], ends[at])
-                parts.append(self.lattice.score(ids, n, self.model["prob"]).astype(np.float32))
+                parts.append(self.lattice.score(lower, starts[at], ends[at], self.model["prob"]).astype(np.float32))
             keys = np.concatenate([self.keys, unique[new]])
             order = np.argsort(keys)
             self.keys, self.values = keys[order], np.concatenate([self.values, *parts])[order]
