@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadtrace.operators import reckon, roads
+from roadtrace.operators import episodes, reckon, roads
+
+RADIUS = 60.0
 
 
-def free_vs_map(blackouts: DataFrame, edges: DataFrame, keys: list[str], by: list[str], dt: float = 1.0) -> DataFrame:
-    """Median, least drift and share under 10 % of both tracks per group.
+def free_vs_map(drives: DataFrame, edges: DataFrame, keys: list[str], by: list[str], distances: tuple = (1000.0,), history: int = 250, min_speed: float = 5.0, step_s: float = 7.0, min_rows: int = 11, min_history: float = 1.0, order: str = "row_idx") -> DataFrame:
+    """Blackouts, median and least drift and share under 10 % of both tracks per group and blackout length.
 
-    ``blackouts`` (step, yaw_rate, speed, n0) start at the west end of the street at
-    n0 and truly follow it east; the yaw rate is what the gyro would add.
+    ``drives``: reckon.CHANNELS, speed (m/s), course_deg, az_deg, e and n (in the
+    edges' frame) at reckon.RATE. All blackouts of each length are searched,
+    calibrated on the ``history`` rows before them and reckoned with the speed and
+    course of their first row; the truth is the place of their last row. A
+    blackout without a road at its start has no map track.
     """
-    w = W.partitionBy(*keys).orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    b = blackouts.withColumns({"heading": F.lit(math.pi / 2), "gt_e": F.least(F.sum(F.col("speed") * dt).over(w), F.lit(500.0)), "gt_n": F.col("n0")})
-    free = reckon.dead_reckon_windows(b, keys, "const", "gyro", "speed", "heading", "yaw_rate", rate=1 / dt)
-    free = free.withColumn("north_est", F.col("north_est") + F.col("n0"))
-    start = b.where("step = 0").select(*keys, F.lit(0.0).alias("e"), F.col("n0").alias("n"), "heading")
-    at = roads.anchor(start, edges, keys, "heading")
-    walked = roads.map_aided_walk(b, at, start.select(*keys).crossJoin(F.broadcast(edges)), keys, dt)
-    mapped = b.join(walked, [*keys, "step"]).withColumns({"east_est": F.col("map_e"), "north_est": F.col("map_n")})
-    out = None
-    for name, track in (("free", free), ("map", mapped)):
-        drift = reckon.drift_stats(track, keys, rate=1 / dt).withColumn("track", F.lit(name))
-        out = drift if out is None else out.unionByName(drift)
-    return reckon.drift_curve(out, [*by, "track"])
+    rate = reckon.RATE
+    rows = drives.withColumn("position", (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
+    found = episodes.distance_blackouts(rows, keys, "speed", list(distances), history, rate, min_speed, step_s, min_rows=min_rows, min_history=min_history, order="position")
+    each = [*keys, "blackout_m", "start"]
+    found = found.withColumnRenamed("distance_m", "blackout_m").withColumn("position", F.explode(F.expr(f"sequence(start - {history}, end - 1)")))
+    placed = found.join(rows, [*keys, "position"]).withColumn("step", F.col("position") - F.col("start"))
+    calibrations = reckon.calibrate(placed.where("step < 0"), each, "step")
+    dark = placed.where("step >= 0")
+    reach = F.count("*") * F.max(F.when(F.col("step") == 0, F.col("speed"))) / rate + RADIUS
+    first = lambda c: F.max(F.when(F.col("step") == 0, F.col(c)))
+    origin = dark.groupBy(*each).agg(first("e").alias("e0"), first("n").alias("n0"), first("speed").alias("v0"), F.radians(first("course_deg")).alias("heading"), reach.alias("reach"))
+    dark = dark.join(origin, each)
+    free = reckon.dead_reckon(dark.withColumns({"gt_e": F.col("e") - F.col("e0"), "gt_n": F.col("n") - F.col("n0")}), calibrations, each, "const", "gyro")
+    at = roads.anchor(origin.select(*each, F.col("e0").alias("e"), F.col("n0").alias("n"), "heading"), edges, each, "heading", RADIUS)
+    up = F.sqrt(sum(F.col(f"gravity_{x}") ** 2 for x in "xyz"))
+    yaw = sum(F.col(f"gyro_{x}") * F.col(f"gravity_{x}") for x in "xyz") / F.greatest(up, F.lit(1e-6))
+    moved = dark.join(calibrations.select(*each, "yaw_sign", "yaw_bias"), each).select(*each, "step", (F.col("yaw_sign") * yaw - F.col("yaw_bias")).alias("yaw_rate"), F.col("v0").alias("speed"))
+    walked = roads.map_aided_walk(moved, at, roads.own_edges(origin, edges, each, "reach", e="e0", n="n0"), each, 1 / rate)
+    mapped = dark.select(*each, "step", "speed", F.col("e").alias("gt_e"), F.col("n").alias("gt_n")).join(walked, [*each, "step"])
+    mapped = reckon.drift_stats(mapped.withColumns({"east_est": F.col("map_e"), "north_est": F.col("map_n")}), each)
+    drifts = [d.select(*each, "drift_percent").withColumn("track", F.lit(t)) for t, d in (("free", free), ("map", mapped))]
+    return reckon.drift_curve(drifts[0].unionByName(drifts[1]), [*by, "blackout_m", "track"])

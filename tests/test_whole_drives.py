@@ -1,11 +1,13 @@
 """Jobs that must look at all rows: no caps on sessions, streets or blackouts."""
 
+import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadtrace.operators import roads
+from roadtrace.operators import episodes, reckon, roads
 
 D = "/root/testdata/sf0.001"
 
@@ -38,3 +40,27 @@ def test_own_edges_have_all_within_reach(spark):
     want = {(r["key"], r["edge"]) for r in near.collect()}
     assert want <= got and len(got) < 2 * edges.count()
     assert {e for k, e in got if k == "p"} & {"9_10-10_10"} and not {e for k, e in got if k == "q"} & {"9_10-10_10"}
+
+
+def test_free_vs_map_searches_all_blackouts_and_takes_truth_from_the_samples(spark):
+    from roadtrace.plans import mapmatch
+
+    # north beside a street; then with a gyro bias that sets in after a while, which only the map makes good
+    rows, speeds = [], {}
+    for key, drift in (("1", 0.0), ("2", 0.05)):
+        v = [10.0 + math.sin(i / 9) for i in range(600)]
+        speeds[key] = np.array(v)
+        n = 20.0 + np.cumsum(v) / 10
+        for i in range(600):
+            bias = 0.01 + (drift if i % 150 >= 60 else 0.0)
+            rows.append(("A", key, i, v[i], 0.0, 0.0, 303.0, float(n[i]), 0.0, 0.0, 9.81, 0.0, 0.0, 9.81, 0.0, 0.0, bias))
+    schema = "driver_id string, session_key string, row_idx long, speed double, course_deg double, az_deg double, e double, n double, " + ", ".join(f"{c} double" for c in reckon.CHANNELS)
+    out = mapmatch.free_vs_map(spark.createDataFrame(rows, schema), lattice(spark, 8), ["driver_id", "session_key"], ["session_key"], (100.0, 200.0), 50, step_s=1.0)
+    got = {(r["session_key"], r["blackout_m"], r["track"]): r for r in out.collect()}
+    assert len(got) == 8
+    for (key, dist, _), r in got.items():
+        assert r["blackouts"] == len(episodes._scan(speeds[key], dist, 50, 10.0, 5.0, 1.0, 0, 11, 1.0)) > 1
+    for dist in (100.0, 200.0):
+        assert got["2", dist, "free"]["median_drift"] > got["1", dist, "free"]["median_drift"] + 5
+        assert got["2", dist, "map"]["median_drift"] == pytest.approx(got["1", dist, "map"]["median_drift"])
+        assert got["1", dist, "map"]["median_drift"] < 12
