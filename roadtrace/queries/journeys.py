@@ -687,11 +687,14 @@ def r6_late_rows(spark, d):
 
 
 def filter_rows(spark, d):
-    """IMU samples and fixes of each session on a common clock of one second a row."""
+    """IMU samples and fixes of each session on a common clock of 0.2 seconds a row, with the stationary flag."""
     s = samples(spark, d)
     e, n = geo.to_enu("lat", "lon", 52.0, -1.5)
     fix = F.pmod("row_idx", F.lit(5)) == 0
-    return s.select("session_key", F.when(fix, "fix").otherwise("imu").alias("kind"), (F.col("row_idx") * 0.2).alias("t"), ((F.col("k") - 50) / 500).alias("omega"), ((F.col("value") - 40) / 100).alias("accel"), (e / 100).alias("e"), (n / 100).alias("n"), (F.col("speed_kmh") / 3.6 / 10).alias("speed"), F.radians("heading_deg").alias("course"), F.lit(5.0).alias("sigma"))
+    s = s.select("session_key", F.when(fix, "fix").otherwise("imu").alias("kind"), (F.col("row_idx") * 0.2).alias("t"), ((F.col("k") - 50) / 500).alias("omega"), ((F.col("value") - 40) / 100).alias("accel"), (e / 100).alias("e"), (n / 100).alias("n"), (F.col("speed_kmh") / 3.6 / 10).alias("speed"), F.radians("heading_deg").alias("course"), F.lit(5.0).alias("sigma"))
+    s = s.withColumns({"linear_norm": F.abs("accel"), "gyro_norm": F.abs("omega")})
+    # rows of 0.2 seconds and loud readings: a wider window and bounds than the phone's
+    return features.stationary(s, ["session_key"], "t", "linear_norm", "gyro_norm", 1.0, 0.2, 3, 0.05, 0.6, 0.06).drop("linear_norm", "gyro_norm", "quiet")
 
 
 @query("SELECT session_key, count(*) AS rows, count(*) FILTER (WHERE row_idx % 5 = 0) AS fixes, true AS finite FROM samples GROUP BY 1", PRELUDE)
@@ -715,9 +718,11 @@ def r9_recovery_stats(spark, d):
 
 @query(None)
 def r10_alignment_states(spark, d):
+    """With a speed and without: rows in each state and the forward axes found."""
     v = imu_vec(spark, d).withColumn("speed", F.when(F.pmod("row_idx", F.lit(2)) == 0, 0.1).otherwise(5.0))
-    out = devices.alignment_states(v, KEYS, tuple(AXES[:3]), tuple(AXES[6:]), "speed", window=5, acc_var=10.0, gyro_var=0.01)
-    return out.groupBy("session_key", "state").agg(F.count("*").alias("rows"))
+    v = v.withColumn("with_speed", F.lit(True)).unionByName(v.withColumns({"with_speed": F.lit(False), "speed": F.lit(None).cast("double")}))
+    out = devices.alignment_states(v, [*KEYS, "with_speed"], tuple(AXES[:3]), tuple(AXES[6:]), "speed", window=5, acc_var=10.0, gyro_var=0.01)
+    return out.groupBy("session_key", "with_speed", "state").agg(F.count("*").alias("rows"), F.array_sort(F.collect_set("axis")).alias("axes"))
 
 
 @query("SELECT session_key, row_idx FROM trail", PRELUDE.replace("WITH telemetry", "WITH RECURSIVE telemetry") + """, places AS (

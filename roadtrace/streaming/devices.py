@@ -82,6 +82,7 @@ class FusionFilter:
     """Extended Kalman filter of east, north, heading, speed, yaw-rate bias and acceleration bias."""
 
     GYRO, ACCEL, ACCEL_HOLD, GYRO_WALK, ACCEL_WALK, POS_WALK, DRIFT = 0.02, 0.8, 2.5, 2e-4, 1e-2, 0.2, 0.03
+    STILL = 0.05
     MAX_SPEED, GATE, MAX_GYRO_BIAS, MAX_ACCEL_BIAS, LEARN = 60.0, 13.8, 0.05, 0.6, 0.8
 
     def __init__(self, state: tuple | None = None):
@@ -168,6 +169,7 @@ class FusionFilter:
 def run_filter(rows: pd.DataFrame, state: dict | None = None, stale: float = STALE_S) -> tuple[pd.DataFrame, dict]:
     """Filter rows of one device in time order: kind imu (omega, accel) or fix (e, n, speed, course, sigma).
 
+    A sample whose ``stationary`` (``features.stationary``; may be missing) holds is a zero-velocity update.
     Returns one row per input row (state, sigma, what became of a fix) with recovery
     figures on the fix that ends an outage, and the state to go on with.
     """
@@ -182,6 +184,8 @@ def run_filter(rows: pd.DataFrame, state: dict | None = None, stale: float = STA
         if r.kind == "imu":
             dark = max(0.0, r.t - last_fix - stale) if last_fix is not None else 0.0
             f.predict(r.omega, None if r.accel is None or math.isnan(r.accel) else r.accel, dt, 0.15 if dark > 0 else 0.0, True, dark)
+            if f.ready and getattr(r, "stationary", None) == True:  # noqa: E712 (None and NaN are not)
+                f.fix_speed(0.0, f.STILL)
             walked = walked + f.x[3] * dt if dark > 0 else 0.0
             last_t = r.t
         else:
@@ -212,7 +216,7 @@ FILTERED = "t double, kind string, east double, north double, heading double, sp
 
 
 def fusion_filter(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch replay: one filter per session (kind, t, omega, accel, e, n, speed, course, sigma); a fix comes before a sample of its time."""
+    """Batch replay: one filter per session (kind, t, omega, accel, e, n, speed, course, sigma, and stationary if it is known); a fix comes before a sample of its time."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out, _ = run_filter(frame.sort_values(["t", "kind"], kind="stable"))
@@ -262,17 +266,18 @@ def consistent_rejections(fixes: DataFrame, keys: list[str], de: str, dn: str, r
 # --- mounting
 
 
-def alignment_run(acc: np.ndarray, gyro: np.ndarray, speed: np.ndarray, window: int = 20, acc_var: float = 0.05, gyro_var: float = 0.01, yaw_limit: float = 0.05, pca_rows: int = 100, knock: float = 50.0) -> list[str]:
-    """State after each sample: UNCALIBRATED, Z_ALIGNED once at rest, FULLY_ALIGNED once the forward axis is known, back after a knock.
+def alignment_path(acc: np.ndarray, gyro: np.ndarray, speed: np.ndarray, window: int = 20, acc_var: float = 0.05, gyro_var: float = 0.01, yaw_limit: float = 0.05, pca_rows: int = 100, knock: float = 50.0) -> tuple[list[str], list[np.ndarray | None]]:
+    """State and forward axis (None: not known) after each sample: UNCALIBRATED, Z_ALIGNED once at rest, FULLY_ALIGNED once the forward axis is known, back after a knock.
 
     With a speed (not NaN) the forward axis is the horizontal acceleration while
     driving straight; without it the first principal axis of ``pca_rows`` straight
     samples (``forward_axis``).
     """
-    state, up, held, out = "UNCALIBRATED", None, [], []
+    state, up, held, axis, out, axes = "UNCALIBRATED", None, [], None, [], []
     for i in range(len(acc)):
         if i + 1 < window:
             out.append(state)
+            axes.append(axis)
             continue
         a, g, v = acc[i + 1 - window : i + 1], gyro[i + 1 - window : i + 1], speed[i]
         turning = float(g.var(axis=0).sum())
@@ -287,35 +292,41 @@ def alignment_run(acc: np.ndarray, gyro: np.ndarray, speed: np.ndarray, window:
                 flat = flat - (flat @ up) * up
                 if not math.isnan(v):
                     if v > 1.0 and np.linalg.norm(flat) > 0.5:
-                        state = "FULLY_ALIGNED"
+                        state, axis = "FULLY_ALIGNED", flat / np.linalg.norm(flat)
                 else:
                     held.append(flat)
                     if len(held) >= pca_rows:
-                        state = "FULLY_ALIGNED"
+                        state, axis = "FULLY_ALIGNED", forward_axis(np.array(held))
         elif turning > knock * gyro_var:
-            state, held = "UNCALIBRATED", []
+            state, held, axis = "UNCALIBRATED", [], None
         out.append(state)
-    return out
+        axes.append(axis)
+    return out, axes
+
+
+def alignment_run(acc: np.ndarray, gyro: np.ndarray, speed: np.ndarray, **limits) -> list[str]:
+    """The states of ``alignment_path``."""
+    return alignment_path(acc, gyro, speed, **limits)[0]
 
 
 def forward_axis(flat: np.ndarray) -> np.ndarray:
-    """First principal axis of horizontal accelerations, its sign set so that the largest spike along it is positive."""
+    """First principal axis of horizontal accelerations, its sign set so that the largest spike along it, which is braking, is negative."""
     _, vectors = np.linalg.eigh(np.cov(flat - flat.mean(axis=0), rowvar=False))
     axis = vectors[:, -1]
     p = flat @ axis
-    return -axis if abs(p.min()) > p.max() else axis
+    return axis if abs(p.min()) > p.max() else -axis
 
 
 def alignment_states(rows: DataFrame, keys: list[str], acc: tuple, gyro: tuple, speed: str, order: str = "row_idx", **limits) -> DataFrame:
-    """keys, order and state of each row."""
+    """keys, order, state and forward axis (NULL: not known) of each row."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(order)
-        states = alignment_run(f[list(acc)].to_numpy(float), f[list(gyro)].to_numpy(float), f[speed].to_numpy(float), **limits)
-        return f[[*keys, order]].assign(state=states)
+        states, axes = alignment_path(f[list(acc)].to_numpy(float), f[list(gyro)].to_numpy(float), f[speed].to_numpy(float), **limits)
+        return f[[*keys, order]].assign(state=states, axis=[None if x is None else x.tolist() for x in axes])
 
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "state string"])
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "state string, axis array<double>"])
     return rows.select(*keys, order, *acc, *gyro, speed).groupBy(*keys).applyInPandas(run, schema)
 
 
