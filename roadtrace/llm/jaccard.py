@@ -206,15 +206,19 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, crossing: bool, thresh
 def verified_links(docs: DataFrame, classes: DataFrame, comps: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """key, root, links: for each class in a component and each of its tasks the rows of linked classes and the least linked class there."""
     spark = docs.sparkSession
-    nodes = comps.join(classes.select("key", "rep", "size", "n"), F.col("node") == F.col("key")).select("key", "root", "rep", "size", "n")
+    nodes = comps.join(classes.select("key", "rep", "rep_hash", "size", "n"), F.col("node") == F.col("key")).select("key", "root", "rep", "rep_hash", "size", "n")
     nodes = materialize(nodes, "nodes")
     volume = nodes.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     volume = materialize(volume.withColumn("k", F.expr(f"cast(greatest(ceil(m / {CHUNK}), ceil(w / {CHUNK_SHINGLES}), 1) as int)")), "volume")
     count, total = volume.agg(F.sum("m"), F.sum(F.expr("w * k"))).head()
     sized = join_hot(nodes, volume, "root", "m", count or 0, ["k"])
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    rows = text.join(sized, "rep")
-    tasks = _chunk_tasks(rows.select("key", "root", "size", "k", "text"), "root", "k").select("task", "crossing", "side", "key", "size", "text")
+    wanted = ["key", "root", "size", "k", "text"]
+    rows = text.join(sized, "rep").select(*wanted)
+    if not nodes.where("rep is null").isEmpty():  # classes of rows without an id find their text by its hash
+        nameless = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("rep_hash")).agg(F.first("text").alias("text"))
+        rows = rows.unionByName(nameless.join(sized.where("rep is null"), "rep_hash").select(*wanted))
+    tasks = _chunk_tasks(rows, "root", "k").select("task", "crossing", "side", "key", "size", "text")
     tasks = tasks.repartition(partitions_for(spark, int(total or 0) * 6, 8 << 20), "task").sortWithinPartitions("task")
 
     def verify(batches):
@@ -252,7 +256,7 @@ def similarity_join(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
 
 def _joined(docs: DataFrame, k: int, threshold: float, tolerance: float) -> DataFrame:
     sigs = materialize(signatures(docs, k), "signatures")
-    grouped = sigs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    grouped = sigs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("rep_hash"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(grouped, "classes")
     comps = candidate_components(classes, threshold, tolerance)
     links = materialize(verified_links(docs, classes, comps, k, threshold), "links")
