@@ -103,6 +103,14 @@ def j11_unpaired_files(spark, d):
     return joins.unpaired(docs.where("doc_id % 2 = 0"), v, ["k"])
 
 
+@query("""WITH p AS (SELECT DISTINCT source AS k FROM documents), v AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS k FROM pages)
+SELECT k, 'phone' AS side FROM p WHERE k NOT IN (SELECT k FROM v WHERE k IS NOT NULL) UNION ALL SELECT k, 'vehicle' FROM v WHERE k NOT IN (SELECT k FROM p WHERE k IS NOT NULL)""")
+def j11_unpaired_files_whole(spark, d):
+    """All sources of documents against all hosts of pages; ``j11_unpaired_files`` has the subsets of its SQL."""
+    hosts = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("k"))
+    return joins.unpaired(table(spark, d, "documents").select(F.col("source").alias("k")), hosts, ["k"])
+
+
 # --- aggregates
 
 
@@ -357,6 +365,13 @@ def u2_feature_overlap(spark, d):
     return sets.overlap(docs.where("lang = 'de'").select("name"), docs.where("lang = 'es' and doc_id % 2 = 0").select("name"))
 
 
+@query("SELECT source AS name FROM documents WHERE lang = 'de' INTERSECT SELECT source FROM documents WHERE lang = 'es'")
+def u2_feature_overlap_whole(spark, d):
+    """All sources of two languages; ``u2_feature_overlap`` has the even ids of its SQL."""
+    docs = table(spark, d, "documents").withColumn("name", F.col("source"))
+    return sets.overlap(docs.where("lang = 'de'").select("name"), docs.where("lang = 'es'").select("name"))
+
+
 @query("SELECT split FROM (SELECT unnest(['train', 'validation', 'test', 'final']) AS split) WHERE split NOT IN (SELECT driver_holdout_split FROM holdout)", HOLDOUT)
 def u3_missing_splits(spark, d):
     s = splits.driver_holdout(sessions(spark, d))
