@@ -14,13 +14,14 @@ import json
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadtrace.llm import ranges
 from roadtrace.llm.kernels import chunks
-from roadtrace.llm.storage import materialize, partitions_for, read_file, shared_folder, small_batches, write_committed
+from roadtrace.llm.storage import materialize, read_file, shared_folder, small_batches, write_committed
 from roadtrace.llm.tokens import END_ID, digest, tokenizer_path, worker_tokenizer
 
 MAGIC = b"RTANS1\n\0"
@@ -189,66 +190,76 @@ class TokenFile:
         return self.data[self.offsets[i] : self.offsets[i + 1]]
 
 
-def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, per_file: int = 24 << 20) -> DataFrame:
+#: Files whose ids are summed up together before a file's first id is known.
+_FILES_PER_BLOCK = 1000
+
+
+def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, per_file: int = 2 << 20) -> DataFrame:
     """Encode each text, append id 1, and write files of about ``per_file`` text bytes in ascending ``id_col`` order.
 
-    A null text is empty; rows of a null id come first, equal ids stay as separate
-    rows in order of their text. A task writes its file under a temporary name and
+    A null text is empty; rows of a null id come first, rows of equal ids stay
+    separate, in order of their text (within ranges of its hash, where they fill
+    several files). Which rows a file holds depends on
+    the rows alone (``ranges``). A task writes its file under a temporary name and
     renames it; the returned manifest (file, part, n_docs, n_ids) is the commit:
     only files it names are part of the data, so a repeated task does no harm.
     An empty table gives an empty manifest. Other columns are ignored.
     """
     path = path or tokenizer_path()
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    size = docs.agg(F.sum(F.octet_length("_text"))).head()[0]
-    ranged = docs.repartitionByRange(partitions_for(spark, size, per_file), "_id").sortWithinPartitions("_id", "_text")
+    parts = ranges.cut(docs, "_id", ["_text"], F.octet_length("_text"), per_file)
+    dealt = ranges.deal(docs, parts, "_id", ["_text"]).select("_id", "_text", "_n", "_part")
 
     def encode(batches):
-        from pyspark import TaskContext
+        tokenizer = worker_tokenizer(path)
+        end = np.array([END_ID], tokenizer.dtype)
+        part, ids, names, counts = None, [], [], []
 
-        part = TaskContext.get().partitionId()
-        tokenizer, ids, names, counts = worker_tokenizer(path), [], [], []
-        end = np.array([END_ID], np.uint16)
-        for frame in batches:
-            texts = [t if isinstance(t, str) else None for t in frame["_text"]]
+        def commit():
+            name, everything = f"{folder}/part-{part:07d}.rans", np.concatenate(ids)
+            write_committed(name, [encode_file(everything, names, np.array(counts))])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([len(everything)], pa.int64())], names=["file", "part", "n_docs", "n_ids"])
+
+        for batch in batches:
+            keys, texts, many, own = (batch.column(i).to_pylist() for i in range(4))
             for a, b in chunks(texts):
-                for own in tokenizer.encode(texts[a:b]):
-                    ids += [own.astype(np.uint16), end]
-                    counts.append(len(own) + 1)
-                ids = [np.concatenate(ids)]
-            names += [None if pd.isna(d) else int(d) for d in frame["_id"]]
-        if not names:
-            return
-        everything = ids[0]
-        name = f"{folder}/part-{part:06d}.rans"
-        write_committed(name, [encode_file(everything, names, np.array(counts))])
-        yield pd.DataFrame({"file": [name], "part": [part], "n_docs": [len(names)], "n_ids": [len(everything)]})
+                for j, found in enumerate(tokenizer.encode(texts[a:b]), a):
+                    if own[j] != part:
+                        if names:
+                            yield commit()
+                        part, ids, names, counts = own[j], [], [], []
+                    ids += [found.astype(tokenizer.dtype), end] * many[j]
+                    names += [keys[j]] * many[j]
+                    counts += [len(found) + 1] * many[j]
+                ids = [np.concatenate(ids)] if ids else ids
+        if names:
+            yield commit()
 
-    return materialize(ranged.mapInPandas(encode, "file string, part int, n_docs long, n_ids long"), "token-manifest")
+    return materialize(dealt.mapInArrow(encode, "file string, part int, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files of a manifest."""
-    files = manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    files = files.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4), "part")
+    spark = manifest.sparkSession
+    # running sums in two levels: within blocks of files, and over the blocks
+    files = manifest.withColumn("block", F.floor(F.col("part") / _FILES_PER_BLOCK))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = files.groupBy("block").agg(F.sum("n_ids").alias("n_ids")).select("block", before(W.orderBy("block")).alias("base"))
+    files = files.withColumn("own", before(W.partitionBy("block").orderBy("part"))).join(blocks, "block").select("file", "part", (F.col("base") + F.col("own")).alias("first"))
+    files = files.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "part")
 
     def decode(batches):
-        for frame in batches:
-            for name, first in zip(frame["file"], frame["first"], strict=True):
+        for batch in batches:
+            for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 f = TokenFile(read_file(name))
                 ids = f.ids()
                 stops = np.cumsum(f.counts)
                 starts = stops - f.counts
-                yield pd.DataFrame({
-                    "doc_id": pd.array(f.docs, dtype="Int64"),
-                    "start": starts + int(first),
-                    "n_tokens": f.counts,
-                    "ids_crc32": np.array([digest(ids[a:b]) for a, b in zip(starts, stops, strict=True)], np.int64),
-                })
-
-    return files.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                sums = np.array([digest(ids[a:b]) for a, b in zip(starts, stops, strict=True)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(f.docs, pa.int64()), pa.array(starts + first), pa.array(f.counts), pa.array(sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return files.select("file", "first").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_binary(docs: DataFrame) -> DataFrame:

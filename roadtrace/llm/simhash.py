@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadtrace.llm import ranges
 from roadtrace.llm.kernels import Words, chunks, mix
-from roadtrace.llm.storage import materialize, partitions_for, range_bucket, small_batches
+from roadtrace.llm.storage import BATCH_ROWS, join_hot, materialize, small_batches
 
 BITS, RADIUS, BLOCKS = 64, 3, 6
 #: Weight of a word by its bytes, and the rows of terms that vote at once.
@@ -100,56 +101,56 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, b
 
 
 def near_counts(prints: DataFrame, every: int = 100, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """fp and n_near for the fingerprints of rows whose id is divisible by ``every``: rows of all of ``prints`` within the radius."""
-    weights = materialize(prints.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.pmod("doc_id", F.lit(every)) == 0).alias("asked")), "prints")
-    pairs = within_radius(weights.where("asked"), weights, radius, blocks)
-    return pairs.join(weights.select("fp", "n"), "fp").groupBy(F.col("query_fp").alias("fp")).agg(F.sum("n").alias("n_near"))
+    """fp, n_near and n_asked for the fingerprints of rows whose id is divisible by ``every``: rows of all of ``prints`` within the radius, and rows that ask."""
+    asks = F.pmod("doc_id", F.lit(every)) == 0
+    weights = materialize(prints.groupBy("fp").agg(F.count("*").alias("n"), F.count_if(asks).alias("n_asked")), "prints")
+    asked = weights.where("n_asked > 0")
+    pairs = within_radius(asked, weights, radius, blocks)
+    near = pairs.join(weights.select("fp", "n"), "fp").groupBy(F.col("query_fp").alias("fp")).agg(F.sum("n").alias("n_near"))
+    return near.join(asked.select("fp", "n_asked"), "fp")
 
 
-def edited_fingerprints(docs: DataFrame, per_task: int = 16 << 20) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, per_task: int = 4 << 20) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the
     first as many of the next row's text, in ascending doc_id (nulls first, equal
-    ids by text; after the last row the first). Rows are dealt out by ranges of
-    doc_id; the first rows of a range also go to the range before it.
+    ids by text; after the last row the first). A null text is empty; other columns
+    are ignored. Rows are dealt out in ranges of about ``per_task`` bytes
+    (``ranges``); the first rows of a range also go to the range before it.
     """
     import hashlib
 
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    size = rows.agg(F.sum(F.octet_length("_text"))).head()[0]
-    n = partitions_for(spark, size, per_task)
-    cuts = min(n, 512)
-    bounds = rows.agg(F.percentile_approx("_id", [i / cuts for i in range(1, cuts)] or [0.5], 10_000)).head()[0] or []
-    bounds = sorted(set(bounds))
-    rows = rows.withColumn("_bin", range_bucket(F.col("_id"), bounds))
-    firsts = rows.groupBy("_bin").agg(F.min(F.struct("_id")).alias("f")).collect()  # at most 512 rows
-    order = sorted(((r["_bin"], r["f"]["_id"]) for r in firsts), key=lambda x: x[0])
-    # the bin to which each bin's first rows go as well
-    before = {order[i][0]: order[i - 1][0] for i in range(len(order))}
-    table = spark.createDataFrame([(b, f, before[b]) for b, f in order], "_b int, _f long, _before int")
-    joined = rows.join(F.broadcast(table), F.col("_bin") == F.col("_b"))
-    rows = joined.withColumn("_copy", F.when(F.col("_id").eqNullSafe(F.col("_f")), F.col("_before")))
-    dealt = rows.select("_id", "_text", F.explode(F.expr("filter(array(struct(_bin as b, 0 as tail), struct(_copy as b, 1 as tail)), x -> x.b is not null)")).alias("_to"))
-    dealt = dealt.select("_id", "_text", F.col("_to.b").alias("_bin"), F.col("_to.tail").alias("_tail"))
-    dealt = dealt.repartition(max(n, len(order)), "_bin").sortWithinPartitions("_bin", "_tail", "_id", "_text")
+    parts = ranges.cut(rows, "_id", ["_text"], F.octet_length("_text"), per_task)
+    dealt = ranges.deal(rows, parts, "_id", ["_text"], tails=True)
 
     def run(batches):
-        held = None  # (id, text, bin) of the last own row; its next row follows in the order of the bin
-        skip = None  # bin whose tail is done
+        held = None  # the last own row (id, text, copies); its next row follows in the order of the part
+        skip = None  # part whose tail is done
         for batch in batches:
-            out, ids, texts, nexts = [], batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for i, t, b, tail in zip(ids, texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if tail and skip == b:
+            own, nexts, many = [], [], []
+            for i, t, n, part, tail in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if tail and skip == part:
                     continue
                 if held is not None:
-                    out.append(held[:2])
+                    own.append(held)
+                    nexts.append(t)
+                    many.append(1)
+                held, skip = (None, part) if tail else ((i, t), skip)
+                if n > 1 and not tail:  # alike rows follow one another
+                    own.append(held)
                     nexts.append(t)
-                held, skip = (None, b) if tail else ((i, t, b), skip)
-            if out:
-                yield _pairs(out, nexts)
+                    many.append(n - 1)
+            if own:
+                out = _pairs(own, nexts)
+                if len(many) == sum(many):
+                    yield out
+                else:
+                    for first in range(0, sum(many), BATCH_ROWS):
+                        at = np.searchsorted(np.cumsum(many), np.arange(first, min(first + BATCH_ROWS, sum(many))), side="right")
+                        yield out.take(pa.array(at))
 
     def _pairs(own, nexts):
         texts = [t for _, t in own]
@@ -167,15 +168,17 @@ def edited_fingerprints(docs: DataFrame, per_task: int = 16 << 20) -> DataFrame:
             pa.array(fp.view(np.int64)), pa.array(fe.view(np.int64)), pa.array(likeness(fp, fe)), pa.array(likeness(fp, fn)),
         ], names=["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"])
 
-    return dealt.select("_id", "_text", "_bin", "_tail").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double")
+    return dealt.select("_id", "_text", "_n", "_part", "_tail").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double")
 
 
 def summary(edited: DataFrame) -> DataFrame:
     """The contract's columns and n_near: for rows whose id is divisible by 100, the rows of all within the radius of its fingerprint (else null)."""
     prints = materialize(edited, "fingerprints")
-    near = near_counts(prints.select("doc_id", "fp"))
+    near = materialize(near_counts(prints.select("doc_id", "fp")), "near")
     code = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    asked = prints.where(F.pmod("doc_id", F.lit(100)) == 0).join(near, "fp", "left")
+    asks = prints.where(F.pmod("doc_id", F.lit(100)) == 0)
+    # one fingerprint may be that of many rows
+    asked = join_hot(asks, near, "fp", "n_asked", near.agg(F.sum("n_asked")).head()[0] or 0, ["n_near"])
     rest = prints.where(F.coalesce(F.pmod("doc_id", F.lit(100)) != 0, F.lit(True))).withColumn("n_near", F.lit(None).cast("long"))
     rows = rest.unionByName(asked)
     return rows.select("doc_id", "n_chars", "edited_sha256", code("fp").alias("fingerprint"), code("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -29,7 +30,39 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+#: Folders made by this driver that are still there, oldest first.
+_made: list[str] = []
+
+
+def release(paths: list[str] | None = None) -> None:
+    """Delete folders of ``shared_folder`` (all that this driver made, if none are named). DataFrames that read them are of no use afterwards."""
+    for path in list(_made) if paths is None else paths:
+        if path in _made:
+            _made.remove(path)
+        fs, inner = open_fs(path)
+        if fs.get_file_info(inner).is_file:
+            fs.delete_file(inner)
+        elif fs.get_file_info(inner).type.name == "Directory":
+            fs.delete_dir(inner)
+
+
+@contextlib.contextmanager
+def scratch(*keep: str):
+    """Delete the shared folders that were made inside the block, but ``keep``: for a block whose result is written or collected in it.
+
+    An operator's DataFrame reads tables in the shared folder until its rows have been
+    taken, so only the caller knows when they can go.
+    """
+    before = set(_made)
+    try:
+        yield
+    finally:
+        release([p for p in _made if p not in before and p not in keep])
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,8 +73,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the rows of an Arrow batch, so that long texts fit in a Python worker.
+
+    Spark reads the setting when a query starts, after its operator has returned; so
+    it stays lowered in the session. A lower setting of the caller's own stays as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def open_fs(uri: str):
@@ -107,15 +146,3 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, count: str, total: int,
     for v in values:
         out = out.withColumn(v, F.coalesce(F.col(f"_hv.{v}"), F.col(f"_cv.{v}")))
     return out.drop("_hk", "_hv", "_ck", "_cs", "_cv", "_salt")
-
-
-def range_bucket(key: Column, bounds: list) -> Column:
-    """Number of ``bounds`` (ascending) that are <= ``key``, by a balanced tree of comparisons; null keys get 0."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(bounds))

@@ -44,7 +44,7 @@ def _latin_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WordCachedTokenizer:
-    """Encodes batches of texts to uint16/uint32 ids; equal to the library's ids for whole texts without special tokens."""
+    """Encodes batches of texts to ids (``dtype`` holds all of them); equal to the library's ids for whole texts without special tokens."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,6 +56,7 @@ class WordCachedTokenizer:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
             self.ends_word[i] = piece.endswith("</w>")
+        self.dtype = np.uint16 if len(self.ends_word) <= 1 << 16 and END_ID < 1 << 16 else np.uint32
         self.cache_words = cache_words
         self._reset()
 

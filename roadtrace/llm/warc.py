@@ -1,9 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id; each range's task writes numbered files,
-rolled once their compressed size reaches ``roll_bytes``. A record is a gzip
-member of its own with fixed time stamps, so the same rows always give the same
-bytes. Files get their final names by a rename, and the manifest that Spark
+Records are range-sorted by page id, in ranges that depend on the rows alone
+(``ranges``); each range's task writes numbered files, rolled once their compressed
+size reaches ``roll_bytes``. A record is a gzip member of its own with fixed time
+stamps, so the same rows always give the same files, however they were partitioned
+and on however many cores. Files get their final names by a rename, and the manifest that Spark
 commits says which files are part of the archive.
 """
 
@@ -14,12 +15,12 @@ import hashlib
 import uuid
 import zlib
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadtrace.llm.storage import join_hot, materialize, partitions_for, read_file, shared_folder, small_batches, write_committed
+from roadtrace.llm import ranges
+from roadtrace.llm.storage import join_hot, materialize, read_file, shared_folder, small_batches, write_committed
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -88,7 +89,7 @@ def first_of_each_payload(pages: DataFrame) -> DataFrame:
     return out.withColumn("_response", F.coalesce("_response", "page_id"))
 
 
-def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, per_task: int = 32 << 20, min_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, per_task: int = 2 << 20, min_bytes: int = 0) -> DataFrame:
     """Write all rows in ascending page_id and return the manifest (file, part, number, n_records, n_bytes).
 
     Of rows with equal payloads of at least ``min_bytes`` the one with the largest
@@ -97,41 +98,41 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, per_
     is an empty payload, a null url ``urn:none``; null ids come first. An empty
     table has an empty manifest. Other columns are ignored.
     """
-    spark = pages.sparkSession
-    small_batches(spark)
+    small_batches(pages.sparkSession)
     rows = first_of_each_payload(pages)
-    size = pages.agg(F.sum(F.octet_length("html"))).head()[0]
     revisit = (F.col("_size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_response")) & F.col("_response").isNotNull()
     rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("_response")).alias("_refers_to"))
-    ranged = rows.repartitionByRange(partitions_for(spark, size, per_task), "page_id").sortWithinPartitions("page_id", "url", "html")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    parts = ranges.cut(own, "page_id", ["url", "html"], F.octet_length("html"), per_task)
+    ranged = ranges.deal(rows, parts, "page_id", ["url", "html"], carried=["_refers_to"])
 
     def write(batches):
-        from pyspark import TaskContext
-
-        part, number, n, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        part, number, n, held, size = None, 0, 0, [], 0
 
         def roll():
-            name = f"{folder}/part-{part:06d}-{number:05d}.warc.gz"
+            name = f"{folder}/part-{part:07d}-{number:05d}.warc.gz"
             data = [_info(name.rsplit("/", 1)[1]), *held]
             write_committed(name, data)
-            return pd.DataFrame({"file": [name], "part": [part], "number": [number], "n_records": [n], "n_bytes": [sum(map(len, data))]})
-
-        for frame in batches:
-            for i, url, html, to in zip(frame["page_id"], frame["url"], frame["html"], frame["_refers_to"], strict=True):
-                text = html if isinstance(html, str) else ""
-                page = None if pd.isna(i) else int(i)
-                own = page_record(page, url if isinstance(url, str) else None, text.encode("utf-8", "surrogatepass"), None if pd.isna(to) else int(to))
-                held.append(own)
-                n, size = n + 1, size + len(own)
-                if size >= roll_bytes:
-                    yield roll()
-                    number, n, held, size = number + 1, 0, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([sum(map(len, data))], pa.int64())], names=["file", "part", "number", "n_records", "n_bytes"])
+
+        for batch in batches:
+            for page, url, html, to, many, at in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if at != part:
+                    if held:
+                        yield roll()
+                    part, number, n, held, size = at, 0, 0, [], 0
+                own = page_record(page, url, (html or "").encode("utf-8", "surrogatepass"), to)
+                for _ in range(many):
+                    held.append(own)
+                    n, size = n + 1, size + len(own)
+                    if size >= roll_bytes:
+                        yield roll()
+                        number, n, held, size = number + 1, 0, [], 0
         if held:
             yield roll()
 
-    # ids travel as strings: pandas would turn a column with nulls into floats
-    as_text = ranged.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("_refers_to").cast("string").alias("_refers_to"))
-    return materialize(as_text.mapInPandas(write, "file string, part int, number int, n_records long, n_bytes long"), "warc-manifest")
+    columns = ranged.select("page_id", "url", "html", "_refers_to", "_n", "_part")
+    return materialize(columns.mapInArrow(write, "file string, part int, number int, n_records long, n_bytes long"), "warc-manifest")
 
 
 def _members(data: bytes, step: int = 1 << 16):
