@@ -1,10 +1,14 @@
 """Lines repeated across documents, dropped by probing a sharded minimal perfect hash.
 
 Documents give a 128-bit hash for each distinct line key; Spark sums in how many
-documents each occurs. Keys that reach ``min_docs`` (no other can be dropped) are
-split into shards by hash, and each shard's task builds a minimal perfect hash
-over them with a fingerprint and a count array. Tasks then read the arrays from
-the shared folder and probe them with the hashes of their lines; no line is joined.
+documents each occurs. An exact filter comes before the index: a key of fewer than
+``index_from`` documents (by default ``min_docs``) can never be dropped, so it is
+left out, and the index grows with the lines that repeat, not with all lines. The
+other distinct hashes are split into shards, and each shard's task builds a minimal
+perfect hash over them with a fingerprint array (48 bits a key) and a count array
+(16 bits, the most it can hold standing for more). Tasks then read the arrays from
+the shared folder and probe them with the hashes of their lines: a line goes if its
+fingerprint is there and its count reaches ``min_docs``; no line is joined.
 
 At most ``resident`` keys are held by a worker at once; an index of more takes a
 pass over the documents for each group of shards that fits.
@@ -25,6 +29,8 @@ from roadtrace.llm.storage import materialize, open_fs, small_batches
 
 MIN_DOCS, MIN_CHARS = 10, 1
 SHARD_KEYS, RESIDENT_KEYS = 250_000, 4_000_000
+#: The largest number of documents that a count can say.
+MOST = 65_535
 _GAMMA, _LEVELS = 2, 48
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -54,8 +60,8 @@ class Lines:
         self.prints = span_hashes(table[a], start, end)
 
 
-def line_counts(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, print, n): line hashes found in at least ``min_docs`` rows. Each task adds its rows up before the shuffle."""
+def line_counts(docs: DataFrame, index_from: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(key, print, n): line hashes found in at least ``index_from`` rows. Each task adds its rows up before the shuffle."""
 
     def count(batches):
         for batch in batches:
@@ -75,7 +81,7 @@ def line_counts(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
                 yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(prints[new].view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "print", "n"])
 
     rows = docs.select("text").mapInArrow(count, "key long, print long, n long")
-    return rows.groupBy("key", "print").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+    return rows.groupBy("key", "print").agg(F.sum("n").alias("n")).where(F.col("n") >= index_from)
 
 
 class PerfectHash:
@@ -120,8 +126,13 @@ class PerfectHash:
         return out
 
 
+def _pack(prints: np.ndarray) -> tuple[bytes, bytes]:
+    """The low 48 bits of fingerprints as arrays of 32 and 16 bits."""
+    return prints.astype("<u4").tobytes(), (prints >> np.uint64(32)).astype("<u2").tobytes()
+
+
 def build_index(counts: DataFrame, total: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """One row per shard: shard, sizes of the levels, their bits, fingerprints and counts (at the keys' indexes)."""
+    """One row per shard: shard, sizes of the levels, their bits, and at the keys' indexes the fingerprints (low, high) and counts."""
     shards = max(1, -(-total // shard_keys))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
@@ -131,32 +142,35 @@ def build_index(counts: DataFrame, total: int, shard_keys: int = SHARD_KEYS) ->
         spare = frame.drop(frame.index[first])
         h = PerfectHash.build(unique)
         at = h.find(unique)
-        prints, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        prints[at], n[at] = frame["print"].to_numpy()[first], frame["n"].to_numpy()[first]
+        prints, n = np.zeros(len(at), np.uint64), np.zeros(len(at), "<u2")
+        prints[at], n[at] = frame["print"].to_numpy()[first].view(np.uint64), np.minimum(frame["n"].to_numpy()[first], MOST)
+        low, high = _pack(prints)
         return pd.DataFrame({
             "shard": [int(frame["shard"].iloc[0])], "sizes": [[len(w) for w in h.levels]],
-            "bits": [b"".join(w.tobytes() for w in h.levels)], "prints": [prints.tobytes()], "counts": [n.tobytes()],
-            "spare": [np.concatenate([spare["key"].to_numpy(np.int64), spare["print"].to_numpy(np.int64)]).tobytes()],
+            "bits": [b"".join(w.tobytes() for w in h.levels)], "low": [low], "high": [high], "counts": [n.tobytes()],
+            "spare": [np.concatenate([spare[c].to_numpy(np.int64) for c in ("key", "print", "n")]).tobytes()],
         })
 
     sharded = counts.withColumn("shard", F.pmod(F.shiftright("key", 7), F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInPandas(build, "shard int, sizes array<int>, bits binary, prints binary, counts binary, spare binary")
+    return sharded.groupBy("shard").applyInPandas(build, "shard int, sizes array<int>, bits binary, low binary, high binary, counts binary, spare binary")
 
 
 class Shard:
     def __init__(self, row: dict):
         words = np.frombuffer(row["bits"], np.uint64)
         self.hash = PerfectHash(np.split(words, np.cumsum(row["sizes"])[:-1]))
-        self.prints = np.frombuffer(row["prints"], np.uint64)
-        spare = np.frombuffer(row["spare"], np.uint64)
-        self.spare = set(zip(*np.split(spare, 2), strict=True))
+        self.low, self.high, self.n = np.frombuffer(row["low"], "<u4"), np.frombuffer(row["high"], "<u2"), np.frombuffer(row["counts"], "<u2")
+        spare = np.split(np.frombuffer(row["spare"], np.int64), 3)
+        self.spare = dict(zip(zip(spare[0].view(np.uint64), spare[1].view(np.uint64), strict=True), spare[2], strict=True))
 
-    def member(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    def counts(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """In how many documents each key occurs, at most ``MOST``; 0 where its fingerprint is not there."""
         at = self.hash.find(keys)
-        hit = (at >= 0) & (self.prints[at] == prints)
+        hit = (at >= 0) & (self.low[at] == prints.astype("<u4")) & (self.high[at] == (prints >> np.uint64(32)).astype("<u2"))
+        out = np.where(hit, self.n[at], 0).astype(np.int64)
         if self.spare:
-            hit |= np.array([x in self.spare for x in zip(keys, prints, strict=True)], bool)
-        return hit
+            out = np.maximum(out, [self.spare.get(x, 0) for x in zip(keys, prints, strict=True)])
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -170,59 +184,79 @@ def _load(path: str, group: int, groups: int, n_shards: int) -> dict[int, Shard]
     return {r["shard"]: Shard(r) for batch in own for r in batch.to_pylist()}
 
 
-def _repeated(lines: Lines, shards: dict[int, Shard], n_shards: int, min_chars: int) -> np.ndarray:
-    """Whether each line's key is in the loaded shards."""
+def _repeated(lines: Lines, shards: dict[int, Shard], n_shards: int, min_docs: int, min_chars: int) -> np.ndarray:
+    """Whether each line's key is in the loaded shards with a count of ``min_docs`` or more."""
     out = np.zeros(len(lines.keys), bool)
     shard = (lines.keys.view(np.int64) >> 7) % n_shards
     for s, own in shards.items():
         at = np.flatnonzero((shard == s) & (lines.n_points >= min_chars))
-        out[at] = own.member(lines.keys[at], lines.prints[at])
+        out[at] = own.counts(lines.keys[at], lines.prints[at]) >= min_docs
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, resident: int = RESIDENT_KEYS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def _without(lines: Lines, drop: np.ndarray, texts: list) -> list[str]:
+    """The texts without the lines of ``drop``, in one pass over their bytes."""
+    n_dropped = np.add.reduceat(drop, lines.bounds[:-1]).tolist()
+    if not any(n_dropped):
+        return [t or "" for t in texts]
+    size = lines.ends - lines.starts + 1  # with the line's end
+    left = np.frombuffer(lines.data, np.uint8)[np.repeat(~drop, size)].tobytes()
+    stops = np.cumsum(np.add.reduceat(np.where(drop, 0, size), lines.bounds[:-1])).tolist()
+    return [left[a : max(a, b - 1)].decode("utf-8", "surrogatepass") if n else t or "" for a, b, n, t in zip([0, *stops], stops, n_dropped, texts, strict=False)]
+
+
+def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, resident: int = RESIDENT_KEYS, shard_keys: int = SHARD_KEYS, index_from: int | None = None) -> DataFrame:
     """All columns of ``docs`` in ``doc`` (struct), n_lines, n_dropped and ``kept``, the text of the lines that stay.
 
     A key is a line stripped of blanks at both ends, A-Z lower-cased; keys of at
     least ``min_chars`` code points in at least ``min_docs`` rows lose all their
     lines. A null or empty text is one empty line (and stays ''); repeated rows
-    count as documents of their own; an empty table gives no rows.
+    count as documents of their own; an empty table gives no rows. A text's cost
+    is linear in its length, however many lines it has.
     """
+    if min_docs > MOST:
+        raise ValueError(f"counts are held up to {MOST} documents")
     small_batches(docs.sparkSession)
-    counts = materialize(line_counts(docs, min_docs, min_chars), "line-counts")
+    counts = materialize(line_counts(docs, min_docs if index_from is None else min(index_from, min_docs), min_chars), "line-counts")
     total = counts.count()
     n_shards = max(1, -(-total // shard_keys))
     groups = max(1, -(-total // resident))
     index = materialize(build_index(counts, total, shard_keys), "line-index")
     path = index.inputFiles()[0].rsplit("/", 1)[0] if total else None
-    out = docs.select("text", F.struct("*").alias("doc"), F.array().cast("array<long>").alias("dropped"))
+    out = docs.select("text", F.struct("*").alias("doc"), F.array().cast("array<int>").alias("dropped"))
     schema = out.schema
-    if path is not None:
-        for group in range(groups):
-
-            def probe(batches, group=group):
-                shards = _load(path, group, groups, n_shards)
-                for batch in batches:
-                    texts, dropped = batch.column("text").to_pylist(), batch.column("dropped").to_pylist()
-                    for a, b in chunks(texts):
-                        lines = Lines(texts[a:b])
-                        hit = np.flatnonzero(_repeated(lines, shards, n_shards, min_chars))
-                        doc = np.searchsorted(lines.bounds[1:], hit, side="right")
-                        for line, d in zip(hit.tolist(), doc.tolist(), strict=True):
-                            dropped[a + d].append(line - int(lines.bounds[d]))
-                    yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("doc"), pa.array(dropped, pa.list_(pa.int64()))], names=["text", "doc", "dropped"])
-
-            out = out.mapInArrow(probe, schema)
-            if group < groups - 1:
-                out = materialize(out, "line-probe")
-    lines = "split(coalesce(text, ''), '\\n', -1)"
-    kept = f"array_join(filter({lines}, (x, i) -> not array_contains(dropped, cast(i as long))), '\\n')"
-    return out.select(
-        "doc",
-        F.expr(f"cast(size({lines}) as long)").alias("n_lines"),
-        F.expr("cast(size(dropped) as long)").alias("n_dropped"),
-        F.expr(f"if(size(dropped) = 0, coalesce(text, ''), {kept})").alias("kept"),
-    )
+    for group in range(groups - 1):
+
+        def probe(batches, group=group):
+            shards = _load(path, group, groups, n_shards)
+            for batch in batches:
+                texts, dropped = batch.column("text").to_pylist(), batch.column("dropped").to_pylist()
+                for a, b in chunks(texts):
+                    lines = Lines(texts[a:b])
+                    hit = np.flatnonzero(_repeated(lines, shards, n_shards, min_docs, min_chars))
+                    for d, own in enumerate(np.split(hit, np.searchsorted(hit, lines.bounds[1:-1]))):
+                        dropped[a + d] += (own - lines.bounds[d]).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("doc"), pa.array(dropped, pa.list_(pa.int32()))], names=["text", "doc", "dropped"])
+
+        out = materialize(out.mapInArrow(probe, schema), "line-probe")
+
+    def finish(batches):
+        shards = _load(path, groups - 1, groups, n_shards) if path is not None else {}
+        for batch in batches:
+            texts, before = batch.column("text").to_pylist(), batch.column("dropped").to_pylist()
+            n_lines, n_dropped, kept = [], [], []
+            for a, b in chunks(texts):
+                lines = Lines(texts[a:b])
+                drop = _repeated(lines, shards, n_shards, min_docs, min_chars)
+                for d in range(b - a):
+                    if before[a + d]:
+                        drop[lines.bounds[d] + np.array(before[a + d])] = True
+                n_lines += np.diff(lines.bounds).tolist()
+                n_dropped += np.add.reduceat(drop.astype(np.int64), lines.bounds[:-1]).tolist()
+                kept += _without(lines, drop, texts[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_lines", "n_dropped", "kept"])
+
+    return out.mapInArrow(finish, f"doc {schema['doc'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
 def summary(dropped: DataFrame) -> DataFrame:
