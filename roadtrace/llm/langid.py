@@ -6,7 +6,7 @@ it into pieces (forward algorithm), and a text's is the product over its words,
 which are maximal runs of letters, lower-cased, with the vocabulary's word mark
 in front. Probabilities are fitted by expectation maximisation on
 about ``TRAIN_WORDS`` word types of each language, the most frequent in all its
-training documents; a character outside the vocabulary is a piece of its own.
+training documents, a task for each language; a character outside the vocabulary is a piece of its own.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ TRAIN_WORDS = 40_000
 ROUNDS = 4
 #: Places of a word looked at in one go; the sums of a longer word are carried on, scaled, from part to part.
 PART = 24
+#: Places after which sums are scaled: no product of so many probabilities, down to 1e-30 each, leaves the doubles.
+SCALED = 8
 #: Places of all words that are fitted together.
 FIT_PLACES = 240_000
 CACHE_WORDS = 1_000_000
@@ -129,16 +131,21 @@ class Lattice:
         while len(live):
             ids = self.words(lower, starts[live], ends[live], first, PART)
             shown, longest = ids.shape[1:]
-            alpha = np.zeros((len(live), shown + self.longest, langs))
+            alpha, scale = np.zeros((len(live), shown + self.longest, langs)), np.zeros((len(live), shown + 1, langs))
             alpha[:, : self.longest] = carry
             for i in range(shown):
+                if i and i % SCALED == 0:
+                    top = alpha[:, i : i + self.longest].max(axis=1)
+                    top = np.where(top > 0, top, 1)
+                    alpha[:, i : i + self.longest] /= top[:, None]
+                    scale[:, i:] += np.log(top)[:, None]
                 alpha[:, i + 1 : i + 1 + longest] += alpha[:, i : i + 1] * prob[ids[:, i]]
             left = n[live] - first
             done, on = np.flatnonzero(left <= shown), np.flatnonzero(left > shown)
-            out[live[done]] += np.log(np.maximum(alpha[done, left[done]], 1e-300))
+            out[live[done]] += np.log(np.maximum(alpha[done, left[done]], 1e-300)) + scale[done, left[done]]
             carry = alpha[on, shown:]
             top = np.maximum(carry.max(axis=1, initial=0), 1e-300)
-            out[live[on]] += np.log(top)
+            out[live[on]] += np.log(top) + scale[on, shown]
             carry, live, first = carry / top[:, None], live[on], first + shown
         return out
 
@@ -147,11 +154,11 @@ class Lattice:
         ids, n, p = self.words(lower, starts, ends), ends - starts + 1, prob[:, 0]
         m, width, longest = ids.shape
         rows = np.arange(m)
-        # sums are scaled at every PART-th place; ``scale`` has the logarithm for each place, ``late`` that of the sums from the end
+        # sums are scaled at every SCALED-th place; ``scale`` has the logarithm for each place, ``late`` that of the sums from the end
         alpha, scale = np.zeros((m, width + longest)), np.zeros((m, width + 1))
         alpha[:, 0] = 1
         for i in range(width):
-            if i and i % PART == 0:
+            if i and i % SCALED == 0:
                 top = alpha[:, i : i + longest].max(axis=1)
                 top = np.where(top > 0, top, 1)
                 alpha[:, i : i + longest] /= top[:, None]
@@ -162,7 +169,7 @@ class Lattice:
         beta[rows, n] = 1
         posterior = np.zeros(ids.shape)
         for i in range(width - 1, -1, -1):
-            if (i + 1) % PART == 0:
+            if (i + 1) % SCALED == 0:
                 top = beta[:, i + 1 : i + 1 + longest].max(axis=1)
                 top = np.where(top > 0, top, 1)
                 beta[:, i + 1 : i + 1 + longest] /= top[:, None]
@@ -185,32 +192,41 @@ def like_lengths(n: np.ndarray, most: int, places: int):
         a = b
 
 
+def fit_language(words: pd.DataFrame, lattice: Lattice) -> np.ndarray:
+    """Probabilities of the pieces, of none (0) and of an unknown character, from a frame (word, n) of one language."""
+    n_pieces = lattice.n
+    p = np.full((n_pieces + 2, 1), 1.0 / (n_pieces + 2))
+    p[n_pieces] = 0
+    if not len(words):
+        return p[:, 0]
+    codes = np.array([ord(c) for c in "".join(words["word"])], np.uint32)
+    ends = np.cumsum(words["word"].str.len().to_numpy())
+    starts = ends - words["word"].str.len().to_numpy()
+    weight = words["n"].to_numpy(float)
+    groups = list(like_lengths(ends - starts + 1, 5000, FIT_PLACES))
+    for _ in range(ROUNDS):
+        counts = np.zeros(n_pieces + 2)
+        for g in groups:
+            counts += lattice.expected(codes, starts[g], ends[g], p, weight[g])
+        counts[:n_pieces] += 0.01
+        counts[n_pieces + 1] = max(counts[n_pieces + 1], 0.01)
+        counts[n_pieces] = 0
+        p = (counts / counts.sum())[:, None]
+    return p[:, 0]
+
+
+def _model(pieces: list[str], tables: dict[str, np.ndarray], priors: dict[str, float]) -> dict:
+    langs = sorted(priors)
+    none = fit_language(pd.DataFrame({"word": [], "n": []}), Lattice(pieces)) if set(langs) - set(tables) else None
+    prob = np.stack([tables.get(k, none) for k in langs], axis=1) if langs else np.zeros((len(pieces) + 2, 0))
+    return {"langs": langs, "pieces": pieces, "prob": prob, "prior": np.log(np.array([max(priors[k], 1e-9) for k in langs]))}
+
+
 def fit(words: pd.DataFrame, priors: dict[str, float], path: str | None = None) -> dict:
     """Models from a frame (lang, word, n): languages and a probability table [piece, language]."""
     pieces = _pieces(path or vocabulary_path())
-    lattice, langs = Lattice(pieces), sorted(priors)
-    size = len(pieces) + 2
-    prob = np.zeros((size, len(langs)))
-    for j, lang in enumerate(langs):
-        own = words[words["lang"] == lang]
-        p = np.full((size, 1), 1.0 / size)
-        p[len(pieces)] = 0
-        if len(own):
-            codes = np.array([ord(c) for c in "".join(own["word"])], np.uint32)
-            ends = np.cumsum(own["word"].str.len().to_numpy())
-            starts = ends - own["word"].str.len().to_numpy()
-            weight = own["n"].to_numpy(float)
-            groups = list(like_lengths(ends - starts + 1, 5000, FIT_PLACES))
-            for _ in range(ROUNDS):
-                counts = np.zeros(size)
-                for g in groups:
-                    counts += lattice.expected(codes, starts[g], ends[g], p, weight[g])
-                counts[: len(pieces)] += 0.01
-                counts[len(pieces) + 1] = max(counts[len(pieces) + 1], 0.01)
-                counts[len(pieces)] = 0
-                p = (counts / counts.sum())[:, None]
-        prob[:, j] = p[:, 0]
-    return {"langs": langs, "pieces": pieces, "prob": prob, "prior": np.log(np.array([max(priors[k], 1e-9) for k in langs]))}
+    lattice = Lattice(pieces)
+    return _model(pieces, {k: fit_language(words[words["lang"] == k], lattice) for k in priors}, priors)
 
 
 class Scorer:
@@ -295,7 +311,15 @@ def train(docs: DataFrame, train_words: int = TRAIN_WORDS, path: str | None = No
     best = counts.join(F.broadcast(share), ["lang", "n"]).where(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     total = sum(langs.values())
-    return fit(best.select("lang", "word", "n").toPandas(), {k: n / total for k, n in langs.items()}, path)
+    path = path or vocabulary_path()
+
+    def fit_one(frame: pd.DataFrame) -> pd.DataFrame:
+        p = fit_language(frame.sort_values(["n", "word"]), Lattice(_pieces(path)))
+        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "p": [p.tolist()]})
+
+    # a task for each language, of some train_words rows; the tables (one number for each piece) come to the driver
+    tables = best.select("lang", "word", "n").groupBy("lang").applyInPandas(fit_one, "lang string, p array<double>")
+    return _model(_pieces(path), {r["lang"]: np.array(r["p"]) for r in tables.toLocalIterator()}, {k: n / total for k, n in langs.items()})
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

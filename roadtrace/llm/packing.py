@@ -24,8 +24,8 @@ from roadtrace.llm.storage import materialize, small_batches
 from roadtrace.llm.tokens import END_ID, digest, tokenizer_path, worker_tokenizer
 
 CAPACITY = 4096
-#: Parts of each length that are ranked on their own.
-SALTS = 64
+#: Pieces of one length that one task ranks: a length of more is ranked in parts.
+RANKED = 200_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -132,20 +132,21 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (``length`` in 1..capacity). ``pieces`` is read three times: materialize it."""
+    """Add sequence_id and offset to pieces (``length`` in 1..capacity), which have ``_spread``, a number that tells even alike rows apart. ``pieces`` is read three times: materialize it."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    # at most capacity * SALTS rows, however many pieces there are
-    firsts = parts.select("length", "_salt", "_n", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_first"))
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    rows = plan(counts, capacity)
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     table: dict[int, list] = defaultdict(list)
-    for length, first, n, sequence, offset in rows:
+    for length, first, n, sequence, offset in plan(counts, capacity):
         table[length].append((first, sequence, offset))
     shared = spark.sparkContext.broadcast({k: tuple(np.array(c) for c in zip(*sorted(v), strict=True)) for k, v in table.items()})
+    many = {k: -(-n // RANKED) for k, n in counts.items() if n > RANKED}
+    salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("length").cast("int")), F.lit(1)) if many else F.lit(1)
+    salted = pieces.withColumn("_salt", F.pmod("_spread", salts).cast("int"))
+    parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
+    firsts = parts.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_first"))
+    # both sides are dealt by length and salt already
     ranked = salted.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(firsts.drop("_n")), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_first")).drop("_first", "_salt")
+    ranked = ranked.join(firsts, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
 
     def look_up(batches):
         for frame in batches:
@@ -159,10 +160,13 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             frame["sequence_id"], frame["offset"] = sequence, offset
             yield frame
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return ranked.select(*pieces.columns, "_rank").mapInPandas(look_up, f"{fields}, sequence_id long, offset long")
+    own = pieces.drop("_spread")
+    fields = ", ".join(f"`{c}` {t}" for c, t in own.dtypes)
+    return ranked.select(*own.columns, "_rank").mapInPandas(look_up, f"{fields}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Tokenize, cut and pack whole documents (see ``token_pieces`` and ``place``); an empty table gives no rows."""
-    return place(materialize(token_pieces(docs, capacity, path), "pieces"), capacity)
+    pieces = token_pieces(docs, capacity, path)
+    spread = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id())
+    return place(materialize(pieces.withColumn("_spread", spread), "pieces"), capacity)

@@ -28,6 +28,8 @@ _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[A-Za-z0-9_\-]{20,}={0
 
 # Score of a confirmed span and the words that raise it.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "card_short": 0.4, "secret": 0.2}
+#: What a secret's characters add.
+SECRET_MIX, SECRET_PREFIX = 0.35, 0.5
 WORDS = {
     "email": ("email", "e-mail", "mail", "contact"),
     "ip": ("ip", "host", "server", "address"),
@@ -35,8 +37,10 @@ WORDS = {
     "phone": ("phone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto", "transfer"),
     "card_short": ("card", "visa", "amex", "credit", "debit", "payment"),
-    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "key"),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "key", "bearer", "credential", "credentials"),
 }
+#: Public prefixes of keys that services hand out.
+_PREFIX = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abp]-|AIza|npm_|hf_|eyJ)")
 _CONTEXT = {k: re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, w)) + r")(?![a-z])", re.IGNORECASE) for k, w in WORDS.items()}
 
 
@@ -65,9 +69,21 @@ def _emails(text: str):
         at = text.find("@", at)
 
 
+def _mix(secret: str) -> float:
+    """What the characters of a proposed secret add to its score: a public prefix, or upper case, lower case and digits in turn, as in no word or title."""
+    own = secret[m.end() :] if (m := _PREFIX.match(secret)) else secret
+    if sum(own.count(c) for c in "-_") > 1:
+        return 0.0
+    if m and any(c.isdigit() for c in own):
+        return SECRET_PREFIX
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(own, own[1:], strict=False))
+    return SECRET_MIX if turns >= 4 and any(c.isupper() for c in own) and any(c.islower() for c in own) else 0.0
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-    return min(1.0, SCORES[kind] + 0.4 * any(_CONTEXT[kind].search(x) for x in near))
+    own = SCORES[kind] + (_mix(text[start:end]) if kind == "secret" else 0)
+    return min(1.0, own + 0.4 * any(_CONTEXT[kind].search(x) for x in near))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -140,12 +156,13 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of ``find_pii``'s rows."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of ``find_pii``'s rows, then n_iban, n_card_short, n_secret and n_any (all spans)."""
     said = lambda keep: f"array_join(transform({keep}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     base = ", ".join(f"'{k}'" for k in BASE)
-    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in (*BASE, *ADDED)]
     return found.select(
-        F.col("doc.doc_id").alias("doc_id"), *counts,
+        F.col("doc.doc_id").alias("doc_id"), *counts[: len(BASE)],
         F.expr(f"sha2({said(f'filter(spans, s -> s.kind in ({base}))')}, 256)").alias("base_sha256"),
         F.expr(said("spans")).alias("spans"),
+        *counts[len(BASE):], F.size("spans").cast("long").alias("n_any"),
     )
