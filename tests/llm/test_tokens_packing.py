@@ -120,6 +120,23 @@ def test_plan_places_every_piece_once(counts):
             assert o == end
             end += n
         assert end <= 60
-    # never more than best-fit decreasing's bound over the least number of bins
-    least = max(-(-sum(k * c for k, c in counts.items()) // 60), sum(c for k, c in counts.items() if 2 * k > 60))
-    assert len(bins) <= 11 / 9 * least + 4
+    # no two sequences would fit into one, and there are no more than best-fit decreasing's 11/9 of the optimum,
+    # which is at most 3/2 of the bound by the pieces that cannot share a sequence
+    fill = sorted(sum(n for _, n in parts) for parts in bins.values())
+    assert len(fill) < 2 or fill[0] + fill[1] > 60
+    assert len(bins) <= 11 / 9 * 3 / 2 * least_sequences(counts, 60) + 4
+
+
+def least_sequences(counts, capacity):
+    """Lower bound: for each k the pieces above capacity - k stand without any of k or more, those above half of it without each other."""
+    best = 0
+    for k in [0, *(x for x in counts if 2 * x <= capacity)]:
+        alone = sum(c for x, c in counts.items() if x > capacity - k)
+        half = {x: c for x, c in counts.items() if capacity - k >= x > capacity / 2}
+        rest = sum(x * c for x, c in counts.items() if k <= x <= capacity / 2) - sum((capacity - x) * c for x, c in half.items())
+        best = max(best, alone + sum(half.values()) + max(0, -(-rest // capacity)))
+    return best
+
+
+def test_least_sequences():
+    assert least_sequences({25: 14, 26: 5, 36: 15}, 60) == 23 and least_sequences({30: 4}, 60) == 2 and least_sequences({}, 60) == 0
