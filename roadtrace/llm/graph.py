@@ -23,12 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = tidy(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")), "least")
-        total = 2 * edges.count()
-        # stars: each node has one lesser neighbour, and that one has none
-        up = edges.groupBy("a").agg(F.count("*").alias("k"), F.min("b").alias("b"))
-        roots = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
-        if up.where("k > 1").isEmpty() and roots.isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        around = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"), F.count_if(F.col("b") < F.col("a")).alias("lesser"))
+        least = materialize(around.withColumn("m", F.least("a", "m")), "least")
+        # stars: a node with a lesser neighbour has no other
+        total, open_ = least.agg(F.sum("n"), F.count_if((F.col("lesser") > 0) & (F.col("n") > 1))).head()
+        if not open_:
+            return least.select(F.col("a").alias("node"), F.col("m").alias("root"))
         handed = join_hot(both, least, "a", "n", total, ["m"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = tidy(handed.unionByName(least.select("a", F.col("m").alias("b"))))
