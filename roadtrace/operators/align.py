@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadtrace.functions import geo, stats
+from roadtrace.functions.geo import _c
 from roadtrace.operators import ranking
-from roadtrace.operators.joins import lag_sweep_pairs
+from roadtrace.operators.joins import lag_sweep_pairs, small_side
 
 SWEEP = "lag int, speed_corr double, median_separation double, p95_separation double"
 
@@ -91,25 +92,47 @@ def profile(left: np.ndarray, right: np.ndarray, max_lag: int, min_n: int = 500)
     return out
 
 
-def lag_profile(df: DataFrame, keys: list[str], channels: list[str], target: str, max_lag: int = 100, min_n: int = 500, order: str = "row_idx") -> DataFrame:
-    """(keys, axis, lag, corr) of each channel against the target by FFT, one task per session; a signal that lags the target has a positive lag."""
+def lag_profile(df: DataFrame, keys: list[str], channels: list[str], target: str, max_lag: int = 100, min_n: int = 500, order: str = "row_idx", block: int = 1 << 16) -> DataFrame:
+    """(keys, axis, lag, corr) of each channel against the target, as ``profile`` gives it; a signal that lags the target has a positive lag.
+
+    A session of any length is cut into blocks of ``block`` rows of ``order``, which numbers
+    them: its valid rows are ranked block by block, and blocks of ranks, with ``max_lag`` ranks
+    of the target on either side, give sums that are added up.
+    """
+    each = [*keys, "axis"]
+    pairs = df.select(*keys, _c(order).alias("_o"), _c(target).cast("double").alias("y"), F.posexplode(F.array(*[_c(c).cast("double") for c in channels])).alias("axis", "x"))
+    pairs = pairs.withColumns({"_ok": stats.finite("x").isNotNull() & stats.finite("y").isNotNull(), "_b": F.floor(F.col("_o") / block)})
+    good = lambda c: F.when(F.col("_ok"), F.col(c))
+    moments = pairs.groupBy(*each).agg(F.count_if("_ok").alias("n"), F.avg(good("x")).alias("mx"), F.avg(good("y")).alias("my"), F.stddev_pop(good("x")).alias("sx"), F.stddev_pop(good("y")).alias("sy"))
+    signal = (F.col("n") >= min_n) & (F.col("sx") >= 1e-7) & (F.col("sy") >= 1e-7)
+    valid = pairs.where("_ok")
+    before = F.coalesce(F.sum("m").over(W.partitionBy(*each).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = valid.groupBy(*each, "_b").agg(F.count("*").alias("m")).select(*each, "_b", before.alias("before"))
+    ranked = valid.withColumn("i", F.row_number().over(W.partitionBy(*each, "_b").orderBy("_o")) - 1)
+    ranked = ranked.join(small_side(blocks), [*each, "_b"]).join(small_side(moments.where(signal)), each)
+    ranked = ranked.select(*each, (F.col("i") + F.col("before")).alias("i"), ((F.col("x") - F.col("mx")) / F.col("sx")).alias("x"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("y"))
+    to = F.explode(F.sequence(F.floor((F.col("i") - max_lag) / block), F.floor((F.col("i") + max_lag) / block)))
+    dealt = ranked.withColumn("_b", to)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(order)
-        y = f[target].to_numpy(float)
-        parts = []
-        for axis, c in enumerate(channels):
-            values = profile(f[c].to_numpy(float), y, max_lag, min_n)
-            parts.append(pd.DataFrame({"axis": axis, "lag": np.arange(-max_lag, max_lag + 1), "corr": values}))
-        out = pd.concat(parts)
-        for k in keys:
+        at = frame["i"].to_numpy() - int(frame["_b"].iloc[0]) * block
+        own = (at >= 0) & (at < block)
+        n = int(at[own].max(initial=0)) + 1
+        x, y = np.zeros(n), np.zeros(n + 2 * max_lag)
+        x[at[own]] = frame["x"].to_numpy()[own]
+        near = at < n + max_lag
+        y[at[near] + max_lag] = frame["y"].to_numpy()[near]
+        out = pd.DataFrame({"lag": np.arange(max_lag, -max_lag - 1, -1), "part": np.correlate(y, x, "valid")})
+        for k in each:
             out[k] = frame[k].iloc[0]
-        return out[[*keys, "axis", "lag", "corr"]]
+        return out[[*each, "lag", "part"]]
 
     types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "axis int, lag int, corr double"])
-    out = df.select(*keys, order, target, *channels).groupBy(*keys).applyInPandas(run, schema)
-    return out.withColumn("corr", stats.finite("corr"))
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "axis int, lag int, part double"])
+    sums = dealt.groupBy(*each, "_b").applyInPandas(run, schema).groupBy(*each, "lag").agg(F.sum("part").alias("part"))
+    lags = moments.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
+    out = lags.join(sums, [*each, "lag"], "left")
+    return out.select(*each, "lag", F.when(F.abs("lag") < F.col("n"), F.col("part") / F.col("n")).alias("corr"))
 
 
 def lag_profile_exact(df: DataFrame, keys: list[str], channel: str, target: str, max_lag: int, min_n: int = 500, order: str = "row_idx") -> DataFrame:

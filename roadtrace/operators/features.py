@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadtrace.functions.geo import _c, wrap_pi
+from roadtrace.operators.groups import cluster, key_at, starts_of
 from roadtrace.operators.segments import ordered
 
 
@@ -183,20 +185,51 @@ def knock_flag(gyro: tuple[str, str, str], keys: list[str], rows: int = 20, thre
     return (F.count("*").over(w) == rows) & (total > factor * threshold)
 
 
+def exponential_mean(x: np.ndarray, tau: float, dt: float = 0.1, before=None) -> np.ndarray:
+    """Exponential mean along the last axis with time constant ``tau``, from the first value or from the mean ``before`` it.
+
+    y_i = a y_{i-1} + (1 - a) x_i has the closed form a^i (y_0 + (1 - a) sum of x_j a^-j), taken in
+    blocks short enough for its powers. NaN stays from where it occurs.
+    """
+    out = np.array(x, float)
+    if tau <= 0 or not out.shape[-1]:
+        return out
+    last = out[..., :1] if before is None else np.broadcast_to(np.asarray(before, float)[..., None], (*out.shape[:-1], 1))
+    decay = math.exp(-dt / tau)
+    block = max(1, int(min(4096, 200 * tau / dt)))
+    for a in range(0, out.shape[-1], block):
+        part = out[..., a : a + block]
+        powers = decay ** np.arange(1, part.shape[-1] + 1)
+        part[...] = powers * (last + (1 - decay) * np.cumsum(part / powers, axis=-1))
+        last = part[..., -1:].copy()
+    return out
+
+
 def ema(df: DataFrame, keys: list[str], x: str, out: str, tau: float, dt: float = 0.1, order: str = "row_idx") -> DataFrame:
     """Add the exponential mean with time constant ``tau`` seconds that starts at the first value; tau <= 0 copies ``x``.
 
-    It is sequential, so a group's rows are folded in one array; groups are
-    episodes or segments, whose size is bounded.
+    Rows of a group pass one task in order, in batches that hand their last value
+    on, so a group may be of any length. From a NULL on all values are NULL.
     """
     if tau <= 0:
         return df.withColumn(out, _c(x))
-    alpha = 1.0 - math.exp(-dt / tau)
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(_c(order).alias("o"), _c(x).cast("double").alias("x")))).alias("a"))
-    step = f"(s, v) -> concat(s, array(named_struct('o', v.o, 'y', s[size(s) - 1].y + {alpha!r}D * (v.x - s[size(s) - 1].y))))"
-    fold = F.expr(f"aggregate(slice(a, 2, size(a)), array(named_struct('o', a[0].o, 'y', a[0].x)), {step})")
-    smooth = rows.select(*keys, F.explode(fold).alias("_s")).select(*keys, F.col("_s.o").alias(order), F.col("_s.y").alias(out))
-    return df.join(smooth, [*keys, order])
+    rows = cluster(df.withColumn("_x", _c(x).cast("double")), keys, order)
+
+    def run(batches):
+        last = before = None
+        for batch in batches:
+            values = batch.column("_x").to_numpy(zero_copy_only=False).astype(float)
+            starts = starts_of(batch, keys)
+            for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(values)], strict=True)):
+                goes_on = i == 0 and last is not None and last == key_at(batch, keys, 0)
+                values[a:b] = exponential_mean(values[a:b], tau, dt, before if goes_on else None)
+            if len(values):
+                last, before = key_at(batch, keys, len(values) - 1), values[-1]
+            own = [batch.column(n) for n in batch.schema.names if n != "_x"]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(values, from_pandas=True)], names=[*(n for n in batch.schema.names if n != "_x"), out])
+
+    fields = [f"`{c}` {t}" for c, t in df.dtypes if c != out]
+    return rows.select(*[c for c in df.columns if c != out], "_x").mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
 
 
 def feature_windows(df: DataFrame, keys: list[str], columns: list[str], window: int, stride: int, label: str | None = None, order: str = "row_idx") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -31,3 +32,19 @@ def frames(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
             held.append(part)
     if held:
         yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def starts_of(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """First rows of the groups in an Arrow batch of a clustered partition; row 0 is one whether or not the last batch's group goes on."""
+    if batch.num_rows == 0:
+        return np.zeros(0, np.int64)
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def key_at(batch: pa.RecordBatch, keys: list[str], row: int) -> tuple:
+    return tuple(batch.column(k)[row].as_py() for k in keys)

@@ -102,16 +102,19 @@ def _arrays(f: pd.DataFrame):
 
 
 def calibrate(df: DataFrame, keys: list[str], order: str = "row_idx") -> DataFrame:
-    """``calibrate_window`` of each group: CHANNELS, speed (m/s), course_deg, az_deg."""
+    """``calibrate_window`` of each group: CHANNELS, speed (m/s), course_deg, az_deg; a group of one row has no rates and gives no row."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(order)
+        if len(f) < 2:
+            return pd.DataFrame({c.split(" ")[0].strip("`"): np.array([], object) for c in schema.split(", ")})
         acc, gravity, gyro = _arrays(f)
         out = calibrate_window(acc, gravity, gyro, f["speed"].to_numpy(float), np.radians(f["course_deg"].to_numpy(float)), np.radians(f["az_deg"].to_numpy(float)))
         return pd.DataFrame({k: [frame[k].iloc[0]] for k in keys} | {k: [v] for k, v in out.items()})
 
     types = dict(df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), CALIBRATION]))
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), CALIBRATION])
+    return df.groupBy(*keys).applyInPandas(run, schema)
 
 
 def procrustes_yaw(forward_rate: np.ndarray, lateral: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[float, float]:

@@ -79,15 +79,19 @@ def near_edges(points: DataFrame, edges: DataFrame, keys: list[str], radius: flo
 
 
 def near_edges_expanding(points: DataFrame, edges: DataFrame, keys: list[str], radius: float = 60.0, most: float = 200.0, k: int = 8, e: str = "e", n: str = "n") -> DataFrame:
-    """``near_edges`` with the radius doubled for points without any edge, while it is below ``most``."""
-    out, left = None, points
-    while True:
-        found = near_edges(left, edges, keys, radius, k, e, n).withColumn("radius", F.lit(float(radius)))
-        out = found if out is None else out.unionByName(found)
-        if radius >= most:
-            return out
-        left = left.join(found.select(*keys).distinct(), keys, "left_anti")
-        radius *= 2
+    """``near_edges`` with the radius doubled for points without any edge, while it is below ``most``.
+
+    One join at the last radius; the distance of a point's nearest edge says which radius is its own.
+    """
+    radii = [float(radius)]
+    while radii[-1] < most:
+        radii.append(2 * radii[-1])
+    near = near_edges(points, edges, keys, radii[-1], k, e, n)
+    nearest = F.min("distance").over(W.partitionBy(*keys))
+    own = F.lit(radii[-1])
+    for r in radii[-2::-1]:
+        own = F.when(nearest <= r, r).otherwise(own)
+    return near.withColumn("radius", own).where(F.col("distance") <= F.col("radius"))
 
 
 def anchor(points: DataFrame, edges: DataFrame, keys: list[str], heading: str, radius: float = 60.0, k: int = 8) -> DataFrame:
@@ -126,6 +130,11 @@ class _Router:
             self.graph.setdefault(b, []).append((a, length))
             self.edge[edge] = (a, b, (ae, an), (be, bn))
 
+    def distances(self, u) -> dict:
+        if u not in self.known:
+            self.known[u] = shortest_paths(self.graph, u, self.cap)
+        return self.known[u]
+
     def __call__(self, ei, pi, ej, pj) -> float:
         if ei == ej:
             return math.dist(pi, pj)
@@ -133,10 +142,8 @@ class _Router:
         a1, b1, xa1, xb1 = self.edge[ei]
         a2, b2, xa2, xb2 = self.edge[ej]
         for u, xu in ((a1, xa1), (b1, xb1)):
-            if u not in self.known:
-                self.known[u] = shortest_paths(self.graph, u, self.cap)
             for v, xv in ((a2, xa2), (b2, xb2)):
-                if (d := self.known[u].get(v)) is not None:
+                if (d := self.distances(u).get(v)) is not None:
                     best = min(best, math.dist(pi, xu) + d + math.dist(pj, xv))
         return best
 
@@ -173,17 +180,70 @@ def viterbi(steps: list[list[tuple]], observed: list[tuple[float, float]], route
     return out
 
 
+#: Steps whose transitions are laid out together; bounds the scratch arrays of a long trajectory.
+STEPS = 2048
+
+
+def match_path(steps: list[list[tuple]], observed: np.ndarray, route: _Router, sigma: float, beta: float) -> list[int]:
+    """``viterbi`` with the transitions of many steps laid out as arrays [step, from, to]."""
+    have = [t for t, c in enumerate(steps) if c]
+    out = [-1] * len(steps)
+    if not have:
+        return out
+    size = np.array([len(steps[t]) for t in have])
+    k = int(size.max())
+    there = np.arange(k) < size[:, None]
+    flat = [c for t in have for c in steps[t]]
+    number = {e: i for i, e in enumerate(dict.fromkeys(c[0] for c in flat))}
+    ends = [route.edge[e] for e in number]
+    nodes = {v: i for i, v in enumerate(dict.fromkeys(v for e in ends for v in e[:2]))}
+    apart = np.full((len(nodes), len(nodes)), np.inf)
+    for u, i in nodes.items():
+        for v, d in route.distances(u).items():
+            if (j := nodes.get(v)) is not None:
+                apart[i, j] = d
+    edge, place, off = np.zeros((len(have), k), np.int64), np.zeros((len(have), k, 2)), np.full((len(have), k), np.inf)
+    edge[there], place[there], off[there] = [number[c[0]] for c in flat], [c[1] for c in flat], [c[2] for c in flat]
+    node = np.array([[nodes[e[0]], nodes[e[1]]] for e in ends])[edge]  # [step, candidate, end]
+    to_end = np.linalg.norm(place[:, :, None] - np.array([[e[2], e[3]] for e in ends])[edge], axis=3)
+    emission = -off * off / (2 * sigma * sigma)
+    seen = observed[have]
+    move = np.linalg.norm(np.diff(seen, axis=0), axis=1)
+    score, back = emission[0], np.zeros((len(have), k), np.int64)
+    for a in range(0, len(have) - 1, STEPS):
+        b = min(a + STEPS, len(have) - 1)
+        x, y = slice(a, b), slice(a + 1, b + 1)
+        way = np.full((b - a, k, k), route.cap)
+        for u in (0, 1):
+            for v in (0, 1):
+                between = apart[node[x, :, u][:, :, None], node[y, :, v][:, None, :]]
+                way = np.minimum(way, to_end[x, :, u][:, :, None] + between + to_end[y, :, v][:, None, :])
+        same = edge[x][:, :, None] == edge[y][:, None, :]
+        way = np.where(same, np.linalg.norm(place[x][:, :, None] - place[y][:, None], axis=3), way)
+        cost = np.abs(move[a:b, None, None] - way) / beta
+        for t in range(a, b):
+            ways = score[:, None] - cost[t - a]
+            best = ways.argmax(axis=0)
+            back[t + 1] = best
+            score = ways[best, np.arange(k)] + emission[t + 1]
+    j = int(np.argmax(score))
+    for n in range(len(have) - 1, -1, -1):
+        out[have[n]] = j
+        j = int(back[n, j])
+    return out
+
+
 def hmm_match(points: DataFrame, candidates: DataFrame, edges: DataFrame, keys: list[str], sigma: float = 25.0, beta: float = 12.0, cap: float = 2000.0, order: str = "row_idx") -> DataFrame:
     """Most likely path of each trajectory over its candidates (``near_edges_expanding``), one task per trajectory.
 
-    ``edges`` has each trajectory's own subgraph (``keys``). Rows without a candidate keep their own place.
+    ``edges`` has each trajectory's own subgraph (``keys``, see ``own_edges``). Rows without a candidate keep their own place.
     """
 
     def run(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order)
         route = _Router(g, cap)
         seen = [[] if not isinstance(c, (list, np.ndarray)) else [(x["edge"], (x["e"], x["n"]), x["distance"]) for x in c] for c in p["cand"]]
-        chosen = viterbi(seen, list(zip(p["e"], p["n"], strict=True)), route, sigma, beta)
+        chosen = match_path(seen, p[["e", "n"]].to_numpy(float), route, sigma, beta)
         best = [c[i] if i >= 0 else None for c, i in zip(seen, chosen, strict=True)]
         out = p[[*keys, order]].copy()
         out["edge"] = [b[0] if b else None for b in best]

@@ -7,6 +7,7 @@ window passes and no sequential code.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -16,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadtrace.functions.geo import _c
-from roadtrace.operators.groups import cluster, frames
+from roadtrace.operators.features import exponential_mean
+from roadtrace.operators.groups import cluster
 
 
 def clamped_rollout(df: DataFrame, keys: list[str], initial: str, delta: str, out: str = "predicted", order: str = "step") -> DataFrame:
@@ -98,30 +100,53 @@ def unrolled_integration(df: DataFrame, keys: list[str], speed0: str, heading0:
     })
 
 
-def _smooth(x: np.ndarray, tau: float, dt: float = 0.1) -> np.ndarray:
-    if tau <= 0 or not len(x):
-        return x.copy()
-    alpha, out, state = 1.0 - math.exp(-dt / tau), np.empty(len(x)), float(x[0])
-    for i, v in enumerate(x):
-        state += alpha * (float(v) - state)
-        out[i] = state
-    return out
-
-
-def control_speeds(acceleration: np.ndarray, calibrated: np.ndarray, gyro: np.ndarray, v0: float, grid: list[dict], dt: float = 0.1) -> np.ndarray:
-    """Speeds [setting, sample] under drift controls: smoothing, limited correction, decay, gain, and standing still. Each smoothing is done once."""
-    elapsed = np.arange(1, len(acceleration) + 1) * dt
-    smooth = {tau: np.cumsum(_smooth(acceleration, tau, dt) * dt) for tau in {p["smoothing"] for p in grid}}
-    limit = np.array([p["limit_kmh"] / 3.6 for p in grid])[:, None]
-    change = np.clip(np.stack([smooth[p["smoothing"]] for p in grid]), -limit, limit)
-    decay = np.exp(-elapsed / np.array([p["decay"] for p in grid])[:, None])  # an infinite time constant gives 1
-    v = np.maximum(0.0, v0 + np.array([p["gain"] for p in grid])[:, None] * decay * change)
-    if v0 < 0.75 and any(p["stationary"] for p in grid):
-        quiet = (np.abs(_smooth(calibrated, 0.5, dt)) < 0.18) & (_smooth(gyro, 0.5, dt) < 0.04)
-        v[np.ix_([p["stationary"] for p in grid], quiet)] = 0.0
+def control_speeds(acceleration: np.ndarray, calibrated: np.ndarray, gyro: np.ndarray, v0, grid: list[dict], dt: float = 0.1) -> np.ndarray:
+    """Speeds [setting, ..., sample] under drift controls: smoothing, limited correction, decay, gain, and standing still.
+
+    The arrays are of one episode or of several of one length, [episode, sample],
+    with ``v0`` of each. Each smoothing is done once.
+    """
+    v0 = np.asarray(v0, float)[..., None]
+    elapsed = np.arange(1, acceleration.shape[-1] + 1) * dt
+    smooth = {tau: np.cumsum(exponential_mean(acceleration, tau, dt) * dt, axis=-1) for tau in {p["smoothing"] for p in grid}}
+    v = np.empty((len(grid), *acceleration.shape))
+    for i, p in enumerate(grid):
+        limit = p["limit_kmh"] / 3.6
+        change = smooth[p["smoothing"]] if math.isinf(limit) else np.clip(smooth[p["smoothing"]], -limit, limit)
+        v[i] = v0 + p["gain"] * (change if math.isinf(p["decay"]) else np.exp(-elapsed / p["decay"]) * change)
+    np.maximum(v, 0.0, out=v)
+    stands = [i for i, p in enumerate(grid) if p["stationary"]]
+    if stands and (v0 < 0.75).any():
+        quiet = (v0 < 0.75) & (np.abs(exponential_mean(calibrated, 0.5, dt)) < 0.18) & (exponential_mean(gyro, 0.5, dt) < 0.04)
+        v[stands] = np.where(quiet, 0.0, v[stands])
     return v
 
 
+#: Samples of episodes of one length that are searched together; bounds the scratch arrays to some tens of MB.
+TOGETHER = 4096
+
+
+def _alike(batches, keys: list[str]):
+    """Frames of episodes [frame of rows, episodes, samples of each] of one duration and one number of samples, taken from a clustered partition."""
+    held = None
+    for batch in itertools.chain((b for b in batches if len(b)), [None]):
+        frame = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if frame is None:
+            return
+        values = frame[keys].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1, [len(frame)]])
+        if batch is not None:  # the last episode may go on
+            held, cuts = frame.iloc[cuts[-2] :], cuts[:-1]
+        first, size = cuts[:-1], np.diff(cuts)
+        kind = np.stack([frame["duration"].to_numpy()[first], size], axis=1)
+        for duration, n in np.unique(kind, axis=0).tolist():
+            own = first[(kind == (duration, n)).all(axis=1)]
+            step = max(1, TOGETHER // n)
+            for a in range(0, len(own), step):
+                part = own[a : a + step]
+                yield duration, frame.iloc[(part[:, None] + np.arange(n)).reshape(-1)], len(part), n
+
+
 def speed_grid() -> list[dict]:
     """385 settings: all combinations, but a gain of 0 only once."""
     rest = [{"gain": g, "decay": d, "limit_kmh": c, "smoothing": s, "stationary": z} for g in (0.25, 0.5, 0.75, 1.0) for d in (20.0, 40.0, 80.0, math.inf) for c in (5.0, 10.0, 20.0, math.inf) for s in (0.0, 0.5, 1.0) for z in (False, True)]
@@ -136,19 +161,20 @@ def control_search(episodes: DataFrame, keys: list[str], grid: list[dict] | None
     """Score of every speed setting over all episodes: setting, score, samples.
 
     ``episodes``: one row per sample with duration, acceleration, calibrated, gyro,
-    v0 and true_speed. A task tries all settings on each of its episodes and hands
-    on nothing but sums per (setting, duration).
+    v0 and true_speed. A task tries all settings on its episodes, those of one length
+    together, and hands on nothing but sums per (setting, duration).
     """
     grid = grid or speed_grid()
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
-        for f in frames(batches, keys):
-            a, c, g, truth = (f[n].to_numpy(float) for n in ("acceleration", "calibrated", "gyro", "true_speed"))
-            v, distance = control_speeds(a, c, g, float(f["v0"].iloc[0]), grid, dt), float(truth.sum() * dt)
+        for d, f, m, t in _alike(batches, keys):
+            a, c, g, truth, v0 = (f[n].to_numpy(float).reshape(m, t) for n in ("acceleration", "calibrated", "gyro", "true_speed", "v0"))
+            v, distance = control_speeds(a, c, g, v0[:, 0], grid, dt), truth.sum(axis=1) * dt
             n = len(grid)
-            own = np.stack([np.abs(v - truth).sum(axis=1) * 3.6, np.full(n, len(truth)), np.abs(v.sum(axis=1) * dt - distance), np.full(n, distance)])
-            d = int(f["duration"].iloc[0])
+            off = np.abs(v.sum(axis=2) * dt - distance).sum(axis=1)
+            v -= truth
+            own = np.stack([np.abs(v, out=v).sum(axis=(1, 2)) * 3.6, np.full(n, truth.size), off, np.full(n, distance.sum())])
             sums[d] = sums.get(d, 0) + own
         for d, x in sums.items():
             yield pd.DataFrame({"setting": np.arange(len(grid)), "duration": d, "abs_kmh": x[0], "n": x[1].astype(np.int64), "distance_error": x[2], "distance": x[3]})
@@ -166,15 +192,13 @@ def yaw_search(episodes: DataFrame, keys: list[str], speed: dict, grid: list[dic
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
-        for f in frames(batches, keys):
-            a, c, g, yaw, truth = (f[n].to_numpy(float) for n in ("acceleration", "calibrated", "gyro", "yaw", "true_speed"))
-            v = control_speeds(a, c, g, float(f["v0"].iloc[0]), [speed], dt)[0]
-            te, tn, h0 = (float(x) for x in (f["true_east"].iloc[-1], f["true_north"].iloc[-1], f["h0"].iloc[0]))
+        for d, f, m, t in _alike(batches, keys):
+            a, c, g, yaw, truth, v0, h0, te, tn = (f[n].to_numpy(float).reshape(m, t) for n in ("acceleration", "calibrated", "gyro", "yaw", "true_speed", "v0", "h0", "true_east", "true_north"))
+            v = control_speeds(a, c, g, v0[:, 0], [speed], dt)[0]
             own = np.zeros((2, len(grid)))
             for i, p in enumerate(grid):
-                h = h0 + np.cumsum(_smooth(yaw, p["smoothing"], dt) * p["gain"] * dt)
-                own[:, i] = np.hypot((v * np.sin(h)).sum() * dt - te, (v * np.cos(h)).sum() * dt - tn), truth.sum() * dt
-            d = int(f["duration"].iloc[0])
+                h = h0[:, :1] + np.cumsum(exponential_mean(yaw, p["smoothing"], dt) * p["gain"] * dt, axis=1)
+                own[:, i] = np.hypot((v * np.sin(h)).sum(axis=1) * dt - te[:, -1], (v * np.cos(h)).sum(axis=1) * dt - tn[:, -1]).sum(), truth.sum() * dt
             sums[d] = sums.get(d, 0) + own
         for d, x in sums.items():
             yield pd.DataFrame({"setting": np.arange(len(grid)), "duration": d, "error": x[0], "distance": x[1]})

@@ -174,10 +174,13 @@ def e10_drift_controls_hold(spark, d):
 @query(None)
 def e11_control_search(spark, d):
     grid = rollout.speed_grid()
-    found = rollout.control_search(control_samples(spark, d), EPISODE, grid)
+    episodes_ = control_samples(spark, d).persist()
+    found = rollout.control_search(episodes_, EPISODE, grid)
     best = spark.createDataFrame(found.collect(), found.schema)  # one row for each setting
     chosen = grid[ranking.select_parameters(best, ["setting"], "score").head()["setting"]]
-    yaw = rollout.yaw_search(control_samples(spark, d), EPISODE, chosen)
+    yaw = rollout.yaw_search(episodes_, EPISODE, chosen)
+    yaw = spark.createDataFrame(yaw.collect(), yaw.schema)
+    episodes_.unpersist()
     return best.select(F.lit("speed").alias("search"), "setting", "score").unionByName(yaw.select(F.lit("yaw").alias("search"), "setting", "score"))
 
 
@@ -187,16 +190,42 @@ def drives(spark, d):
     return v.withColumns({"speed": 10 + F.col("acc_x"), "course_deg": F.col("row_idx") * 3.0, "az_deg": F.col("row_idx") * 3.0 - 20})
 
 
-@query("SELECT session_key, round(radians(20), 5) AS az_offset FROM imu_vec GROUP BY 1", PRELUDE)
+def mounted(spark, d, closed_form: bool = False):
+    """All sessions as 10 Hz drives whose phone is mounted in a known way: forward axis, biases, yaw sign and compass offset follow from user_id.
+
+    The horizontal plane's axes are y and -x, as the library takes them for an upright
+    phone. The ``closed_form`` has no bias: it would turn its axis.
+    """
+    w = W.partitionBy(*KEYS).orderBy("row_idx")
+    rate = lambda c: F.coalesce((F.lead(c).over(w) - F.lag(c).over(w)) / 2, F.lead(c).over(w) - F.col(c), F.col(c) - F.lag(c).over(w)) * reckon.RATE
+    s = samples(spark, d).withColumns({"t": F.col("row_idx") * 0.1, "speed": F.col("speed_kmh") / 3.6, "course_deg": 2.0 * F.col("row_idx") + F.col("k") / 20})
+    s = s.withColumns({"rate": rate("speed"), "turning": F.radians(rate("course_deg")), "angle": F.radians(2.0 * (F.col("user_id") % 180)), "sign": F.when(F.col("user_id") % 2 == 0, 1.0).otherwise(-1.0)})
+    push, side = F.col("rate") + (0.0 if closed_form else (F.col("user_id") % 7 - 3) / 10), -F.col("speed") * F.col("turning")
+    turned = -1.0 if closed_form else 1.0  # the two calibrations count the angle in opposite senses
+    h1 = push * F.cos("angle") - turned * side * F.sin("angle")
+    h2 = turned * push * F.sin("angle") + side * F.cos("angle")
+    zero = {c: F.lit(0.0) for c in reckon.CHANNELS}
+    return s.withColumns(zero | {"acc_x": -h2, "acc_y": h1, "acc_z": F.lit(9.81), "gravity_z": F.lit(9.81), "gyro_z": F.col("sign") * (F.col("turning") + (F.col("user_id") % 5) / 100), "az_deg": F.col("course_deg") - 20 - F.col("user_id") % 10})
+
+
+MOUNTED = "CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS yaw_sign, round((user_id % 5) / 100.0, 5)::DOUBLE AS yaw_bias, round(radians(20 + user_id % 10), 5) AS az_offset"
+
+
+@query(f"SELECT session_key, round(-sin(radians(2 * (user_id % 180))), 4) + 0.0 AS forward_x, round(cos(radians(2 * (user_id % 180))), 4) + 0.0 AS forward_y, round((user_id % 7 - 3) / 10.0, 4)::DOUBLE AS accel_bias, {MOUNTED} FROM samples GROUP BY session_key, user_id HAVING count(*) >= 3", PRELUDE)
 def e12_calibrate(spark, d):
-    return rounded(reckon.calibrate(drives(spark, d), KEYS).select("session_key", "az_offset"), "az_offset", places=5)
+    """The mounting of every session's phone, found again from its samples."""
+    m = mounted(spark, d)
+    found = reckon.calibrate(m.select("*", F.count("*").over(W.partitionBy(*KEYS)).alias("rows")).where("rows >= 3"), KEYS)
+    out = found.select("session_key", *[(F.round(c, p) + 0.0).alias(n) for n, c, p in (("forward_x", F.col("forward")[0], 4), ("forward_y", F.col("forward")[1], 4), ("accel_bias", F.col("accel_bias"), 4))], "yaw_sign", "yaw_bias", "az_offset")
+    return rounded(out, "yaw_bias", "az_offset", places=5)
 
 
-@query("SELECT session_key, 1.0::DOUBLE AS compass_r, round(radians(20), 5) AS az_offset FROM imu_vec GROUP BY 1", PRELUDE)
+@query(f"SELECT session_key, round(sin(radians(2 * (user_id % 180))), 4) + 0.0 AS forward_x, round(cos(radians(2 * (user_id % 180))), 4) + 0.0 AS forward_y, 1.0::DOUBLE AS fit, {MOUNTED}, 1.0::DOUBLE AS compass_r FROM samples GROUP BY session_key, user_id HAVING count(*) >= 6", PRELUDE)
 def e13_calibrate_procrustes(spark, d):
-    s = drives(spark, d).withColumn("t", F.col("row_idx") * 0.5)
-    out = reckon.calibrate_procrustes(s, KEYS, "t", 8.0, 0.0)
-    return out.select("session_key", F.round("compass_r", 5).alias("compass_r"), F.round("az_offset", 5).alias("az_offset"))
+    """The same by the closed form."""
+    found = reckon.calibrate_procrustes(mounted(spark, d, True), KEYS, "t", 0.45, 0.3)
+    out = found.select("session_key", (F.round(F.col("forward")[0], 4) + 0.0).alias("forward_x"), (F.round(F.col("forward")[1], 4) + 0.0).alias("forward_y"), F.round("fit", 5).alias("fit"), "yaw_sign", "yaw_bias", "az_offset", F.round("compass_r", 5).alias("compass_r"))
+    return rounded(out, "yaw_bias", "az_offset", places=5)
 
 
 @query("""SELECT driver_id, session_key, segment_id, duration, start, step, round(sum(CASE WHEN step > 0 THEN v0 * sin(h) / 10 ELSE 0 END) OVER w, 5) AS east_est, round(sum(CASE WHEN step > 0 THEN v0 * cos(h) / 10 ELSE 0 END) OVER w, 5) AS north_est FROM (
@@ -384,12 +413,6 @@ def m3_anchor(spark, d):
     return rounded(roads.anchor(p, lattice(spark, d), ["event_id"], "h", 60.0, 100).select("event_id", "score"), "score", places=5)
 
 
-def small_lattice(spark, d, keys: DataFrame, size: int = 6) -> DataFrame:
-    """The lattice's lower corner as the subgraph of each key: what a trajectory there can reach."""
-    corner = lattice(spark, d).where((F.col("be") < size * SPACING) & (F.col("bn") < size * SPACING))
-    return keys.crossJoin(F.broadcast(corner))
-
-
 @query("""SELECT session_key, CASE WHEN user_id % 5 = 4 AND user_id % 4 <> 3 THEN 100.0 * (3 - user_id % 4) + 60 ELSE 400.0 - 100 * (user_id % 5) + 100 * (3 - user_id % 4) END::DOUBLE AS distance FROM (SELECT DISTINCT session_key, user_id FROM samples)""", PRELUDE)
 def m4_route_distance(spark, d):
     """From 30 m along a street of the lattice to 30 m along another: the way round the blocks."""
@@ -397,30 +420,53 @@ def m4_route_distance(spark, d):
     x, y = F.pmod("user_id", F.lit(5)), F.pmod("user_id", F.lit(4))
     edge = lambda x, y: F.concat_ws("-", (x * 1000 + y).cast("string"), ((x + 1) * 1000 + y).cast("string"))
     pairs = s.select("session_key", edge(x, y).alias("edge_i"), (x * SPACING + 30).alias("ei"), (y * SPACING).alias("ni"), edge(F.lit(4), F.lit(3)).alias("edge_j"), F.lit(430.0).alias("ej"), F.lit(300.0).alias("nj"))
-    out = roads.route_distances(pairs, small_lattice(spark, d, s.select("session_key")), ["session_key"])
+    ends = pairs.select("session_key", F.explode(F.array(F.struct(F.col("ei").alias("e"), F.col("ni").alias("n")), F.struct(F.col("ej").alias("e"), F.col("nj").alias("n")))).alias("p")).select("session_key", "p.*")
+    out = roads.route_distances(pairs, roads.own_edges(ends, lattice(spark, d), ["session_key"], 500.0), ["session_key"])
     # on one street both points lie at 30 m of the same or another block
     return rounded(out.select("session_key", "distance"), "distance", places=4)
 
 
-def drive_track(spark, d):
-    """Each session drives along a street of the lattice, a little beside it."""
-    s = samples(spark, d).where("row_idx < 12")
-    return s.select("session_key", F.col("row_idx").cast("long").alias("row_idx"), "user_id", (F.col("row_idx") * 40.0 + 20).alias("e"), (F.pmod("user_id", F.lit(5)) * SPACING + F.pmod("event_id", F.lit(7))).alias("n"))
+FOLDED = PRELUDE + """, side AS (
+  SELECT CAST(greatest(8, ceil(sqrt(count(DISTINCT user_id)))) AS BIGINT) AS streets, 100.0 * (greatest(8, ceil(sqrt(count(DISTINCT user_id)))) - 1) AS length FROM events
+)"""
 
 
-@query("SELECT session_key, row_idx, round(row_idx * 40.0 + 20, 4) AS match_e, round(100.0 * (user_id % 5), 4) AS match_n, true AS matched FROM samples WHERE row_idx < 12", PRELUDE)
-def m5_hmm_match(spark, d):
-    p = drive_track(spark, d)
-    g = small_lattice(spark, d, p.select("session_key").distinct())
-    corner = lattice(spark, d).where((F.col("be") < 6 * SPACING) & (F.col("bn") < 6 * SPACING))
-    cand = roads.near_edges_expanding(p, corner, ["session_key", "row_idx"])
-    out = roads.hmm_match(p, cand, g, ["session_key"])
-    return rounded(out.select("session_key", "row_idx", "match_e", "match_n", "matched"), "match_e", "match_n", places=4)
+#: Stairs: a block east, a block north and so on to the far corner of the lattice and back; every second session has its mirror image.
+STAIRS = FOLDED + """, stairs AS (
+  SELECT session_key, row_idx, user_id, event_id, CAST(floor(p / 100) AS BIGINT) AS m, p % 100 AS r FROM (
+    SELECT session_key, row_idx, user_id, event_id, 2 * length - abs((100.0 * (user_id % (2 * streets - 2)) + 25 + 50 * row_idx) % (4 * length) - 2 * length) AS p FROM samples, side)
+), steps_on AS (
+  SELECT *, CASE WHEN m % 2 = 0 THEN m // 2 * 100.0 + r ELSE (m + 1) // 2 * 100.0 END AS x, CASE WHEN m % 2 = 0 THEN m // 2 * 100.0 ELSE (m - 1) // 2 * 100.0 + r END AS y FROM stairs
+)"""
 
 
-FOLDED = PRELUDE + """, side AS (
-  SELECT CAST(greatest(8, ceil(sqrt(count(DISTINCT user_id)))) AS BIGINT) AS streets, 100.0 * (greatest(8, ceil(sqrt(count(DISTINCT user_id)))) - 1) AS length FROM events
-)"""
+def stairs(place):
+    """East and north of a place along the stairs, and whether it lies on a block that goes east."""
+    m, r = F.floor(place / SPACING), F.pmod(place, F.lit(SPACING))
+    east = m % 2 == 0
+    return F.when(east, F.floor(m / 2) * SPACING + r).otherwise((m + 1) / 2 * SPACING), F.when(east, F.floor(m / 2) * SPACING).otherwise((m - 1) / 2 * SPACING + r), east
+
+
+def turning_drives(spark, d):
+    """Each session with all its rows drives the stairs there and back, a little beside the road."""
+    side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
+    s = samples(spark, d).crossJoin(F.broadcast(side)).withColumn("length", (F.col("streets") - 1) * SPACING)
+    place = folded(SPACING * F.pmod("user_id", 2 * F.col("streets") - 2) + 25 + F.col("row_idx") * 50.0, 2 * F.col("length"))
+    x, y, east = stairs(F.col("place"))
+    s = s.withColumn("place", place).withColumns({"x": x, "y": y, "east": east, "off": F.pmod("event_id", F.lit(7)).cast("double")})
+    x, y = F.when(F.col("east"), F.col("x")).otherwise(F.col("x") + F.col("off")), F.when(F.col("east"), F.col("y") + F.col("off")).otherwise(F.col("y"))
+    mirror = F.col("user_id") % 2 == 1
+    return s.select("session_key", F.col("row_idx").cast("long").alias("row_idx"), F.when(mirror, y).otherwise(x).alias("e"), F.when(mirror, x).otherwise(y).alias("n"))
+
+
+@query("SELECT session_key, row_idx, round(CASE WHEN user_id % 2 = 1 THEN y ELSE x END, 4) AS match_e, round(CASE WHEN user_id % 2 = 1 THEN x ELSE y END, 4) AS match_n, true AS matched FROM steps_on", STAIRS)
+def m5_hmm_match(spark, d):
+    """All rows of all sessions through a turn at every corner, on the whole lattice."""
+    p, edges, cap, most = turning_drives(spark, d), lattice(spark, d), 400.0, 120.0
+    cand = roads.near_edges_expanding(p, edges, ["session_key", "row_idx"], most=most)
+    reach = cap / 2 + most
+    out = roads.hmm_match(p, cand, roads.own_edges(p, edges, ["session_key"], reach, reach), ["session_key"], cap=cap)
+    return rounded(out.select("session_key", "row_idx", "match_e", "match_n", "matched"), "match_e", "match_n", places=4)
 
 
 def folded(along, length):
@@ -438,7 +484,7 @@ def whole_drives(spark, d):
 
 @query("SELECT session_key, row_idx, round(length - abs((row_idx * 40.0 + 20) % (2 * length) - length), 4) AS match_e, round(100.0 * (user_id % streets), 4) AS match_n, true AS matched FROM samples, side", FOLDED)
 def m5_hmm_match_whole(spark, d):
-    """All rows of all sessions on the whole lattice; ``m5_hmm_match`` has the twelve rows of its SQL. Routes of at most ``cap`` metres stay within half of it of the candidates' foot points."""
+    """All rows of all sessions back and forth on one street of the whole lattice. Routes of at most ``cap`` metres stay within half of it of the candidates' foot points."""
     p, edges, cap, most = whole_drives(spark, d), lattice(spark, d), 2000.0, 200.0
     cand = roads.near_edges_expanding(p, edges, ["session_key", "row_idx"], most=most)
     # near_edges_expanding may double its radius past ``most`` once
@@ -447,20 +493,31 @@ def m5_hmm_match_whole(spark, d):
     return rounded(out.select("session_key", "row_idx", "match_e", "match_n", "matched"), "match_e", "match_n", places=4)
 
 
-@query("SELECT session_key, step, round(least(500, 15.0 + (step + 1) * 12), 4) AS map_e, round(100.0 * (user_id % 5), 4) AS map_n FROM (SELECT session_key, user_id, row_idx AS step FROM samples WHERE row_idx < 60)", PRELUDE)
+@query("""SELECT session_key, row_idx AS step, round(CASE WHEN m % 2 = 0 THEN m // 2 * 100.0 + r ELSE (m + 1) // 2 * 100.0 END, 4) AS map_e, round(CASE WHEN m % 2 = 0 THEN m // 2 * 100.0 ELSE (m - 1) // 2 * 100.0 + r END, 4) AS map_n FROM (
+  SELECT session_key, row_idx, CASE WHEN p = last THEN CAST(floor(last / 100) AS BIGINT) - 1 ELSE CAST(floor(p / 100) AS BIGINT) END AS m, CASE WHEN p = last THEN 100.0 ELSE p % 100 END AS r FROM (
+    SELECT session_key, row_idx, 2 * length + 100 AS last, least(2 * length + 100, 200.0 * (user_id % (streets - 1)) + 15 + 12 * (row_idx + 1)) AS p FROM samples, side))""", FOLDED)
 def m6_map_aided_walk(spark, d):
-    """Straight on along a street from 15 m east of its start, to its end."""
-    s = samples(spark, d).where("row_idx < 60").select("session_key", "user_id", F.col("row_idx").cast("long").alias("step"), F.lit(0.0).alias("yaw_rate"), F.lit(12.0).alias("speed"))
-    start = s.groupBy("session_key", "user_id").agg(F.count("*").alias("rows")).select("session_key", F.lit(15.0).alias("e"), (F.pmod("user_id", F.lit(5)) * SPACING).cast("double").alias("n"), F.lit(math.pi / 2).alias("h"))
-    corner = lattice(spark, d).where((F.col("be") < 6 * SPACING) & (F.col("bn") < 6 * SPACING) & (F.col("an") == F.col("bn")))
-    at = roads.anchor(start, corner, ["session_key"], "h")
-    out = roads.map_aided_walk(s, at, start.select("session_key").crossJoin(F.broadcast(corner)), ["session_key"], 1.0, False)
+    """All rows of all sessions up the stairs with a turn at each corner, and beyond the lattice's last corner to the end of a blind alley, where they stay."""
+    side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
+    s = samples(spark, d).crossJoin(F.broadcast(side)).withColumns({"step": F.col("row_idx").cast("long"), "speed": F.lit(12.0), "from": 2 * SPACING * F.pmod("user_id", F.col("streets") - 1) + 15})
+    block = lambda after: F.floor((F.col("from") + 12 * after) / SPACING)
+    # a right angle in the second in which a corner is passed: left after a block east, right after a block north
+    turn = F.when(block(F.col("step") + 1) == block(F.col("step")), 0.0).when(block(F.col("step")) % 2 == 0, -math.pi / 2).otherwise(math.pi / 2)
+    s = s.withColumn("yaw_rate", turn)
+    start = s.groupBy("session_key", "from").agg((F.sum("speed") + 2 * SPACING).alias("reach"))
+    x, y, _ = stairs(F.col("from"))
+    start = start.select("session_key", x.alias("e"), y.alias("n"), F.lit(math.pi / 2).alias("h"), "reach")
+    last = lattice(spark, d).agg(F.max("be").alias("be")).select(F.col("be").alias("ae"), F.col("be").alias("an"), (F.col("be") + SPACING).alias("be"), F.col("be").alias("bn"), F.lit(SPACING).alias("length"))
+    corner = (F.col("ae") / SPACING * 1001).cast("long").cast("string")
+    edges = lattice(spark, d).unionByName(last.withColumns({"a": corner, "b": F.lit("end")}).withColumn("edge", F.concat_ws("-", "a", "b")))
+    at = roads.anchor(start, edges, ["session_key"], "h")
+    out = roads.map_aided_walk(s, at, roads.own_edges(start, edges, ["session_key"], "reach"), ["session_key"], 1.0, False)
     return rounded(out.select("session_key", "step", "map_e", "map_n"), "map_e", "map_n", places=4)
 
 
 @query("SELECT session_key, row_idx AS step, round(length - abs((15.0 + (row_idx + 1) * 12) % (2 * length) - length), 4) AS map_e, round(100.0 * (user_id % streets), 4) AS map_n FROM samples, side", FOLDED)
 def m6_map_aided_walk_whole(spark, d):
-    """All rows of all sessions along the whole of a street, turning back at its ends; ``m6_map_aided_walk`` has the sixty rows of its SQL."""
+    """All rows of all sessions along the whole of a street, turning back at its ends."""
     side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
     s = samples(spark, d).select("session_key", "user_id", F.col("row_idx").cast("long").alias("step"), F.lit(0.0).alias("yaw_rate"), F.lit(12.0).alias("speed"))
     start = s.groupBy("session_key", "user_id").agg((F.sum("speed") + SPACING).alias("reach")).crossJoin(F.broadcast(side))
@@ -623,20 +680,29 @@ def s12_write_metadata(spark, d):
     return spark.read.schema("driver_id string, sessions long").option("header", "true").csv(f"{path}/drivers")
 
 
-@query("""SELECT row_idx, CASE WHEN row_idx BETWEEN 20 AND 39 THEN 'BLACKOUT' ELSE 'GNSS' END AS mode, round(value, 1) AS speed_kmh, CASE WHEN row_idx BETWEEN 20 AND 39 THEN 3.0 ELSE 0 END::DOUBLE AS free_drift_m FROM long_samples WHERE session_key = 'click' AND row_idx BETWEEN 10 AND 49 AND row_idx % 2 = 0""", PRELUDE)
+@query("""SELECT s.session_key, c.dist AS distance_m, c.s AS start, f.row_idx, CASE WHEN f.row_idx BETWEEN c.s AND c.e - 1 THEN 'BLACKOUT' ELSE 'GNSS' END AS mode, round(s.value, 1) AS speed_kmh, CASE WHEN f.row_idx BETWEEN c.s AND c.e - 1 THEN 3.0 ELSE 0 END::DOUBLE AS free_drift_m
+FROM (SELECT session_key, dist, s, e, unnest(range(s - 10, e + 10, 2)) AS row_idx FROM scan WHERE ok) f JOIN scan c USING (session_key, dist, s) JOIN long_samples s ON s.session_key = f.session_key AND s.row_idx = f.row_idx""", SCAN)
 def s13_export_replay(spark, d):
-    s = long_samples(spark, d).where("session_key = 'click'").withColumn("speed", F.round("value", 1) / 3.6)
+    """Frames of every blackout of every session."""
+    s = long_samples(spark, d).withColumn("speed", F.round("value", 1) / 3.6)
     e, n = geo.to_enu("lat", "lon", 52.0, -1.5)
-    track = s.select("row_idx", (e + 3).alias("e"), n.alias("n"))
-    out = sinks.replay_frames(s, track, track, 20, 40, 52.0, -1.5, 10, 10)
-    return out.select("row_idx", "mode", "speed_kmh", "free_drift_m")
+    found = e3_distance_blackouts(spark, d)
+    keys = [*KEYS, "distance_m"]
+    dark = found.withColumn("row_idx", F.explode(F.expr('sequence(start, end - 1)')))
+    track = dark.join(s.select(*KEYS, "row_idx", (e + 3).alias("e"), n.alias("n")), [*KEYS, "row_idx"])
+    drives_ = s.join(found.select(*keys).distinct(), KEYS)
+    out = sinks.replays(drives_, track, track, found, keys, 52.0, -1.5, 10, 10)
+    return out.select("session_key", "distance_m", "start", "row_idx", "mode", "speed_kmh", "free_drift_m")
 
 
-@query("""SELECT session_key, part, row_number() OVER (PARTITION BY session_key, part ORDER BY row_idx) AS number, round(lat / 60, 8) AS lat, round(-lon / 60, 8) AS lon FROM samples JOIN (SELECT unnest([1, 2]) AS part, unnest([0, 30]) AS f, unnest([19, 44]) AS l) r ON row_idx BETWEEN f AND l WHERE (row_idx - f) % 5 = 0""", PRELUDE)
+@query("""SELECT session_key, part, row_number() OVER (PARTITION BY session_key, part ORDER BY row_idx) AS number, round(lat / 60, 8) AS lat, round(-lon / 60, 8) AS lon FROM samples JOIN (
+  SELECT session_key, part, CASE part WHEN 1 THEN 0 ELSE n // 2 END AS f, CASE part WHEN 1 THEN n // 3 ELSE n - 1 END AS l FROM (SELECT session_key, count(*) AS n FROM samples GROUP BY 1), (SELECT unnest([1, 2]) AS part)) r USING (session_key) WHERE row_idx BETWEEN f AND l AND (row_idx - f) % 5 = 0""", PRELUDE)
 def s14_trim_and_decimate(spark, d):
+    """The first third and the second half of every session, every fifth row."""
     s = samples(spark, d)
-    keys = s.select("session_key").distinct()
-    parts = joins.with_grid(keys, [{"part": 1, "first": 0, "last": 19}, {"part": 2, "first": 30, "last": 44}])
+    n = s.groupBy("session_key").agg(F.count("*").alias("n"))
+    ranges = F.array(F.struct(F.lit(1).alias("part"), F.lit(0).cast("long").alias("first"), F.expr("n div 3").alias("last")), F.struct(F.lit(2).alias("part"), F.expr("n div 2").alias("first"), (F.col("n") - 1).alias("last")))
+    parts = n.select("session_key", F.explode(ranges).alias("r")).select("session_key", "r.*")
     out = sinks.trim_and_decimate(s, parts, ["session_key"], 5)
     return out.select("session_key", "part", "number", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
 
@@ -704,6 +770,12 @@ def r7_fusion_filter(spark, d):
     return out.groupBy("session_key").agg(F.count("*").alias("rows"), F.count("verdict").alias("fixes"), F.bool_and(ok).alias("finite"))
 
 
+@query(None)
+def r7_filter_states(spark, d):
+    """The filter's state after every row of every session, and what became of its fixes."""
+    return devices.fusion_filter(filter_rows(spark, d), ["session_key"])
+
+
 @query("""SELECT event_id, coalesce(r AND lag(r) OVER w AND lag(r, 2) OVER w AND abs(k - lag(k) OVER w) <= 40 AND abs(k - lag(k, 2) OVER w) <= 40 AND abs(lag(k) OVER w - lag(k, 2) OVER w) <= 40, false) AS anchors FROM (SELECT *, value > 20 AS r FROM samples) WINDOW w AS (PARTITION BY session_key ORDER BY row_idx)""", PRELUDE)
 def r8_consistent_rejections(spark, d):
     s = samples(spark, d).withColumns({"rejected": F.col("value") > 20, "dn": F.lit(0.0)})

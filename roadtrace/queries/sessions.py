@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadtrace.functions import geo, stats
@@ -95,18 +96,21 @@ def j10_parameter_grid(spark, d):
     return s.groupBy("session_key", "gain", "decay").agg(F.count("*").alias("rows"), F.round(F.sum(F.col("value") * F.col("gain")), 4).alias("total"))
 
 
-@query("""WITH p AS (SELECT DISTINCT source AS k FROM documents WHERE doc_id % 2 = 0), v AS (SELECT DISTINCT source AS k FROM documents WHERE doc_id % 3 = 0 AND source <> 'src2' UNION SELECT 'other')
-SELECT k, 'phone' AS side FROM p WHERE k NOT IN (SELECT k FROM v) UNION ALL SELECT k, 'vehicle' FROM v WHERE k NOT IN (SELECT k FROM p)""")
+@query("""WITH p AS (SELECT DISTINCT lang || '/' || source AS k FROM documents), v AS (SELECT DISTINCT 'en/' || source AS k FROM documents UNION SELECT DISTINCT lang || '/' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) FROM documents JOIN pages ON page_id = doc_id)
+SELECT k, 'phone' AS side FROM p WHERE k NOT IN (SELECT k FROM v WHERE k IS NOT NULL) AND k IS NOT NULL UNION ALL SELECT k, 'vehicle' FROM v WHERE k NOT IN (SELECT k FROM p WHERE k IS NOT NULL) AND k IS NOT NULL""")
 def j11_unpaired_files(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("k"))
-    v = docs.where("doc_id % 3 = 0 and k <> 'src2'").select("k").unionByName(docs.limit(1).select(F.lit("other").alias("k")))
-    return joins.unpaired(docs.where("doc_id % 2 = 0"), v, ["k"])
+    """Languages with sources against English with all sources and languages with the hosts of pages of the same id."""
+    docs, pages = table(spark, d, "documents"), table(spark, d, "pages")
+    hosts = docs.join(pages, F.col("page_id") == F.col("doc_id")).select(F.concat("lang", F.lit("/"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)).alias("k"))
+    p = docs.select(F.concat("lang", F.lit("/"), "source").alias("k"))
+    v = docs.select(F.concat(F.lit("en/"), "source").alias("k")).unionByName(hosts)
+    return joins.unpaired(p.where("k is not null"), v.where("k is not null"), ["k"])
 
 
 @query("""WITH p AS (SELECT DISTINCT source AS k FROM documents), v AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS k FROM pages)
 SELECT k, 'phone' AS side FROM p WHERE k NOT IN (SELECT k FROM v WHERE k IS NOT NULL) UNION ALL SELECT k, 'vehicle' FROM v WHERE k NOT IN (SELECT k FROM p WHERE k IS NOT NULL)""")
 def j11_unpaired_files_whole(spark, d):
-    """All sources of documents against all hosts of pages; ``j11_unpaired_files`` has the subsets of its SQL."""
+    """All sources of documents against all hosts of pages."""
     hosts = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("k"))
     return joins.unpaired(table(spark, d, "documents").select(F.col("source").alias("k")), hosts, ["k"])
 
@@ -359,15 +363,17 @@ def u1_union_sessions(spark, d):
     return sets.union_sessions({t: e.where(F.col("event_type") == t).drop("event_type") for t in ("click", "view")}, "event_id")
 
 
-@query("SELECT source AS name FROM documents WHERE lang = 'de' INTERSECT SELECT source FROM documents WHERE lang = 'es' AND doc_id % 2 = 0")
+@query("SELECT lang || '/' || source AS name FROM documents INTERSECT SELECT 'de/' || source FROM documents WHERE lang <> 'de'")
 def u2_feature_overlap(spark, d):
-    docs = table(spark, d, "documents").withColumn("name", F.col("source"))
-    return sets.overlap(docs.where("lang = 'de'").select("name"), docs.where("lang = 'es' and doc_id % 2 = 0").select("name"))
+    """Languages with sources, against German with the sources of all other languages."""
+    docs = table(spark, d, "documents")
+    others = docs.where("lang <> 'de'").select(F.concat(F.lit("de/"), "source").alias("name"))
+    return sets.overlap(docs.select(F.concat("lang", F.lit("/"), "source").alias("name")), others)
 
 
 @query("SELECT source AS name FROM documents WHERE lang = 'de' INTERSECT SELECT source FROM documents WHERE lang = 'es'")
 def u2_feature_overlap_whole(spark, d):
-    """All sources of two languages; ``u2_feature_overlap`` has the even ids of its SQL."""
+    """All sources of two languages."""
     docs = table(spark, d, "documents").withColumn("name", F.col("source"))
     return sets.overlap(docs.where("lang = 'de'").select("name"), docs.where("lang = 'es'").select("name"))
 
@@ -492,15 +498,13 @@ PROFILE = PRELUDE + """, valid AS (
 
 
 def delayed(spark, d):
-    from pyspark.sql import Window as W
-
     s = long_samples(spark, d)
     return s.withColumn("target", F.lag("speed_kmh", 3).over(W.partitionBy("session_key").orderBy("row_idx"))).withColumn("row_idx", F.col("row_idx").cast("long"))
 
 
-@query("SELECT a.session_key, CAST(a.i - b.i AS INTEGER) AS lag, round(sum(a.zx * b.zy) / max(a.n), 6) AS corr FROM valid a JOIN valid b ON a.session_key = b.session_key AND b.i BETWEEN a.i - 6 AND a.i + 6 GROUP BY ALL", PROFILE)
+@query("SELECT a.session_key, CAST(a.i - b.i AS INTEGER) AS lag, round(sum(a.zx * b.zy) / max(a.n), 6) AS corr FROM valid a JOIN valid b ON a.session_key = b.session_key AND b.i BETWEEN a.i - 100 AND a.i + 100 GROUP BY ALL", PROFILE)
 def l3_lag_profile(spark, d):
-    p = align.lag_profile(delayed(spark, d), ["session_key"], ["speed_kmh"], "target", 6, 100)
+    p = align.lag_profile(delayed(spark, d), ["session_key"], ["speed_kmh"], "target", 100, 100)
     return rounded(p.select("session_key", "lag", "corr"), "corr")
 
 
@@ -509,9 +513,16 @@ def l3_lag_profile_exact(spark, d):
     return rounded(align.lag_profile_exact(delayed(spark, d), ["session_key"], "speed_kmh", "target", 6, 100), "corr")
 
 
-@query("SELECT session_key, 'high' AS tier, 3 AS vehicle_offset FROM valid GROUP BY 1", PROFILE)
+#: Sessions whose names have an odd number of letters lag by 1 to 5 rows; the others turn at random.
+LAGGED = "1 + length(session_key) % 5"
+
+
+@query(f"""SELECT session_key, CASE WHEN length(session_key) % 2 = 1 THEN 'high' ELSE 'insufficient' END AS tier, CAST(CASE WHEN length(session_key) % 2 = 1 THEN {LAGGED} ELSE 0 END AS INTEGER) AS vehicle_offset FROM valid GROUP BY 1""", PROFILE)
 def l4_recover_alignment(spark, d):
-    s = delayed(spark, d).withColumn("turn", -F.col("speed_kmh"))
+    s = long_samples(spark, d).withColumns({"row_idx": F.col("row_idx").cast("long"), "behind": F.expr(LAGGED)})
+    w = W.partitionBy("session_key").orderBy("row_idx")
+    s = s.withColumn("target", F.coalesce(*[F.when(F.col("behind") == n, F.lag("speed_kmh", n).over(w)) for n in range(1, 6)]))
+    s = s.withColumn("turn", F.when(F.length("session_key") % 2 == 1, -F.col("speed_kmh")).otherwise(F.pmod(F.xxhash64("event_id"), F.lit(1000)).cast("double")))
     acc = align.lag_profile(s, ["session_key"], ["k", "speed_kmh"], "target", 20, 100)
     yaw = align.lag_profile(s, ["session_key"], ["turn", "k"], "target", 20, 100)
     return align.recover_alignment(acc, yaw, ["session_key"], 20).select("session_key", "tier", "vehicle_offset")

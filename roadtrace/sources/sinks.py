@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.functions import geo
 from roadtrace.functions.geo import _c
+from roadtrace.operators.joins import small_side
 
 
 def write_sessions(df: DataFrame, path: str, keys: list[str] = ("driver_id", "session_key"), order: str = "row_idx") -> None:
@@ -29,17 +30,29 @@ def write_config(config: DataFrame, folder: str) -> None:
 
 
 def replay_frames(truth: DataFrame, free: DataFrame, mapped: DataFrame, start: int, end: int, lat0: float, lon0: float, before: int = 200, after: int = 120, step: int = 2, order: str = "row_idx") -> DataFrame:
-    """Frames from ``before`` rows ahead of a blackout to ``after`` behind it, every ``step``-th row.
+    """Frames of one blackout of one drive (``replays`` without keys): order, places, mode, speed and drifts."""
+    one = truth.sparkSession.createDataFrame([(start, end)], "start long, end long")
+    tracks = (t.withColumn("start", F.lit(start).cast("long")) for t in (free, mapped))
+    return replays(truth, *tracks, one, [], lat0, lon0, before, after, step, order).drop("start", "end")
 
-    truth: row_idx, lat, lon, speed (m/s); free and mapped: row_idx, e, n. Outside
-    the blackout both tracks are the truth and the drift is 0. Speed and drift have one decimal.
+
+def replays(truth: DataFrame, free: DataFrame, mapped: DataFrame, blackouts: DataFrame, keys: list[str], lat0: float, lon0: float, before: int = 200, after: int = 120, step: int = 2, order: str = "row_idx") -> DataFrame:
+    """Frames of every blackout (keys, start, end): from ``before`` rows ahead of it to ``after`` behind it, every ``step``-th row.
+
+    truth: keys, row_idx, lat, lon, speed (m/s); free and mapped: keys, start, row_idx,
+    e, n. Outside the blackout both tracks are the truth and the drift is 0. Speed
+    and drift have one decimal.
     """
-    a = start - before
-    rows = truth.where(_c(order).between(a, end + after - 1) & (F.pmod(_c(order) - a, F.lit(step)) == 0))
-    rows = rows.join(free.select(order, F.col("e").alias("_fe"), F.col("n").alias("_fn")), order, "left").join(mapped.select(order, F.col("e").alias("_me"), F.col("n").alias("_mn")), order, "left")
-    dark = _c(order).between(start, end - 1)
+    first = F.col("start") - before
+    frame = F.explode(F.sequence(F.greatest(first, F.pmod(first, F.lit(step))), F.col("end") + after - 1, F.lit(step).cast("long")))
+    each = [*keys, "start", order]
+    wanted = blackouts.select(*keys, "start", "end").withColumn(order, frame)
+    rows = wanted.join(truth.select(*keys, _c(order).cast("long").alias(order), "lat", "lon", "speed"), [*keys, order])
+    track = lambda t, p: t.select(*keys, "start", _c(order).cast("long").alias(order), F.col("e").alias(f"_{p}e"), F.col("n").alias(f"_{p}n"))
+    rows = rows.join(track(free, "f"), each, "left").join(track(mapped, "m"), each, "left")
+    dark = _c(order).between(F.col("start"), F.col("end") - 1)
     te, tn = geo.to_enu("lat", "lon", lat0, lon0)
-    out = [order, "lat", "lon", F.when(dark, "BLACKOUT").otherwise("GNSS").alias("mode"), F.round(F.col("speed") * 3.6, 1).alias("speed_kmh")]
+    out = [*keys, "start", "end", order, "lat", "lon", F.when(dark, "BLACKOUT").otherwise("GNSS").alias("mode"), F.round(F.col("speed") * 3.6, 1).alias("speed_kmh")]
     for name, e, n in (("free", "_fe", "_fn"), ("map", "_me", "_mn")):
         la, lo = geo.from_enu(e, n, lat0, lon0)
         out += [F.when(dark, la).otherwise(F.col("lat")).alias(f"{name}_lat"), F.when(dark, lo).otherwise(F.col("lon")).alias(f"{name}_lon")]
@@ -64,6 +77,6 @@ def roads_in_box(edges: DataFrame, frames: DataFrame, lat0: float, lon0: float,
 
 def trim_and_decimate(track: DataFrame, ranges: DataFrame, keys: list[str], step: int, order: str = "row_idx") -> DataFrame:
     """Row ranges (keys, part, first, last) of each file, every ``step``-th row, arc minutes to degrees (west positive), numbered from 1 in each part."""
-    j = track.join(F.broadcast(ranges), keys).where(_c(order).between(F.col("first"), F.col("last")) & (F.pmod(_c(order) - F.col("first"), F.lit(step)) == 0))
+    j = track.join(small_side(ranges), keys).where(_c(order).between(F.col("first"), F.col("last")) & (F.pmod(_c(order) - F.col("first"), F.lit(step)) == 0))
     n = F.row_number().over(W.partitionBy(*keys, "part").orderBy(order))
     return j.withColumns({"lat": F.col("lat") / 60, "lon": -F.col("lon") / 60, "number": n}).drop("first", "last")

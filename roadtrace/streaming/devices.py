@@ -6,6 +6,7 @@ alike, so a replayed stream gives the batch result.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -215,17 +216,185 @@ def run_filter(rows: pd.DataFrame, state: dict | None = None, stale: float = STA
 FILTERED = "t double, kind string, east double, north double, heading double, speed double, gyro_bias double, accel_bias double, pos_sigma double, verdict string, outage_s double, outage_m double, error_m double, drift_percent double"
 
 
-def fusion_filter(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Batch replay: one filter per session (kind, t, omega, accel, e, n, speed, course, sigma, and stationary if it is known); a fix comes before a sample of its time."""
+class FilterBank:
+    """``FusionFilter`` and ``run_filter`` for many sessions at once, which take their steps together; the same rows give the same states."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, _ = run_filter(frame.sort_values(["t", "kind"], kind="stable"))
-        for k in keys:
-            out[k] = frame[k].iloc[0]
-        return out[[*keys, *[c for c in out.columns if c not in keys]]]
+    F = FusionFilter
+
+    def __init__(self, n: int):
+        self.x, self.P, self.ready = np.zeros((n, DIM)), np.zeros((n, DIM, DIM)), np.zeros(n, bool)
+        self.t, self.fix_t, self.walked = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n)
+        self.offsets, self.n_offsets = np.zeros((n, 3, 2)), np.zeros(n, np.int64)  # of rejected fixes, newest last
 
+    _NAMES = ("x", "P", "ready", "t", "fix_t", "walked", "offsets", "n_offsets")
+
+    def copy_from(self, i: int, other: FilterBank, j: int) -> None:
+        for name in self._NAMES:
+            getattr(self, name)[i] = getattr(other, name)[j]
+
+    def _predict(self, i, omega, accel, dt, dark):
+        known = ~np.isnan(accel)
+        e, n, h, v, bg, ba = self.x[i].T
+        a = np.where(known, accel - ba, 0.0)
+        a = np.where(known & (dark > 0), np.copysign(np.maximum(0.0, np.abs(a) - 0.15), a), a)
+        s, c = np.sin(h), np.cos(h)
+        turned = h + (omega - bg) * dt
+        self.x[i] = np.stack([e + v * s * dt, n + v * c * dt, np.arctan2(np.sin(turned), np.cos(turned)), np.clip(v + a * dt, 0.0, self.F.MAX_SPEED), bg, ba], axis=1)
+        f = np.tile(np.eye(DIM), (len(i), 1, 1))
+        f[:, 0, 2], f[:, 0, 3], f[:, 1, 2], f[:, 1, 3], f[:, 2, 4] = v * c * dt, s * dt, -v * s * dt, c * dt, -dt
+        f[known, 3, 5] = -dt[known]
+        place = self.F.POS_WALK**2 * dt + (self.F.DRIFT * v) ** 2 * dark * dt
+        q = np.stack([place, place, (self.F.GYRO * dt) ** 2, (np.where(known, self.F.ACCEL, self.F.ACCEL_HOLD) * dt) ** 2, self.F.GYRO_WALK**2 * dt, self.F.ACCEL_WALK**2 * dt], axis=1)
+        self.P[i] = f @ self.P[i] @ f.transpose(0, 2, 1) + q[:, :, None] * np.eye(DIM)
+
+    def _correct(self, i, which: list[int], y: np.ndarray, r: np.ndarray) -> None:
+        P = self.P[i]
+        gain = P[:, :, which] @ np.linalg.inv(P[:, which][:, :, which] + r[:, None, None] * np.eye(len(which)))
+        self.x[i] += (gain @ y[:, :, None])[:, :, 0]
+        keep = np.tile(np.eye(DIM), (len(i), 1, 1))
+        keep[:, :, which] -= gain
+        P = keep @ P @ keep.transpose(0, 2, 1) + r[:, None, None] * (gain @ gain.transpose(0, 2, 1))
+        self.P[i] = (P + P.transpose(0, 2, 1)) / 2
+
+    def _limit(self, i) -> None:
+        self.x[i, 4] = np.clip(self.x[i, 4], -self.F.MAX_GYRO_BIAS, self.F.MAX_GYRO_BIAS)
+        self.x[i, 5] = np.clip(self.x[i, 5], -self.F.MAX_ACCEL_BIAS, self.F.MAX_ACCEL_BIAS)
+
+    def _fix_speed(self, i, v: np.ndarray, sigma: float) -> None:
+        y = v - self.x[i, 3]
+        cut = i[np.abs(y) > self.F.LEARN]
+        row = self.P[cut, 5, :5]
+        self.P[cut, 5, :5] = self.P[cut, :5, 5] = 0
+        self._correct(i, [3], y[:, None], np.full(len(i), sigma**2))
+        self.P[cut, 5, :5] = self.P[cut, :5, 5] = row
+        self.x[i, 3] = np.maximum(self.x[i, 3], 0.0)
+        self._limit(i)
+
+    def _fix_course(self, i, h: np.ndarray, sigma: np.ndarray) -> None:
+        d = h - self.x[i, 2]
+        self._correct(i, [2], np.arctan2(np.sin(d), np.cos(d))[:, None], sigma**2)
+        self.x[i, 2] = np.arctan2(np.sin(self.x[i, 2]), np.cos(self.x[i, 2]))
+        self._limit(i)
+
+    def _fix_position(self, i, at: np.ndarray, sigma: np.ndarray, consistent_m: float = 25.0) -> np.ndarray:
+        y = at - self.x[i, :2]
+        s = self.P[i, :2, :2] + sigma[:, None, None] ** 2 * np.eye(2)
+        good = (y * np.linalg.solve(s, y[:, :, None])[:, :, 0]).sum(axis=1) <= self.F.GATE
+        if good.any():
+            self._correct(i[good], [0, 1], y[good], sigma[good] ** 2)
+        bad = i[~good]
+        self.offsets[bad, :2] = self.offsets[bad, 1:]
+        self.offsets[bad, 2] = y[~good]
+        self.n_offsets[bad] += 1
+        o = self.offsets[i]
+        apart = np.stack([np.hypot(*(o[:, a] - o[:, b]).T) for a, b in ((0, 1), (0, 2), (1, 2))]).max(axis=0)
+        anchored = ~good & (self.n_offsets[i] >= 3) & (apart <= consistent_m)
+        now = i[anchored]
+        self.x[now, :2] = at[anchored]
+        self.P[now, :2, :] = 0
+        self.P[now, :, :2] = 0
+        self.P[now, 0, 0] = self.P[now, 1, 1] = sigma[anchored] ** 2
+        self.n_offsets[i[good | anchored]] = 0
+        return np.where(good, "accepted", np.where(anchored, "anchored", "rejected")).astype(object)
+
+    def step(self, i: np.ndarray, r: dict[str, np.ndarray], stale: float) -> dict[str, np.ndarray]:
+        """One row of each of the sessions ``i``: what became of its fix, and the figures of an outage that it ends."""
+        dt = np.where(np.isnan(self.t[i]), 0.0, np.clip(r["t"] - self.t[i], 0.001, 0.25))
+        verdict = np.full(len(i), None, object)
+        out = {n: np.full(len(i), np.nan) for n in ("outage_s", "outage_m", "error_m", "drift_percent")}
+        k = np.flatnonzero(~r["fix"])
+        if len(k):
+            own = i[k]
+            dark = np.nan_to_num(np.maximum(0.0, r["t"][k] - self.fix_t[own] - stale))
+            go = self.ready[own] & (dt[k] > 0)
+            if go.any():
+                self._predict(own[go], r["omega"][k][go], r["accel"][k][go], dt[k][go], dark[go])
+            rest = self.ready[own] & r["stationary"][k]
+            if rest.any():
+                self._fix_speed(own[rest], np.zeros(int(rest.sum())), self.F.STILL)
+            self.walked[own] = np.where(dark > 0, self.walked[own] + self.x[own, 3] * dt[k], 0.0)
+            self.t[own] = r["t"][k]
+        k = np.flatnonzero(r["fix"])
+        if len(k):
+            new, k = k[~self.ready[i[k]]], k[self.ready[i[k]]]
+            if len(new):
+                heading = np.where(r["speed"][new] > 2, r["course"][new], np.nan)
+                self.x[i[new]] = np.stack([r["e"][new], r["n"][new], np.nan_to_num(heading), r["speed"][new], np.zeros(len(new)), np.zeros(len(new))], axis=1)
+                start = np.tile(np.diag([25.0, 25.0, 0.01, 1.0, 4e-4, 0.09]), (len(new), 1, 1))
+                start[np.isnan(heading), 2, 2] = math.pi**2
+                self.P[i[new]], self.ready[i[new]], verdict[new] = start, True, "started"
+            if len(k):
+                own, at = i[k], np.stack([r["e"][k], r["n"][k]], axis=1)
+                away = np.hypot(*(at - self.x[own, :2]).T)
+                verdict[k] = self._fix_position(own, at, r["sigma"][k])
+                good = k[verdict[k] == "accepted"]
+                if len(good):
+                    self._fix_speed(i[good], r["speed"][good], 0.5)
+                fast = good[r["speed"][good] > 2]
+                if len(fast):
+                    self._fix_course(i[fast], r["course"][fast], 0.06 + 0.5 / r["speed"][fast])
+                over = (verdict[k] != "rejected") & (r["t"][k] - self.fix_t[own] > stale)
+                e, walked = k[over], self.walked[own[over]]
+                out["outage_s"][e], out["outage_m"][e], out["error_m"][e] = r["t"][e] - self.fix_t[i[e]] - stale, walked, away[over]
+                out["drift_percent"][e] = np.where(walked >= 1, 100 * away[over] / np.maximum(walked, 1), np.nan)
+            taken = np.concatenate([new, k])
+            taken = taken[verdict[taken] != "rejected"]
+            self.fix_t[i[taken]], self.walked[i[taken]] = r["t"][taken], 0.0
+        return out | {"verdict": verdict}
+
+    def run(self, rows: dict[str, np.ndarray], first: np.ndarray, size: np.ndarray, stale: float = STALE_S) -> dict[str, np.ndarray]:
+        """All rows of the sessions, which lie at first[i]:first[i] + size[i] in time order: the output columns of ``run_filter`` from the states on."""
+        n = len(rows["t"])
+        out = {c: np.full(n, np.nan) for c in ("outage_s", "outage_m", "error_m", "drift_percent")} | {"verdict": np.full(n, None, object)}
+        states, sigma = np.zeros((n, DIM)), np.zeros(n)
+        longest = np.argsort(-size, kind="stable")
+        for s in range(int(size.max(initial=0))):
+            i = longest[: np.searchsorted(-size[longest], -s, "left")]
+            at = first[i] + s
+            for c, values in self.step(i, {c: v[at] for c, v in rows.items()}, stale).items():
+                out[c][at] = values
+            states[at], sigma[at] = self.x[i], np.sqrt(np.maximum(0.0, self.P[i, 0, 0] + self.P[i, 1, 1]))
+        return {c: states[:, j] for j, c in enumerate(("east", "north", "heading", "speed", "gyro_bias", "accel_bias"))} | {"pos_sigma": sigma} | out
+
+
+#: Rows that are gathered before their sessions take their steps together.
+GATHER_ROWS = 50_000
+
+
+def fusion_filter(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Batch replay: one filter per session (kind, t, omega, accel, e, n, speed, course, sigma, and stationary if it is known); a fix comes before a sample of its time.
+
+    Sessions of a task take their steps together (``FilterBank``). Rows come in
+    order and in pieces of some ``GATHER_ROWS``, and an open session's state goes
+    on to the next piece, so a session may be of any length.
+    """
+    given = ["kind", "t", "omega", "accel", "e", "n", "speed", "course", "sigma"]
+    flag = F.coalesce("stationary", F.lit(False)) if "stationary" in rows.columns else F.lit(False)
+    own = rows.select(*keys, *given, flag.alias("stationary")).repartition(*keys).sortWithinPartitions(*keys, "t", "kind")
     types = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), FILTERED]))
+    names = [c.split(" ")[0] for c in FILTERED.split(", ")]
+
+    def run(batches):
+        held, n, bank, last = [], 0, None, None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and len(batch):
+                held.append(batch)
+                n += len(batch)
+            if not n or (batch is not None and n < GATHER_ROWS):
+                continue
+            f, held, n = pd.concat(held, ignore_index=True), [], 0
+            values = f[keys].to_numpy(object)
+            first = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1])
+            size = np.diff([*first, len(f)])
+            before, bank = bank, FilterBank(len(first))
+            if last is not None and (values[0] == last).all():
+                bank.copy_from(0, before, len(before.ready) - 1)
+            last = values[-1]
+            columns = {c: f[c].to_numpy(float, na_value=np.nan) for c in given[1:]} | {"fix": (f["kind"] == "fix").to_numpy(), "stationary": f["stationary"].to_numpy(bool)}
+            out = f[[*keys, "t", "kind"]].assign(**bank.run(columns, first, size))
+            yield out[[*keys, *names]]
+
+    return own.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), FILTERED]))
 
 
 STATE = "t double, fix_t double, walked double, rejected array<array<double>>, x array<double>, P array<double>"
