@@ -24,8 +24,8 @@ from roadtrace.llm.storage import materialize, small_batches
 from roadtrace.llm.tokens import END_ID, digest, tokenizer_path, worker_tokenizer
 
 CAPACITY = 4096
-#: Pieces of one length that one task ranks: a length of more is ranked in parts.
-RANKED = 200_000
+#: Pieces of one length that are ranked together: a length of more is ranked in parts.
+RANKED = 1000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -139,9 +139,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for length, first, n, sequence, offset in plan(counts, capacity):
         table[length].append((first, sequence, offset))
     shared = spark.sparkContext.broadcast({k: tuple(np.array(c) for c in zip(*sorted(v), strict=True)) for k, v in table.items()})
-    many = {k: -(-n // RANKED) for k, n in counts.items() if n > RANKED}
-    salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("length").cast("int")), F.lit(1)) if many else F.lit(1)
-    salted = pieces.withColumn("_salt", F.pmod("_spread", salts).cast("int"))
+    salts = F.get(F.lit([-(-counts.get(k, 1) // RANKED) for k in range(capacity + 1)]), F.col("length"))
+    salted = pieces.withColumn("_salt", F.pmod("_spread", salts.cast("long")).cast("int"))
     parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     firsts = parts.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_first"))
     # both sides are dealt by length and salt already
