@@ -14,6 +14,7 @@ from roadtrace.queries.registry import query
 from roadtrace.queries.sessions import segment_table
 from roadtrace.queries.views import AXES, KEYS, PRELUDE, SEGMENT, fixes, imu, imu_vec, long_samples, samples, table
 from roadtrace.queries.windows import SEGMENTED, archived, motion, rounded
+from roadtrace.session import shared_base
 from roadtrace.sources import recordings, sinks
 from roadtrace.streaming import devices
 
@@ -575,10 +576,10 @@ def s2_list_pairs(spark, d):
 
 
 def _round_trip(spark: SparkSession, write, name: str) -> str:
-    """A new folder for a query that writes and reads back, below the warehouse, which all executors share."""
+    """A new folder for a query that writes and reads back, below the one that all executors share."""
     import uuid
 
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/roadtrace-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_base(spark)}/roadtrace-{name}-{uuid.uuid4().hex[:12]}"
     write(path)
     return path
 
