@@ -233,11 +233,41 @@ def ema(df: DataFrame, keys: list[str], x: str, out: str, tau: float, dt: float
 
 
 def feature_windows(df: DataFrame, keys: list[str], columns: list[str], window: int, stride: int, label: str | None = None, order: str = "row_idx") -> DataFrame:
-    """Every ``stride``-th full window as an array of arrays, with the label of its last row."""
-    w = ordered(keys, order).rowsBetween(-(window - 1), 0)
-    df = df.withColumn("window", F.collect_list(F.array(*[_c(c).cast("double") for c in columns])).over(w))
-    picked = df.where((F.size("window") == window) & (F.pmod(_c(order) - (window - 1), F.lit(stride)) == 0))
-    return picked.select(*keys, order, "window", *([_c(label).alias("label")] if label else []))
+    """Every ``stride``-th full window as an array of arrays, with the label of its last row.
+
+    Rows of a group pass one task in order; only windows that are kept are built,
+    and window - 1 rows are all that is held from batch to batch.
+    """
+    own = df.select(*keys, _c(order).alias(order), *([_c(label).alias("label")] if label else []), *[_c(c).cast("double").alias(f"_w{i}") for i, c in enumerate(columns)])
+
+    def run(batches):
+        last, held = None, np.zeros((0, len(columns)))
+        for batch in batches:
+            values = np.stack([batch.column(f"_w{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))], axis=1)
+            starts, rows, windows = starts_of(batch, keys), [], []
+            for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(values)], strict=True)):
+                if not (i == 0 and last is not None and last == key_at(batch, keys, 0)):
+                    held = held[:0]
+                before = len(held)
+                held = np.concatenate([held, values[a:b]])
+                at = np.asarray(batch.column(order)[a:b].to_numpy(zero_copy_only=False))
+                kept = np.flatnonzero((np.arange(before, len(held)) >= window - 1) & ((at - (window - 1)) % stride == 0))
+                if len(kept):
+                    windows.append(np.lib.stride_tricks.sliding_window_view(held, window, axis=0)[kept + before - (window - 1)].transpose(0, 2, 1))
+                    rows.append(a + kept)
+                held = held[max(0, len(held) - (window - 1)) :]
+            if len(values):
+                last = key_at(batch, keys, len(values) - 1)
+            if rows:
+                flat = pa.array(np.concatenate(windows).reshape(-1), from_pandas=True)
+                inner = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(columns), dtype=np.int32), flat)
+                outer = pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, window, dtype=np.int32), inner)
+                picked = batch.take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*(picked.column(n) for n in [*keys, order]), outer, *([picked.column("label")] if label else [])], names=[*keys, order, "window", *(["label"] if label else [])])
+
+    types = dict(own.dtypes)
+    schema = [*(f"`{c}` {types[c]}" for c in [*keys, order]), "window array<array<double>>", *([f"label {types['label']}"] if label else [])]
+    return cluster(own, keys, order).mapInArrow(run, ", ".join(schema))
 
 
 def pool_window(window="window") -> tuple[Column, Column]:

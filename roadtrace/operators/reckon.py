@@ -64,32 +64,46 @@ def _corr(a: np.ndarray, b: np.ndarray) -> float:
     return float(((a - a.mean()) * (b - b.mean())).mean() / (sa * sb)) if sa > 0 and sb > 0 else 0.0
 
 
-def calibrate_window(acc, gravity, gyro, speed, course, azimuth, angles: int = 180) -> dict:
-    """Forward axis, accelerometer bias, yaw sign and bias, and compass offset from a window with fixes.
+def forward_axis(linear: np.ndarray, up: np.ndarray, dv: np.ndarray, angles: int = 180) -> tuple[np.ndarray, float]:
+    """The horizontal axis along which the smoothed acceleration correlates best with the change of speed, and how well (-2: nothing moves).
 
-    The correlation of every candidate direction with dv/dt follows from six
-    moments of the two horizontal channels.
+    The correlation of every candidate direction follows from six moments of the two horizontal channels.
     """
-    up = gravity.mean(axis=0)
-    up = up / np.linalg.norm(up)
     e1, e2 = horizontal_basis(up)
-    linear = acc - gravity
-    c1, c2, dv = lowpass(linear @ e1), lowpass(linear @ e2), lowpass(np.gradient(speed) * RATE)
-    m = np.cov(np.stack([c1, c2, dv]), bias=True)
-    th = np.linspace(0, 2 * np.pi, angles, endpoint=False)
-    co, si = np.cos(th), np.sin(th)
-    spread = np.sqrt(np.maximum(co * co * m[0, 0] + si * si * m[1, 1] + 2 * co * si * m[0, 1], 0))
+    m = np.cov(np.stack([lowpass(linear @ e1), lowpass(linear @ e2), dv]), bias=True)
+    turn = np.linspace(0, 2 * np.pi, angles, endpoint=False)
+    ways = np.stack([np.cos(turn), np.sin(turn)])
+    spread = np.sqrt(np.maximum((ways * (m[:2, :2] @ ways)).sum(axis=0), 0))
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.where((spread >= 1e-6) & (m[2, 2] > 0), (co * m[0, 2] + si * m[1, 2]) / (spread * math.sqrt(max(m[2, 2], 1e-300))), -2.0)
+        r = np.where((spread >= 1e-6) & (m[2, 2] > 0), (m[2, :2] @ ways) / (spread * math.sqrt(max(m[2, 2], 1e-300))), -2.0)
     best = int(np.argmax(r))
-    forward = co[best] * e1 + si[best] * e2 if r[best] > -2 else e1
-    bias = float(np.mean(lowpass(linear @ forward) - dv))
-    live_up = gravity / np.maximum(np.linalg.norm(gravity, axis=1, keepdims=True), 1e-6)
-    yaw = (gyro * live_up).sum(axis=1)
-    turning = np.gradient(np.unwrap(course)) * RATE
+    return (ways[0, best] * e1 + ways[1, best] * e2 if r[best] > -2 else e1), float(r[best])
+
+
+def turn_rate(course: np.ndarray) -> np.ndarray:
+    return np.gradient(np.unwrap(course)) * RATE
+
+
+def yaw_rate(gyro: np.ndarray, gravity: np.ndarray) -> np.ndarray:
+    """Rotation about the vertical of each sample."""
+    return (gyro * (gravity / np.maximum(np.linalg.norm(gravity, axis=1, keepdims=True), 1e-6))).sum(axis=1)
+
+
+def compass_offset(course: np.ndarray, azimuth: np.ndarray) -> tuple[float, float]:
+    """Mean angle from azimuth to course, and how much the samples agree (0 to 1)."""
+    z = np.mean(np.exp(1j * (course - azimuth)))
+    return float(np.angle(z)), float(abs(z))
+
+
+def calibrate_window(acc, gravity, gyro, speed, course, azimuth, angles: int = 180) -> dict:
+    """Forward axis, accelerometer bias, yaw sign and bias, and compass offset from a window with fixes."""
+    mean = gravity.mean(axis=0)
+    up, linear, dv = mean / np.linalg.norm(mean), acc - gravity, lowpass(np.gradient(speed) * RATE)
+    forward, r = forward_axis(linear, up, dv, angles)
+    yaw, turning = yaw_rate(gyro, gravity), turn_rate(course)
     sign = 1.0 if _corr(yaw, turning) >= 0 else -1.0
-    off = np.angle(np.mean(np.exp(1j * (course - azimuth))))
-    return {"up": up, "forward": forward, "accel_bias": bias, "yaw_sign": sign, "yaw_bias": float(np.mean(sign * yaw - turning)), "corr": float(r[best]), "az_offset": float(off)}
+    bias = float(np.mean(lowpass(linear @ forward) - dv))
+    return {"up": up, "forward": forward, "accel_bias": bias, "yaw_sign": sign, "yaw_bias": float(np.mean(sign * yaw - turning)), "corr": r, "az_offset": compass_offset(course, azimuth)[0]}
 
 
 CALIBRATION = "up array<double>, forward array<double>, accel_bias double, yaw_sign double, yaw_bias double, corr double, az_offset double"
@@ -132,22 +146,19 @@ def calibrate_procrustes_window(t, acc, gravity, gyro, speed, course, azimuth, m
     grid = np.arange(t[0], t[-1] + 1e-9, 0.1)
     at = np.searchsorted(t, grid + 1e-9, side="right") - 1
     acc, gravity, gyro, speed, course, azimuth = (x[at] for x in (acc, gravity, gyro, speed, course, azimuth))
-    up = gravity.mean(axis=0)
-    up = up / np.linalg.norm(up)
-    e1, e2 = horizontal_basis(up)
-    linear = acc - gravity
-    turning = np.gradient(np.unwrap(course)) * RATE
+    mean = gravity.mean(axis=0)
+    e1, e2 = horizontal_basis(mean / np.linalg.norm(mean))
+    linear, turning = acc - gravity, turn_rate(course)
     dv, lateral = lowpass(np.gradient(speed) * RATE), lowpass(-speed * turning)
     angle, fit = procrustes_yaw(dv, lateral, lowpass(linear @ e1), lowpass(linear @ e2))
-    forward = math.cos(angle) * e1 - math.sin(angle) * e2
     if fit < min_corr:
         return None
-    live_up = gravity / np.maximum(np.linalg.norm(gravity, axis=1, keepdims=True), 1e-6)
-    yaw = (gyro * live_up).sum(axis=1)
+    forward = math.cos(angle) * e1 - math.sin(angle) * e2
+    yaw = yaw_rate(gyro, gravity)
     r = _corr(lowpass(yaw), lowpass(turning))
     sign = float(np.sign(r)) if abs(r) >= 0.5 else -1.0
-    z = np.mean(np.exp(1j * (course - azimuth)))
-    return {"forward": forward, "fit": fit, "accel_bias": float(np.mean(lowpass(linear @ forward) - dv)), "yaw_sign": sign, "yaw_bias": float(np.mean(sign * yaw - turning)), "az_offset": float(np.angle(z)), "compass_r": float(abs(z))}
+    offset, agreement = compass_offset(course, azimuth)
+    return {"forward": forward, "fit": fit, "accel_bias": float(np.mean(lowpass(linear @ forward) - dv)), "yaw_sign": sign, "yaw_bias": float(np.mean(sign * yaw - turning)), "az_offset": offset, "compass_r": agreement}
 
 
 def calibrate_procrustes(df: DataFrame, keys: list[str], time: str = "t", min_seconds: float = 8.0, min_corr: float = 0.3) -> DataFrame:

@@ -366,10 +366,14 @@ def lattice(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("length", F.lit(SPACING)).withColumn("edge", F.concat_ws("-", "a", "b"))
 
 
+def with_streets(spark, d, df):
+    """Add the number of streets of the lattice (one number, so one row is broadcast)."""
+    return df.crossJoin(F.broadcast(table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))))
+
+
 def road_points(spark, d):
-    e = table(spark, d, "events")
-    side = e.agg((F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long") - 1).alias("m"))
-    return e.crossJoin(F.broadcast(side)).select("event_id", *[F.pmod(F.col("event_id") * f, 100 * F.col("m")).cast("double").alias(c) for c, f in (("e", 37), ("n", 53))])
+    e = with_streets(spark, d, table(spark, d, "events"))
+    return e.select("event_id", *[F.pmod(F.col("event_id") * f, 100 * (F.col("streets") - 1)).cast("double").alias(c) for c, f in (("e", 37), ("n", 53))])
 
 
 @query("SELECT event_id, a || '-' || b AS edge, round(distance, 6) AS distance, round(along, 6) AS along FROM projected WHERE distance <= 40", LATTICE)
@@ -450,8 +454,7 @@ def stairs(place):
 
 def turning_drives(spark, d):
     """Each session with all its rows drives the stairs there and back, a little beside the road."""
-    side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
-    s = samples(spark, d).crossJoin(F.broadcast(side)).withColumn("length", (F.col("streets") - 1) * SPACING)
+    s = with_streets(spark, d, samples(spark, d)).withColumn("length", (F.col("streets") - 1) * SPACING)
     place = folded(SPACING * F.pmod("user_id", 2 * F.col("streets") - 2) + 25 + F.col("row_idx") * 50.0, 2 * F.col("length"))
     x, y, east = stairs(F.col("place"))
     s = s.withColumn("place", place).withColumns({"x": x, "y": y, "east": east, "off": F.pmod("event_id", F.lit(7)).cast("double")})
@@ -477,8 +480,7 @@ def folded(along, length):
 
 def whole_drives(spark, d):
     """Each session with all its rows drives back and forth along its street of the whole lattice, a little beside it."""
-    side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
-    s = samples(spark, d).crossJoin(F.broadcast(side)).withColumn("length", (F.col("streets") - 1) * SPACING)
+    s = with_streets(spark, d, samples(spark, d)).withColumn("length", (F.col("streets") - 1) * SPACING)
     e = folded(F.col("row_idx") * 40.0 + 20, F.col("length"))
     return s.select("session_key", F.col("row_idx").cast("long").alias("row_idx"), e.alias("e"), (F.pmod("user_id", F.col("streets")) * SPACING + F.pmod("event_id", F.lit(7))).cast("double").alias("n"))
 
@@ -499,8 +501,7 @@ def m5_hmm_match_whole(spark, d):
     SELECT session_key, row_idx, 2 * length + 100 AS last, least(2 * length + 100, 200.0 * (user_id % (streets - 1)) + 15 + 12 * (row_idx + 1)) AS p FROM samples, side))""", FOLDED)
 def m6_map_aided_walk(spark, d):
     """All rows of all sessions up the stairs with a turn at each corner, and beyond the lattice's last corner to the end of a blind alley, where they stay."""
-    side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
-    s = samples(spark, d).crossJoin(F.broadcast(side)).withColumns({"step": F.col("row_idx").cast("long"), "speed": F.lit(12.0), "from": 2 * SPACING * F.pmod("user_id", F.col("streets") - 1) + 15})
+    s = with_streets(spark, d, samples(spark, d)).withColumns({"step": F.col("row_idx").cast("long"), "speed": F.lit(12.0), "from": 2 * SPACING * F.pmod("user_id", F.col("streets") - 1) + 15})
     block = lambda after: F.floor((F.col("from") + 12 * after) / SPACING)
     # a right angle in the second in which a corner is passed: left after a block east, right after a block north
     turn = F.when(block(F.col("step") + 1) == block(F.col("step")), 0.0).when(block(F.col("step")) % 2 == 0, -math.pi / 2).otherwise(math.pi / 2)
@@ -519,9 +520,8 @@ def m6_map_aided_walk(spark, d):
 @query("SELECT session_key, row_idx AS step, round(length - abs((15.0 + (row_idx + 1) * 12) % (2 * length) - length), 4) AS map_e, round(100.0 * (user_id % streets), 4) AS map_n FROM samples, side", FOLDED)
 def m6_map_aided_walk_whole(spark, d):
     """All rows of all sessions along the whole of a street, turning back at its ends."""
-    side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
     s = samples(spark, d).select("session_key", "user_id", F.col("row_idx").cast("long").alias("step"), F.lit(0.0).alias("yaw_rate"), F.lit(12.0).alias("speed"))
-    start = s.groupBy("session_key", "user_id").agg((F.sum("speed") + SPACING).alias("reach")).crossJoin(F.broadcast(side))
+    start = with_streets(spark, d, s.groupBy("session_key", "user_id").agg((F.sum("speed") + SPACING).alias("reach")))
     start = start.select("session_key", F.lit(15.0).alias("e"), (F.pmod("user_id", F.col("streets")) * SPACING).cast("double").alias("n"), F.lit(math.pi / 2).alias("h"), F.least(F.col("reach"), F.col("streets") * SPACING).alias("reach"))
     streets = lattice(spark, d).where("an = bn")
     at = roads.anchor(start, streets, ["session_key"], "h")
@@ -531,8 +531,7 @@ def m6_map_aided_walk_whole(spark, d):
 
 def street_drives(spark, d):
     """All rows of each session as a drive at 10 Hz and 10 to 15 m/s back and forth on its street of the lattice, with a gyro that errs."""
-    side = table(spark, d, "events").agg(F.greatest(F.lit(8), F.ceil(F.sqrt(F.count_distinct("user_id")))).cast("long").alias("streets"))
-    s = samples(spark, d).crossJoin(F.broadcast(side)).withColumns({"length": (F.col("streets") - 1) * SPACING, "speed": 10 + F.col("k") / 20})
+    s = with_streets(spark, d, samples(spark, d)).withColumns({"length": (F.col("streets") - 1) * SPACING, "speed": 10 + F.col("k") / 20})
     w = W.partitionBy(*KEYS).orderBy("row_idx").rowsBetween(W.unboundedPreceding, 0)
     s = s.withColumn("along", F.pmod("user_id", F.lit(97)) * 37.0 + F.sum(F.col("speed") / 10).over(w))
     east = F.pmod("along", 2 * F.col("length")) < F.col("length")

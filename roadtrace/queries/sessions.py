@@ -299,7 +299,7 @@ def a21_row_alignment(spark, d):
 
 LAGS = PRELUDE + f""", lagged AS (
   SELECT p.driver_id, p.session_key, lag, p.speed_kmh AS x, v.velocity_kmh AS y, {SEPARATION.replace('hav', '(sin(radians(v.vehicle_lat - p.lat) / 2) ** 2 + cos(radians(p.lat)) * cos(radians(v.vehicle_lat)) * sin(radians(v.vehicle_lon - p.lon) / 2) ** 2)')} AS sep
-  FROM samples p, (SELECT CAST(unnest(range(-4, 5)) AS INTEGER) AS lag) l JOIN vehicle v ON v.session_key = p.session_key AND v.row_idx = p.row_idx + lag
+  FROM samples p, (SELECT CAST(unnest(range(-50, 51)) AS INTEGER) AS lag) l JOIN vehicle v ON v.session_key = p.session_key AND v.row_idx = p.row_idx + lag
 ), sweep AS (
   SELECT driver_id, session_key, lag, {corr_sql("x", "y", 20)} AS speed_corr, quantile_cont(sep, 0.5) AS median_separation, quantile_cont(sep, 0.95) AS p95_separation FROM lagged GROUP BY ALL
 ), best AS (
@@ -314,7 +314,7 @@ BEST_COLUMNS = ("best_corr", "best_separation", "best_p95", "zero_corr", "zero_s
 
 
 def sweep(spark, d):
-    return align.lag_sweep(samples(spark, d), vehicle(spark, d), KEYS, 4)
+    return align.lag_sweep(samples(spark, d), vehicle(spark, d), KEYS, 50)
 
 
 @query("SELECT * REPLACE (" + ", ".join(f"round({c}, 4) AS {c}" for c in BEST_COLUMNS) + ") FROM best", LAGS)
@@ -482,7 +482,7 @@ def l1_lag_sweep(spark, d):
 
 @query("SELECT driver_id, session_key, lag, " + ", ".join(f"round({c}, 4) AS {c}" for c in LAG_COLUMNS) + " FROM sweep", LAGS)
 def l1_lag_sweep_exact(spark, d):
-    return rounded(align.lag_sweep_exact(samples(spark, d), vehicle(spark, d), KEYS, 4), *LAG_COLUMNS, places=4)
+    return rounded(align.lag_sweep_exact(samples(spark, d), vehicle(spark, d), KEYS, 50), *LAG_COLUMNS, places=4)
 
 
 @query("""SELECT driver_id, session_key, best_lag, CASE WHEN zero_corr >= 0.8 AND zero_separation <= 100 THEN 'verified_row_alignment' WHEN best_corr >= 0.8 AND gain >= 0.05 THEN 'lag_candidate_manual_review' WHEN zero_corr >= 0.8 THEN 'strong_speed_manual_review' ELSE 'review' END AS quality FROM best""", LAGS)
