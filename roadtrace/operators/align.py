@@ -22,21 +22,37 @@ def lag_sweep_exact(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_l
     return p.groupBy(*keys, "lag").agg(stats.safe_corr("speed_kmh", "velocity_kmh", min_n).alias("speed_corr"), F.percentile("_sep", 0.5).alias("median_separation"), F.percentile("_sep", 0.95).alias("p95_separation"))
 
 
-def _shift(n: int, lag: int) -> tuple[slice, slice]:
-    return slice(max(0, -lag), min(n, n - lag)), slice(max(0, lag), min(n, n + lag))
-
-
 def _haversine(lat1, lon1, lat2, lon2):
     a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
     return 2 * geo.EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(1 - a, 0)))
 
 
-def _masked_corr(x: np.ndarray, y: np.ndarray, min_n: int) -> float | None:
+def _percentiles(x: np.ndarray, q: tuple[float, ...]) -> list[np.ndarray]:
+    """Interpolated percentiles of the finite values of each row; NaN for a row without any."""
+    x = np.sort(np.where(np.isfinite(x), x, np.nan), axis=1)  # NaN sorts to the end
+    n = np.isfinite(x).sum(axis=1)
+    rows, out = np.arange(len(x)), []
+    for p in q:
+        at = p * np.maximum(n - 1, 0)
+        low = np.floor(at).astype(int)
+        a, b = x[rows, low], x[rows, np.minimum(low + 1, np.maximum(n - 1, 0))]
+        out.append(np.where(n > 0, a + (b - a) * (at - low), np.nan))
+    return out
+
+
+def _row_corr(x: np.ndarray, y: np.ndarray, min_n: int) -> np.ndarray:
+    """Correlation of each pair of rows over their jointly finite values; NaN where there are too few or one does not vary."""
     ok = np.isfinite(x) & np.isfinite(y)
-    x, y = x[ok], y[ok]
-    if len(x) < max(1, min_n) or x.std() == 0 or y.std() == 0:
-        return None
-    return float(((x - x.mean()) * (y - y.mean())).mean() / (x.std() * y.std()))
+    n = np.maximum(ok.sum(axis=1), 1)
+    dx, dy = (np.where(ok, v - (np.where(ok, v, 0).sum(axis=1) / n)[:, None], 0.0) for v in (x, y))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (dx * dy).sum(axis=1) / np.sqrt((dx * dx).sum(axis=1) * (dy * dy).sum(axis=1))
+    vary = (np.abs(dx).max(axis=1) > 0) & (np.abs(dy).max(axis=1) > 0)
+    return np.where((ok.sum(axis=1) >= max(1, min_n)) & vary, r, np.nan)
+
+
+#: Values of the shifted recordings that are laid out together.
+LAID_OUT = 1 << 20
 
 
 def lag_sweep(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag: int = 50, min_n: int = 20) -> DataFrame:
@@ -49,14 +65,15 @@ def lag_sweep(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag: in
             n = min(len(p), len(v))
             ps, pla, plo = (p[c].to_numpy(float)[:n] for c in ("speed_kmh", "lat", "lon"))
             vs, vla, vlo = (v[c].to_numpy(float)[:n] for c in ("velocity_kmh", "vehicle_lat", "vehicle_lon"))
-            for lag in range(-max_lag, max_lag + 1):
-                a, b = _shift(n, lag)
-                if a.stop <= a.start:
-                    continue
-                sep = _haversine(pla[a], plo[a], vla[b], vlo[b])
-                sep = sep[np.isfinite(sep)]
-                q = np.percentile(sep, [50, 95]) if len(sep) else (None, None)
-                rows.append((lag, _masked_corr(ps[a], vs[b], min_n), q[0], q[1]))
+            lags = np.arange(-max_lag, max_lag + 1)
+            lags = lags[np.abs(lags) < n]
+            step = max(1, LAID_OUT // n)
+            for part in np.split(lags, range(step, len(lags), step)):
+                at = np.arange(n) + part[:, None]
+                inside = (at >= 0) & (at < n)
+                shifted = lambda v, at=at, inside=inside: np.where(inside, v[np.clip(at, 0, n - 1)], np.nan)
+                sep = _haversine(pla, plo, shifted(vla), shifted(vlo))
+                rows += zip(part.tolist(), _row_corr(np.broadcast_to(ps, at.shape), shifted(vs), min_n).tolist(), *(q.tolist() for q in _percentiles(sep, (0.5, 0.95))), strict=True)
         out = pd.DataFrame(rows, columns=["lag", "speed_corr", "median_separation", "p95_separation"])
         for k in keys:
             out[k] = p[k].iloc[0] if len(p) else None
