@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from roadtrace.llm.storage import materialize
 
 MAX_PARTS, GROWTH = 1_000_000, 10
+#: Tasks that ranges are dealt to; more ranges share a task, one after the other.
+MAX_TASKS = 20_000
 #: What a row counts besides its contents.
 ROW_BYTES = 64
 _LEAST = -(2**63)
@@ -100,7 +102,7 @@ def cut(rows: DataFrame, id_col: str, contents: list[str], size: Column, per_par
 
 
 def deal(rows: DataFrame, ranges: Ranges, id_col: str, contents: list[str], tails: bool = False, carried: tuple | list = ()) -> DataFrame:
-    """Rows of ``id_col``, ``contents`` and ``carried`` (columns that are alike wherever those are) with _h, _n (copies) and _part, each part in a partition of its own, in order of (_part, _tail, id, contents).
+    """Rows of ``id_col``, ``contents`` and ``carried`` (columns that are alike wherever those are) with _h, _n (copies) and _part, each part whole in one partition, in order of (_part, _tail, id, contents).
 
     With ``tails`` the rows of each part's first id also go to the part before it
     (those of the first part to the last), with ``_tail`` 1. Rows of one id are in
@@ -133,5 +135,6 @@ def deal(rows: DataFrame, ranges: Ranges, id_col: str, contents: list[str], tail
         out = out.withColumn("_to", F.explode(to)).withColumns({"_part": F.col("_to.p"), "_tail": F.col("_to.t")}).drop("_to")
     else:
         out = out.withColumn("_tail", F.lit(0))
-    out = out.drop("_first").repartitionById(max(1, ranges.n), F.col("_part").cast("int"))
+    tasks = max(1, min(ranges.n, MAX_TASKS))
+    out = out.drop("_first").repartitionById(tasks, F.expr(f"cast(_part * {tasks} div {max(1, ranges.n)} as int)"))
     return out.sortWithinPartitions("_part", "_tail", id_col, *contents)

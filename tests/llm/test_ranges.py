@@ -34,7 +34,8 @@ ROWS = {
 
 
 @pytest.mark.parametrize("kind", ROWS)
-def test_ranges(spark, kind):
+def test_ranges(spark, monkeypatch, kind):
+    monkeypatch.setattr(ranges, "MAX_TASKS", 7)
     rows = ROWS[kind]
     got = {n: dealt(pages(spark, rows).repartition(n), 2000) for n in (1, 5)}
     keyed = {n: sorted((r["_part"], r["page_id"] is not None, r["page_id"] or 0, r["url"] or "", r["html"] or "", r["_n"]) for r in own) for n, own in got.items()}
@@ -78,8 +79,9 @@ def test_ten_thousand_rows_of_one_id(spark, ids):
     assert len(got) == 10_000 and (ids != "alike" or {r["near_next"] for r in got} == {1.0})
 
 
-def test_next_row_of_all_rows(spark):
-    """The edited texts of distinct ids over many small ranges, by hand."""
+def test_next_row_of_all_rows(spark, monkeypatch):
+    """The edited texts of distinct ids over many small ranges, some to a task, by hand."""
+    monkeypatch.setattr(ranges, "MAX_TASKS", 3)
     rows = [(3 * i, f"text number {i} " * (1 + i % 5)) for i in range(300)]
     got = {r["doc_id"]: r["edited_sha256"] for r in simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), per_task=700).collect()}
     for (i, t), (_, x) in zip(rows, [*rows[1:], rows[0]], strict=True):
