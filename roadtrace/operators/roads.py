@@ -46,36 +46,47 @@ def build_road_graph(ways: DataFrame, lat0: float, lon0: float) -> tuple[DataFra
     return nodes, edges.where("length > 0").withColumn("edge", F.concat_ws("-", "a", "b"))
 
 
-def grid_index(edges: DataFrame, cell: float = CELL_M) -> DataFrame:
-    """edge, cx, cy: the cells of each edge's bounding box."""
+def _box(edges: DataFrame, cell: float) -> DataFrame:
+    """``edges`` once for each cell (cx, cy) of their bounding boxes, with the least cell (_x0, _y0)."""
     low = lambda c: F.floor(F.least(f"a{c}", f"b{c}") / cell)
     high = lambda c: F.floor(F.greatest(f"a{c}", f"b{c}") / cell)
-    return edges.select("edge", F.explode(F.sequence(low("e"), high("e"))).alias("cx"), low("n").alias("y0"), high("n").alias("y1")).select("edge", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
+    rows = edges.withColumns({"_x0": low("e"), "_y0": low("n"), "_y1": high("n"), "cx": F.explode(F.sequence(low("e"), high("e")))})
+    return rows.withColumn("cy", F.explode(F.sequence("_y0", "_y1"))).drop("_y1")
+
+
+def grid_index(edges: DataFrame, cell: float = CELL_M) -> DataFrame:
+    """edge, cx, cy: the cells of each edge's bounding box."""
+    return _box(edges, cell).select("edge", "cx", "cy")
 
 
 def own_edges(points: DataFrame, edges: DataFrame, keys: list[str], reach, cell: float = CELL_M, e: str = "e", n: str = "n") -> DataFrame:
     """Each key's own subgraph: all edges within ``reach`` (metres, or a column of them) of one of its points, and some more of the same cells.
 
-    Points go to the cells of their reach box and edges to theirs, so it is an equi-join.
+    Points become the cells they lie in, these the cells of their reach, and edges
+    go to theirs, so it is an equi-join.
     """
-    side = lambda c: F.sequence(F.floor((_c(c) - F.col("_r")) / cell), F.floor((_c(c) + F.col("_r")) / cell))
-    p = points.withColumn("_r", _c(reach) if isinstance(reach, str) else F.lit(float(reach)))
-    cells = p.select(*keys, F.explode(side(e)).alias("cx"), side(n).alias("_y")).select(*keys, "cx", F.explode("_y").alias("cy")).distinct()
+    at = points.select(*keys, F.floor(_c(e) / cell).alias("_x"), F.floor(_c(n) / cell).alias("_y"), (_c(reach) if isinstance(reach, str) else F.lit(float(reach))).alias("_r"))
+    at = at.groupBy(*keys, "_x", "_y").agg(F.ceil(F.max("_r") / cell).alias("_r"))
+    side = lambda c: F.sequence(F.col(c) - F.col("_r"), F.col(c) + F.col("_r"))
+    cells = at.select(*keys, F.explode(side("_x")).alias("cx"), side("_y").alias("_y")).select(*keys, "cx", F.explode("_y").alias("cy")).distinct()
     return cells.join(grid_index(edges, cell), ["cx", "cy"]).select(*keys, "edge").distinct().join(edges, "edge")
 
 
 def near_edges(points: DataFrame, edges: DataFrame, keys: list[str], radius: float, k: int = 8, e: str = "e", n: str = "n") -> DataFrame:
     """The at most ``k`` nearest edges within ``radius`` of each point, with foot point, distance and place along; rank from 1.
 
-    Points go to the cells of their radius box and edges to theirs, so it is an equi-join.
+    Points go to the cells of their radius box and edges to theirs, so it is an
+    equi-join; of the cells that a point and an edge share, the least one counts.
     """
     cell = max(CELL_M, radius)
-    side = lambda c: F.sequence(F.floor((_c(c) - radius) / cell), F.floor((_c(c) + radius) / cell))
-    p = points.select(*keys, _c(e).alias("pe"), _c(n).alias("pn")).withColumn("cx", F.explode(side("pe"))).withColumn("cy", F.explode(side("pn")))
-    pairs = p.join(grid_index(edges, cell), ["cx", "cy"]).select(*keys, "pe", "pn", "edge").dropDuplicates([*keys, "edge"])
-    full = pairs.join(edges.select("edge", "a", "b", "ae", "an", "be", "bn", "length"), "edge")
-    full = full.withColumns(geo.project_to_segment("pe", "pn", "ae", "an", "be", "bn")).where(F.col("distance") <= radius)
-    return full.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", "edge"))).where(F.col("rank") <= k)
+    first = lambda c: F.floor((_c(c) - radius) / cell)
+    last = lambda c: F.floor((_c(c) + radius) / cell)
+    p = points.select(*keys, _c(e).alias("pe"), _c(n).alias("pn")).withColumns({"_px": first("pe"), "_py": first("pn")})
+    p = p.withColumn("cx", F.explode(F.sequence("_px", last("pe")))).withColumn("cy", F.explode(F.sequence("_py", last("pn"))))
+    roads = _box(edges.select("edge", "a", "b", "ae", "an", "be", "bn", "length"), cell)
+    pairs = p.join(roads, ["cx", "cy"]).where((F.col("cx") == F.greatest("_px", "_x0")) & (F.col("cy") == F.greatest("_py", "_y0"))).drop("cx", "cy", "_px", "_py", "_x0", "_y0")
+    near = pairs.withColumns(geo.project_to_segment("pe", "pn", "ae", "an", "be", "bn")).where(F.col("distance") <= radius)
+    return near.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", "edge"))).where(F.col("rank") <= k)
 
 
 def near_edges_expanding(points: DataFrame, edges: DataFrame, keys: list[str], radius: float = 60.0, most: float = 200.0, k: int = 8, e: str = "e", n: str = "n") -> DataFrame:
