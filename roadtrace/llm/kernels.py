@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters handled at once; bounds the scratch arrays to a few tens of MB.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: np.ndarray = np.ones(1, np.uint64)
 _inverse: np.ndarray = np.ones(1, np.uint64)

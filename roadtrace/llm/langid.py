@@ -32,8 +32,8 @@ PART = 24
 #: Places after which sums are scaled: no product of so many probabilities, down to 1e-30 each, leaves the doubles.
 SCALED = 8
 #: Places of all words that are fitted together.
-FIT_PLACES = 240_000
-CACHE_WORDS = 1_000_000
+FIT_PLACES = 48_000
+CACHE_WORDS = 400_000
 #: Rank of the documents that are held out: crc32(doc_id as text) mod FOLDS = HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
 UNDETERMINED = "und"

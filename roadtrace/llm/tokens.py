@@ -16,7 +16,7 @@ from roadtrace.llm.kernels import chunks, ragged, span_hashes
 
 END_ID = 1
 #: Distinct pre-tokens a worker remembers (about 40 bytes each); beyond it the memory starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 _LATIN = 0x250
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
