@@ -194,7 +194,7 @@ class TokenFile:
 _FILES_PER_BLOCK = 1000
 
 
-def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, per_file: int = 2 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, per_file: int = 6 << 20) -> DataFrame:
     """Encode each text, append id 1, and write files of about ``per_file`` text bytes in ascending ``id_col`` order.
 
     A null text is empty; rows of a null id come first, rows of equal ids stay
