@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadtrace.llm import linededup, sharding
+from roadtrace.llm import audit, collocations, linededup, sharding
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -75,4 +75,6 @@ ORACLES = {
     "op4_line_dedup": linededup.ORACLE,
     "op6_jaccard_join": JACCARD,
     "op8_extendible_hashing": sharding.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op13_filter_audit": audit.ORACLE,
 }
