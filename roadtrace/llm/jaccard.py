@@ -18,7 +18,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.llm.graph import components
@@ -203,33 +203,34 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, crossing: bool, thresh
     return i[ok], j[ok]
 
 
+def _text_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """_z (no id), _i, _t: which text of the table a row holds, ids in order and none last."""
+    return [doc_id.isNull().alias("_z"), F.coalesce(doc_id, F.lit(0)).alias("_i"), text_hash.alias("_t")]
+
+
 def verified_links(docs: DataFrame, classes: DataFrame, comps: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """key, root, links: for each class in a component and each of its tasks the rows of linked classes and the least linked class there."""
     spark = docs.sparkSession
-    nodes = comps.join(classes.select("key", "rep", "rep_hash", "size", "n"), F.col("node") == F.col("key")).select("key", "root", "rep", "rep_hash", "size", "n")
+    nodes = comps.join(classes.select("key", "first", "size", "n"), F.col("node") == F.col("key")).select("key", "root", "first", "size", "n")
     nodes = materialize(nodes, "nodes")
     volume = nodes.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     volume = materialize(volume.withColumn("k", F.expr(f"cast(greatest(ceil(m / {CHUNK}), ceil(w / {CHUNK_SHINGLES}), 1) as int)")), "volume")
     count, total = volume.agg(F.sum("m"), F.sum(F.expr("w * k"))).head()
     sized = join_hot(nodes, volume, "root", "m", count or 0, ["k"])
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    wanted = ["key", "root", "size", "k", "text"]
-    rows = text.join(sized, "rep").select(*wanted)
-    if not nodes.where("rep is null").isEmpty():  # classes of rows without an id find their text by its hash
-        nameless = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("rep_hash")).agg(F.first("text").alias("text"))
-        rows = rows.unionByName(nameless.join(sized.where("rep is null"), "rep_hash").select(*wanted))
+    # one text of each id and hash, however often its row repeats; the join takes the grouping's partitions
+    texts = docs.select(*_text_key(F.col("doc_id").cast("long"), F.xxhash64("text")), "text").groupBy("_z", "_i", "_t").agg(F.first("text").alias("text"))
+    rows = texts.join(sized.select("key", "root", "size", "k", "first.*"), ["_z", "_i", "_t"]).select("key", "root", "size", "k", "text")
     tasks = _chunk_tasks(rows, "root", "k").select("task", "crossing", "side", "key", "size", "text")
     tasks = tasks.repartition(partitions_for(spark, int(total or 0) * 6, 8 << 20), "task").sortWithinPartitions("task")
 
     def verify(batches):
         for frame in iter_groups((b.to_pandas() for b in batches), "task"):
             for _, own in frame.groupby("task", sort=False):
-                own = own.drop_duplicates("key")
                 texts = own["text"].tolist()
                 sets = [s for a, b in chunks(texts) for s in shingle_sets(texts[a:b], k)]
                 keys = own["key"].tolist()
                 ok = np.array([len(s) > 0 and set_key(s) == bytes(key) for s, key in zip(sets, keys, strict=True)], bool)
-                if ok.sum() < 2:  # another row of the same doc_id has a different text
+                if ok.sum() < 2:
                     continue
                 at = np.flatnonzero(ok)
                 side, size = own["side"].to_numpy()[at], own["size"].to_numpy()[at]
@@ -248,40 +249,42 @@ def similarity_join(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
 
     ``n_links`` counts all other rows of similarity >= ``threshold``, copies included. A
     null or wordless text is linked to nothing: its class and copy are its own
-    doc_id. Repeated rows are copies of each other. A null doc_id counts as a row
-    but names no class. An empty table gives no rows.
+    doc_id. Repeated rows are copies of each other, and rows of one id with different
+    texts are rows of their own. A null doc_id counts as a row but names no class. An
+    empty table gives no rows.
     """
-    return _joined(docs, k, threshold, tolerance).drop("text_hash")
+    return _joined(docs, k, threshold, tolerance).drop("text_hash", "class_hash")
 
 
 def _joined(docs: DataFrame, k: int, threshold: float, tolerance: float) -> DataFrame:
     sigs = materialize(signatures(docs, k), "signatures")
-    grouped = sigs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("rep_hash"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    grouped = sigs.where("key is not null").groupBy("key").agg(F.min(F.struct(*_text_key(F.col("doc_id"), F.col("text_hash")))).alias("first"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(grouped, "classes")
     comps = candidate_components(classes, threshold, tolerance)
     links = materialize(verified_links(docs, classes, comps, k, threshold), "links")
     groups = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     per_class = links.groupBy("key").agg(F.sum("links").alias("links"))
-    named = classes.select("key", "rep", "size").join(groups.select(F.col("node").alias("key"), "root"), "key", "left").join(per_class, "key", "left")
+    rep = F.when(~F.col("first._z"), F.struct(F.col("first._i").alias("id"), F.col("first._t").alias("hash")))
+    named = classes.select("key", rep.alias("rep"), "size").join(groups.select(F.col("node").alias("key"), "root"), "key", "left").join(per_class, "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key")).where("links is not null or size > 1")
     named = materialize(named, "named")
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("m"))
+    least = named.groupBy("root").agg(F.min("rep").alias("class"), F.count("*").alias("m"))
     least = materialize(least, "least")
-    info = join_hot(named, least, "root", "m", named.count(), ["class_id"])
-    info = materialize(info.select("key", "class_id", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "size"), "info")
-    out = join_hot(sigs.select("doc_id", "text_hash", "key"), info, "key", "size", sigs.count(), ["class_id", "copy_id", "n_links"])
-    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"))
+    info = join_hot(named, least, "root", "m", named.count(), ["class"])
+    info = materialize(info.select("key", F.col("class.id").alias("class_id"), F.col("class.hash").alias("class_hash"), F.col("rep.id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "size"), "info")
+    out = join_hot(sigs.select("doc_id", "text_hash", "key"), info, "key", "size", sigs.count(), ["class_id", "class_hash", "copy_id", "n_links"])
+    return out.select("doc_id", "text_hash", "class_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, one row of each class of ``similarity_join``: that of the least doc_id.
+    """The columns of ``docs``, one row of each class of ``similarity_join``: that of the least doc_id (of its texts in the class, the one of the least hash).
 
     Rows that repeat both doc_id and text are one; rows of a null id all stay.
     """
-    joined = materialize(_joined(docs, SHINGLE, THRESHOLD, TOLERANCE).select("doc_id", "text_hash", "class_id"), "joined")
+    joined = materialize(_joined(docs, SHINGLE, THRESHOLD, TOLERANCE).select("doc_id", "text_hash", "class_id", "class_hash"), "joined")
     own = [F.col("doc_id").cast("long") == F.col("_d"), F.xxhash64("text") == F.col("_t")]
     named = lambda df: df.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    kept = docs.join(named(joined.where("class_id <> doc_id")), own, "left_anti")
+    kept = docs.join(named(joined.where("class_id <> doc_id or class_hash <> text_hash")), own, "left_anti")
     twice = materialize(joined.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     if twice.isEmpty():
         return kept

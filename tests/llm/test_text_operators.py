@@ -154,29 +154,63 @@ def test_similarity_join(spark, corpus, monkeypatch):
     rng = random.Random(4)
     base = sentences(1, 9, 300)[0].split()
     rows += [(1000 + i, " ".join(w if rng.random() > 0.004 else "zz" for w in base)) for i in range(25)]
-    got = {r["doc_id"]: r for r in jaccard.similarity_join(table(spark, rows)).collect()}
+    got, want = joined_rows(spark, rows), brute_links(rows)
+    assert got == want
+    kept = {r["doc_id"] for r in jaccard.keep_one_of_each(table(spark, rows)).select("doc_id").collect()}
+    assert kept == {class_id for _, _, class_id in want}
+    assert jaccard.similarity_join(table(spark, rows).limit(0)).count() == 0
+
+
+def joined_rows(spark, rows):
+    return collections.Counter((r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard.similarity_join(table(spark, rows)).collect())
+
+
+def brute_links(rows):
+    """(doc_id, n_links, class_id) of each row, every pair of rows compared."""
     s = sets_of(rows)
-    links, parent = collections.Counter(), {i: i for i, _ in s}
+    links, root = [0] * len(s), list(range(len(s)))
 
     def find(x):
-        while parent[x] != x:
-            x = parent[x]
+        while root[x] != x:
+            x = root[x]
         return x
 
-    for n, (i, a) in enumerate(s):
-        for j, b in s[n + 1 :]:
+    for m, (_, a) in enumerate(s):
+        for n in range(m + 1, len(s)):
+            b = s[n][1]
             if a and b and len(a & b) >= 0.8 * len(a | b):
-                links[i] += 1
-                links[j] += 1
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-    # doc_id 5 occurs twice: both rows carry the same id, so only the others are compared one by one
-    for i, _ in s:
-        if i != 5:
-            assert (got[i]["n_links"], got[i]["class_id"]) == (links[i], find(i)), i
-    kept = {r["doc_id"] for r in jaccard.keep_one_of_each(table(spark, rows)).select("doc_id").collect()}
-    assert kept == {find(i) for i, _ in s}
-    assert jaccard.similarity_join(table(spark, rows).limit(0)).count() == 0
+                links[m] += 1
+                links[n] += 1
+                x, y = find(m), find(n)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for m, (i, _) in enumerate(s):
+        least[find(m)] = min(least.get(find(m), i), i)
+    return collections.Counter((i, links[m], least[find(m)]) for m, (i, _) in enumerate(s))
+
+
+def test_rows_of_one_id_with_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 64)
+    rng = random.Random(9)
+    near = lambda words, n: " ".join(w if x != n else "zz" for x, w in enumerate(words))
+    rows = []
+    for i in range(1, 41):  # two texts of each id and a near copy of each
+        for h in range(2):
+            words = [f"w{rng.randrange(400)}" for _ in range(80)]
+            rows += [(i, " ".join(words)), (100 + 2 * i + h, near(words, 79))]
+    one = [f"v{x}" for x in range(63)]  # near copies of one id, copies of a row among them
+    rows += [(900, near(one, rng.choice([0, 1, 61, 62])) + f" t{n}") for n in range(150)] + [(900, " ".join(one))] * 30
+    assert joined_rows(spark, rows) == brute_links(rows)
+    kept = collections.Counter(r["doc_id"] for r in jaccard.keep_one_of_each(table(spark, rows)).collect())
+    assert kept == collections.Counter([i for i in range(1, 41) for _ in range(2)] + [900])
+
+
+def test_ten_thousand_rows_of_one_id(spark):
+    words = [f"w{x}" for x in range(200)]
+    rows = [(1, " ".join(words[: 200 - n % 3])) for n in range(10_000)]
+    got = jaccard.similarity_join(table(spark, rows)).groupBy("class_id", "n_links", "copy_id").count().collect()
+    assert [tuple(r) for r in got] == [(1, 9_999, 1, 10_000)]
+    assert jaccard.keep_one_of_each(table(spark, rows)).count() == 1
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
