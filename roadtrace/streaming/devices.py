@@ -48,7 +48,7 @@ def outages(samples: DataFrame, fixes: DataFrame, keys: list[str], time: str, fi
     s = samples.select(*keys, _c(time).alias("t"), _c(speed).alias("v"))
     s = s.withColumn("_dt", _c("t") - F.lag("t").over(W.partitionBy(*keys).orderBy("t")))
     held = as_of(s, gaps.select(*keys, "last_fix", "start", "end"), keys, "t", "last_fix", ["start", "end"])
-    dark = held.where((F.col("t") > F.col("start")) & (F.col("end").isNull() | (F.col("t") <= F.col("end"))))
+    dark = held.where((F.col("t") > F.col("start")) & (F.col("end").isNull() | (F.col("t") < F.col("end"))))
     walked = dark.groupBy(*keys, F.col("fix_t").alias("last_fix")).agg(F.sum(F.col("v") * F.coalesce("_dt", F.lit(0.0))).alias("distance"))
     out = gaps.join(walked, [*keys, "last_fix"], "left")
     return out.select(*keys, "last_fix", "start", "end", (F.col("_until") - F.col("start")).alias("seconds"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
