@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -27,60 +30,184 @@ def strided_examples(segments: DataFrame, durations: list[int], context: int, bi
     return d.withColumn("start", F.explode(F.sequence(F.lit(bias + context).cast("bigint"), F.col("_last"), F.lit(stride).cast("bigint")))).drop("_last")
 
 
-def _scan(speed: np.ndarray, distance: float, history: int, rate: float, min_speed: float, step_s: float, tail: int, min_rows: int, min_history: float) -> list[tuple[int, int]]:
-    cum, n, s, out = np.cumsum(speed) / rate, len(speed), history, []
-    while s < n - 5:
-        e = int(np.searchsorted(cum, cum[s] + distance))
-        if e >= n - tail or e - s < min_rows or speed[s:e].mean() < min_speed or speed[s - history : s].min() < min_history:
-            s += max(1, int(rate * step_s))
-            continue
-        out.append((s, e))
-        s = e
-    return out
+#: Rows of a drive that one task scans, besides the rows it looks back and ahead.
+BLOCK = 50_000
+
+
+def _positions(df: DataFrame, keys: list[str], order: str, speed: str, extra: list[str]) -> DataFrame:
+    """Rows with a speed, with _pos (0, 1, ... in the order of their drive) and _n (rows of the drive).
+
+    ``order`` is a number; rows are counted in pieces of a drive, and only the pieces' counts of a drive meet.
+    """
+    rows = df.where(F.col(speed).isNotNull() & ~F.isnan(F.col(speed).cast("double"))).select(*keys, F.col(order).alias("_order"), F.col(speed).cast("double").alias("_v"), *extra)
+    rows = rows.withColumn("_piece", F.floor(F.col("_order") / BLOCK))
+    counts = rows.groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
+    drive = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("_rows").over(drive.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_piece").alias("_p"), before.alias("_before"), F.sum("_rows").over(drive).alias("_n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = rows.join(counts, [*same, F.col("_piece") == F.col("_p")])
+    rank = F.row_number().over(W.partitionBy(*keys, "_piece").orderBy("_order"))
+    return joined.select(*keys, "_order", "_v", *extra, (F.col("_before") + rank - 1).cast("long").alias("_pos"), F.col("_n").cast("long").alias("_n"))
+
+
+def _in_blocks(rows: DataFrame, block: int, before: int, after: int) -> DataFrame:
+    """Each row to the block of its position, and to those that look back ``before`` or ahead ``after`` rows as far as it."""
+    last = F.expr(f"(_n - 1) div {block}")
+    first, final = F.greatest(F.lit(0), F.floor((F.col("_pos") - after) / block)), F.least(last, F.floor((F.col("_pos") + before) / block))
+    return rows.withColumn("_block", F.explode(F.sequence(first.cast("long"), final.cast("long"))))
+
+
+class _Chain:
+    """The rule of a greedy scan: a row's end, whether it is taken, and the row looked at next.
+
+    Everything follows from at most ``reach`` rows ahead and ``history`` rows back, so a
+    block with that much of its neighbours knows its rows' successors.
+    """
+
+    def __init__(self, distances: list[float], history: int, rate: float, min_speed: float, step: int | None, retry: int, tail: int, min_rows: int, min_history: float):
+        if min_speed <= 0:
+            raise ValueError("min_speed bounds the length of a blackout and must be positive")
+        self.distances, self.history, self.rate, self.min_speed, self.step, self.retry, self.tail, self.min_rows, self.min_history = distances, history, rate, min_speed, step, retry, tail, min_rows, min_history
+        self.reach = math.ceil(2 * max(distances) * rate / min_speed) + 2
+        #: No row's successor is further away; so the first such rows of a block are its only ways in.
+        self.jump = max(self.reach, retry, step or 0, history + 1)
+        self.block = max(BLOCK, 4 * self.jump)
+
+    def successors(self, f: pd.DataFrame, distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """End, taken and next place (all within the frame) of each row of a block in order."""
+        v, pos, n = f["_v"].to_numpy(), f["_pos"].to_numpy(), int(f["_n"].iloc[0])
+        total = np.concatenate([[0.0], np.cumsum(v)])
+        cum = total[1:] / self.rate
+        at = np.arange(len(v))
+        end = np.searchsorted(cum, cum + distance)
+        length = end - at
+        moving = np.ones(len(v), bool)
+        if self.history:
+            moving[:] = False
+            if len(v) > self.history:
+                moving[self.history :] = np.lib.stride_tricks.sliding_window_view(v, self.history)[: len(v) - self.history].min(axis=1) >= self.min_history
+        fast = (total[end] - total[at]) / np.maximum(length, 1) >= self.min_speed
+        ok = (end < len(v)) & (pos + length < n - self.tail) & (length >= self.min_rows) & (length <= self.reach) & fast & moving & (pos >= self.history) & (pos < n - 5)
+        return end, ok, np.where(ok, end if self.step is None else at + self.step, at + self.retry)
+
+    def bounds(self, f: pd.DataFrame) -> tuple[int, int, int]:
+        """Place of the block's first row in its frame, and the places from which a scan leaves the block or the drive."""
+        pos, b, n = f["_pos"].to_numpy(), int(f["_block"].iloc[0]), int(f["_n"].iloc[0])
+        first, stop = np.searchsorted(pos, [b * self.block, min((b + 1) * self.block, max(n - 5, 0))])
+        return int(first), int(stop), int(pos[0])
+
+    def ways(self, f: pd.DataFrame) -> list[np.ndarray]:
+        """For each distance: where scans that enter at the first ``jump`` rows of the block leave it, as positions (-1: the drive ends)."""
+        first, stop, at0 = self.bounds(f)
+        n, out = int(f["_n"].iloc[0]), []
+        for distance in self.distances:
+            _, _, nxt = self.successors(f, distance)
+            to = np.arange(first, max(stop, first) + self.jump + 1) - first
+            inside = max(stop - first, 0)
+            to[:inside] = nxt[first : first + inside] - first
+            while (to[:inside] < inside).any():  # pointer doubling: all paths at once
+                to[:inside] = to[to[:inside]]
+            left = to[: min(self.jump, inside)] + first + at0
+            out.append(np.where(left >= n - 5, -1, left))
+        return out
+
+    def taken(self, f: pd.DataFrame, distance: float, entry: int) -> list[tuple[int, int]]:
+        """Places of the blackouts of the scan that enters the block at position ``entry``."""
+        _, stop, at0 = self.bounds(f)
+        end, ok, nxt = self.successors(f, distance)
+        s, out = entry - at0, []
+        while s < stop:
+            if ok[s]:
+                out.append((s, int(end[s])))
+            s = int(nxt[s])
+        return out
+
+
+def _greedy(df: DataFrame, keys: list[str], speed: str, order: str, chain: _Chain, extra: list[str], values) -> DataFrame:
+    """keys, distance_m, start, end (values of ``order``; the end's row is the first behind) and ``values`` (of a frame and places) of what the scan of each drive takes.
+
+    1. Blocks of a drive, with their neighbours' rows as far as they matter, say for each
+       way in where a scan would leave them. 2. Only these lists of a drive meet, in
+       order, and give each block its entry. 3. Blocks scan from there.
+    """
+    types = dict(df.dtypes)
+    k = ", ".join(f"`{x}` {types[x]}" for x in keys)
+    rows = _in_blocks(_positions(df, keys, order, speed, extra), chain.block, chain.history, chain.reach + max(chain.retry, chain.step or 0))
+    rows = rows.repartition(*keys, "_block")
+
+    def leave(frame: pd.DataFrame) -> pd.DataFrame:
+        f = frame.sort_values("_pos", ignore_index=True)
+        own = pd.DataFrame({"_i": range(len(chain.distances)), "_left": [w.tolist() for w in chain.ways(f)]})
+        for x in [*keys, "_block", "_n"]:
+            own[x] = f[x].iloc[0]
+        return own[[*keys, "_block", "_n", "_i", "_left"]]
+
+    ways = rows.groupBy(*keys, "_block").applyInPandas(leave, f"{k}, _block long, _n long, _i int, _left array<long>")
+    ordered = ways.repartition(*keys, "_i").sortWithinPartitions(*keys, "_i", "_block")
+
+    def enter(batches):
+        drive = entry = None
+        for batch in batches:
+            found = []
+            for r in batch.itertuples(index=False):
+                this = (*r[: len(keys)], r[len(keys) + 2])
+                if this != drive:
+                    drive, entry = this, chain.history
+                block, n, left = r[len(keys)], r[len(keys) + 1], r[len(keys) + 3]
+                inside = entry - block * chain.block
+                if entry >= 0 and entry < n - 5 and 0 <= inside < len(left):
+                    found.append((*r[: len(keys)], block, this[-1], entry))
+                    entry = int(left[inside])
+            yield pd.DataFrame(found, columns=[*keys, "_block", "_i", "_entry"])
+
+    entries = ordered.mapInPandas(enter, f"{k}, _block long, _i int, _entry long")
+
+    def scan(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(frame) and len(own):
+            f = frame.sort_values("_pos", ignore_index=True)
+            place = f["_order"].to_numpy()
+            for i, entry in own[["_i", "_entry"]].itertuples(index=False):
+                for s, e in chain.taken(f, chain.distances[i], entry):
+                    found.append((chain.distances[i], place[s], place[e], values(f, s, e)))
+        out = pd.DataFrame(found, columns=["distance_m", "start", "end", "value"])
+        for x in keys:
+            out[x] = frame[x].iloc[0] if len(frame) else None
+        return out[[*keys, "distance_m", "start", "end", "value"]]
+
+    return rows.groupBy(*keys, "_block").cogroup(entries.groupBy(*keys, "_block")).applyInPandas(scan, f"{k}, distance_m double, start long, `end` long, value double")
 
 
 def distance_blackouts(df: DataFrame, keys: list[str], speed: str, distances: list[float], history: int = 250, rate: float = 10.0, min_speed: float = 3.0, step_s: float = 5.0, tail: int = 0, min_rows: int = 5, min_history: float = 1.0, order: str = "row_idx") -> DataFrame:
-    """Greedy blackouts of given lengths in metres: the next start depends on whether the last was taken, so each drive is scanned over its prefix sums.
+    """Greedy blackouts of given lengths in metres: keys, distance_m, start and end (values of ``order``, the end behind the last row).
 
-    A blackout ends at the first row where the distance is reached; it is taken if
+    The next start depends on whether the last was taken, so each drive is one chain
+    of successors; it is followed in blocks of ``BLOCK`` rows, whatever its length. A
+    blackout ends at the first row where the distance is reached; it is taken if
     it is long and fast enough and the car was moving for ``history`` rows before it.
+
+    Rows without a speed (null or NaN) are no part of a drive: the chain goes on over
+    them, and history and lengths count the others. Speeds are not negative. A blackout has at most
+    2 x distance x rate / ``min_speed`` rows (slower ones fail ``min_speed`` anyway, unless one
+    row alone covers the distance). Drives of at most ``history`` rows, and empty tables, have none.
     """
+    chain = _Chain([float(x) for x in distances], history, rate, min_speed, None, max(1, int(rate * step_s)), tail, min_rows, min_history)
+    return _greedy(df, keys, speed, order, chain, [], lambda f, s, e: 0.0).drop("value")
 
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        v = frame.sort_values(order)[speed].to_numpy(float)
-        rows = [(dist, s, e) for dist in distances for s, e in (_scan(v, dist, history, rate, min_speed, step_s, tail, min_rows, min_history) if len(v) > history else [])]
-        out = pd.DataFrame(rows, columns=["distance_m", "start", "end"])
-        for k in keys:
-            out[k] = frame[k].iloc[0]
-        return out[[*keys, "distance_m", "start", "end"]]
 
-    types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "distance_m double", "start long", "end long"])
-    return df.select(*keys, order, speed).groupBy(*keys).applyInPandas(scan, schema)
+def straightest_segment(df: DataFrame, keys: list[str], speed: str, turn: str, distance: float, history: int = 250, rate: float = 10.0, min_speed: float = 3.0, step_s: float = 2.0, retry_s: float = 3.0, order: str = "row_idx") -> DataFrame:
+    """Per drive the run of about ``distance`` metres with the least total turning (``turn``: cumulative absolute turning): keys, start, end, turning.
 
+    Runs are tried every ``step_s`` seconds, ``retry_s`` after one that is too slow or cut
+    off. Of runs that turn alike (to nine places) the earliest counts. Rows without a speed
+    are no part of a drive, as in ``distance_blackouts``; a run at whose ends the turning is null is not taken.
+    """
+    chain = _Chain([float(distance)], history, rate, min_speed, max(1, int(rate * step_s)), max(1, int(rate * retry_s)), 0, 5, 1.0)
 
-def straightest_segment(df: DataFrame, keys: list[str], speed: str, turn: str, distance: float, history: int = 250, rate: float = 10.0, min_speed: float = 3.0, step_s: float = 2.0, retry_s: float = 3.0, order: str = "row_idx") -> DataFrame:
-    """Per drive the run of about ``distance`` metres with the least total turning (``turn``: cumulative absolute turning)."""
-
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        v, t = frame[speed].to_numpy(float), frame[turn].to_numpy(float)
-        cum, n, s, found = np.cumsum(v) / rate, len(v), history, None
-        while s < n - 5:
-            e = int(np.searchsorted(cum, cum[s] + distance))
-            if e >= n or e - s < 5 or v[s:e].mean() < min_speed or v[s - history : s].min() < 1.0:
-                s += max(1, int(rate * retry_s))
-                continue
-            total = t[e - 1] - t[s]
-            if found is None or total < found[2]:
-                found = (s, e, total)
-            s += max(1, int(rate * step_s))
-        rows = [found] if found else []
-        out = pd.DataFrame(rows, columns=["start", "end", "turning"])
-        for k in keys:
-            out[k] = frame[k].iloc[0]
-        return out[[*keys, "start", "end", "turning"]]
+    def turning(f: pd.DataFrame, s: int, e: int) -> float:
+        return round(float(f["_turn"].iloc[e - 1] - f["_turn"].iloc[s]), 9)
 
-    types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "start long", "end long", "turning double"])
-    return df.select(*keys, order, speed, turn).groupBy(*keys).applyInPandas(best, schema)
+    runs = _greedy(df.withColumn("_turn", F.col(turn).cast("double")), keys, speed, order, chain, ["_turn"], turning)
+    best = F.min(F.struct(F.col("value").alias("turning"), "start", "end")).alias("best")
+    return runs.where("value is not null and not isnan(value)").groupBy(*keys).agg(best).select(*keys, "best.start", "best.end", "best.turning")

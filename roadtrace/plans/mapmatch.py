@@ -17,11 +17,11 @@ def free_vs_map(drives: DataFrame, edges: DataFrame, keys: list[str], by: list[s
     ``drives``: reckon.CHANNELS, speed (m/s), course_deg, az_deg, e and n (in the
     edges' frame) at reckon.RATE. All blackouts of each length are searched,
     calibrated on the ``history`` rows before them and reckoned with the speed and
-    course of their first row; the truth is the place of their last row. A
-    blackout without a road at its start has no map track.
+    course of their first row; the truth is the place of their last row. Rows without
+    a speed are no part of a drive. A blackout without a road at its start has no map track.
     """
     rate = reckon.RATE
-    rows = drives.withColumn("position", (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
+    rows = drives.where("speed is not null").withColumn("position", (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
     found = episodes.distance_blackouts(rows, keys, "speed", list(distances), history, rate, min_speed, step_s, min_rows=min_rows, min_history=min_history, order="position")
     each = [*keys, "blackout_m", "start"]
     found = found.withColumnRenamed("distance_m", "blackout_m").withColumn("position", F.explode(F.expr(f"sequence(start - {history}, end - 1)")))

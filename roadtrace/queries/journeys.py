@@ -107,10 +107,27 @@ def e3_distance_blackouts(spark, d):
     return episodes.distance_blackouts(s, KEYS, "v", [50.0, 200.0], 25, 10.0, 3.0, 5.0, min_history=0.0)
 
 
-@query(None)
+STRAIGHT = PRELUDE.replace("WITH telemetry", "WITH RECURSIVE telemetry") + """, drive AS (
+  SELECT session_key, row_idx, v, n, sum(v / 10) OVER w AS cum, lag(v) OVER (PARTITION BY session_key ORDER BY row_idx) AS before, sum(coalesce(abs(d - 2 * pi() * floor((d + pi()) / (2 * pi()))), 0)) OVER w AS turn
+  FROM (SELECT session_key, row_idx, speed_kmh / 3.6 AS v, count(*) OVER (PARTITION BY session_key) AS n, radians(heading_deg) - lag(radians(heading_deg)) OVER (PARTITION BY session_key ORDER BY row_idx) AS d FROM long_samples)
+  WINDOW w AS (PARTITION BY session_key ORDER BY row_idx ROWS UNBOUNDED PRECEDING)
+), ends AS (
+  SELECT a.session_key, a.row_idx AS s, min(b.row_idx) AS e FROM drive a JOIN drive b ON b.session_key = a.session_key AND b.row_idx BETWEEN a.row_idx AND a.row_idx + 1400 AND b.cum >= a.cum + 200 GROUP BY ALL
+), judged AS (
+  SELECT a.session_key, a.row_idx AS s, e.e, p.turn - a.turn AS turning, coalesce(e.e < a.n AND e.e - a.row_idx >= 5 AND (p.cum - a.cum + a.v / 10) * 10 / (e.e - a.row_idx) >= 3 AND a.before >= 1, false) AS ok
+  FROM drive a LEFT JOIN ends e ON e.session_key = a.session_key AND e.s = a.row_idx LEFT JOIN drive p ON p.session_key = a.session_key AND p.row_idx = e.e - 1 WHERE a.row_idx < a.n - 5
+), scan AS (
+  SELECT session_key, s, e, ok, turning FROM judged WHERE s = 1
+  UNION ALL
+  SELECT j.session_key, j.s, j.e, j.ok, j.turning FROM scan c JOIN judged j ON j.session_key = c.session_key AND j.s = c.s + CASE WHEN c.ok THEN 20 ELSE 30 END
+)
+"""
+
+
+@query("""SELECT 'L' AS driver_id, session_key, x.s AS start, x.e AS "end", round(x.turning, 6) AS turning FROM (SELECT session_key, min({'turning': round(turning, 9), 's': s, 'e': e}) AS x FROM scan WHERE ok GROUP BY 1)""", STRAIGHT)
 def e4_straightest_segment(spark, d):
     s = long_samples(spark, d).withColumns({"v": F.col("speed_kmh") / 3.6, "h": F.radians("heading_deg")})
-    return episodes.straightest_segment(features.cumulative_turn(s, KEYS, "h", "turn"), KEYS, "v", "turn", 200.0, 1)
+    return rounded(episodes.straightest_segment(features.cumulative_turn(s, KEYS, "h", "turn"), KEYS, "v", "turn", 200.0, 1), "turning")
 
 
 @query("""SELECT driver_id, session_key, segment_id, duration, start, step, round(v, 6) AS predicted FROM rolled""", EPISODES.replace("WITH telemetry", "WITH RECURSIVE telemetry") + """, rolled AS (

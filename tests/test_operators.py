@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+import slow_loops
 from pyspark.sql import functions as F
 
 from roadtrace.operators import align, episodes, features, joins, ranking, reckon, roads, rollout, segments, splits
@@ -380,3 +381,38 @@ def test_ridge_from_moments_is_the_solve(spark):
     out = rollout.ridge_from_moments(spark.createDataFrame(rows, "k string, p double, q double, r double, y double"), ["k"], ["p", "q", "r"], "y", 2.0).head()
     coef, intercept = rollout.ridge_solve(x, y, 2.0)
     assert out["coef"] == pytest.approx(list(coef)) and out["intercept"] == pytest.approx(intercept) and out["n"] == 50
+
+
+@pytest.mark.parametrize("block", [1, 50_000])
+def test_blackouts_of_long_drives_with_gaps(spark, monkeypatch, block):
+    """Blocks of a few hundred rows and whole drives give what a loop over the rows with a speed gives; starts and ends are row numbers."""
+    monkeypatch.setattr(episodes, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for s, n in (("a", 30_000), ("b", 4_000), (None, 700), ("short", 40), ("empty", 30)):
+        v = np.abs(rng.normal(8, 5, n)) * np.where(rng.random(n) < 0.0005, 0, 1)
+        v[n // 3 : n // 3 + 200] = 0.4
+        gone = rng.random(n) < 0.01 if s != "empty" else np.ones(n, bool)
+        rows += [(s, i, None if g and i % 2 else float("nan") if g else float(x), 1.0) for i, (x, g) in enumerate(zip(v, gone, strict=True))]
+        left = np.flatnonzero(~gone)
+        for d in (60.0, 150.0):
+            if len(left) > 40:
+                want[s, d] = [(int(left[x]), int(left[y])) for x, y in slow_loops.scan(v[left], d, 40, 10.0, 3.0, 2.0, 0, 5, 0.3)]
+    df = spark.createDataFrame(rows, "s string, row_idx long, v double, start double").repartition(7)
+    got = {}
+    for r in episodes.distance_blackouts(df, ["s"], "v", [60.0, 150.0], 40, step_s=2.0, min_history=0.3).orderBy("start").collect():
+        got.setdefault((r["s"], r["distance_m"]), []).append((r["start"], r["end"]))
+    assert got == {k: w for k, w in want.items() if w} and len(got["a", 60.0]) > 200
+
+
+def test_a_million_rows_of_one_drive(spark):
+    """One null among four thousand rows costs no blackout; a long drive is cut in blocks of equal work."""
+    one = spark.range(4_000).select(F.lit("s").alias("s"), F.col("id").alias("row_idx"), F.when(F.col("id") != 600, 15.0).alias("v"))
+    assert episodes.distance_blackouts(one, ["s"], "v", [200.0]).count() == 27
+    long = spark.range(1_000_000).select(F.lit("s").alias("s"), F.col("id").alias("row_idx"), (10 + F.sin(F.col("id") / 1000)).alias("v"))
+    t = np.arange(1_000_000)
+    want = slow_loops.scan(10 + np.sin(t / 1000), 1000.0, 250, 10.0, 3.0, 5.0, 0, 5, 1.0)
+    found = episodes.distance_blackouts(long, ["s"], "v", [1000.0])
+    assert [(r["start"], r["end"]) for r in found.orderBy("start").collect()] == want
+    sizes = [r["count"] for r in episodes._in_blocks(episodes._positions(long, ["s"], "row_idx", "v", []), episodes.BLOCK, 250, 6_669).groupBy("_block").count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= episodes.BLOCK + 7_000

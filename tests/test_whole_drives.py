@@ -5,9 +5,10 @@ import os
 
 import numpy as np
 import pytest
+import slow_loops
 from pyspark.sql import functions as F
 
-from roadtrace.operators import episodes, reckon, roads
+from roadtrace.operators import reckon, roads
 
 D = "/root/testdata/sf0.001"
 
@@ -59,7 +60,7 @@ def test_free_vs_map_searches_all_blackouts_and_takes_truth_from_the_samples(spa
     got = {(r["session_key"], r["blackout_m"], r["track"]): r for r in out.collect()}
     assert len(got) == 8
     for (key, dist, _), r in got.items():
-        assert r["blackouts"] == len(episodes._scan(speeds[key], dist, 50, 10.0, 5.0, 1.0, 0, 11, 1.0)) > 1
+        assert r["blackouts"] == len(slow_loops.scan(speeds[key], dist, 50, 10.0, 5.0, 1.0, 0, 11, 1.0)) > 1
     for dist in (100.0, 200.0):
         assert got["2", dist, "free"]["median_drift"] > got["1", dist, "free"]["median_drift"] + 5
         assert got["2", dist, "map"]["median_drift"] == pytest.approx(got["1", dist, "map"]["median_drift"])
