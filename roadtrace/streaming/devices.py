@@ -435,47 +435,81 @@ def consistent_rejections(fixes: DataFrame, keys: list[str], de: str, dn: str, r
 # --- mounting
 
 
-def alignment_path(acc: np.ndarray, gyro: np.ndarray, speed: np.ndarray, window: int = 20, acc_var: float = 0.05, gyro_var: float = 0.01, yaw_limit: float = 0.05, pca_rows: int = 100, knock: float = 50.0) -> tuple[list[str], list[np.ndarray | None]]:
-    """State and forward axis (None: not known) after each sample: UNCALIBRATED, Z_ALIGNED once at rest, FULLY_ALIGNED once the forward axis is known, back after a knock.
+def _next(found: np.ndarray, start: int) -> int:
+    """Place of the first true value from ``start`` on (the length, if there is none), looked for in pieces that double."""
+    width = 256
+    while start < len(found):
+        some = np.flatnonzero(found[start : start + width])
+        if len(some):
+            return start + int(some[0])
+        start, width = start + width, 2 * width
+    return len(found)
 
-    With a speed (not NaN) the forward axis is the horizontal acceleration while
-    driving straight; without it the first principal axis of ``pca_rows`` straight
-    samples (``forward_axis``).
+
+#: What is known of a device's mounting between two pieces of its rows; lists are flattened vectors.
+MOUNTING = "state string, up array<double>, axis array<double>, held array<double>, acc array<double>, gyro array<double>"
+
+
+def align_rows(acc: np.ndarray, gyro: np.ndarray, speed: np.ndarray, carry: dict | None = None, window: int = 20, acc_var: float = 0.05, gyro_var: float = 0.01, yaw_limit: float = 0.05, pca_rows: int = 100, knock: float = 50.0) -> tuple[np.ndarray, list, dict]:
+    """State and forward axis (None: not known) after each row, and what goes on to the device's next rows (``MOUNTING``).
+
+    UNCALIBRATED, Z_ALIGNED once at rest for ``window`` rows, FULLY_ALIGNED once the forward axis is known, back after a
+    knock. With a speed (not NaN) the forward axis is the horizontal acceleration while
+    driving straight; without it the first principal axis of ``pca_rows`` straight rows
+    (``forward_axis``). Work goes from one change of state to the next, over whole arrays.
     """
-    state, up, held, axis, out, axes = "UNCALIBRATED", None, [], None, [], []
-    for i in range(len(acc)):
-        if i + 1 < window:
-            out.append(state)
-            axes.append(axis)
-            continue
-        a, g, v = acc[i + 1 - window : i + 1], gyro[i + 1 - window : i + 1], speed[i]
-        turning = float(g.var(axis=0).sum())
+    now = carry or {"state": "UNCALIBRATED", "up": None, "axis": None, "held": [], "acc": [], "gyro": []}
+    state, n = now["state"], len(acc)
+    up, axis = (None if now[x] is None else np.array(now[x], float) for x in ("up", "axis"))
+    held = np.array(now["held"], float).reshape(-1, 3)
+    a, g = (np.concatenate([np.array(now[x], float).reshape(-1, 3), y]) for x, y in (("acc", acc), ("gyro", gyro)))
+    full = max(0, len(a) - window + 1)  # rows with a whole window behind them, the last ones of a
+    skip = n - full
+    quiet, knocked, mean = np.zeros(n, bool), np.zeros(n, bool), np.zeros((n, 3))
+    if full:
+        over = lambda x: np.lib.stride_tricks.sliding_window_view(x, window, axis=0)
+        turning, v = over(g).var(axis=-1).sum(axis=1), speed[skip:]
+        mean[skip:] = over(a).mean(axis=-1)
+        with np.errstate(invalid="ignore"):
+            quiet[skip:] = (over(a).var(axis=-1).sum(axis=1) < acc_var) & np.where(np.isnan(v), turning < gyro_var, v < 0.2) & (np.linalg.norm(mean[skip:], axis=1) > 0)
+            knocked[skip:] = turning > knock * gyro_var
+    states, axes, i, width = np.empty(n, object), [axis] * n, max(0, min(skip, n)), 256
+    states[:i] = state
+    while i < n:
         if state == "UNCALIBRATED":
-            quiet = a.var(axis=0).sum() < acc_var and (v < 0.2 if not math.isnan(v) else turning < gyro_var)
-            size = float(np.linalg.norm(a.mean(axis=0)))
-            if quiet and size > 0:
-                up, state = a.mean(axis=0) / size, "Z_ALIGNED"
-        elif state == "Z_ALIGNED":
-            if abs(float(gyro[i] @ up)) < yaw_limit:
-                flat = acc[i] - 9.81 * up
-                flat = flat - (flat @ up) * up
-                if not math.isnan(v):
-                    if v > 1.0 and np.linalg.norm(flat) > 0.5:
-                        state, axis = "FULLY_ALIGNED", flat / np.linalg.norm(flat)
-                else:
-                    held.append(flat)
-                    if len(held) >= pca_rows:
-                        state, axis = "FULLY_ALIGNED", forward_axis(np.array(held))
-        elif turning > knock * gyro_var:
-            state, held, axis = "UNCALIBRATED", [], None
-        out.append(state)
-        axes.append(axis)
-    return out, axes
-
-
-def alignment_run(acc: np.ndarray, gyro: np.ndarray, speed: np.ndarray, **limits) -> list[str]:
-    """The states of ``alignment_path``."""
-    return alignment_path(acc, gyro, speed, **limits)[0]
+            j = _next(quiet, i)
+            states[i:j] = state
+            if j < n:
+                up, state = mean[j] / np.linalg.norm(mean[j]), "Z_ALIGNED"
+        elif state == "FULLY_ALIGNED":
+            j = _next(knocked, i)
+            states[i:j] = state
+            if j < n:
+                state, held, axis = "UNCALIBRATED", held[:0], None
+        else:
+            end = min(n, i + width)
+            straight = np.abs(gyro[i:end] @ up) < yaw_limit
+            flat = acc[i:end] - 9.81 * up
+            flat = flat - (flat @ up)[:, None] * up
+            silent, size = np.isnan(speed[i:end]), np.linalg.norm(flat, axis=1)
+            pushed = straight & ~silent & (np.nan_to_num(speed[i:end]) > 1.0) & (size > 0.5)
+            kept = straight & silent
+            enough = kept & (len(held) + np.cumsum(kept) >= pca_rows)
+            j = i + _next(pushed | enough, 0)
+            held = np.concatenate([held, flat[: j + 1 - i][kept[: j + 1 - i]]])
+            states[i:j] = state
+            if j >= end:
+                i, width = end, 2 * width
+                continue
+            axis = flat[j - i] / size[j - i] if pushed[j - i] else forward_axis(held)
+            state, width = "FULLY_ALIGNED", 256
+        if j < n:
+            states[j] = state
+            axes[j:] = [axis] * (n - j)
+        i = j + 1
+    plain = lambda x: None if x is None else [float(y) for y in np.ravel(x)]
+    tail = max(0, len(a) - window + 1)
+    return states, axes, {"state": state, "up": plain(up), "axis": plain(axis), "held": plain(held), "acc": plain(a[tail:]), "gyro": plain(g[tail:])}
 
 
 def forward_axis(flat: np.ndarray) -> np.ndarray:
@@ -486,33 +520,102 @@ def forward_axis(flat: np.ndarray) -> np.ndarray:
     return axis if abs(p.min()) > p.max() else -axis
 
 
-def alignment_states(rows: DataFrame, keys: list[str], acc: tuple, gyro: tuple, speed: str, order: str = "row_idx", **limits) -> DataFrame:
-    """keys, order, state and forward axis (NULL: not known) of each row."""
+def in_order(rows: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
+    """``step(frame, carry)`` gives a frame and the next carry for each piece of a key's rows in ``order``; carry is None at a key's first piece.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(order)
-        states, axes = alignment_path(f[list(acc)].to_numpy(float), f[list(gyro)].to_numpy(float), f[speed].to_numpy(float), **limits)
-        return f[[*keys, order]].assign(state=states, axis=[None if x is None else x.tolist() for x in axes])
+    A key passes one task in order, but never as a whole: pieces are Arrow batches, so memory does not depend on its length.
+    """
+    own = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
+    def run(batches):
+        last, carry = None, None
+        for f in batches:
+            if not len(f):
+                continue
+            values, out = f[keys].to_numpy(object), []
+            first = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1])
+            for a, b in zip(first, [*first[1:], len(f)], strict=True):
+                if last is None or (values[a] != last).any():
+                    carry = None
+                frame, carry = step(f.iloc[a:b], carry)
+                out.append(frame)
+                last = values[a]
+            yield pd.concat(out, ignore_index=True)
+
+    return own.mapInPandas(run, schema)
+
+
+def alignment_states(rows: DataFrame, keys: list[str], acc: tuple, gyro: tuple, speed: str, order: str = "row_idx", **limits) -> DataFrame:
+    """keys, order, state and forward axis (NULL: not known) of each row. A null acceleration or rotation is never quiet, straight or a knock."""
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "state string, axis array<double>"])
-    return rows.select(*keys, order, *acc, *gyro, speed).groupBy(*keys).applyInPandas(run, schema)
+    return in_order(rows.select(*keys, order, *acc, *gyro, speed), keys, [order], align_step([*keys, order], acc, gyro, speed, limits), schema)
+
+
+def align_step(kept: list[str], acc: tuple, gyro: tuple, speed: str, limits: dict):
+    """``align_rows`` as a step over frames in order, for batch and stream."""
+
+    def step(f: pd.DataFrame, carry: dict | None):
+        states, axes, carry = align_rows(*(f[list(c)].to_numpy(float, na_value=np.nan) for c in (acc, gyro)), f[speed].to_numpy(float, na_value=np.nan), carry, **limits)
+        return f[kept].assign(state=states, axis=[None if x is None else x.tolist() for x in axes]), carry
+
+    return step
+
+
+#: The last kept point of a trail and the time of the last emitted row; the last fixes (t, e, n of each), newest last.
+TRAIL = "e double, n double, t double, fixes array<double>"
+
+
+def thin_rows(e: np.ndarray, n: np.ndarray, spacing: float, last: tuple[float, float] | None = None) -> np.ndarray:
+    """Places of the points that are ``spacing`` or more from the last kept one, ``last`` to begin with; points without a place are passed over."""
+    ok = ~(np.isnan(e) | np.isnan(n))
+    kept, i, width = [], 0, 64
+    if last is None and ok.any():
+        i = int(np.argmax(ok))
+        kept.append(i)
+        last = e[i], n[i]
+        i += 1
+    while last is not None and i < len(e):
+        far = np.flatnonzero(np.hypot(e[i : i + width] - last[0], n[i : i + width] - last[1]) >= spacing)  # NaN is not
+        if len(far):
+            i += int(far[0])
+            kept.append(i)
+            last, i, width = (e[i], n[i]), i + 1, 64
+        else:
+            i, width = i + width, min(2 * width, 1 << 16)
+    return np.array(kept, np.int64)
+
+
+def spaced_in_time(t: np.ndarray, every: float, last: float | None = None) -> np.ndarray:
+    """Places of ascending times that are ``every`` seconds or more after the last chosen one."""
+    out, i = [], 0 if last is None else int(np.searchsorted(t - last, every - 1e-9))
+    while i < len(t):
+        out.append(i)
+        i = max(i + 1, int(np.searchsorted(t - t[i], every - 1e-9)))
+    return np.array(out, np.int64)
 
 
 def thin_trail(points: DataFrame, keys: list[str], e: str, n: str, order: str, spacing: float = 3.0) -> DataFrame:
-    """Points at least ``spacing`` metres from the last kept one: greedy, so each trail is walked once."""
+    """Points at least ``spacing`` metres from the last kept one: greedy, in order, in pieces that hand the last kept point on. Points without a place are left out."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(order)
-        kept, last = [], None
-        for i, (x, y) in enumerate(zip(f[e], f[n], strict=True)):
-            if last is None or math.dist((x, y), last) >= spacing:
-                kept.append(i)
-                last = (x, y)
-        return f.iloc[kept]
+    def step(f: pd.DataFrame, carry: dict | None):
+        x, y = f[e].to_numpy(float, na_value=np.nan), f[n].to_numpy(float, na_value=np.nan)
+        kept = thin_rows(x, y, spacing, carry and carry["last"])
+        return f.iloc[kept], {"last": (x[kept[-1]], y[kept[-1]])} if len(kept) else carry
 
     own = points.select(*keys, order, e, n)
-    return own.groupBy(*keys).applyInPandas(run, own.schema)
+    return in_order(own, keys, [order], step, own.schema)
+
+
+def emitted_rows(rows: DataFrame, keys: list[str], t: str, every: float = 0.1) -> DataFrame:
+    """Rows at least ``every`` seconds after the last one that was emitted. Rows without a time are left out."""
+
+    def step(f: pd.DataFrame, carry: float | None):
+        at = f[t].to_numpy(float)
+        kept = spaced_in_time(at, every, carry)
+        return f.iloc[kept], float(at[kept[-1]]) if len(kept) else carry
+
+    return in_order(rows.where(F.col(t).isNotNull()), keys, [t], step, rows.schema)
 
 
 def last_fixes(fixes: DataFrame, keys: list[str], order: str, n: int = 90) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Fix health and outages of live devices: state and event-time timers per device.
+"""Live devices: fix health, outages, mounting and trails, with state and event-time timers per device.
 
 Rows wait in the state until the watermark has passed them, so fixes and samples may
 arrive in any order within it, and the stream says what the batch says of the
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from roadtrace.streaming.devices import GOOD_M, STALE_S, WORST_M
+from roadtrace.streaming.devices import GOOD_M, MOUNTING, STALE_S, TRAIL, WORST_M, align_step, spaced_in_time, thin_rows
 
 WATCHED = "event string, t double, id long, health string, last_fix double, `start` double, `end` double, seconds double, distance double"
 _NAMES = [c.split(" ")[0].strip("`") for c in WATCHED.split(", ")]
@@ -176,3 +176,106 @@ def gnss_health_stream(rows: DataFrame, device: str, ts: str, **limits) -> DataF
 def outages_stream(rows: DataFrame, device: str, ts: str, **limits) -> DataFrame:
     """Outages as they open and close."""
     return watch_fixes(rows, device, ts, **limits).where("event in ('open', 'closed')").select(device, "event", "last_fix", "start", "end", "seconds", "distance")
+
+
+class InOrder(StatefulProcessor):
+    """Rows wait until the watermark has passed them; then ``step(frame, carry)`` takes them in order of time, and its carry, of typed fields, goes on with the device."""
+
+    def __init__(self, device: str, step, carry: str, pending: str):
+        self.device, self.step, self.carry, self.waiting = device, step, carry, pending
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state, self.pending, self.wake = handle.getValueState("carry", self.carry), handle.getListState("pending", self.waiting), handle.getValueState("wake", "at long")
+
+    @staticmethod
+    def _names(schema: str) -> list[str]:
+        return [c.split(" ")[0] for c in schema.split(", ")]
+
+    def _wake_at(self, t: float) -> None:
+        at, old = math.floor(t * 1000) + 1, self.wake.get()[0] if self.wake.exists() else None
+        if old is None or at < old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            self.wake.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() / 1000
+        frame = pd.concat(list(rows))
+        frame = frame[(frame["t"] > watermark) | (watermark <= 0)]
+        if len(frame):
+            plain = frame[self._names(self.waiting)].astype(object)
+            self.pending.appendList([tuple(r) for r in plain.where(plain.notna(), None).itertuples(index=False)])
+            self._wake_at(float(frame["t"].min()))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() / 1000
+        rows = pd.DataFrame(list(self.pending.get()) if self.pending.exists() else [], columns=self._names(self.waiting))
+        due = rows["t"].astype(float) <= until
+        self.wake.clear()
+        if due.all():
+            self.pending.clear()
+        else:
+            rest = rows[~due]
+            self.pending.put([tuple(r) for r in rest.astype(object).where(rest.notna(), None).itertuples(index=False)])
+            self._wake_at(float(rest["t"].min()))
+        if due.any():
+            names = self._names(self.carry)
+            carry = dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else None
+            out, carry = self.step(rows[due].sort_values("t", kind="stable", ignore_index=True), carry)
+            self.state.update(tuple(carry.get(c) for c in names))
+            if len(out):
+                out = out.copy()
+                out.insert(0, self.device, key[0])
+                yield out
+
+    def close(self) -> None:
+        pass
+
+
+def in_order_stream(rows: DataFrame, device: str, ts: str, columns: str, step, carry: str, out: str, watermark: str = "10 seconds") -> DataFrame:
+    """``step`` over a stream's devices: ``columns`` (DDL, with t in seconds) are what it takes, ``carry`` what it hands on, ``out`` what it gives."""
+    use_rocksdb(rows.sparkSession)
+    names = [c.split(" ")[0] for c in columns.split(", ")]
+    own = rows.select(device, ts, *[F.col(c) for c in names]).where(F.col("t").isNotNull()).withWatermark(ts, watermark)
+    schema = f"`{device}` {dict(rows.dtypes)[device]}, {out}"
+    return own.groupBy(device).transformWithStateInPandas(InOrder(device, step, carry, columns), schema, "append", "EventTime")
+
+
+_IMU = "t double, ax double, ay double, az double, gx double, gy double, gz double, speed double"
+
+
+def alignment_stream(rows: DataFrame, device: str, ts: str, watermark: str = "10 seconds", **limits) -> DataFrame:
+    """``devices.alignment_states`` of a stream of t, ax, ay, az, gx, gy, gz and speed: device, t, state and forward axis of each row."""
+    step = align_step(["t"], ("ax", "ay", "az"), ("gx", "gy", "gz"), "speed", limits)
+    return in_order_stream(rows, device, ts, _IMU, step, MOUNTING, "t double, state string, axis array<double>", watermark)
+
+
+def trail_step(spacing: float, every: float, n_fixes: int):
+    """Per row whether it is a new point of the trail and whether it is emitted; per fix the last ``n_fixes`` ones."""
+
+    def step(f: pd.DataFrame, carry: dict | None):
+        carry = carry or {"e": None, "n": None, "t": None, "fixes": []}
+        e, n, t = (f[c].to_numpy(float, na_value=np.nan) for c in ("e", "n", "t"))
+        fix = f["fix"].to_numpy(bool)
+        shown = np.flatnonzero(~fix)
+        kept = shown[thin_rows(e[shown], n[shown], spacing, None if carry["e"] is None else (carry["e"], carry["n"]))]
+        sent = shown[spaced_in_time(t[shown], every, carry["t"])]
+        fixes = np.concatenate([np.array(carry["fixes"], float).reshape(-1, 3), np.stack([t, e, n], axis=1)[fix]])[-n_fixes:]
+        out = f[["t", "e", "n"]].assign(kept=np.isin(np.arange(len(f)), kept), emitted=np.isin(np.arange(len(f)), sent), fixes=None)
+        told = np.concatenate([kept, sent])
+        if fix.any():
+            last = int(np.flatnonzero(fix)[-1])
+            out.at[last, "fixes"] = [float(x) for x in fixes.ravel()]
+            told = np.append(told, last)
+        new = {"e": float(e[kept[-1]]) if len(kept) else carry["e"], "n": float(n[kept[-1]]) if len(kept) else carry["n"], "t": float(t[sent[-1]]) if len(sent) else carry["t"], "fixes": [float(x) for x in fixes.ravel()]}
+        return out.iloc[np.unique(told)], new
+
+    return step
+
+
+def trail_stream(rows: DataFrame, device: str, ts: str, watermark: str = "10 seconds", spacing: float = 3.0, every: float = 0.1, n_fixes: int = 90) -> DataFrame:
+    """Of a stream of t, e, n and fix (true: a fix, else a place to show): rows that are kept in the trail (``spacing`` metres from the last kept one), emitted (``every`` seconds after the last emitted one), or bring the last ``n_fixes`` fixes (t, e, n of each, newest last)."""
+    return in_order_stream(rows, device, ts, "t double, e double, n double, fix boolean", trail_step(spacing, every, n_fixes), TRAIL, "t double, e double, n double, kept boolean, emitted boolean, fixes array<double>", watermark)

@@ -1,7 +1,11 @@
 """Plain loops that the operators are held against."""
 
+import math
+
 import numpy as np
 
+from roadtrace.streaming.devices import forward_axis
+
 
 def scan(speed: np.ndarray, distance: float, history: int, rate: float, min_speed: float, step_s: float, tail: int, min_rows: int, min_history: float) -> list[tuple[int, int]]:
     cum, n, s, out = np.cumsum(speed) / rate, len(speed), history, []
@@ -13,3 +17,41 @@ def scan(speed: np.ndarray, distance: float, history: int, rate: float, min_spee
         out.append((s, e))
         s = e
     return out
+
+
+def alignment_path(acc: np.ndarray, gyro: np.ndarray, speed: np.ndarray, window: int = 20, acc_var: float = 0.05, gyro_var: float = 0.01, yaw_limit: float = 0.05, pca_rows: int = 100, knock: float = 50.0) -> tuple[list[str], list[np.ndarray | None]]:
+    """State and forward axis (None: not known) after each sample: UNCALIBRATED, Z_ALIGNED once at rest, FULLY_ALIGNED once the forward axis is known, back after a knock.
+
+    With a speed (not NaN) the forward axis is the horizontal acceleration while
+    driving straight; without it the first principal axis of ``pca_rows`` straight
+    samples (``forward_axis``).
+    """
+    state, up, held, axis, out, axes = "UNCALIBRATED", None, [], None, [], []
+    for i in range(len(acc)):
+        if i + 1 < window:
+            out.append(state)
+            axes.append(axis)
+            continue
+        a, g, v = acc[i + 1 - window : i + 1], gyro[i + 1 - window : i + 1], speed[i]
+        turning = float(g.var(axis=0).sum())
+        if state == "UNCALIBRATED":
+            quiet = a.var(axis=0).sum() < acc_var and (v < 0.2 if not math.isnan(v) else turning < gyro_var)
+            size = float(np.linalg.norm(a.mean(axis=0)))
+            if quiet and size > 0:
+                up, state = a.mean(axis=0) / size, "Z_ALIGNED"
+        elif state == "Z_ALIGNED":
+            if abs(float(gyro[i] @ up)) < yaw_limit:
+                flat = acc[i] - 9.81 * up
+                flat = flat - (flat @ up) * up
+                if not math.isnan(v):
+                    if v > 1.0 and np.linalg.norm(flat) > 0.5:
+                        state, axis = "FULLY_ALIGNED", flat / np.linalg.norm(flat)
+                else:
+                    held.append(flat)
+                    if len(held) >= pca_rows:
+                        state, axis = "FULLY_ALIGNED", forward_axis(np.array(held))
+        elif turning > knock * gyro_var:
+            state, held, axis = "UNCALIBRATED", [], None
+        out.append(state)
+        axes.append(axis)
+    return out, axes

@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+import slow_loops
 from pyspark.sql import functions as F
 
 from roadtrace.streaming import devices, live
@@ -24,14 +25,14 @@ def drives(n=3, seed=1):
     return rows
 
 
-def run_stream(spark, tmp_path, batches, stream_of):
+def run_stream(spark, tmp_path, batches, stream_of, schema=SCHEMA, mode="update"):
     """Rows of the stream over one file for each batch."""
     for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i:03d}"))
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i:03d}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     name = f"live_{tmp_path.name.replace('-', '_')}"
     out = stream_of(source.withColumn("ts", F.timestamp_seconds("t")))
-    q = out.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).toPandas()
 
@@ -89,3 +90,96 @@ def test_watch_in_pieces_is_watch_at_once(cuts):
     assert state["distance"] == pytest.approx(end["distance"]) and state["ok_t"] == end["ok_t"]
     empty, same = live.watch(rows.iloc[:0], {}, 5.0)
     assert len(empty) == 0 and same["fix_t"] is None
+
+
+def mounting(n, seed, speeds):
+    """Rests, drives and knocks by turns; a speed now and then or always."""
+    rng = np.random.default_rng(seed)
+    acc, gyro = rng.normal(0, 0.02, (n, 3)) + [0, 0, 9.81], rng.normal(0, 0.01, (n, 3))
+    for start in range(60, n, 170):
+        acc[start : start + 90, 0] += rng.normal(0, 1.5, len(acc[start : start + 90]))
+        if start % 3 == 0:
+            gyro[start + 100 : start + 110] += rng.normal(0, 2, (len(gyro[start + 100 : start + 110]), 3))
+    speed = np.where(rng.random(n) < speeds, np.where(np.abs(acc[:, 0]) > 0.3, 8.0, 0.0), np.nan)
+    return acc, gyro, speed
+
+
+@pytest.mark.parametrize("speeds", [0.0, 0.3, 1.0])
+@pytest.mark.parametrize("pieces", [1, 7, 400])
+def test_mounting_in_pieces_is_that_of_a_row_loop(speeds, pieces):
+    acc, gyro, speed = mounting(1500, 4, speeds)
+    states, axes = slow_loops.alignment_path(acc, gyro, speed)
+    got, found, carry = [], [], None
+    for part in np.array_split(np.arange(len(acc)), pieces):
+        s, x, carry = devices.align_rows(acc[part], gyro[part], speed[part], carry)
+        got += list(s)
+        found += x
+    assert got == states and len(set(states)) == 3
+    assert all((a is None) == (b is None) and (a is None or np.allclose(a, b)) for a, b in zip(found, axes, strict=True))
+
+
+def test_a_hundred_thousand_rows_of_one_session(spark):
+    acc, gyro, speed = mounting(100_000, 9, 0.5)
+    df = spark.createDataFrame(pd.DataFrame({"d": "a", "row_idx": np.arange(100_000), **{f"a{x}": acc[:, i] for i, x in enumerate("xyz")}, **{f"g{x}": gyro[:, i] for i, x in enumerate("xyz")}, "v": speed}))
+    out = devices.alignment_states(df, ["d"], ("ax", "ay", "az"), ("gx", "gy", "gz"), "v").orderBy("row_idx").toPandas()
+    assert list(out["state"]) == slow_loops.alignment_path(acc, gyro, speed)[0]
+
+
+def test_mounting_of_a_stream(spark, tmp_path):
+    acc, gyro, speed = mounting(500, 2, 0.5)
+    rows = [(d, 1 + i * 0.1, *map(float, acc[i]), *map(float, gyro[i]), None if np.isnan(speed[i]) else float(speed[i])) for d in "ab" for i in range(500)]
+    schema = "device string, t double, ax double, ay double, az double, gx double, gy double, gz double, speed double"
+    rng = np.random.default_rng(1)
+    batches = [[r for r in rows if a <= r[1] < a + 12] for a in range(0, 60, 12)]
+    batches = [[b[i] for i in rng.permutation(len(b))] for b in batches if b] + [[("closing", t, *[0.0] * 7)] for t in (1e4, 1e4 + 1, 1e4 + 2)]
+    got = run_stream(spark, tmp_path, batches, lambda s: live.alignment_stream(s, "device", "ts", "3 seconds"), schema, "append")
+    for d in "ab":
+        own = got[got["device"] == d].sort_values("t")
+        assert list(own["state"]) == slow_loops.alignment_path(acc, gyro, speed)[0]
+
+
+def thin_loop(e, n, spacing):
+    kept, last = [], None
+    for i, p in enumerate(zip(e, n, strict=True)):
+        if not np.isnan(p).any() and (last is None or np.hypot(p[0] - last[0], p[1] - last[1]) >= spacing):
+            kept.append(i)
+            last = p
+    return kept
+
+
+def space_loop(t, every):
+    kept, last = [], None
+    for i, x in enumerate(t):
+        if last is None or x - last >= every - 1e-9:
+            kept.append(i)
+            last = x
+    return kept
+
+
+def walk_of(n, seed):
+    rng = np.random.default_rng(seed)
+    e, north = (np.cumsum(rng.normal(0.2, 0.8, n) * (np.arange(n) % 900 > 300)) for _ in range(2))  # at rest for hundreds of rows
+    e[rng.random(n) < 0.01] = np.nan
+    return np.cumsum(rng.choice([0.02, 0.05, 0.3], n)), e, north
+
+
+def test_trails_in_batches_and_pieces(spark):
+    t, e, n = walk_of(30_000, 5)
+    df = spark.createDataFrame(pd.DataFrame({"d": "a", "i": np.arange(len(e)), "t": t, "e": e, "n": n})).repartition(5)
+    assert [r["i"] for r in devices.thin_trail(df, ["d"], "e", "n", "i", 3.0).orderBy("i").collect()] == thin_loop(e, n, 3.0)
+    assert [r["i"] for r in devices.emitted_rows(df, ["d"], "t", 0.1).orderBy("i").collect()] == space_loop(t, 0.1)
+    assert devices.thin_trail(df.limit(0), ["d"], "e", "n", "i").isEmpty() and devices.emitted_rows(df.limit(0), ["d"], "t").isEmpty()
+
+
+def test_trail_of_a_stream(spark, tmp_path):
+    t, e, n = walk_of(1500, 6)
+    t = t + 1
+    rows = [("a", float(t[i]), None if np.isnan(e[i]) else float(e[i]), float(n[i]), i % 10 == 9) for i in range(1500)]
+    batches = [rows[a : a + 300] for a in range(0, 1500, 300)] + [[("closing", x, 0.0, 0.0, False)] for x in (1e5, 1e5 + 1, 1e5 + 2)]
+    got = run_stream(spark, tmp_path, batches, lambda s: live.trail_stream(s, "device", "ts", "3 seconds"), "device string, t double, e double, n double, fix boolean", "append")
+    got = got[got["device"] == "a"].sort_values("t")
+    shown = np.flatnonzero(np.arange(1500) % 10 != 9)
+    assert list(got[got["kept"]]["t"]) == [t[shown[i]] for i in thin_loop(e[shown], n[shown], 3.0)]
+    assert list(got[got["emitted"]]["t"]) == [t[shown[i]] for i in space_loop(t[shown], 0.1)]
+    last = got["fixes"].dropna().iloc[-1]
+    assert len(last) == 270 and last[-3] == t[1499] and last[0] == t[1499 - 890]

@@ -250,7 +250,8 @@ def test_alignment_states_and_trail(spark):
     speed = np.full(60, 0.0)
     acc[30:, 0], speed[30:] = 1.0, 5.0
     gyro[50:, 1] = np.where(np.arange(10) % 2, 3.0, -3.0)
-    states = devices.alignment_run(acc, gyro, speed)
+    states = slow_loops.alignment_path(acc, gyro, speed)[0]
+    assert list(devices.align_rows(acc, gyro, speed)[0]) == states
     assert states[18] == "UNCALIBRATED" and states[19] == "Z_ALIGNED" and states[30] == "FULLY_ALIGNED" and states[59] == "UNCALIBRATED"
     df = spark.createDataFrame([("a", i, float(i), 0.0) for i in range(10)], "d string, i int, e double, n double")
     assert [r["i"] for r in devices.thin_trail(df, ["d"], "e", "n", "i", 3.0).orderBy("i").collect()] == [0, 3, 6, 9]
