@@ -26,7 +26,9 @@ from roadtrace.llm.storage import join_hot, materialize, read_file, shared_folde
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-ROLL_BYTES, LEVEL = 16 << 20, 4
+#: Compressed bytes at which a file is rolled, and payload bytes of a range, which holds several files. For files of 1 GB
+#: give ``roll_bytes`` 1 << 30 and ``per_task`` 16 << 30.
+ROLL_BYTES, RANGE_BYTES, LEVEL = 2 << 20, 24 << 20, 4
 #: Repeated payloads (about 60 bytes each) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_PAYLOADS = 100_000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name space of URLs
@@ -36,8 +38,14 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id, url) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}|{url or ""}')}>"
+def record_id(page_id, url, copy: int = 0) -> str:
+    """The same for the same row; ``copy`` tells rows of one id, URL and payload apart."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}|{url or ""}' + (f'|{copy}' if copy else ''))}>"
+
+
+def target_uri(url) -> str:
+    """A URL without characters that a header cannot hold."""
+    return "".join(c for c in url or "" if c.isprintable()) or "urn:none"
 
 
 def _member(data: bytes) -> bytes:
@@ -51,21 +59,20 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return _member("\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n")
 
 
-def page_record(page_id, url, payload: bytes, refers_to) -> bytes:
-    """A response, or where ``refers_to`` is given a revisit, whose block has the HTTP header alone."""
+def page_record(page_id, url, payload: bytes, refers_to, refers_url=None, copy: int = 0) -> bytes:
+    """A response, or where ``refers_to`` (page_id of the response, ``refers_url`` its URL) is given a revisit, whose block has the HTTP header alone."""
     digest = base32_sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    target = "".join(c for c in url or "" if c.isprintable()) or "urn:none"
     headers = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, url)), ("WARC-Date", DATE),
-        ("WARC-Target-URI", target), ("Content-Type", "application/http;msgtype=response"),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, url, copy)), ("WARC-Date", DATE),
+        ("WARC-Target-URI", target_uri(url)), ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
     ]
     if page_id is not None:
         headers.append(("X-Page-Id", str(page_id)))
     if refers_to is not None:
-        headers += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]
+        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, refers_url)), ("WARC-Refers-To-Target-URI", target_uri(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", str(refers_to))]
     return _record(headers, block)
 
 
@@ -75,39 +82,44 @@ def _info(name: str) -> bytes:
 
 
 def first_of_each_payload(pages: DataFrame) -> DataFrame:
-    """pages with _size, _sha (of the payload) and _response, the largest page_id of rows with an equal payload (null: none has an id)."""
+    """pages with _size, _sha (of the payload), _response, the largest page_id of rows with an equal payload (null: none has an id), and _response_url, that row's (the largest of several)."""
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("_sha", F.sha1(raw)).withColumn("_size", F.octet_length(raw).cast("long"))
     keyed = rows.withColumn("_key", F.concat_ws(":", "_sha", "_size"))
-    groups = materialize(keyed.groupBy("_key").agg(F.count("*").alias("_n"), F.max("page_id").alias("_response")), "payloads")
+    groups = materialize(keyed.groupBy("_key").agg(F.count("*").alias("_n"), F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))).alias("_to")), "payloads")
+    groups = groups.select("_key", "_n", F.col("_to.page_id").alias("_response"), F.col("_to.url").alias("_response_url"))
     shared = groups.where(F.col("_n") > 1)  # a payload of one row is its own response
     if shared.limit(BROADCAST_PAYLOADS + 1).count() <= BROADCAST_PAYLOADS:
-        out = keyed.join(F.broadcast(shared.select("_key", "_response")), "_key", "left")
+        out = keyed.join(F.broadcast(shared.select("_key", "_response", "_response_url")), "_key", "left")
     else:
         total = groups.agg(F.sum("_n")).head()[0] or 0
-        out = join_hot(keyed, shared, "_key", "_n", total, ["_response"])
+        out = join_hot(keyed, shared, "_key", "_n", total, ["_response", "_response_url"])
     return out.withColumn("_response", F.coalesce("_response", "page_id"))
 
 
-def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, per_task: int = 2 << 20, min_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, per_task: int = RANGE_BYTES, min_bytes: int = 0) -> DataFrame:
     """Write all rows in ascending page_id and return the manifest (file, part, number, n_records, n_bytes).
 
     Of rows with equal payloads of at least ``min_bytes`` the one with the largest
     page_id is the response (repeated rows of that id all are) and the others
     revisit it; a payload of rows without an id has responses only. A null html
-    is an empty payload, a null url ``urn:none``; null ids come first. An empty
-    table has an empty manifest. Other columns are ignored.
+    is an empty payload, a null url ``urn:none``; null ids come first; unprintable
+    characters are left out of a URL. Record ids follow from page_id and url, and for
+    rows that repeat both from their place among those in a range (rows wholly alike that
+    fill several ranges share the id of each range's first). A revisit names its response by the
+    format's own headers. An empty table has an empty manifest. Other columns are ignored.
     """
     small_batches(pages.sparkSession)
     rows = first_of_each_payload(pages)
     revisit = (F.col("_size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_response")) & F.col("_response").isNotNull()
-    rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("_response")).alias("_refers_to"))
+    rows = rows.select("page_id", "url", "html", F.when(revisit, F.struct(F.col("_response").alias("page_id"), F.col("_response_url").alias("url"))).alias("_refers_to"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     parts = ranges.cut(own, "page_id", ["url", "html"], F.octet_length("html"), per_task)
     ranged = ranges.deal(rows, parts, "page_id", ["url", "html"], carried=["_refers_to"])
 
     def write(batches):
         part, number, n, held, size = None, 0, 0, [], 0
+        last, copies = None, 0
 
         def roll():
             name = f"{folder}/part-{part:07d}-{number:05d}.warc.gz"
@@ -121,8 +133,13 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, per_
                     if held:
                         yield roll()
                     part, number, n, held, size = at, 0, 0, [], 0
-                own = page_record(page, url, (html or "").encode("utf-8", "surrogatepass"), to)
+                payload = (html or "").encode("utf-8", "surrogatepass")
+                if (page, url or "") != last:
+                    last, copies = (page, url or ""), 0
                 for _ in range(many):
+                    # rows of one id and URL are neighbours
+                    own = page_record(page, url, payload, to and to["page_id"], to and to["url"], copies and part << 32 | copies)
+                    copies += 1
                     held.append(own)
                     n, size = n + 1, size + len(own)
                     if size >= roll_bytes:
