@@ -10,8 +10,9 @@ perfect hash over them with a fingerprint array (48 bits a key) and a count arra
 the shared folder and probe them with the hashes of their lines: a line goes if its
 fingerprint is there and its count reaches ``min_docs``; no line is joined.
 
-At most ``resident`` keys are held by a worker at once; an index of more takes a
-pass over the documents for each group of shards that fits.
+At most ``resident`` keys are held by a worker at once. Beside a larger index the lines'
+hashes are dealt out by shard, probed there, and only those that go come back to their texts;
+the number of passes does not depend on the index.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.llm.kernels import chunks, mix, span_hashes
-from roadtrace.llm.storage import materialize, open_fs, small_batches
+from roadtrace.llm.storage import join_hot, materialize, open_fs, small_batches
 
 MIN_DOCS, MIN_CHARS = 10, 1
 SHARD_KEYS, RESIDENT_KEYS = 250_000, 4_000_000
@@ -174,14 +175,20 @@ class Shard:
 
 
 @functools.lru_cache(maxsize=1)
-def _load(path: str, group: int, groups: int, n_shards: int) -> dict[int, Shard]:
-    """The shards of a group, read from the index files; a worker holds one group."""
+def _load(path: str) -> dict[int, Shard]:
+    """All shards, read from the index files."""
     import pyarrow.dataset as ds
 
     fs, inner = open_fs(path)
-    files = ds.dataset(inner, filesystem=fs, format="parquet")
-    own = files.to_batches(filter=ds.field("shard").isin(list(range(group, n_shards, groups))), batch_size=1)
-    return {r["shard"]: Shard(r) for batch in own for r in batch.to_pylist()}
+    return {r["shard"]: Shard(r) for batch in ds.dataset(inner, filesystem=fs, format="parquet").to_batches(batch_size=1) for r in batch.to_pylist()}
+
+
+@functools.lru_cache(maxsize=2)
+def _load_one(path: str, shard: int) -> Shard:
+    import pyarrow.dataset as ds
+
+    fs, inner = open_fs(path)
+    return Shard(ds.dataset(inner, filesystem=fs, format="parquet").to_table(filter=ds.field("shard") == shard).to_pylist()[0])
 
 
 def _repeated(lines: Lines, shards: dict[int, Shard], n_shards: int, min_docs: int, min_chars: int) -> np.ndarray:
@@ -205,6 +212,44 @@ def _without(lines: Lines, drop: np.ndarray, texts: list) -> list[str]:
     return [left[a : max(a, b - 1)].decode("utf-8", "surrogatepass") if n else t or "" for a, b, n, t in zip([0, *stops], stops, n_dropped, texts, strict=False)]
 
 
+#: Tasks that the lines of one shard are dealt to.
+SALTS = 64
+
+
+def _dropped_by_shard(docs: DataFrame, path: str, n_shards: int, min_docs: int, min_chars: int) -> DataFrame:
+    """_t (digest of a text), rows (with that text) and drop (key and fingerprint of each of its lines that goes), for texts that lose one.
+
+    Lines go to the tasks of their shards, each of which loads that shard alone; only what
+    goes comes back. So texts are read, but not written, whatever the size of the index.
+    """
+
+    def lines_of(batches):
+        for batch in batches:
+            digests, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                lines = Lines(texts[a:b])
+                doc = np.repeat(np.arange(a, b), np.diff(lines.bounds))
+                ok = np.flatnonzero(lines.n_points >= min_chars)
+                once = np.unique(np.rec.fromarrays([doc[ok], lines.keys[ok], lines.prints[ok]], names="doc,key,print"))
+                keys = once.key.view(np.int64)
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array(once.doc)), pa.array(((keys >> 7) % n_shards).astype(np.int32)), pa.array(keys), pa.array(once.print.view(np.int64))], names=["_t", "shard", "key", "print"])
+
+    def probe(batches):
+        for batch in batches:
+            shard, keys, prints = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            go = np.zeros(len(shard), bool)
+            for s in np.unique(shard):
+                at = np.flatnonzero(shard == s)
+                go[at] = _load_one(path, int(s)).counts(keys[at].view(np.uint64), prints[at].view(np.uint64)) >= min_docs
+            yield batch.filter(pa.array(go))
+
+    schema = "_t string, shard int, key long, print long"
+    lines = docs.select("_t", "text").mapInArrow(lines_of, schema)
+    dealt = lines.repartition("shard", F.pmod(F.xxhash64("_t"), F.lit(SALTS))).sortWithinPartitions("shard")
+    found = dealt.mapInArrow(probe, schema).groupBy("_t").agg(F.collect_set(F.struct("key", "print")).alias("drop"))
+    return found.join(docs.groupBy("_t").agg(F.count("*").alias("rows")), "_t")
+
+
 def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, resident: int = RESIDENT_KEYS, shard_keys: int = SHARD_KEYS, index_from: int | None = None) -> DataFrame:
     """All columns of ``docs`` in ``doc`` (struct), n_lines, n_dropped and ``kept``, the text of the lines that stay.
 
@@ -220,43 +265,38 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     counts = materialize(line_counts(docs, min_docs if index_from is None else min(index_from, min_docs), min_chars), "line-counts")
     total = counts.count()
     n_shards = max(1, -(-total // shard_keys))
-    groups = max(1, -(-total // resident))
     index = materialize(build_index(counts, total, shard_keys), "line-index")
     path = index.inputFiles()[0].rsplit("/", 1)[0] if total else None
-    out = docs.select("text", F.struct("*").alias("doc"), F.array().cast("array<int>").alias("dropped"))
-    schema = out.schema
-    for group in range(groups - 1):
-
-        def probe(batches, group=group):
-            shards = _load(path, group, groups, n_shards)
-            for batch in batches:
-                texts, dropped = batch.column("text").to_pylist(), batch.column("dropped").to_pylist()
-                for a, b in chunks(texts):
-                    lines = Lines(texts[a:b])
-                    hit = np.flatnonzero(_repeated(lines, shards, n_shards, min_docs, min_chars))
-                    for d, own in enumerate(np.split(hit, np.searchsorted(hit, lines.bounds[1:-1]))):
-                        dropped[a + d] += (own - lines.bounds[d]).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("doc"), pa.array(dropped, pa.list_(pa.int32()))], names=["text", "doc", "dropped"])
-
-        out = materialize(out.mapInArrow(probe, schema), "line-probe")
+    whole = total <= resident
+    out = docs.select("text", F.struct("*").alias("doc"))
+    if not whole:
+        out = out.withColumn("_t", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+        found = materialize(_dropped_by_shard(out, path, n_shards, min_docs, min_chars), "line-drops")
+        out = join_hot(out, found, "_t", "rows", found.agg(F.sum("rows")).head()[0] or 0, ["drop"])
+        out = out.select("text", "doc", F.transform("drop", lambda x: x["key"]).alias("keys"), F.transform("drop", lambda x: x["print"]).alias("prints"))
 
     def finish(batches):
-        shards = _load(path, groups - 1, groups, n_shards) if path is not None else {}
+        shards = _load(path) if whole and path is not None else {}
         for batch in batches:
-            texts, before = batch.column("text").to_pylist(), batch.column("dropped").to_pylist()
+            texts = batch.column("text").to_pylist()
             n_lines, n_dropped, kept = [], [], []
             for a, b in chunks(texts):
                 lines = Lines(texts[a:b])
-                drop = _repeated(lines, shards, n_shards, min_docs, min_chars)
-                for d in range(b - a):
-                    if before[a + d]:
-                        drop[lines.bounds[d] + np.array(before[a + d])] = True
+                if whole:
+                    drop = _repeated(lines, shards, n_shards, min_docs, min_chars)
+                else:
+                    drop = np.zeros(len(lines.keys), bool)
+                    for d in range(b - a):
+                        keys, prints = (batch.column(c)[a + d].values for c in ("keys", "prints"))
+                        if keys is not None and len(keys):
+                            at = slice(lines.bounds[d], lines.bounds[d + 1])
+                            drop[at] = np.isin(lines.keys[at].view(np.int64), keys.to_numpy()) & np.isin(lines.prints[at].view(np.int64), prints.to_numpy()) & (lines.n_points[at] >= min_chars)
                 n_lines += np.diff(lines.bounds).tolist()
                 n_dropped += np.add.reduceat(drop.astype(np.int64), lines.bounds[:-1]).tolist()
                 kept += _without(lines, drop, texts[a:b])
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_lines", "n_dropped", "kept"])
 
-    return out.mapInArrow(finish, f"doc {schema['doc'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
+    return out.mapInArrow(finish, f"doc {out.schema['doc'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
 def summary(dropped: DataFrame) -> DataFrame:
