@@ -2,7 +2,9 @@
 
 1. Tasks count the word runs (up to ``max_words``) of their texts; Spark sums them. Only
    runs of at least ``min_count`` occurrences go on: no part of a phrase is rarer than the
-   phrase, so every count that is asked for is among them.
+   phrase, so every count that is asked for is among them. For the same reason runs of
+   three words and more are counted in a pass of their own, without those that
+   a filter of fixed size over the frequent runs of a word less rules out.
 2. The counts are sorted by their words (prefix order). There the streams of all lengths
    run in lockstep: the words of a language (a run of no words, their number), then a
    word, the pairs that begin with it, and below each pair the triples that begin with
@@ -18,58 +20,137 @@ its border (a count for each length) is handed on from range to range.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
+import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadtrace.llm.kernels import mix, shingle_hashes, span_hashes
 from roadtrace.llm.storage import materialize, small_batches
 
 MAX_WORDS, MIN_COUNT, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
 UNKNOWN = "und"
-#: Distinct runs that a task holds before it hands their counts on.
-HELD_RUNS = 300_000
+#: Words that a task holds before it counts their runs, and runs in a batch of counts.
+HELD_TOKENS, BATCH_RUNS = 4_000_000, 50_000
+#: Bits of the filter that is broadcast (16 MB); of more than an eighth of that many frequent runs it lets more and more others through, which are counted and dropped then.
+FILTER_BITS = 1 << 27
 #: A task ranks at most so many times ``top`` phrases of a language.
 RANKED = 32
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
+_END, _BETWEEN = b".", b" . "
 
 
-def run_counts(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """(lang, phrase, c): occurrences of each run of 1 to ``max_words`` words within a piece; the empty phrase counts all words."""
-    small_batches(docs.sparkSession)
+def _run_hashes(words: list[bytes], own: np.ndarray, k: int, lang: str) -> np.ndarray:
+    """Hash of the k words (numbers in ``words``) that start at each place of ``own``."""
+    ends = np.cumsum([len(w) for w in words])
+    hashes = span_hashes(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+    return mix(shingle_hashes(hashes[own], k) ^ np.uint64(zlib.crc32(lang.encode())))
 
-    def flush(tally: dict) -> pa.RecordBatch:
-        langs, phrases, counts = [], [], []
-        for lang, (words, runs) in tally.items():
-            own = [*runs, b""]
-            langs.extend([lang] * len(own))
-            phrases.extend(own)
-            counts.extend([*runs.values(), words])
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "c"])
+
+def frequent_filter(runs: DataFrame, k: int) -> np.ndarray:
+    """Bits at the hashes of all ``runs`` (lang, phrase) of k words: at least 16 for each run while ``FILTER_BITS`` allow, as bytes of at most an eighth of that.
+
+    A run that isn't there may find its bit set by another; so it lets through, and loses nothing.
+    """
+    bits = min(FILTER_BITS, 1 << max(10, (16 * runs.count()).bit_length()))
+
+    def place(batches):
+        for batch in batches:
+            for lang, own in batch.to_pandas().groupby("lang"):
+                words = [w for p in own["phrase"] for w in p.encode().split(b" ")]
+                h = _run_hashes(words, np.arange(len(words)), k, lang)[::k] % np.uint64(bits)
+                yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(3)).astype(np.int64)), pa.array((1 << (h & np.uint64(7)).astype(np.int64)))], names=["at", "bit"])
+
+    found = runs.select("lang", "phrase").mapInArrow(place, "at long, bit long").groupBy("at").agg(F.bit_or("bit").cast("short").alias("byte")).toArrow()
+    out = np.zeros(bits >> 3, np.uint8)
+    out[found.column("at").to_numpy()] = found.column("byte").to_numpy().astype(np.uint8)
+    return out
+
+
+def run_counts(docs: DataFrame, first: int, last: int, allowed: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, c): occurrences of each run of ``first`` to ``last`` words within a piece; with ``first`` 1 the empty phrase counts all words.
+
+    ``allowed`` is the ``frequent_filter`` of runs of ``last`` - 1 words: runs of which a part isn't in it are left out.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = None if allowed is None else spark.sparkContext.broadcast(allowed)
+
+    def flush(lang: str, ids: dict, parts: list[np.ndarray]):
+        """Counts of the runs of one language; a run is told by the place of its beginning among the shorter ones, and its last word."""
+        own = np.concatenate(parts).astype(np.int64)
+        words = pa.array(list(ids), pa.binary())
+        start, found, run, runs = np.flatnonzero(own), [], words, own
+        if shared is not None:
+            h = _run_hashes(list(ids), own, last - 1, lang) % np.uint64(8 * len(shared.value))
+            there = (shared.value[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            start = np.flatnonzero(there[:-1] & there[1:] & (own[: max(0, len(there) - 1)] > 0))
+        if first == 1:
+            n = np.bincount(own)
+            found = [(pa.array([b""], pa.binary()), np.array([n[1:].sum()])), (words.slice(1), n[1:])]
+        for k in range(1, last):  # runs: for each token, the place of the run of k words that starts there
+            start = start[start + k < len(own)]
+            start = start[own[start + k] > 0]
+            codes, inverse, n = np.unique(runs[start] << 32 | own[start + k], return_inverse=True, return_counts=True)
+            run = pc.binary_join_element_wise(run.take(pa.array(codes >> 32)), words.take(pa.array(codes & (2**32 - 1))), b" ")
+            if k + 1 >= first:
+                found.append((run, n))
+            if k + 1 < last:
+                runs = np.zeros(len(own), np.int64)
+                runs[start] = inverse
+        for phrases, n in found:
+            for i in range(0, len(phrases), BATCH_RUNS):
+                part = phrases.slice(i, BATCH_RUNS).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(part)), part, pa.array(n[i : i + BATCH_RUNS])], names=["lang", "phrase", "c"])
 
     def count(batches):
-        tally: dict = {}
+        held: dict = {}
+        n = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = tally.setdefault(lang, [0, Counter()])
-                for piece in _ENDS.split((text or b"").translate(_LOWER)):
-                    words = piece.split()  # pieces hold no other blanks than space and tab
-                    own[0] += len(words)
-                    own[1].update(words)
-                    for k in range(2, max_words + 1):
-                        own[1].update(map(b" ".join, zip(*(words[i:] for i in range(k)))))
-                if sum(len(runs) for _, runs in tally.values()) >= HELD_RUNS:
-                    yield flush(tally)
-                    tally = {}
-        yield flush(tally)
+                if lang not in held:
+                    ids = defaultdict(itertools.count().__next__)
+                    held[lang] = ids, [np.full(1, ids[_END], np.int32)]
+                ids, parts = held[lang]
+                tokens = _ENDS.sub(_BETWEEN, (text or b"").translate(_LOWER)).split()  # the blanks that are left are space and tab
+                tokens.append(_END)
+                parts.append(np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens)))
+                n += len(tokens)
+                if n >= HELD_TOKENS:
+                    for own in [*held]:
+                        yield from flush(own, *held.pop(own))
+                    n = 0
+        for own in [*held]:
+            yield from flush(own, *held.pop(own))
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(count, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
+    # tasks have added up what they could, so rows go straight to the shuffle
+    return rows.mapInArrow(count, "lang string, phrase string, c long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
+
+
+def frequent_runs(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
+    """(lang, words, c) of all runs of at least ``min_count`` occurrences, and all words of each language as the run of none.
+
+    Words and pairs are counted at once; each longer length takes another pass, in
+    which only runs whose both parts of a word less may be frequent are counted.
+    """
+    found, k = None, 2
+    while k <= max_words:
+        allowed = frequent_filter(found.where(F.size(F.split("phrase", " ")) == k - 1), k - 1) if found else None
+        counts = run_counts(docs, k if found else 1, k, allowed)
+        counts = materialize(counts.where((F.col("c") >= min_count) | (F.col("phrase") == "")), "counts")
+        found = found.unionByName(counts) if found else counts
+        k += 1
+    words = F.when(F.col("phrase") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("phrase", " "))
+    return found.select("lang", words.alias("words"), "c")
 
 
 def lockstep(counts: DataFrame, key: Column, max_words: int, before: str, extension: str) -> DataFrame:
@@ -163,9 +244,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     A null lang is ``und``, a null text is empty, repeated rows count each time, and
     doc_id is not looked at. An empty table gives no rows. Counts must stay below 10^15.
     """
-    counts = run_counts(docs, max_words).where((F.col("c") >= min_count) | (F.col("phrase") == ""))
-    words = F.when(F.col("phrase") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("phrase", " "))
-    counts = materialize(counts.select("lang", words.alias("words"), "c"), "counts")
+    counts = frequent_runs(docs, max_words, min_count)
     counts = lockstep(counts, F.col("words"), max_words, "first", "right")
     counts = lockstep(counts, F.reverse("words"), max_words, "last", "left")
     big = lambda x: f"cast({x} as decimal(15, 0))"

@@ -80,7 +80,9 @@ def test_collocations_are_those_of_brute_force_whatever_the_ranges(spark, ranges
 @pytest.mark.parametrize("limits", [(4, 3, 80, 25), (2, 1, 50, 2000), (3, 1, 1000, 7)])
 def test_collocations_with_other_limits(spark, limits, monkeypatch):
     monkeypatch.setattr(collocations, "RANKED", 2)  # ranked in parts
-    monkeypatch.setattr(collocations, "HELD_RUNS", 50)
+    monkeypatch.setattr(collocations, "HELD_TOKENS", 50)
+    monkeypatch.setattr(collocations, "BATCH_RUNS", 9)
+    monkeypatch.setattr(collocations, "FILTER_BITS", 64)  # lets most runs through
     max_words, least, percent, top = limits
     got = [tuple(r) for r in collocations.collocations(docs(spark, ROWS[:34]), max_words, least, percent, top).collect()]
     assert sorted(got) == sorted(brute_collocations(ROWS[:34], max_words, least, percent, top))
@@ -99,7 +101,8 @@ def test_extension_of_a_hot_pair_over_small_batches(spark):
 
 def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
     huge = [("en", "", 3 * 10**13), ("en", "a", 10**13), ("en", "b", 10**13 - 7), ("en", "a b", 10**13 - 9)]
-    monkeypatch.setattr(collocations, "run_counts", lambda *_: spark.createDataFrame(huge, "lang string, phrase string, c long"))
+    runs = spark.createDataFrame([(lang, p.split(), c) for lang, p, c in huge], "lang string, words array<string>, c long")
+    monkeypatch.setattr(collocations, "frequent_runs", lambda *_: runs)
     (r,) = collocations.collocations(None).collect()
     assert r["score"] == 1000000 * (10**13 - 9) ** 2 // (10**13 * (10**13 - 7)) and r["n"] == 3 * 10**13
 

@@ -50,4 +50,4 @@ def test_registered_queries_are_the_ten_and_the_pipeline():
     import __spark_entry__ as entry
 
     names = [q for q in entry.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and "pipeline" in entry.queries()

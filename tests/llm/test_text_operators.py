@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -316,7 +317,7 @@ def test_pii_table(spark):
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_warc(spark, monkeypatch, broadcast):
     monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", broadcast)
-    rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>" * 50) for i in range(40)] + [(50, None, None), (51, "u\nv", ""), (None, "u", "<p>3</p>" * 50), (60, "a", "only"), (60, "b", "only"), (61, "é", "日本" * 30_000)]
+    rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>" * 50) for i in range(40)] + [(50, None, None), (51, "u\nv", ""), (None, "u", "<p>3</p>" * 50), (60, "a", "only"), (60, "b", "only"), (60, "b", "only"), (60, "b", "other"), (61, "é", "日本" * 30_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, refers_to string").repartition(4)
     manifest = warc.write_warc(df, storage.shared_folder(spark, "w"), roll_bytes=3000, per_task=4000)
     assert manifest.agg({"n_records": "sum"}).head()[0] == len(rows) and manifest.count() > 4
@@ -334,9 +335,24 @@ def test_warc(spark, monkeypatch, broadcast):
     assert got == want
     again = warc.write_warc(df.repartition(2), storage.shared_folder(spark, "w"), roll_bytes=3000, per_task=4000)
     assert sorted(warc.read_file(r["file"]) for r in again.collect()) == sorted(raw.values())  # same rows, same bytes
+    records = [h for data in raw.values() for h, _ in warc.parse_warc(data)]
+    ids = {h["WARC-Record-ID"]: h for h in records}
+    assert len(ids) == len(records)
+    revisits = [h for h in records if h["WARC-Type"] == "revisit"]
+    for h in revisits:  # another reader finds the response by the format's own headers
+        to = ids[h["WARC-Refers-To"]]
+        assert to["WARC-Type"] == "response" and to["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] and to["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and to["X-Page-Id"] == h["X-Refers-To-Page-Id"]
+    assert len(revisits) > 30 and {h["WARC-Target-URI"] for h in records if h.get("X-Page-Id") == "51"} == {"uv"}
     assert warc.archive(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_the_querys_own_files_roll(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    files = warc.write_warc(pages, storage.shared_folder(spark, "w")).orderBy("file").collect()
+    assert max(f["number"] for f in files) > 0 and all(f["n_bytes"] > warc.ROLL_BYTES for f in files[:-1])
+
+
 # --- sharding
 
 
