@@ -357,10 +357,11 @@ def t6_output_order(spark, d):
     return out.orderBy(*SEGMENT)
 
 
-@query("SELECT event_id, event_type AS drive_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS local_index FROM events WHERE event_type IN ('click', 'view')")
+@query("SELECT event_id, event_type AS drive_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS local_index FROM events")
 def u1_union_sessions(spark, d):
-    e = table(spark, d, "events").select("event_id", "event_type")
-    return sets.union_sessions({t: e.where(F.col("event_type") == t).drop("event_type") for t in ("click", "view")}, "event_id")
+    """All rows of all sessions with their drive and place in it."""
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("drive_id"))
+    return sets.numbered(e, "drive_id", "event_id")
 
 
 @query("SELECT lang || '/' || source AS name FROM documents INTERSECT SELECT 'de/' || source FROM documents WHERE lang <> 'de'")
@@ -373,7 +374,7 @@ def u2_feature_overlap(spark, d):
 
 @query("SELECT source AS name FROM documents WHERE lang = 'de' INTERSECT SELECT source FROM documents WHERE lang = 'es'")
 def u2_feature_overlap_whole(spark, d):
-    """All sources of two languages."""
+    """The sources that two languages, German and Spanish, have in common."""
     docs = table(spark, d, "documents").withColumn("name", F.col("source"))
     return sets.overlap(docs.where("lang = 'de'").select("name"), docs.where("lang = 'es'").select("name"))
 
@@ -381,7 +382,7 @@ def u2_feature_overlap_whole(spark, d):
 @query("SELECT split FROM (SELECT unnest(['train', 'validation', 'test', 'final']) AS split) WHERE split NOT IN (SELECT driver_holdout_split FROM holdout)", HOLDOUT)
 def u3_missing_splits(spark, d):
     s = splits.driver_holdout(sessions(spark, d))
-    required = s.limit(1).select(F.explode(F.array(*[F.lit(x) for x in (*splits.SPLITS, "final")])).alias("split"))
+    required = spark.createDataFrame([(x,) for x in (*splits.SPLITS, "final")], "split string")
     return sets.missing(required, s.select(F.col("driver_holdout_split").alias("split")))
 
 
