@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roadtrace.functions import geo, stats
 from roadtrace.functions.geo import _c
 from roadtrace.operators import ranking
-from roadtrace.operators.joins import lag_sweep_pairs, small_side
+from roadtrace.operators.joins import lag_sweep_pairs
 
 SWEEP = "lag int, speed_corr double, median_separation double, p95_separation double"
 
@@ -126,7 +126,7 @@ def lag_profile(df: DataFrame, keys: list[str], channels: list[str], target: str
     before = F.coalesce(F.sum("m").over(W.partitionBy(*each).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = valid.groupBy(*each, "_b").agg(F.count("*").alias("m")).select(*each, "_b", before.alias("before"))
     ranked = valid.withColumn("i", F.row_number().over(W.partitionBy(*each, "_b").orderBy("_o")) - 1)
-    ranked = ranked.join(small_side(blocks), [*each, "_b"]).join(small_side(moments.where(signal)), each)
+    ranked = ranked.join(blocks.join(moments.where(signal), each), [*each, "_b"])
     ranked = ranked.select(*each, (F.col("i") + F.col("before")).alias("i"), ((F.col("x") - F.col("mx")) / F.col("sx")).alias("x"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("y"))
     to = F.explode(F.sequence(F.floor((F.col("i") - max_lag) / block), F.floor((F.col("i") + max_lag) / block)))
     dealt = ranked.withColumn("_b", to)

@@ -117,22 +117,25 @@ def anchor(points: DataFrame, edges: DataFrame, keys: list[str], heading: str, r
     return best.select(*keys, "s.*")
 
 
-def shortest_paths(graph: dict, source, cap: float) -> dict:
-    """Distances of at most ``cap`` from ``source`` (graph: node -> list of (node, length))."""
-    best, heap = {source: 0.0}, [(0.0, source)]
+def shortest_paths(graph: dict, source, cap: float, targets: set | None = None) -> dict:
+    """Distances of at most ``cap`` from ``source`` (graph: node -> list of (node, length)); with ``targets`` only to these, and no further than the last of them."""
+    best, heap, missing = {source: 0.0}, [(0.0, source)], set(targets or ())
     while heap:
         d, u = heapq.heappop(heap)
         if d > best[u]:
             continue
+        missing.discard(u)
+        if targets is not None and not missing:
+            break
         for v, w in graph.get(u, ()):
             if (x := d + w) <= cap and x < best.get(v, math.inf):
                 best[v] = x
                 heapq.heappush(heap, (x, v))
-    return best
+    return best if targets is None else {v: best[v] for v in targets if v in best}
 
 
 class _Router:
-    """Route distances on one subgraph, remembering each node's distances."""
+    """Route distances on one subgraph; only the pairs of nodes that were asked for are remembered."""
 
     def __init__(self, edges: pd.DataFrame, cap: float):
         self.cap, self.graph, self.edge, self.known = cap, {}, {}, {}
@@ -141,10 +144,22 @@ class _Router:
             self.graph.setdefault(b, []).append((a, length))
             self.edge[edge] = (a, b, (ae, an), (be, bn))
 
-    def distances(self, u) -> dict:
-        if u not in self.known:
-            self.known[u] = shortest_paths(self.graph, u, self.cap)
-        return self.known[u]
+    def distances(self, u, targets: set) -> dict:
+        """Distances from ``u`` to at least ``targets``, infinite beyond the cap."""
+        known = self.known.setdefault(u, {})
+        if new := targets - known.keys():
+            found = shortest_paths(self.graph, u, self.cap, new)
+            known |= {v: found.get(v, math.inf) for v in new}
+        return known
+
+    def prepare(self, pairs) -> None:
+        """Find the distances between the ends of all ``pairs`` of edges, with one search from each node."""
+        targets: dict = {}
+        for i, j in pairs:
+            for u in self.edge[i][:2]:
+                targets.setdefault(u, set()).update(self.edge[j][:2])
+        for u, wanted in targets.items():
+            self.distances(u, wanted)
 
     def __call__(self, ei, pi, ej, pj) -> float:
         if ei == ej:
@@ -154,8 +169,7 @@ class _Router:
         a2, b2, xa2, xb2 = self.edge[ej]
         for u, xu in ((a1, xa1), (b1, xb1)):
             for v, xv in ((a2, xa2), (b2, xb2)):
-                if (d := self.distances(u).get(v)) is not None:
-                    best = min(best, math.dist(pi, xu) + d + math.dist(pj, xv))
+                best = min(best, math.dist(pi, xu) + self.distances(u, {v})[v] + math.dist(pj, xv))
         return best
 
 
@@ -164,6 +178,7 @@ def route_distances(pairs: DataFrame, edges: DataFrame, keys: list[str], cap: fl
 
     def run(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         route = _Router(g, cap)
+        route.prepare({(i, j) for i, j in p[["edge_i", "edge_j"]].itertuples(index=False) if i != j})
         return p.assign(distance=[route(i, (a, b), j, (c, d)) for i, a, b, j, c, d in p[["edge_i", "ei", "ni", "edge_j", "ej", "nj"]].itertuples(index=False)])
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in pairs.dtypes), "distance double"])
@@ -191,83 +206,161 @@ def viterbi(steps: list[list[tuple]], observed: list[tuple[float, float]], route
     return out
 
 
-#: Steps whose transitions are laid out together; bounds the scratch arrays of a long trajectory.
+#: Steps whose transitions are laid out together; bounds the scratch arrays of a block.
 STEPS = 2048
+#: Values of ``order`` that one task of ``hmm_match`` takes.
+BLOCK = 50_000
+
+
+class _Path:
+    """The steps of a trajectory that have candidates (``viterbi``'s), as arrays [step, candidate] filled up with candidates of no likelihood."""
+
+    def __init__(self, steps: list[list[tuple]], observed: np.ndarray, route: _Router, sigma: float, beta: float):
+        self.have, self.steps, self.route, self.beta = [t for t, c in enumerate(steps) if c], len(steps), route, beta
+        if not self.have:
+            return
+        self.size = np.array([len(steps[t]) for t in self.have])
+        self.k = int(self.size.max())
+        self.there = np.arange(self.k) < self.size[:, None]
+        flat = [c for t in self.have for c in steps[t]]
+        number = {e: i for i, e in enumerate(dict.fromkeys(c[0] for c in flat))}
+        self.names, ends = list(number), np.array([route.edge[e][2:] for e in number])
+        shape = (len(self.have), self.k)
+        self.edge, self.place, off = np.zeros(shape, np.int64), np.zeros((*shape, 2)), np.full(shape, np.inf)
+        self.edge[self.there], self.place[self.there], off[self.there] = [number[c[0]] for c in flat], [c[1] for c in flat], [c[2] for c in flat]
+        self.to_end = np.linalg.norm(self.place[:, :, None] - ends[self.edge], axis=3)
+        self.emission = -off * off / (2 * sigma * sigma)
+        self.move = np.linalg.norm(np.diff(observed[self.have], axis=0), axis=1)
+
+    def costs(self):
+        """(step, costs [from, to]) of each step but the first. Distances are looked up once for each two edges that follow one another."""
+        for a in range(0, len(self.have) - 1, STEPS):
+            b = min(a + STEPS, len(self.have) - 1)
+            x, y = slice(a, b), slice(a + 1, b + 1)
+            i, j = np.broadcast_arrays(self.edge[x][:, :, None], self.edge[y][:, None, :])
+            other = self.there[x][:, :, None] & self.there[y][:, None, :] & (i != j)
+            codes, at = np.unique(i[other] * len(self.names) + j[other], return_inverse=True)
+            pairs = [(self.names[c // len(self.names)], self.names[c % len(self.names)]) for c in codes.tolist()]
+            self.route.prepare(pairs)
+            ends = [(self.route.edge[p][:2], self.route.edge[q][:2]) for p, q in pairs]
+            apart = np.array([[[self.route.known[u][v] for v in q] for u in p] for p, q in ends]).reshape(-1, 2, 2)
+            between = np.full((*other.shape, 2, 2), np.inf)
+            between[other] = apart[at]
+            ways = self.to_end[x][:, :, None, :, None] + between + self.to_end[y][:, None, :, None, :]
+            way = np.minimum(ways.min(axis=(3, 4)), self.route.cap)
+            way = np.where(i == j, np.linalg.norm(self.place[x][:, :, None] - self.place[y][:, None], axis=3), way)
+            for t, cost in zip(range(a + 1, b + 1), np.abs(self.move[a:b, None, None] - way) / self.beta, strict=True):
+                yield t, cost
+
+    def scores(self, entered: bool) -> np.ndarray:
+        """Best score [way in, last candidate]: the ways in are the candidates of the first step, or one if nothing was ``entered``."""
+        score = self.emission[:1]
+        if entered:
+            score = np.where(np.eye(self.k, dtype=bool), 0.0, -np.inf)[: self.size[0]]
+        for t, cost in self.costs():
+            score = (score[:, :, None] - cost).max(axis=1) + self.emission[t]
+        return score[:, : self.size[-1]]
+
+    def chosen(self, first: int = -1, last: int = -1) -> list[int]:
+        """Index of the chosen candidate of each step (-1: it has none); ``first`` and ``last`` are chosen already unless they are -1."""
+        out = [-1] * self.steps
+        if not self.have:
+            return out
+        score, back = self.emission[0], np.zeros((len(self.have), self.k), np.int64)
+        if first >= 0:
+            score = np.where(np.arange(self.k) == first, 0.0, -np.inf)
+        for t, cost in self.costs():
+            ways = score[:, None] - cost
+            back[t] = ways.argmax(axis=0)
+            score = ways[back[t], np.arange(self.k)] + self.emission[t]
+        j = last if last >= 0 else int(np.argmax(score))
+        for n in range(len(self.have) - 1, -1, -1):
+            out[self.have[n]] = j
+            j = int(back[n, j])
+        return out
 
 
 def match_path(steps: list[list[tuple]], observed: np.ndarray, route: _Router, sigma: float, beta: float) -> list[int]:
-    """``viterbi`` with the transitions of many steps laid out as arrays [step, from, to]."""
-    have = [t for t, c in enumerate(steps) if c]
-    out = [-1] * len(steps)
-    if not have:
-        return out
-    size = np.array([len(steps[t]) for t in have])
-    k = int(size.max())
-    there = np.arange(k) < size[:, None]
-    flat = [c for t in have for c in steps[t]]
-    number = {e: i for i, e in enumerate(dict.fromkeys(c[0] for c in flat))}
-    ends = [route.edge[e] for e in number]
-    nodes = {v: i for i, v in enumerate(dict.fromkeys(v for e in ends for v in e[:2]))}
-    apart = np.full((len(nodes), len(nodes)), np.inf)
-    for u, i in nodes.items():
-        for v, d in route.distances(u).items():
-            if (j := nodes.get(v)) is not None:
-                apart[i, j] = d
-    edge, place, off = np.zeros((len(have), k), np.int64), np.zeros((len(have), k, 2)), np.full((len(have), k), np.inf)
-    edge[there], place[there], off[there] = [number[c[0]] for c in flat], [c[1] for c in flat], [c[2] for c in flat]
-    node = np.array([[nodes[e[0]], nodes[e[1]]] for e in ends])[edge]  # [step, candidate, end]
-    to_end = np.linalg.norm(place[:, :, None] - np.array([[e[2], e[3]] for e in ends])[edge], axis=3)
-    emission = -off * off / (2 * sigma * sigma)
-    seen = observed[have]
-    move = np.linalg.norm(np.diff(seen, axis=0), axis=1)
-    score, back = emission[0], np.zeros((len(have), k), np.int64)
-    for a in range(0, len(have) - 1, STEPS):
-        b = min(a + STEPS, len(have) - 1)
-        x, y = slice(a, b), slice(a + 1, b + 1)
-        way = np.full((b - a, k, k), route.cap)
-        for u in (0, 1):
-            for v in (0, 1):
-                between = apart[node[x, :, u][:, :, None], node[y, :, v][:, None, :]]
-                way = np.minimum(way, to_end[x, :, u][:, :, None] + between + to_end[y, :, v][:, None, :])
-        same = edge[x][:, :, None] == edge[y][:, None, :]
-        way = np.where(same, np.linalg.norm(place[x][:, :, None] - place[y][:, None], axis=3), way)
-        cost = np.abs(move[a:b, None, None] - way) / beta
-        for t in range(a, b):
-            ways = score[:, None] - cost[t - a]
-            best = ways.argmax(axis=0)
-            back[t + 1] = best
-            score = ways[best, np.arange(k)] + emission[t + 1]
-    j = int(np.argmax(score))
-    for n in range(len(have) - 1, -1, -1):
-        out[have[n]] = j
-        j = int(back[n, j])
-    return out
-
+    """``viterbi`` with the transitions of many steps laid out as arrays."""
+    return _Path(steps, observed, route, sigma, beta).chosen()
+
+
+def _ends_of_blocks(scores: list[np.ndarray]) -> list[int]:
+    """The candidate at the end of each block on the best path, from the blocks' scores in order: matrices over (max, +)."""
+    total, back = scores[0][0], []
+    for way in scores[1:]:
+        ways = total[:, None] + way
+        back.append(ways.argmax(axis=0))
+        total = ways.max(axis=0)
+    ends = [int(np.argmax(total))]
+    for b in reversed(back):
+        ends.append(int(b[ends[-1]]))
+    return ends[::-1]
+
+
+def hmm_match(points: DataFrame, candidates: DataFrame, edges: DataFrame, keys: list[str], reach: float, sigma: float = 25.0, beta: float = 12.0, cap: float = 2000.0, order: str = "row_idx", block: int = BLOCK) -> DataFrame:
+    """Most likely path of each trajectory over its candidates (``near_edges_expanding``).
+
+    A trajectory of any length is cut into blocks of ``block`` values of ``order``, which
+    numbers its rows. 1. A block, with the last step that had a candidate before it, gives the best score
+    from each candidate there to each of its own last step. 2. These small matrices of a trajectory meet, in
+    order, and say where the best path passes from block to block. 3. Blocks find their
+    part of the path. Without a trajectory of several blocks (one look at keys and ``order``) 1 and 2 fall away.
+
+    Routes may use all ``edges`` within ``reach`` metres of a block's points. Rows without a
+    candidate keep their own place; so do all rows of a trajectory with a null key.
+    """
+    at, types = [*keys, "_block"], dict(points.dtypes)
+    k = ", ".join(f"`{x}` {types[x]}" for x in keys)
+    numbered = points.select(*keys, F.floor(F.col(order) / block).cast("long").alias("_block"), order, F.col("e").cast("double").alias("e"), F.col("n").cast("double").alias("n"))
+    cand = candidates.groupBy(*keys, order).agg(F.array_sort(F.collect_list(F.struct("rank", "edge", F.col("foot_e").alias("e"), F.col("foot_n").alias("n"), "distance"))).alias("cand"))
+    rows = numbered.join(cand, [*keys, order], "left")
+    laid, near = rows.withColumn("_own", F.lit(True)), numbered.select(*at, "e", "n")
+    cut = numbered.groupBy(*keys).agg((F.min("_block") < F.max("_block")).alias("cut")).where("cut").limit(1).count() > 0
+    if cut:
+        last = F.max_by(F.struct(order, "e", "n", "cand"), F.when(F.col("cand").isNotNull(), F.col(order)))
+        lasts = rows.groupBy(*at).agg(last.alias("_last")).where("_last is not null")
+        before = lasts.withColumn("_last", F.lag("_last").over(W.partitionBy(*keys).orderBy("_block"))).where("_last is not null").select(*at, "_last.*")
+        laid, near = laid.unionByName(before.withColumn("_own", F.lit(False))), near.unionByName(before.select(*at, "e", "n"))
+    graph = own_edges(near, edges, at, reach, reach)
+
+    def path(p: pd.DataFrame, g: pd.DataFrame) -> tuple[list, _Path]:
+        seen = [[] if not isinstance(c, (list, np.ndarray)) else [(x["edge"], (x["e"], x["n"]), x["distance"]) for x in c] for c in p["cand"]]
+        return seen, _Path(seen, p[["e", "n"]].to_numpy(float), _Router(g, cap), sigma, beta)
 
-def hmm_match(points: DataFrame, candidates: DataFrame, edges: DataFrame, keys: list[str], sigma: float = 25.0, beta: float = 12.0, cap: float = 2000.0, order: str = "row_idx") -> DataFrame:
-    """Most likely path of each trajectory over its candidates (``near_edges_expanding``), one task per trajectory.
+    def score(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order)
+        _, steps = path(p, g)
+        if not steps.have:
+            return pd.DataFrame({c: np.array([], object) for c in [*at, "_score"]})
+        return p[at].head(1).assign(_score=[steps.scores(not p["_own"].all()).tolist()])
 
-    ``edges`` has each trajectory's own subgraph (``keys``, see ``own_edges``). Rows without a candidate keep their own place.
-    """
+    def decide(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("_block")
+        ends = _ends_of_blocks([np.stack(s) for s in f["_score"]])
+        return f[at].assign(_first=[-1, *ends[:-1]], _last=ends)
 
     def run(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order)
-        route = _Router(g, cap)
-        seen = [[] if not isinstance(c, (list, np.ndarray)) else [(x["edge"], (x["e"], x["n"]), x["distance"]) for x in c] for c in p["cand"]]
-        chosen = match_path(seen, p[["e", "n"]].to_numpy(float), route, sigma, beta)
-        best = [c[i] if i >= 0 else None for c, i in zip(seen, chosen, strict=True)]
+        first, last = (int(p[c].max()) if len(p) else -1 for c in ("_first", "_last"))
+        p = p[p["_own"].notna()].sort_values(order)
+        seen, steps = path(p, g)
+        best = [c[i] if i >= 0 else None for c, i in zip(seen, steps.chosen(first, last), strict=True)]
         out = p[[*keys, order]].copy()
         out["edge"] = [b[0] if b else None for b in best]
         out["match_e"] = [b[1][0] if b else e for b, e in zip(best, p["e"], strict=True)]
         out["match_n"] = [b[1][1] if b else n for b, n in zip(best, p["n"], strict=True)]
         out["matched"] = [b is not None for b in best]
-        return out
-
-    cand = candidates.groupBy(*keys, order).agg(F.array_sort(F.collect_list(F.struct("rank", "edge", F.col("foot_e").alias("e"), F.col("foot_n").alias("n"), "distance"))).alias("cand"))
-    rows = points.select(*keys, order, "e", "n").join(cand, [*keys, order], "left")
-    types = dict(points.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "edge string, match_e double, match_n double, matched boolean"])
-    return rows.groupBy(*keys).cogroup(_own(edges).groupBy(*keys)).applyInPandas(run, schema)
+        return out[p["_own"].astype(bool)]
+
+    both = lambda left: left.groupBy(*at).cogroup(_own(graph).groupBy(*at))
+    whole = laid.withColumns({"_first": F.lit(-1), "_last": F.lit(-1)})
+    if cut:
+        several = lasts.groupBy(*keys).count().where("count > 1").select(*keys)
+        scores = both(laid.join(several, keys, "left_semi")).applyInPandas(score, f"{k}, _block long, _score array<array<double>>")
+        ends = scores.groupBy(*keys).applyInPandas(decide, f"{k}, _block long, _first int, _last int")
+        whole = whole.unionByName(_own(ends).withColumn(order, F.lit(0).cast(types[order])), allowMissingColumns=True)
+    schema = ", ".join([*(f"`{x}` {types[x]}" for x in [*keys, order]), "edge string, match_e double, match_n double, matched boolean"])
+    return both(whole).applyInPandas(run, schema)
 
 
 def walk(place: dict, neighbours: dict, frm, to, along: float, yaw: np.ndarray, v: np.ndarray, dt: float, u_turn: bool) -> tuple[np.ndarray, int, float]:

@@ -486,7 +486,7 @@ def m5_hmm_match(spark, d):
     p, edges, cap, most = turning_drives(spark, d), lattice(spark, d), 400.0, 120.0
     cand = roads.near_edges_expanding(p, edges, ["session_key", "row_idx"], most=most)
     reach = cap / 2 + most
-    out = roads.hmm_match(p, cand, roads.own_edges(p, edges, ["session_key"], reach, reach), ["session_key"], sigma=5.0, cap=cap)
+    out = roads.hmm_match(p, cand, edges, ["session_key"], reach, sigma=5.0, cap=cap)
     return rounded(out.select("session_key", "row_idx", "match_e", "match_n", "matched"), "match_e", "match_n", places=4)
 
 
@@ -509,7 +509,7 @@ def m5_hmm_match_whole(spark, d):
     cand = roads.near_edges_expanding(p, edges, ["session_key", "row_idx"], most=most)
     # near_edges_expanding may double its radius past ``most`` once
     reach = cap / 2 + 2 * most
-    out = roads.hmm_match(p, cand, roads.own_edges(p, edges, ["session_key"], reach, reach), ["session_key"], cap=cap)
+    out = roads.hmm_match(p, cand, edges, ["session_key"], reach, cap=cap)
     return rounded(out.select("session_key", "row_idx", "match_e", "match_n", "matched"), "match_e", "match_n", places=4)
 
 

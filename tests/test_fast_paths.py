@@ -241,6 +241,45 @@ def test_match_path_is_viterbi():
     assert roads.match_path([[], []], seen[:2], roads._Router(g, 10.0), 25.0, 12.0) == [-1, -1]
 
 
+def test_search_for_targets_is_the_whole_search():
+    rng = np.random.default_rng(5)
+    for cap in (40.0, 120.0, 1e9):
+        graph: dict = {}
+        for a, b, w in zip(rng.integers(0, 60, 110).tolist(), rng.integers(0, 60, 110).tolist(), rng.uniform(1, 40, 110), strict=True):
+            graph.setdefault(a, []).append((b, w))
+            graph.setdefault(b, []).append((a, w))
+        for u in range(62):
+            targets = set(rng.integers(0, 62, 6).tolist())
+            whole = roads.shortest_paths(graph, u, cap)
+            assert roads.shortest_paths(graph, u, cap, targets) == {v: whole[v] for v in targets if v in whole}
+
+
+@pytest.mark.parametrize("block", [7, 20, 1000])
+def test_matching_in_blocks_is_viterbi(spark, block):
+    """Two drives with rows without candidates, one of them for longer than a block; and a null key."""
+    rng = np.random.default_rng(block)
+    links = [((x, y), (x + a, y + b)) for x in range(6) for y in range(6) for a, b in ((1, 0), (0, 1)) if x + a < 6 and y + b < 6]
+    g = pd.DataFrame([(f"{a}-{b}", str(a), str(b), 100.0 * a[0], 100.0 * a[1], 100.0 * b[0], 100.0 * b[1], 100.0) for a, b in links], columns=["edge", "a", "b", "ae", "an", "be", "bn", "length"])
+    points, cands, want = [(None, 0, 5.0, 6.0)], [], {(None, 0): (None, 5.0, 6.0)}
+    for key, silent in (("x", range(22, 65)), ("y", range(0, 9))):
+        seen = np.cumsum(rng.normal(0, 40, (90, 2)), axis=0) % 500
+        steps = []
+        for t, p in enumerate(seen):
+            own = g.iloc[rng.choice(len(g), 0 if t in silent else rng.integers(0, 7), replace=False)]
+            feet = own[["ae", "an"]].to_numpy() + rng.random((len(own), 1)) * (own[["be", "bn"]].to_numpy() - own[["ae", "an"]].to_numpy())
+            steps.append([(e, (float(f[0]), float(f[1])), float(np.linalg.norm(f - p)) / 9) for e, f in zip(own["edge"], feet, strict=True)])
+            points.append((key, t, float(p[0]), float(p[1])))
+            cands += [(key, t, i + 1, *c[:1], *c[1], c[2]) for i, c in enumerate(steps[-1])]
+        for t, i in enumerate(roads.viterbi(steps, [tuple(p) for p in seen], roads._Router(g, 400.0), 25.0, 12.0)):
+            want[key, t] = (steps[t][i][0], *steps[t][i][1]) if i >= 0 else (None, *map(float, seen[t]))
+    p = spark.createDataFrame(points, "k string, row_idx long, e double, n double")
+    c = spark.createDataFrame(cands, "k string, row_idx long, rank int, edge string, foot_e double, foot_n double, distance double")
+    out = roads.hmm_match(p, c, spark.createDataFrame(g), ["k"], 800.0, cap=400.0, block=block)
+    got = {(r["k"], r["row_idx"]): (r["edge"], r["match_e"], r["match_n"]) for r in out.collect()}
+    assert got == want and dict(out.dtypes)["row_idx"] == "bigint"
+    assert roads.hmm_match(p.limit(0), c, spark.createDataFrame(g), ["k"], 800.0, block=block).count() == 0
+
+
 def test_expanding_radius_is_the_first_that_finds_an_edge(spark):
     edges = spark.createDataFrame([(f"s{i}", f"a{i}", f"b{i}", 0.0, 100.0 * i, 1000.0, 100.0 * i, 1000.0) for i in range(4)], "edge string, a string, b string, ae double, an double, be double, bn double, length double")
     points = spark.createDataFrame([(i, 500.0, float(n)) for i, n in enumerate((3, 45, 330, 399, 480, 900))], "id int, e double, n double")
