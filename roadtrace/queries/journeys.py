@@ -406,26 +406,37 @@ def j8_near_edges_expanding(spark, d):
     return out.groupBy("event_id").agg(F.count("*").alias("candidates"), F.round(F.min("distance"), 6).alias("nearest"))
 
 
-def ways(spark, d):
-    """The lattice's rows and columns as ways of places."""
-    e = lattice(spark, d)
-    rows = e.where("an = bn").withColumn("way", F.concat(F.lit("r"), F.col("an").cast("int"))).select("way", F.col("ae").alias("o"), "a", "b", "ae", "an", "be", "bn")
-    cols = e.where("ae = be").withColumn("way", F.concat(F.lit("c"), F.col("ae").cast("int"))).select("way", F.col("an").alias("o"), "a", "b", "ae", "an", "be", "bn")
-    both = rows.unionByName(cols)
-    pts = both.select("way", "o", F.col("a").alias("node"), F.col("ae").alias("e"), F.col("an").alias("n")).unionByName(both.select("way", (F.col("o") + SPACING).alias("o"), F.col("b").alias("node"), F.col("be").alias("e"), F.col("bn").alias("n"))).distinct()
-    la, lo = geo.from_enu("e", "n", 52.0, -1.5)
-    return pts.select("way", F.col("o").cast("long").alias("seq"), "node", la.alias("lat"), lo.alias("lon"))
-
-
-@query("SELECT least(a::VARCHAR, b::VARCHAR) AS a, greatest(a::VARCHAR, b::VARCHAR) AS b, round(length, 3) AS length FROM edges", LATTICE)
+#: Every session is a way through the places of its rows; four users share their nodes, and a node lies where it appears first.
+DRIVEN = PRELUDE + """, ways AS (
+  SELECT session_key AS way, row_idx AS seq, (user_id // 4) || '_' || CAST(k AS INTEGER) AS node, lat, lon FROM samples
+), placed AS (
+  SELECT node, radians(lon + 1.51) * 6371000.0 * cos(radians(51.99)) AS e, radians(lat - 51.99) * 6371000.0 AS n FROM ways
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY way, seq) = 1
+), pairs AS (
+  SELECT DISTINCT least(node, b) AS a, greatest(node, b) AS b FROM (SELECT node, lead(node) OVER (PARTITION BY way ORDER BY seq) AS b FROM ways) WHERE node <> b
+), driven AS (
+  SELECT * FROM (SELECT a, b, x.e AS ae, x.n AS an, y.e AS be, y.n AS bn, sqrt((x.e - y.e) ** 2 + (x.n - y.n) ** 2) AS length FROM pairs JOIN placed x ON x.node = a JOIN placed y ON y.node = b) WHERE length > 0
+)"""
+#: Cells of the driven ways' index; their edges are kilometres long.
+WIDE_M = 5000.0
+
+
+def driven_roads(spark, d):
+    """The road graph of all sessions' ways."""
+    node = F.concat_ws("_", F.floor(F.col("user_id") / 4).cast("string"), F.col("k").cast("int").cast("string"))
+    ways = samples(spark, d).select(F.col("session_key").alias("way"), F.col("row_idx").alias("seq"), node.alias("node"), "lat", "lon")
+    return roads.build_road_graph(ways, 51.99, -1.51)[1]
+
+
+@query("SELECT a, b, round(length, 3) AS length FROM driven", DRIVEN)
 def m1_build_road_graph(spark, d):
-    _, e = roads.build_road_graph(ways(spark, d), 52.0, -1.5)
-    return rounded(e.select("a", "b", "length"), "length", places=3)
+    return rounded(driven_roads(spark, d).select("a", "b", "length"), "length", places=3)
 
 
-@query("SELECT a || '-' || b AS edge, CAST(x AS BIGINT) AS cx, CAST(y AS BIGINT) AS cy FROM edges, unnest(range(CAST(floor(ae / 150) AS BIGINT), CAST(floor(be / 150) AS BIGINT) + 1)) p(x), unnest(range(CAST(floor(an / 150) AS BIGINT), CAST(floor(bn / 150) AS BIGINT) + 1)) q(y)", LATTICE)
+@query("""SELECT a || '-' || b AS edge, CAST(x AS BIGINT) AS cx, CAST(y AS BIGINT) AS cy FROM driven, unnest(range(CAST(floor(least(ae, be) / 5000) AS BIGINT), CAST(floor(greatest(ae, be) / 5000) AS BIGINT) + 1)) p(x),
+  unnest(range(CAST(floor(least(an, bn) / 5000) AS BIGINT), CAST(floor(greatest(an, bn) / 5000) AS BIGINT) + 1)) q(y)""", DRIVEN)
 def m2_grid_index(spark, d):
-    return roads.grid_index(lattice(spark, d))
+    return roads.grid_index(driven_roads(spark, d), WIDE_M)
 
 
 @query("""SELECT event_id, round(min(score), 5) AS score FROM (
