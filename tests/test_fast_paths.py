@@ -98,7 +98,7 @@ def test_filter_bank_is_the_filter_of_each_session():
     size = np.array([len(p) for p in parts])
     columns = {c: rows[c].to_numpy(float) for c in ("t", "omega", "accel", "e", "n", "speed", "course", "sigma")} | {"fix": (rows["kind"] == "fix").to_numpy(), "stationary": rows["stationary"].to_numpy()}
     got = pd.DataFrame(devices.FilterBank(len(parts)).run(columns, np.cumsum(size) - size, size))
-    want = pd.concat([devices.run_filter(p)[0] for p in parts], ignore_index=True)
+    want = pd.concat([slow_loops.run_filter(p)[0] for p in parts], ignore_index=True)
     assert set(want["verdict"].dropna()) == {"started", "accepted", "rejected", "anchored"} and want["outage_s"].notna().any()
     for c in got.columns:
         if c == "verdict":
@@ -112,7 +112,7 @@ def test_filter_states_and_recovery_of_the_query(spark, monkeypatch):
     """r7 and r9 over all their rows against one scalar filter for each session, in pieces that cut sessions."""
     monkeypatch.setattr(devices, "GATHER_ROWS", 130)
     rows = journeys.filter_rows(spark, D).toPandas().sort_values(["session_key", "t", "kind"])
-    want = {k: devices.run_filter(f)[0] for k, f in rows.groupby("session_key")}
+    want = {k: slow_loops.run_filter(f)[0] for k, f in rows.groupby("session_key")}
     got = {k: f.reset_index(drop=True) for k, f in journeys.r7_filter_states(spark, D).toPandas().sort_values(["session_key", "t", "kind"]).groupby("session_key")}
     assert set(got) == set(want)
     for k in want:
@@ -120,7 +120,7 @@ def test_filter_states_and_recovery_of_the_query(spark, monkeypatch):
             assert np.allclose(got[k][c].astype(float), want[k][c].astype(float), rtol=1e-7, atol=1e-9, equal_nan=True)
         assert got[k]["verdict"].fillna("").tolist() == want[k]["verdict"].fillna("").tolist()
     fewer = rows[(rows["kind"] == "imu") | ((rows["t"] / 0.2).astype(int) % 25 == 0)]
-    ended = [(k, r.t, round(r.outage_s, 6), round(r.error_m, 6)) for k, f in fewer.groupby("session_key") for r in devices.run_filter(f)[0].itertuples() if not pd.isna(r.outage_s)]
+    ended = [(k, r.t, round(r.outage_s, 6), round(r.error_m, 6)) for k, f in fewer.groupby("session_key") for r in slow_loops.run_filter(f)[0].itertuples() if not pd.isna(r.outage_s)]
     found = [(r["session_key"], r["t"], round(r["outage_s"], 6), round(r["error_m"], 6)) for r in journeys.r9_recovery_stats(spark, D).collect()]
     assert sorted(found) == sorted(ended) and found
 

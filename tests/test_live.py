@@ -183,3 +183,44 @@ def test_trail_of_a_stream(spark, tmp_path):
     assert list(got[got["emitted"]]["t"]) == [t[shown[i]] for i in space_loop(t[shown], 0.1)]
     last = got["fixes"].dropna().iloc[-1]
     assert len(last) == 270 and last[-3] == t[1499] and last[0] == t[1499 - 890]
+
+
+@pytest.mark.parametrize("flag", [False, True])
+def test_filter_of_a_stream_is_the_batch_whatever_the_order(spark, tmp_path, flag):
+    """Three devices with outages, rejected fixes, fixes at a sample's time and rows without an acceleration; files that come in another order."""
+    rng, rows = np.random.default_rng(8), []
+    for d in "abc":
+        for i in range(400):
+            rows.append((d, "imu", 1 + i * 0.1, float(rng.normal(0, 0.02)), None if i % 7 == 3 else float(rng.normal(0, 0.3)), 0.0, 0.0, 0.0, 0.0, 3.0, bool(i % 90 > 80)))
+            if i % 10 == 0 and not 150 <= i < 230:
+                away = 300.0 if 300 <= i < 350 else 0.0
+                rows.append((d, "fix", 1 + i * 0.1, 0.0, None, i * 1.0 + away, float(rng.normal(0, 2)), 10.0, np.pi / 2, 3.0, None))
+    schema = "device string, kind string, t double, omega double, accel double, e double, n double, speed double, course double, sigma double, stationary boolean"
+    if not flag:
+        rows, schema = [r[:-1] for r in rows], schema.rsplit(",", 1)[0]
+    closing = [[("closing", "imu", t, 0.0, None, 0.0, 0.0, 0.0, 0.0, 3.0, None)[: len(rows[0])]] for t in (1e4, 1e4 + 1, 1e4 + 2)]
+    batches = [[r for r in rows if a <= r[2] < a + 14 and (r[1] == "fix") == fix] for a in range(0, 60, 14) for fix in (False, True)]
+    batches = [[b[i] for i in rng.permutation(len(b))] for b in batches if b] + closing
+    got = run_stream(spark, tmp_path, batches, lambda s: live.fusion_filter_stream(s, "device", "ts", "20 seconds"), schema, "append")
+    want = devices.fusion_filter(spark.createDataFrame(rows, schema), ["device"]).toPandas()
+    order = lambda f: f.sort_values(["device", "t", "kind"]).reset_index(drop=True)
+    got = order(got[got["device"] != "closing"])
+    pd.testing.assert_frame_equal(got[want.columns], order(want), check_dtype=False)
+    assert {"started", "accepted", "rejected", "anchored"} <= set(want["verdict"].dropna()) and want["outage_s"].notna().sum() >= 3
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [40, 41, 170, 305, 306]])
+def test_filter_in_pieces_is_that_of_a_row_loop(cuts):
+    rng = np.random.default_rng(2)
+    fix = np.arange(360) % 9 == 0
+    fix[120:190] = False
+    e = np.arange(360) * 0.9 + np.where((np.arange(360) > 290) & (np.arange(360) < 330), 200.0, 0.0)
+    rows = pd.DataFrame({"kind": np.where(fix, "fix", "imu"), "t": np.arange(360) * 0.1, "omega": rng.normal(0, 0.02, 360), "accel": rng.normal(0, 0.2, 360), "e": e, "n": rng.normal(0, 1, 360), "speed": 9.0, "course": 1.5, "sigma": 3.0, "stationary": rng.random(360) < 0.02})
+    want, _ = slow_loops.run_filter(rows)
+    parts, carry = [], None
+    for part in np.split(np.arange(360), cuts):
+        out, carry = devices.filter_step(rows.iloc[part], carry)
+        parts.append(out)
+    pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), want, check_dtype=False)
+    none, same = devices.filter_step(rows.iloc[:0], carry)
+    assert len(none) == 0 and same == carry

@@ -191,13 +191,13 @@ def test_route_and_viterbi():
 
 
 def test_filter_predicts_learns_and_gates():
-    f = devices.FusionFilter()
+    f = slow_loops.FusionFilter()
     f.start(0, 0, math.pi / 2, 10)
     before = f.P[0, 0]
     for _ in range(200):
         f.predict(0.0, None, 0.05)
     assert f.x[0] == pytest.approx(100) and f.x[1] == pytest.approx(0, abs=1e-6) and f.P[0, 0] > before
-    f = devices.FusionFilter()
+    f = slow_loops.FusionFilter()
     f.start(0, 0, 0.0, 10)
     for i in range(1, 1201):
         f.predict(0.02, 0.2, 0.05)
