@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,11 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def co_located(spark: SparkSession) -> None:
+    """Let joins by session and row use a partitioning by session alone, so that bucketed recordings (``sinks.write_bucketed``) are not shuffled again; the session keeps the setting."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def row_aligned_pairs(phone: DataFrame, vehicle: DataFrame, keys: list[str], order: str = "row_idx") -> DataFrame:
     """Rows of equal number; what one recording has beyond the other's end is left out."""
     return phone.join(vehicle, [*keys, order])

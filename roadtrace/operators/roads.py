@@ -72,24 +72,49 @@ def own_edges(points: DataFrame, edges: DataFrame, keys: list[str], reach, cell:
     return cells.join(grid_index(edges, cell), ["cx", "cy"]).select(*keys, "edge").distinct().join(edges, "edge")
 
 
-def near_edges(points: DataFrame, edges: DataFrame, keys: list[str], radius: float, k: int = 8, e: str = "e", n: str = "n") -> DataFrame:
+#: Pairs of a point and an edge of one cell that a task meets together; a cell with more is dealt.
+WORK = 4_000_000
+#: Cells that may be dealt; their list is broadcast.
+DEALT_CELLS = 500_000
+
+
+def _deal(points: DataFrame, roads: DataFrame, by: list[str], work: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (with cx, cy) with a ``part``: the points of a cell of more than ``work`` pairs are dealt by their hash, its edges go to every part.
+
+    Where more than ``DEALT_CELLS`` cells could be that full, ``work`` grows, so the list of these cells has a bound.
+    """
+    count = lambda df, name: df.groupBy("cx", "cy").agg(F.count("*").alias(name))
+    cells = count(points, "_p").join(count(roads, "_e"), ["cx", "cy"]).withColumn("_work", F.col("_p").cast("double") * F.col("_e"))
+    limit = cells.agg(F.greatest(F.lit(float(work)), F.sum("_work") / DEALT_CELLS).alias("_limit"))
+    hot = cells.join(F.broadcast(limit), F.col("_work") > F.col("_limit"))
+    hot = F.broadcast(hot.select("cx", "cy", F.least("_p", F.ceil(F.col("_work") / F.col("_limit"))).alias("_parts")))
+    part = F.when(F.col("_parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*by), F.col("_parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    return points.join(hot, ["cx", "cy"], "left").withColumn("part", part).drop("_parts"), roads.join(hot, ["cx", "cy"], "left").withColumn("part", every).drop("_parts")
+
+
+def near_edges(points: DataFrame, edges: DataFrame, keys: list[str], radius: float, k: int = 8, e: str = "e", n: str = "n", work: int | None = WORK) -> DataFrame:
     """The at most ``k`` nearest edges within ``radius`` of each point, with foot point, distance and place along; rank from 1.
 
     Points go to the cells of their radius box and edges to theirs, so it is an
-    equi-join; of the cells that a point and an edge share, the least one counts.
+    equi-join; of the cells that a point and an edge share, the least one counts. A cell
+    that holds a large part of all points (a depot) is dealt to tasks of some ``work``
+    pairs each (None: no cell is, and no one is counted).
     """
     cell = max(CELL_M, radius)
     first = lambda c: F.floor((_c(c) - radius) / cell)
     last = lambda c: F.floor((_c(c) + radius) / cell)
     p = points.select(*keys, _c(e).alias("pe"), _c(n).alias("pn")).withColumns({"_px": first("pe"), "_py": first("pn")})
     p = p.withColumn("cx", F.explode(F.sequence("_px", last("pe")))).withColumn("cy", F.explode(F.sequence("_py", last("pn"))))
-    roads = _box(edges.select("edge", "a", "b", "ae", "an", "be", "bn", "length"), cell)
-    pairs = p.join(roads, ["cx", "cy"]).where((F.col("cx") == F.greatest("_px", "_x0")) & (F.col("cy") == F.greatest("_py", "_y0"))).drop("cx", "cy", "_px", "_py", "_x0", "_y0")
+    roads, on = _box(edges.select("edge", "a", "b", "ae", "an", "be", "bn", "length"), cell), ["cx", "cy"]
+    if work is not None:
+        (p, roads), on = _deal(p, roads, [*keys, "pe", "pn"], work), [*on, "part"]
+    pairs = p.join(roads, on).where((F.col("cx") == F.greatest("_px", "_x0")) & (F.col("cy") == F.greatest("_py", "_y0"))).drop(*on, "_px", "_py", "_x0", "_y0")
     near = pairs.withColumns(geo.project_to_segment("pe", "pn", "ae", "an", "be", "bn")).where(F.col("distance") <= radius)
     return near.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", "edge"))).where(F.col("rank") <= k)
 
 
-def near_edges_expanding(points: DataFrame, edges: DataFrame, keys: list[str], radius: float = 60.0, most: float = 200.0, k: int = 8, e: str = "e", n: str = "n") -> DataFrame:
+def near_edges_expanding(points: DataFrame, edges: DataFrame, keys: list[str], radius: float = 60.0, most: float = 200.0, k: int = 8, e: str = "e", n: str = "n", work: int | None = WORK) -> DataFrame:
     """``near_edges`` with the radius doubled for points without any edge, while it is below ``most``.
 
     One join at the last radius; the distance of a point's nearest edge says which radius is its own.
@@ -97,7 +122,7 @@ def near_edges_expanding(points: DataFrame, edges: DataFrame, keys: list[str], r
     radii = [float(radius)]
     while radii[-1] < most:
         radii.append(2 * radii[-1])
-    near = near_edges(points, edges, keys, radii[-1], k, e, n)
+    near = near_edges(points, edges, keys, radii[-1], k, e, n, work)
     nearest = F.min("distance").over(W.partitionBy(*keys))
     own = F.lit(radii[-1])
     for r in radii[-2::-1]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from roadtrace.operators import aggregates, align, features, joins, ranking, seg
 from roadtrace.queries.registry import query
 from roadtrace.queries.views import KEYS, PRELUDE, SEGMENT, fixes, imu, imu_vec, long_samples, samples, table, vehicle
 from roadtrace.queries.windows import MAX_GAP, MAX_JUMP, SEGMENTED, archived, motion, rounded
+from roadtrace.session import shared_base
+from roadtrace.sources import sinks
 
 SEPARATION = "2 * 6371000.0 * atan2(sqrt(hav), sqrt(greatest(1 - hav, 0)))"
 PAIRS = PRELUDE + f""", paired AS (
@@ -32,6 +36,18 @@ def pairs(spark, d):
     return joins.row_aligned_pairs(p, vehicle(spark, d), KEYS)
 
 
+def bucketed_pairs(spark, d):
+    """``pairs`` of two recordings that were written in buckets by session: written once, they meet without a shuffle, here and in every later query."""
+    joins.co_located(spark)
+    p = samples(spark, d).withColumnsRenamed({"t_s": "phone_t", "speed_kmh": "phone_speed_kmh"})
+    sides = []
+    for name, rows in (("phone", p), ("vehicle", vehicle(spark, d))):
+        table_name = f"roadtrace_{name}_{uuid.uuid4().hex[:12]}"
+        sinks.write_bucketed(rows, table_name, KEYS, buckets=16, path=f"{shared_base(spark)}/{table_name}")
+        sides.append(spark.table(table_name))
+    return joins.row_aligned_pairs(*sides, KEYS)
+
+
 # --- joins
 
 
@@ -40,6 +56,11 @@ def j1_row_aligned_pairs(spark, d):
     return rounded(pairs(spark, d).select("session_key", "row_idx", "phone_speed_kmh", "velocity_kmh"), "phone_speed_kmh", "velocity_kmh")
 
 
+@query("SELECT session_key, row_idx, round(phone_speed_kmh, 6) AS phone_speed_kmh, round(velocity_kmh, 6) AS velocity_kmh FROM paired", PAIRS)
+def j1_row_aligned_bucketed(spark, d):
+    return rounded(bucketed_pairs(spark, d).select("session_key", "row_idx", "phone_speed_kmh", "velocity_kmh"), "phone_speed_kmh", "velocity_kmh")
+
+
 @query("""SELECT p.session_key, p.row_idx, v.row_idx AS vehicle_row, round(v.velocity_kmh, 6) AS velocity_kmh FROM samples p JOIN vehicle v ON v.session_key = p.session_key AND v.row_idx = p.row_idx + (p.user_id % 5) - 2""", PRELUDE)
 def j2_offset_aligned_pairs(spark, d):
     p = samples(spark, d)
@@ -175,6 +196,11 @@ def a6_audit_pair(spark, d):
     return rounded(audit(spark, d), *AUDITED, places=4)
 
 
+@query("SELECT * EXCLUDE (quality) REPLACE (" + ", ".join(f"round({c}, 4) AS {c}" for c in AUDITED) + "), CASE WHEN speed_corr >= 0.8 AND separation_median <= 100 THEN 'strong' ELSE 'review' END AS quality FROM audit", AUDIT)
+def a6_audit_bucketed(spark, d):
+    return rounded(aggregates.audit_pairs(bucketed_pairs(spark, d), KEYS, 50_000.0, 90_000.0), *AUDITED, places=4)
+
+
 @query("""SELECT session_key, arg_max(feature, (abs(c), -i)) AS best_feature, round(arg_max(c, (abs(c), -i)), 6) AS best_corr FROM (
   """ + " UNION ALL ".join(f"SELECT session_key, {i} AS i, '{f}' AS feature, {corr_sql(f, 'gyro_z', 3)} AS c FROM motion GROUP BY 1" for i, f in enumerate(("linear_x", "linear_y", "linear_z", "linear_vertical", "linear_horizontal"))) + ") GROUP BY 1", PRELUDE)
 def a7_best_axis_corr(spark, d):

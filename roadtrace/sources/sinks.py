@@ -18,6 +18,18 @@ def write_sessions(df: DataFrame, path: str, keys: list[str] = ("driver_id", "se
     small.repartition(*keys).sortWithinPartitions(*keys, order).write.partitionBy(keys[0]).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, keys: list[str] = ("driver_id", "session_key"), order: str = "row_idx", buckets: int = 200, path: str | None = None) -> None:
+    """A table of ``buckets`` buckets by session, a file each, sorted by session and ``order``.
+
+    Two recordings written with equal ``keys`` and ``buckets`` meet without a shuffle
+    (``joins.co_located``). A session lies in one bucket; take buckets of some hundred
+    megabytes. ``path``: files lie there instead of in the warehouse.
+    """
+    keys = list(keys)
+    out = df.repartition(buckets, *keys).sortWithinPartitions(*keys, order).write.bucketBy(buckets, *keys).sortBy(*keys, order)
+    (out.option("path", path) if path else out).saveAsTable(table)
+
+
 def write_metadata(tables: dict[str, DataFrame], folder: str) -> None:
     """Small tables as CSV with headers; nested columns as JSON text."""
     for name, df in tables.items():
