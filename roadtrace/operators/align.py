@@ -55,8 +55,8 @@ def _row_corr(x: np.ndarray, y: np.ndarray, min_n: int) -> np.ndarray:
 LAID_OUT = 1 << 20
 
 
-def lag_sweep(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag: int = 50, min_n: int = 20) -> DataFrame:
-    """``lag_sweep_exact`` at scale: each session's two recordings meet once in one task of that session."""
+def _sweep_whole(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag: int, min_n: int) -> DataFrame:
+    """Each session's two recordings meet once in one task of that session."""
 
     def sweep(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -87,6 +87,151 @@ def lag_sweep(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag: in
     return swept.withColumns({c: stats.finite(c) for c in ("speed_corr", "median_separation", "p95_separation")})
 
 
+#: Rows of a session that a task of ``lag_sweep`` takes.
+BLOCK = 100_000
+#: Bits of a separation that a round of ``_sweep_blocks`` looks at; a separation is not negative, so its bits are in its order.
+ROUNDS = (20, 22, 22)
+QUANTILES = (0.5, 0.95)
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy", "x0", "x1", "y0", "y1")
+
+
+def lag_sweep(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag: int = 50, min_n: int = 20, block: int = BLOCK) -> DataFrame:
+    """``lag_sweep_exact`` at scale: rows are read once for all lags, in a task for each session, or for each block of a session of more than ``block`` rows.
+
+    Whether there is such a session is looked up before the plan is made. In it ``row_idx``
+    numbers the rows from 0 without a gap, as readers make it. Sessions with a null key are not cut.
+    """
+    left = phone.select(*keys, "row_idx", "speed_kmh", "lat", "lon")
+    right = vehicle.select(*[F.col(c).alias(c) for c in (*keys, "row_idx", "velocity_kmh", "vehicle_lat", "vehicle_lon")])
+    beyond = left.where(F.col("row_idx") >= block).dropna(subset=keys)
+    if beyond.isEmpty():
+        return _sweep_whole(left, right, keys, max_lag, min_n)
+    long = beyond.select(*keys).distinct()
+    kept = lambda df, how: df.join(long, keys, how)
+    whole = _sweep_whole(kept(left, "left_anti"), kept(right, "left_anti"), keys, max_lag, min_n)
+    return whole.unionByName(_sweep_blocks(kept(left, "left_semi"), kept(right, "left_semi"), keys, max_lag, min_n, block))
+
+
+def _block(p: pd.DataFrame, v: pd.DataFrame, max_lag: int, block: int):
+    """Lags, both speeds and separations of a block's phone rows with the vehicle rows at each lag, some lags at a time; ``v`` has ``max_lag`` rows more on either side."""
+    n, start = int(p["n"].iloc[0]), int(p["_b"].iloc[0]) * block
+    size = min(block, n - start)
+
+    def laid_out(f: pd.DataFrame, columns: list[str], size: int, first: int) -> list[np.ndarray]:
+        out = np.full((len(columns), size), np.nan)
+        out[:, f["row_idx"].to_numpy() - first] = f[columns].to_numpy(float, na_value=np.nan).T
+        return list(out)
+
+    ps, pla, plo = laid_out(p, ["speed_kmh", "lat", "lon"], size, start)
+    vs, vla, vlo = (np.lib.stride_tricks.sliding_window_view(x, size) for x in laid_out(v, ["velocity_kmh", "vehicle_lat", "vehicle_lon"], size + 2 * max_lag, start - max_lag))
+    lags = np.arange(-max_lag, max_lag + 1)
+    lags = lags[np.abs(lags) < n]
+    step = max(1, LAID_OUT // size)
+    for part in np.split(lags, range(step, len(lags), step)):
+        i = part + max_lag
+        yield part, ps, vs[i], _haversine(pla, plo, vla[i], vlo[i])
+
+
+def _sweep_blocks(left: DataFrame, right: DataFrame, keys: list[str], max_lag: int, min_n: int, block: int) -> DataFrame:
+    """The sweep of long sessions: blocks give sums, and percentiles are narrowed down bit by bit.
+
+    Each round counts a block's separations by their next bits (``ROUNDS``), only of those
+    that still begin like one of the wanted order statistics; the counts of all blocks say how these go on.
+    After the last round all bits are known, so the percentiles are exact.
+    """
+    each = [*keys, "lag"]
+    types = dict(left.dtypes)
+    typed = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    ends = lambda df, *more: df.groupBy(*keys).agg((F.max("row_idx") + 1).alias("rows"), *more)
+    mean = lambda c, name: F.avg(stats.finite(c)).alias(name)
+    n = F.least("rows", "vehicle_rows").cast("long").alias("n")
+    sizes = ends(left, mean("speed_kmh", "mx")).join(ends(right, mean("velocity_kmh", "my")).withColumnRenamed("rows", "vehicle_rows"), keys).select(*keys, n, F.coalesce("mx", F.lit(0.0)).alias("mx"), F.coalesce("my", F.lit(0.0)).alias("my"))
+    inside = F.col("row_idx") < F.col("n")
+    p = left.join(sizes, keys).where(inside).withColumn("_b", F.floor(F.col("row_idx") / block))
+    near = F.sequence(F.greatest(F.floor((F.col("row_idx") - max_lag) / block), F.lit(0).cast("long")), F.least(F.floor((F.col("row_idx") + max_lag) / block), F.floor((F.col("n") - 1) / block)))
+    v = right.join(sizes.select(*keys, "n"), keys).where(inside).withColumn("_b", F.explode(near)).drop("n")
+
+    def counted(f: pd.DataFrame, p: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+        for k in keys:
+            f[k] = p[k].iloc[0]
+        return f[[*keys, *names]]
+
+    first = ["lag", "bin", "count", *_SUMS]
+
+    def begin(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(p):
+            mx, my = float(p["mx"].iloc[0]), float(p["my"].iloc[0])
+            for lags, x, ys, seps in _block(p, v, max_lag, block):
+                for lag, y, sep in zip(lags.tolist(), ys, seps, strict=True):
+                    ok = np.isfinite(x) & np.isfinite(y)
+                    a, c = x[ok] - mx, y[ok] - my
+                    some = len(a) > 0
+                    sums = (len(a), a.sum(), c.sum(), a @ a, c @ c, a @ c, *((a.min(), a.max(), c.min(), c.max()) if some else [np.nan] * 4))
+                    bins, count = np.unique(sep[np.isfinite(sep)].view(np.int64) >> (64 - ROUNDS[0]), return_counts=True)
+                    out.append(pd.DataFrame({"lag": lag, "bin": [-1, *bins], "count": [0, *count]} | {c: [s, *[np.nan] * len(bins)] for c, s in zip(_SUMS, sums, strict=True)}))
+        return counted(pd.concat(out, ignore_index=True), p, first) if out else pd.DataFrame(columns=[*keys, *first])
+
+    schema = f"{typed}, lag int, bin long, count long, " + ", ".join(f"{c} double" for c in _SUMS)
+    group = lambda df: df.groupBy(*keys, "_b")
+    least = lambda c: c in ("x0", "y0")
+    begun = group(p).cogroup(group(v)).applyInPandas(begin, schema).groupBy(*each, "bin").agg(F.sum("count").alias("count"), *[(F.min if least(c) else F.max if c in ("x1", "y1") else F.sum)(c).alias(c) for c in _SUMS])
+
+    # where the wanted order statistics lie
+    up = W.partitionBy(*each).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    bins = begun.where("bin >= 0").select(*each, "bin", "count", F.sum("count").over(up).alias("upto"), F.sum("count").over(W.partitionBy(*each)).alias("total"))
+    at = lambda q: F.lit(q) * (F.col("total") - 1)
+    ranks = [F.struct(F.lit(2 * i + j).alias("target"), F.least(F.floor(at(q)) + j, F.col("total") - 1).alias("rank")) for i, q in enumerate(QUANTILES) for j in (0, 1)]
+    found = bins.withColumn("_r", F.explode(F.array(*ranks))).select(*each, "total", "_r.target", F.col("bin").alias("prefix"), (F.col("_r.rank") - (F.col("upto") - F.col("count"))).alias("rest"), "count")
+    found = found.where((F.col("rest") >= 0) & (F.col("rest") < F.col("count"))).drop("count")
+    left_bits = 64 - ROUNDS[0]
+    for bits in ROUNDS[1:]:
+        found = _narrow(found, p, v, sizes, keys, typed, counted, left_bits, bits, max_lag, block)
+        left_bits -= bits
+
+    value = lambda t: F.max(F.when(F.col("target") == t, F.col("value")))
+    q = found.groupBy(*each).agg(F.max("total").alias("total"), *[value(t).alias(f"_v{t}") for t in range(2 * len(QUANTILES))])
+    share = lambda q: at(q) - F.floor(at(q))
+    q = q.select(*each, *[(F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}")) * share(x)).alias(name) for i, (x, name) in enumerate(zip(QUANTILES, ("median_separation", "p95_separation"), strict=True))])
+    dev = lambda a: F.col(f"s{a}{a}") - F.col(f"s{a}") ** 2 / F.col("n")
+    corr = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(dev("x") * dev("y")))
+    vary = (F.col("n") >= max(1, min_n)) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    return begun.where("bin = -1").select(*each, F.when(vary, corr).alias("speed_corr")).join(q, each, "left")
+
+
+def _narrow(found: DataFrame, p: DataFrame, v: DataFrame, sizes: DataFrame, keys: list[str], typed: str, counted, left_bits: int, bits: int, max_lag: int, block: int) -> DataFrame:
+    """The next ``bits`` of the order statistics ``found`` (prefix: all bits above the last ``left_bits``; rest: rank among the values of that prefix)."""
+    each, names = [*keys, "lag", "target"], ["lag", "target", "bin", "count", "value"]
+    wanted = found.groupBy(*keys).agg(F.collect_list(F.struct("lag", "target", "prefix")).alias("_w")).join(sizes.select(*keys, "n"), keys)
+    wanted = wanted.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))).alias("_b"), "_w").select(*keys, "_b", F.explode("_w").alias("_w")).select(*keys, "_b", "_w.*")
+
+    def run(p: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(p):
+            is_row = both["row_idx"].notna()
+            v, w = both[is_row].astype({"row_idx": "int64"}), both[~is_row]
+            by_lag = {int(lag): list(zip(f["target"].astype(int), f["prefix"].astype("int64"), strict=True)) for lag, f in w.groupby("lag")}
+            for lags, _, _, seps in _block(p, v, max_lag, block):
+                for lag, sep in zip(lags.tolist(), seps, strict=True):
+                    raw = sep[np.isfinite(sep)].view(np.int64)
+                    head = raw >> left_bits
+                    for target, prefix in by_lag.get(lag, ()):
+                        own = raw[head == prefix]
+                        got, where, count = np.unique((own >> (left_bits - bits)) & ((1 << bits) - 1), return_index=True, return_counts=True)
+                        out.append(pd.DataFrame({"lag": lag, "target": target, "bin": got, "count": count, "value": own[where].view(float)}))
+        if not out:
+            return pd.DataFrame(columns=[*keys, *names])
+        return counted(pd.concat(out, ignore_index=True), p, names)
+
+    right = v.unionByName(wanted, allowMissingColumns=True)
+    counts = p.groupBy(*keys, "_b").cogroup(right.groupBy(*keys, "_b")).applyInPandas(run, f"{typed}, lag int, target int, bin long, count long, value double")
+    counts = counts.groupBy(*each, "bin").agg(F.sum("count").alias("count"), F.max("value").alias("value"))
+    upto = F.sum("count").over(W.partitionBy(*each).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    narrowed = counts.withColumn("upto", upto).join(found.select(*each, "total", "prefix", "rest"), each).withColumn("before", F.col("upto") - F.col("count"))
+    narrowed = narrowed.where((F.col("rest") >= F.col("before")) & (F.col("rest") < F.col("upto")))
+    return narrowed.select(*each, "total", (F.col("prefix") * (1 << bits) + F.col("bin")).alias("prefix"), (F.col("rest") - F.col("before")).alias("rest"), "value")
+
+
 def verify_pairs(sweep: DataFrame, keys: list[str]) -> DataFrame:
     """Best lag of each session and the quality of its row alignment; nothing is shifted here."""
     return ranking.best_lag(sweep, keys).withColumn("quality", ranking.lag_quality())

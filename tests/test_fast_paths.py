@@ -312,6 +312,31 @@ def test_lag_profile_in_blocks_is_the_profile_of_the_whole(spark):
         assert own["lag"].tolist() == list(range(-30, 31)) and np.allclose(own["corr"].astype(float), w, equal_nan=True)
 
 
+@pytest.mark.parametrize("block", [40, 130, 5000])
+def test_lag_sweep_in_blocks_is_that_of_whole_sessions(spark, block):
+    """Ties, gaps of values, a constant speed, a shorter vehicle, a missing one, a null key and a lag beyond a session."""
+    rng = np.random.default_rng(block)
+    phone, vehicle = [], []
+    for key, n, m in (("a", 700, 700), ("b", 300, 251), ("still", 400, 400), ("alone", 200, 0), ("short", 15, 15), (None, 160, 160), ("dark", 150, 150)):
+        lat, lon = 52 + np.cumsum(rng.normal(0, 1e-4, n)), -1.5 + np.cumsum(rng.normal(0, 1e-4, n))
+        if key == "still":
+            lat[:], lon[:] = 52.0, -1.5
+        speed = np.where(rng.random(n) < 0.1, np.nan, 50 + 10 * np.sin(np.arange(n) / 9)) if key != "still" else np.full(n, 3.0)
+        if key == "dark":
+            lat[:] = np.nan
+        value = lambda x: None if np.isnan(x) else float(x)
+        phone += [(key, i, value(speed[i]), value(lat[i]), value(lon[i])) for i in range(n)]
+        vehicle += [(key, i, value(speed[i - 4]) if i >= 4 else None, value(lat[i] + (rng.normal(0, 1e-4) if key != "still" else 0.0)), value(lon[i])) for i in range(m)]
+    p = spark.createDataFrame(phone, "k string, row_idx int, speed_kmh double, lat double, lon double").repartition(3)
+    v = spark.createDataFrame(vehicle, "k string, row_idx int, velocity_kmh double, vehicle_lat double, vehicle_lon double").repartition(3)
+    order = lambda df: df.toPandas().sort_values(["k", "lag"]).reset_index(drop=True)
+    want, got = (order(align.lag_sweep(p, v, ["k"], 25, block=x)) for x in (10**9, block))
+    pd.testing.assert_frame_equal(got[want.columns], want, rtol=1e-9, atol=1e-9)
+    exact = ("median_separation", "p95_separation")
+    assert all((got[c].isna() | (np.abs(got[c] - want[c]) <= 1e-12 * want[c].abs())).all() for c in exact) and want["speed_corr"].notna().sum() > 100 and len(want) == 5 * 51 + 29
+    assert align.lag_sweep(p.limit(0), v, ["k"], 25, block=block).isEmpty()
+
+
 def test_replays_of_many_blackouts(spark):
     truth = spark.createDataFrame([(k, i, 52.0, -1.5, 10.0) for k in "ab" for i in range(60)], "k string, row_idx long, lat double, lon double, speed double")
     dark = spark.createDataFrame([("a", 4, 10), ("a", 30, 40), ("b", 20, 25)], "k string, start long, end long")
