@@ -132,6 +132,16 @@ def _block(p: pd.DataFrame, v: pd.DataFrame, max_lag: int, block: int):
         yield part, ps, vs[i], _haversine(pla, plo, vla[i], vlo[i])
 
 
+def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often they are there, without a sort where they lie close together."""
+    if not len(x) or x.max() - x.min() > 4 * len(x):
+        return np.unique(x, return_counts=True)
+    low = x.min()
+    count = np.bincount(x - low)
+    at = np.flatnonzero(count)
+    return at + low, count[at]
+
+
 def _sweep_blocks(left: DataFrame, right: DataFrame, keys: list[str], max_lag: int, min_n: int, block: int) -> DataFrame:
     """The sweep of long sessions: blocks give sums, and percentiles are narrowed down bit by bit.
 
@@ -147,7 +157,9 @@ def _sweep_blocks(left: DataFrame, right: DataFrame, keys: list[str], max_lag: i
     n = F.least("rows", "vehicle_rows").cast("long").alias("n")
     sizes = ends(left, mean("speed_kmh", "mx")).join(ends(right, mean("velocity_kmh", "my")).withColumnRenamed("rows", "vehicle_rows"), keys).select(*keys, n, F.coalesce("mx", F.lit(0.0)).alias("mx"), F.coalesce("my", F.lit(0.0)).alias("my"))
     inside = F.col("row_idx") < F.col("n")
-    p = left.join(sizes, keys).where(inside).withColumn("_b", F.floor(F.col("row_idx") / block))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: blocks are few bytes, but long work, and are not to be put together
+    apart = lambda df: df.repartition(tasks, *keys, "_b")
+    p = apart(left.join(sizes, keys).where(inside).withColumn("_b", F.floor(F.col("row_idx") / block)))
     near = F.sequence(F.greatest(F.floor((F.col("row_idx") - max_lag) / block), F.lit(0).cast("long")), F.least(F.floor((F.col("row_idx") + max_lag) / block), F.floor((F.col("n") - 1) / block)))
     v = right.join(sizes.select(*keys, "n"), keys).where(inside).withColumn("_b", F.explode(near)).drop("n")
 
@@ -168,14 +180,14 @@ def _sweep_blocks(left: DataFrame, right: DataFrame, keys: list[str], max_lag: i
                     a, c = x[ok] - mx, y[ok] - my
                     some = len(a) > 0
                     sums = (len(a), a.sum(), c.sum(), a @ a, c @ c, a @ c, *((a.min(), a.max(), c.min(), c.max()) if some else [np.nan] * 4))
-                    bins, count = np.unique(sep[np.isfinite(sep)].view(np.int64) >> (64 - ROUNDS[0]), return_counts=True)
+                    bins, count = _counts(sep[np.isfinite(sep)].view(np.int64) >> (64 - ROUNDS[0]))
                     out.append(pd.DataFrame({"lag": lag, "bin": [-1, *bins], "count": [0, *count]} | {c: [s, *[np.nan] * len(bins)] for c, s in zip(_SUMS, sums, strict=True)}))
         return counted(pd.concat(out, ignore_index=True), p, first) if out else pd.DataFrame(columns=[*keys, *first])
 
     schema = f"{typed}, lag int, bin long, count long, " + ", ".join(f"{c} double" for c in _SUMS)
     group = lambda df: df.groupBy(*keys, "_b")
     least = lambda c: c in ("x0", "y0")
-    begun = group(p).cogroup(group(v)).applyInPandas(begin, schema).groupBy(*each, "bin").agg(F.sum("count").alias("count"), *[(F.min if least(c) else F.max if c in ("x1", "y1") else F.sum)(c).alias(c) for c in _SUMS])
+    begun = group(p).cogroup(group(apart(v))).applyInPandas(begin, schema).groupBy(*each, "bin").agg(F.sum("count").alias("count"), *[(F.min if least(c) else F.max if c in ("x1", "y1") else F.sum)(c).alias(c) for c in _SUMS])
 
     # where the wanted order statistics lie
     up = W.partitionBy(*each).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
@@ -186,7 +198,7 @@ def _sweep_blocks(left: DataFrame, right: DataFrame, keys: list[str], max_lag: i
     found = found.where((F.col("rest") >= 0) & (F.col("rest") < F.col("count"))).drop("count")
     left_bits = 64 - ROUNDS[0]
     for bits in ROUNDS[1:]:
-        found = _narrow(found, p, v, sizes, keys, typed, counted, left_bits, bits, max_lag, block)
+        found = _narrow(found, p, v, sizes, keys, typed, counted, apart, left_bits, bits, max_lag, block)
         left_bits -= bits
 
     value = lambda t: F.max(F.when(F.col("target") == t, F.col("value")))
@@ -199,7 +211,7 @@ def _sweep_blocks(left: DataFrame, right: DataFrame, keys: list[str], max_lag: i
     return begun.where("bin = -1").select(*each, F.when(vary, corr).alias("speed_corr")).join(q, each, "left")
 
 
-def _narrow(found: DataFrame, p: DataFrame, v: DataFrame, sizes: DataFrame, keys: list[str], typed: str, counted, left_bits: int, bits: int, max_lag: int, block: int) -> DataFrame:
+def _narrow(found: DataFrame, p: DataFrame, v: DataFrame, sizes: DataFrame, keys: list[str], typed: str, counted, apart, left_bits: int, bits: int, max_lag: int, block: int) -> DataFrame:
     """The next ``bits`` of the order statistics ``found`` (prefix: all bits above the last ``left_bits``; rest: rank among the values of that prefix)."""
     each, names = [*keys, "lag", "target"], ["lag", "target", "bin", "count", "value"]
     wanted = found.groupBy(*keys).agg(F.collect_list(F.struct("lag", "target", "prefix")).alias("_w")).join(sizes.select(*keys, "n"), keys)
@@ -215,15 +227,18 @@ def _narrow(found: DataFrame, p: DataFrame, v: DataFrame, sizes: DataFrame, keys
                 for lag, sep in zip(lags.tolist(), seps, strict=True):
                     raw = sep[np.isfinite(sep)].view(np.int64)
                     head = raw >> left_bits
+                    seen: dict = {}
                     for target, prefix in by_lag.get(lag, ()):
-                        own = raw[head == prefix]
-                        got, where, count = np.unique((own >> (left_bits - bits)) & ((1 << bits) - 1), return_index=True, return_counts=True)
+                        if prefix not in seen:  # neighbours in rank mostly begin alike
+                            own = raw[head == prefix]
+                            seen[prefix] = own, np.unique((own >> (left_bits - bits)) & ((1 << bits) - 1), return_index=True, return_counts=True)
+                        own, (got, where, count) = seen[prefix]
                         out.append(pd.DataFrame({"lag": lag, "target": target, "bin": got, "count": count, "value": own[where].view(float)}))
         if not out:
             return pd.DataFrame(columns=[*keys, *names])
         return counted(pd.concat(out, ignore_index=True), p, names)
 
-    right = v.unionByName(wanted, allowMissingColumns=True)
+    right = apart(v.unionByName(wanted, allowMissingColumns=True))
     counts = p.groupBy(*keys, "_b").cogroup(right.groupBy(*keys, "_b")).applyInPandas(run, f"{typed}, lag int, target int, bin long, count long, value double")
     counts = counts.groupBy(*each, "bin").agg(F.sum("count").alias("count"), F.max("value").alias("value"))
     upto = F.sum("count").over(W.partitionBy(*each).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))

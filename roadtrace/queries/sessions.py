@@ -512,6 +512,23 @@ def l1_lag_sweep_exact(spark, d):
     return rounded(align.lag_sweep_exact(samples(spark, d), vehicle(spark, d), KEYS, 50), *LAG_COLUMNS, places=4)
 
 
+LONG_LAGS = PRELUDE + f""", behind AS (
+  SELECT session_key, row_idx, lag(speed_kmh, 2) OVER (PARTITION BY session_key ORDER BY row_idx) AS velocity_kmh, lat + 0.0003 AS vehicle_lat, lon AS vehicle_lon FROM long_samples
+), lagged AS (
+  SELECT p.driver_id, p.session_key, lag, p.speed_kmh AS x, v.velocity_kmh AS y, {SEPARATION.replace('hav', '(sin(radians(v.vehicle_lat - p.lat) / 2) ** 2 + cos(radians(p.lat)) * cos(radians(v.vehicle_lat)) * sin(radians(v.vehicle_lon - p.lon) / 2) ** 2)')} AS sep
+  FROM long_samples p, (SELECT CAST(unnest(range(-10, 11)) AS INTEGER) AS lag) l JOIN behind v ON v.session_key = p.session_key AND v.row_idx = p.row_idx + lag
+)"""
+
+
+@query(f"""SELECT driver_id, session_key, lag, round({corr_sql("x", "y", 20)}, 4) AS speed_corr, round(quantile_cont(sep, 0.5), 4) AS median_separation, round(quantile_cont(sep, 0.95), 4) AS p95_separation FROM lagged GROUP BY ALL""", LONG_LAGS)
+def l1_lag_sweep_blocks(spark, d):
+    """The sweep of long sessions (one for each event type) in blocks that share no task."""
+    s = long_samples(spark, d)
+    velocity = F.lag("speed_kmh", 2).over(W.partitionBy("session_key").orderBy("row_idx"))
+    behind = s.select(*KEYS, "row_idx", velocity.alias("velocity_kmh"), (F.col("lat") + 0.0003).alias("vehicle_lat"), F.col("lon").alias("vehicle_lon"))
+    return rounded(align.lag_sweep(s, behind, KEYS, 10, block=500), *LAG_COLUMNS, places=4)
+
+
 @query("""SELECT driver_id, session_key, best_lag, CASE WHEN zero_corr >= 0.8 AND zero_separation <= 100 THEN 'verified_row_alignment' WHEN best_corr >= 0.8 AND gain >= 0.05 THEN 'lag_candidate_manual_review' WHEN zero_corr >= 0.8 THEN 'strong_speed_manual_review' ELSE 'review' END AS quality FROM best""", LAGS)
 def l2_verify_pairs(spark, d):
     return align.verify_pairs(sweep(spark, d), KEYS).select(*KEYS, "best_lag", "quality")
