@@ -127,8 +127,11 @@ def _run_counts(docs: DataFrame, runs: dict[int, np.ndarray]) -> dict[int, np.nd
 
     rows = docs.select("text").mapInArrow(count, "k int, run long, n long").groupBy("k", "run").agg(F.sum("n").alias("n"))
     out = {k: np.zeros(len(h), np.int64) for k, h in runs.items()}
-    for r in rows.collect():  # at most the runs of one slice
-        out[r["k"]][r["run"]] = r["n"]
+    found = rows.toArrow()  # at most the runs of one slice, as arrays
+    k, run, n = (found.column(c).to_numpy() for c in ("k", "run", "n"))
+    for size, counts in out.items():
+        own = k == size
+        counts[run[own]] = n[own]
     return out
 
 

@@ -99,6 +99,10 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> list[tuple[int, DataFrame]
         over = cells.where(F.col("n_bytes") > limit)
         if high == HASH_BITS or over.isEmpty():
             return levels
+        if over.count() <= BROADCAST_CELLS:
+            over = F.broadcast(over)
+        else:  # a hash that repeats is one row in the shuffle
+            rows = rows.groupBy("_h").agg(F.sum("_bytes").alias("_bytes"))
         rows = rows.withColumn("cell", _cell(high)).join(over, "cell", "left_semi").drop("cell")
         low, high = high + 1, min(HASH_BITS, high + MORE_BITS)
 

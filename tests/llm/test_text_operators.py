@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadtrace.llm import decontam, graph, jaccard, langid, linededup, pii, sharding, simhash, storage, warc
 
@@ -375,3 +376,14 @@ def test_sharding(spark, corpus):
         h = lambda i: f"{int(hashlib.md5(('' if i is None else str(i)).encode()).hexdigest()[:15], 16):060b}"
         assert sum(len((t or "").encode()) for i, t in rows if h(i).startswith(s[:-1])) > 900
     assert sharding.shard_documents(table(spark, rows).limit(0)).count() == 0
+
+
+def test_directory_without_a_broadcast_is_the_same(spark, monkeypatch):
+    """Also where too many cells are over the limit to be broadcast; half of all rows have one id."""
+    docs = spark.createDataFrame([(i if i % 2 else 0, "x" * (10 + i % 7)) for i in range(600)], "doc_id long, text string")
+    rows = lambda: {(r["doc"]["doc_id"], r["doc"]["text"], r["shard"], r["shard_bytes"]): r["n"] for r in sharding.shard_documents(docs, 200).groupBy("doc", "shard", "shard_bytes").agg(F.count("*").alias("n")).collect()}
+    want = rows()
+    monkeypatch.setattr(sharding, "BROADCAST_CELLS", 0)
+    got = rows()
+    assert {k[2] for k in got} == {k[2] for k in want} and sum(got.values()) == sum(want.values()) == 600 and len({k[2] for k in got}) > 10
+    assert {k for k in got if k[0]} == {k for k in want if k[0]}
