@@ -417,3 +417,39 @@ def test_a_million_rows_of_one_drive(spark):
     assert [(r["start"], r["end"]) for r in found.orderBy("start").collect()] == want
     sizes = [r["count"] for r in episodes._in_blocks(episodes._positions(long, ["s"], "row_idx", "v", []), episodes.BLOCK, 250, 6_669).groupBy("_block").count().collect()]
     assert len(sizes) == 20 and max(sizes) <= episodes.BLOCK + 7_000
+
+
+def test_blackouts_of_exact_lengths_are_the_same_in_all_blocks(spark, monkeypatch):
+    """Speeds in hundredths of km/h often cover 50 m to the last bit; sums over runs from the start of the drive decide, wherever it is cut."""
+
+    def upto(x, n):
+        total, first, size = 0.0, 0, episodes.RUN**5
+        while first < n:
+            while first + size > n or first % size:
+                size //= episodes.RUN
+            total, first = total + node(x, first, size), first + size
+        return total
+
+    def node(x, first, size):
+        part = size // episodes.RUN
+        total = float(x[first]) if size == 1 else 0.0
+        for i in range(episodes.RUN if size > 1 else 0):
+            total += node(x, first + i * part, part)
+        return total
+
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.integers(1, 40, 5_000) * 300 / 100 / 3.6, 6)
+    cum = np.array([upto(v / 10.0, n + 1) for n in range(0, len(v), 7)])
+    before = episodes._sums_before(v / 10.0, np.zeros(1), episodes.RUN**4)
+    assert (before[1 :: 7][: len(cum)] == cum).all() and (np.cumsum(v / 10.0)[::7] != cum).any()
+    want, s, c = [], 25, np.maximum.accumulate(before[1:])
+    while s < len(v) - 5:
+        e = int(np.searchsorted(c, before[1 + s] + 50.0))
+        ok = e < len(v) and e - s >= 5 and (before[e] - before[1 + s] + v[s] / 10) * 10 / (e - s) >= 3
+        want += [(s, e)] if ok else []
+        s = e if ok else s + 50
+    df = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(v)], "s string, row_idx long, v double").repartition(5)
+    for block in (1, 50_000):
+        monkeypatch.setattr(episodes, "BLOCK", block)
+        found = episodes.distance_blackouts(df, ["s"], "v", [50.0], 25, min_history=0.0).orderBy("start").collect()
+        assert [(r["start"], r["end"]) for r in found] == want, block
