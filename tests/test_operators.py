@@ -9,7 +9,7 @@ import slow_loops
 from pyspark.sql import functions as F
 
 from roadtrace.operators import align, episodes, features, joins, ranking, reckon, roads, rollout, segments, splits
-from roadtrace.sources import recordings
+from roadtrace.sources import recordings, sinks
 from roadtrace.streaming import devices
 
 
@@ -453,3 +453,18 @@ def test_blackouts_of_exact_lengths_are_the_same_in_all_blocks(spark, monkeypatc
         monkeypatch.setattr(episodes, "BLOCK", block)
         found = episodes.distance_blackouts(df, ["s"], "v", [50.0], 25, min_history=0.0).orderBy("start").collect()
         assert [(r["start"], r["end"]) for r in found] == want, block
+
+
+def test_replays_do_not_depend_on_the_blocks_of_the_search(spark, monkeypatch):
+    """Frames of blackouts whose lengths are met to the last bit."""
+    rng = np.random.default_rng(7)
+    v = np.repeat(rng.integers(1, 40, 2_000) * 300 / 100 / 3.6, 6)
+    df = spark.createDataFrame([("s", i, float(x), 52.0, -1.5) for i, x in enumerate(v)], "s string, row_idx long, speed double, lat double, lon double").repartition(3)
+    frames = []
+    for block in (1, 50_000):
+        monkeypatch.setattr(episodes, "BLOCK", block)
+        found = episodes.distance_blackouts(df, ["s"], "speed", [50.0], 25, min_history=0.0).select("s", "start", "end")
+        track = found.withColumn("row_idx", F.explode(F.expr("sequence(start, end - 1)"))).select("s", "start", "row_idx", F.lit(0.0).alias("e"), F.lit(0.0).alias("n"))
+        out = sinks.replays(df, track, track, found, ["s"], 52.0, -1.5, 10, 10)
+        frames.append({(r["start"], r["row_idx"], r["mode"]) for r in out.collect()})
+    assert frames[0] == frames[1] and len(frames[0]) > 1_000
