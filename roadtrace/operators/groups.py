@@ -15,6 +15,11 @@ def cluster(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, order)
 
 
+def apart(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One shuffle by ``keys`` into a number of partitions of its own: many small groups are few bytes, but long work, and are not to be put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def frames(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """One frame per group of a clustered partition; a group may span batches."""
     held: list[pd.DataFrame] = []

@@ -6,6 +6,7 @@ rows. An episode has some hundred rows, so a group is always small.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -15,8 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadtrace.functions.geo import _c
+from roadtrace.operators.groups import apart
 
 RATE = 10.0
+#: Values by which ``lowpass`` extends a series at either end.
+PAD = 9
 
 
 def butterworth(cutoff: float, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
@@ -28,7 +32,7 @@ def butterworth(cutoff: float, rate: float = RATE) -> tuple[np.ndarray, np.ndarr
 
 
 def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    out, (z1, z2) = np.empty(len(x)), z
+    out, (z1, z2) = np.empty(x.shape), z
     for i, v in enumerate(x):
         y = b[0] * v + z1
         z1 = b[1] * v - a[1] * y + z2
@@ -37,18 +41,34 @@ def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.nd
     return out
 
 
+#: Rows up to which a series is filtered by a matrix, which takes 8 x rows x rows bytes.
+SHORT = 256
+
+
+@functools.lru_cache(maxsize=64)
+def _lowpass_matrix(n: int, cutoff: float, rate: float) -> np.ndarray:
+    """The filter of ``n`` values as a matrix: it is linear, so its columns are the filtered unit series."""
+    return _lowpass(np.eye(n), cutoff, rate)
+
+
 def lowpass(x: np.ndarray, cutoff: float = 0.5, rate: float = RATE) -> np.ndarray:
     """Zero-phase low-pass: forward and backward with odd extension and steady-state starts; short series are returned as they are."""
     x = np.asarray(x, float)
-    b, a = butterworth(cutoff, rate)
-    pad = 9
-    if len(x) <= pad:
+    if len(x) <= PAD:
         return x.copy()
+    if len(x) <= SHORT and np.isfinite(x).all():
+        return _lowpass_matrix(len(x), cutoff, rate) @ x
+    return _lowpass(x, cutoff, rate)
+
+
+def _lowpass(x: np.ndarray, cutoff: float, rate: float) -> np.ndarray:
+    b, a = butterworth(cutoff, rate)
+    pad = PAD
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     # state of a constant input of 1: the gain at rest is 1
-    zi = np.array([1.0 - b[0], b[2] - a[2]])
-    y = _filter(b, a, ext, zi * ext[0])
-    y = _filter(b, a, y[::-1], zi * y[-1])[::-1]
+    zi = (1.0 - b[0], b[2] - a[2])
+    y = _filter(b, a, ext, [z * ext[0] for z in zi])
+    y = _filter(b, a, y[::-1], [z * y[-1] for z in zi])[::-1]
     return y[pad:-pad]
 
 
@@ -128,7 +148,7 @@ def calibrate(df: DataFrame, keys: list[str], order: str = "row_idx") -> DataFra
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), CALIBRATION])
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return apart(df, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def procrustes_yaw(forward_rate: np.ndarray, lateral: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[float, float]:
@@ -175,7 +195,7 @@ def calibrate_procrustes(df: DataFrame, keys: list[str], time: str = "t", min_se
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "forward array<double>, fit double, accel_bias double, yaw_sign double, yaw_bias double, az_offset double, compass_r double"])
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return apart(df, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def dead_reckon_windows(df: DataFrame, keys: list[str], speed_mode: str = "const", heading_mode: str = "hold", speed: str = "speed", heading: str = "heading", yaw: str | None = None, azimuth: str | None = None, series: str | None = None, rate: float = RATE, order: str = "step") -> DataFrame:
@@ -237,7 +257,7 @@ def dead_reckon(df: DataFrame, calibrations: DataFrame, keys: list[str], speed_m
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "final_error_m double, distance_m double, drift_percent double"])
-    return df.join(calibrations.select(*keys, *names), keys).groupBy(*keys).applyInPandas(run, schema)
+    return apart(df.join(calibrations.select(*keys, *names), keys), keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def drift_stats(df: DataFrame, keys: list[str], order: str = "step", rate: float = RATE) -> DataFrame:

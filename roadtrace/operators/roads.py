@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.functions import geo
 from roadtrace.functions.geo import _c
+from roadtrace.operators.groups import apart
 
 CELL_M = 150.0
 
@@ -438,4 +439,4 @@ def map_aided_walk(samples: DataFrame, anchors: DataFrame, edges: DataFrame, key
     types = dict(samples.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "map_e double, map_n double, junctions int"])
     rows = samples.select(*keys, order, "yaw_rate", "speed").join(anchors.select(*keys, "frm", "to", "along"), keys)
-    return rows.groupBy(*keys).cogroup(_own(edges).groupBy(*keys)).applyInPandas(run, schema)
+    return apart(rows, keys).groupBy(*keys).cogroup(apart(_own(edges), keys).groupBy(*keys)).applyInPandas(run, schema)

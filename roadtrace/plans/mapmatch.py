@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadtrace.operators import episodes, reckon, roads
+from roadtrace.session import written_once
 
 RADIUS = 60.0
 
@@ -19,18 +20,20 @@ def free_vs_map(drives: DataFrame, edges: DataFrame, keys: list[str], by: list[s
     calibrated on the ``history`` rows before them and reckoned with the speed and
     course of their first row; the truth is the place of their last row. Rows without
     a speed are no part of a drive. A blackout without a road at its start has no map track.
+    Rows, blackouts, calibrations, origins and the edges are written once, since several steps need each.
     """
     rate = reckon.RATE
     rows = drives.where("speed is not null").withColumn("position", (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
+    rows, edges = written_once(rows, "drives"), written_once(edges, "edges")
     found = episodes.distance_blackouts(rows, keys, "speed", list(distances), history, rate, min_speed, step_s, min_rows=min_rows, min_history=min_history, order="position")
     each = [*keys, "blackout_m", "start"]
     found = found.withColumnRenamed("distance_m", "blackout_m").withColumn("position", F.explode(F.expr(f"sequence(start - {history}, end - 1)")))
-    placed = found.join(rows, [*keys, "position"]).withColumn("step", F.col("position") - F.col("start"))
-    calibrations = reckon.calibrate(placed.where("step < 0"), each, "step")
+    placed = written_once(found.join(rows, [*keys, "position"]).withColumn("step", F.col("position") - F.col("start")), "blackouts")
+    calibrations = written_once(reckon.calibrate(placed.where("step < 0"), each, "step"), "calibrations")
     dark = placed.where("step >= 0")
     reach = F.count("*") * F.max(F.when(F.col("step") == 0, F.col("speed"))) / rate + RADIUS
     first = lambda c: F.max(F.when(F.col("step") == 0, F.col(c)))
-    origin = dark.groupBy(*each).agg(first("e").alias("e0"), first("n").alias("n0"), first("speed").alias("v0"), F.radians(first("course_deg")).alias("heading"), reach.alias("reach"))
+    origin = written_once(dark.groupBy(*each).agg(first("e").alias("e0"), first("n").alias("n0"), first("speed").alias("v0"), F.radians(first("course_deg")).alias("heading"), reach.alias("reach")), "origins")
     dark = dark.join(origin, each)
     free = reckon.dead_reckon(dark.withColumns({"gt_e": F.col("e") - F.col("e0"), "gt_n": F.col("n") - F.col("n0")}), calibrations, each, "const", "gyro")
     at = roads.anchor(origin.select(*each, F.col("e0").alias("e"), F.col("n0").alias("n"), "heading"), edges, each, "heading", RADIUS)

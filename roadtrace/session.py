@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,3 +34,10 @@ def shared_base(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir")
     return base.rstrip("/")
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table below ``shared_base``: what uses it several times reads it instead of computing it again. The files stay until the caller's folder goes."""
+    path = f"{shared_base(df.sparkSession)}/roadtrace-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
