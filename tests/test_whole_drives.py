@@ -9,6 +9,7 @@ import slow_loops
 from pyspark.sql import functions as F
 
 from roadtrace.operators import reckon, roads
+from roadtrace.queries import journeys
 
 D = "/root/testdata/sf0.001"
 
@@ -65,3 +66,9 @@ def test_free_vs_map_searches_all_blackouts_and_takes_truth_from_the_samples(spa
         assert got["2", dist, "free"]["median_drift"] > got["1", dist, "free"]["median_drift"] + 5
         assert got["2", dist, "map"]["median_drift"] == pytest.approx(got["1", dist, "map"]["median_drift"])
         assert got["1", dist, "map"]["median_drift"] < 12
+
+
+def test_free_vs_map_computes_its_steps_once(spark):
+    """The plan that is left reads tables; each Python step is in it at most twice, not once for every step behind it."""
+    out = journeys.m7_free_vs_map(spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("InPandas") <= 4
