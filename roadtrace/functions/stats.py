@@ -43,6 +43,20 @@ def distribution(x, percents=PERCENTS) -> list[Column]:
     return out + [F.percentile(x, p / 100).alias(f"p{p}") for p in percents]
 
 
+def running_variance(values) -> Column:
+    """Population variance of an array's values in their order by Welford's recurrence (NULLs left out of the array); NULL for an empty one.
+
+    ``var_pop`` forms its squares in another way, so where the variance lies on a threshold the two may differ by a last bit.
+    """
+    state = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(s, x):
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["m2"] + (x - mean) * (x - s["mean"])).alias("m2"))
+
+    return F.aggregate(values, state, add, lambda s: F.try_divide(s["m2"], s["n"]))
+
+
 def circular_mean(angle) -> Column:
     angle = _c(angle)
     return F.atan2(F.sum(F.sin(angle)), F.sum(F.cos(angle)))

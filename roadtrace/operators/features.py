@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadtrace.functions import stats
 from roadtrace.functions.geo import _c, wrap_pi
 from roadtrace.operators.groups import cluster, key_at, starts_of
 from roadtrace.operators.segments import ordered
@@ -159,7 +160,8 @@ def stationary(df: DataFrame, keys: list[str], time: str, linear_norm: str, gyro
     """Add quiet (over the last ``window`` seconds) and stationary (quiet for ``hold`` seconds without a break)."""
     w = W.partitionBy(*keys).orderBy(time)
     r = W.partitionBy(*keys).orderBy((_c(time) * 1e6).cast("long")).rangeBetween(-round(window * 1e6), 0)
-    quiet = (F.count("*").over(r) >= samples) & (F.var_pop(linear_norm).over(r) < variance) & (F.avg(linear_norm).over(r) < mean) & (F.avg(gyro_norm).over(r) < gyro)
+    spread = stats.running_variance(F.collect_list(_c(linear_norm).cast("double")).over(r))
+    quiet = (F.count("*").over(r) >= samples) & (spread < variance) & (F.avg(linear_norm).over(r) < mean) & (F.avg(gyro_norm).over(r) < gyro)
     df = df.withColumn("quiet", F.coalesce(quiet, F.lit(False)))
     loud = F.last(F.when(~F.col("quiet"), _c(time)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     df = df.withColumn("_loud", loud)

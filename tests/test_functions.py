@@ -83,3 +83,17 @@ def test_bad_text_is_null(spark):
 @pytest.mark.parametrize("path,want", [("a/(Driver B) x/S-1.csv", "B"), ("a/(Driver  )/S-1.csv", "unknown"), ("a/b.csv", "unknown")])
 def test_driver_of(spark, path, want):
     assert one(spark, signals.driver_of(F.lit(path))) == (want,)
+
+
+def test_a_variance_on_the_threshold_is_rounded_as_in_the_sql(spark):
+    import duckdb
+
+    from roadtrace.operators import features
+
+    # each two values differ by 40, so their variance is 400 up to its last bit
+    pairs = [(1.51, 41.51), (40.55, 0.55), (2.98, 42.98), (6.73, 46.73), (16.12, 56.12), (5.0, 45.0)]
+    rows = [(str(i), t, x) for i, p in enumerate(pairs) for t, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "key string, row int, x double").withColumns({"t": F.col("row").cast("double"), "g": F.lit(0.0)})
+    out = features.stationary(df, ["key"], "t", "x", "g", 10.0, 0.0, 2, 400.0, 100.0, 1.0).where("row = 1")
+    want = duckdb.sql("SELECT key, var_pop(x) < 400 FROM (VALUES " + ", ".join(f"('{k}', {x}::DOUBLE)" for k, _, x in rows) + ") v(key, x) GROUP BY key").fetchall()
+    assert {r["key"]: r["quiet"] for r in out.collect()} == dict(want) and len(set(dict(want).values())) == 2
