@@ -712,7 +712,8 @@ def s12_write_metadata(spark, d):
 FROM (SELECT session_key, dist, s, e, unnest(range(s - 10, e + 10, 2)) AS row_idx FROM scan WHERE ok) f JOIN scan c USING (session_key, dist, s) JOIN long_samples s ON s.session_key = f.session_key AND s.row_idx = f.row_idx""", SCAN)
 def s13_export_replay(spark, d):
     """Frames of every blackout of every session."""
-    s = long_samples(spark, d).withColumn("speed", F.round("value", 1) / 3.6)
+    # the SQL rounds ten times the value: 14.149999999999999 is 14.2, where round(value, 1) makes it 14.1
+    s = long_samples(spark, d).withColumn("speed", F.round(F.col("value") * 10) / 10 / 3.6)
     e, n = geo.to_enu("lat", "lon", 52.0, -1.5)
     found = e3_distance_blackouts(spark, d)
     keys = [*KEYS, "distance_m"]

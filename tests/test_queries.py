@@ -44,3 +44,13 @@ def test_entry_survives_without_the_training_data_operators(spark):
 
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_replay_rounds_speeds_as_the_sql_where_they_are_no_whole_cents(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (value + event_id % 6 * 0.01::DOUBLE AS value) FROM '{D}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert c.sql("SELECT count(*) FROM events WHERE round(value, 1) <> CAST(round(CAST(CAST(value AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE)").fetchall()[0][0] > 0
+    want, got = c.sql(ORACLES["s13_export_replay"]).df(), QUERIES["s13_export_replay"](spark, str(tmp_path)).toPandas()
+    pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False, rtol=1e-9, atol=1e-9)
