@@ -47,12 +47,12 @@ def build_road_graph(ways: DataFrame, lat0: float, lon0: float) -> tuple[DataFra
     return nodes, edges.where("length > 0").withColumn("edge", F.concat_ws("-", "a", "b"))
 
 
-def _box(edges: DataFrame, cell: float) -> DataFrame:
-    """``edges`` once for each cell (cx, cy) of their bounding boxes, with the least cell (_x0, _y0)."""
-    low = lambda c: F.floor(F.least(f"a{c}", f"b{c}") / cell)
-    high = lambda c: F.floor(F.greatest(f"a{c}", f"b{c}") / cell)
-    rows = edges.withColumns({"_x0": low("e"), "_y0": low("n"), "_y1": high("n"), "cx": F.explode(F.sequence(low("e"), high("e")))})
-    return rows.withColumn("cy", F.explode(F.sequence("_y0", "_y1"))).drop("_y1")
+def _box(edges: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
+    """``edges`` once for each cell (cx, cy) of their bounding boxes, these ``pad`` metres wider on each side."""
+    low = lambda c: F.floor((F.least(f"a{c}", f"b{c}") - pad) / cell)
+    high = lambda c: F.floor((F.greatest(f"a{c}", f"b{c}") + pad) / cell)
+    rows = edges.withColumns({"_y0": low("n"), "_y1": high("n"), "cx": F.explode(F.sequence(low("e"), high("e")))})
+    return rows.withColumn("cy", F.explode(F.sequence("_y0", "_y1"))).drop("_y0", "_y1")
 
 
 def grid_index(edges: DataFrame, cell: float = CELL_M) -> DataFrame:
@@ -73,6 +73,22 @@ def own_edges(points: DataFrame, edges: DataFrame, keys: list[str], reach, cell:
     return cells.join(grid_index(edges, cell), ["cx", "cy"]).select(*keys, "edge").distinct().join(edges, "edge")
 
 
+#: Columns of a region, and rows of the trajectories that share one.
+REGION = ["_tx", "_ty", "_part"]
+SHARED = 20_000
+
+
+def regions(points: DataFrame, keys: list[str], size: float, rows: str | None = None, shared: int = SHARED) -> DataFrame:
+    """keys and ``REGION``: keys whose points begin in the same square of ``size`` metres share a region, so that its subgraph travels and is laid out once for all.
+
+    A square of more than ``shared`` points (or ``rows``, a column summed over them) is dealt by the keys' hash.
+    """
+    at = lambda c: F.coalesce(F.floor(F.min(c) / size), F.lit(0).cast("long"))
+    homes = points.groupBy(*keys).agg(at("e").alias("_tx"), at("n").alias("_ty"), (F.sum(rows) if rows else F.count("*")).alias("_rows"))
+    parts = homes.groupBy("_tx", "_ty").agg(F.ceil(F.sum("_rows") / shared).alias("_parts"))
+    return homes.join(parts, ["_tx", "_ty"]).select(*keys, "_tx", "_ty", F.pmod(F.xxhash64(*keys), F.greatest("_parts", F.lit(1))).alias("_part"))
+
+
 #: Pairs of a point and an edge of one cell that a task meets together; a cell with more is dealt.
 WORK = 4_000_000
 #: Cells that may be dealt; their list is broadcast.
@@ -94,25 +110,39 @@ def _deal(points: DataFrame, roads: DataFrame, by: list[str], work: int) -> tupl
     return points.join(hot, ["cx", "cy"], "left").withColumn("part", part).drop("_parts"), roads.join(hot, ["cx", "cy"], "left").withColumn("part", every).drop("_parts")
 
 
+def _near(points: DataFrame, edges: DataFrame, keys: list[str], radii: list[float], k: int, e: str, n: str, work: int | None) -> DataFrame:
+    """The at most ``k`` nearest edges of each point within the first of ``radii`` (from the least on) that has any, with rank and that radius.
+
+    A point goes to its own cell and an edge to all that it may be near to, so it is an equi-join after which
+    a point's edges are in one task: what is too far or one too many goes there, before they are ranked by their keys.
+    """
+    most = radii[-1]
+    cell = max(CELL_M, most)
+    p = points.select(*keys, _c(e).alias("pe"), _c(n).alias("pn")).withColumns({"cx": F.floor(_c("pe") / cell), "cy": F.floor(_c("pn") / cell)})
+    roads, on = _box(edges.select("edge", "a", "b", "ae", "an", "be", "bn", "length"), cell, most), ["cx", "cy"]
+    if work is not None:
+        (p, roads), on = _deal(p, roads, [*keys, "pe", "pn"], work), [*on, "part"]
+    p = apart(p, on)
+    near = p.join(roads, on).withColumns(geo.project_to_segment("pe", "pn", "ae", "an", "be", "bn")).where(F.col("distance") <= most)
+
+    def ranked(near: DataFrame, by: list[str]) -> DataFrame:
+        w = W.partitionBy(*by)
+        nearest, own = F.min("distance").over(w), F.lit(most)
+        for r in radii[-2::-1]:
+            own = F.when(nearest <= r, r).otherwise(own)
+        ranked = near.withColumns({"rank": F.row_number().over(w.orderBy("distance", "edge")), "radius": own})
+        return ranked.where((F.col("rank") <= k) & (F.col("distance") <= F.col("radius")))
+
+    return ranked(ranked(near, [*on, *keys]).drop(*on, "rank", "radius"), keys)
+
+
 def near_edges(points: DataFrame, edges: DataFrame, keys: list[str], radius: float, k: int = 8, e: str = "e", n: str = "n", work: int | None = WORK) -> DataFrame:
     """The at most ``k`` nearest edges within ``radius`` of each point, with foot point, distance and place along; rank from 1.
 
-    Points go to the cells of their radius box and edges to theirs, so it is an
-    equi-join; of the cells that a point and an edge share, the least one counts. A cell
-    that holds a large part of all points (a depot) is dealt to tasks of some ``work``
+    A cell that holds a large part of all points (a depot) is dealt to tasks of some ``work``
     pairs each (None: no cell is, and no one is counted).
     """
-    cell = max(CELL_M, radius)
-    first = lambda c: F.floor((_c(c) - radius) / cell)
-    last = lambda c: F.floor((_c(c) + radius) / cell)
-    p = points.select(*keys, _c(e).alias("pe"), _c(n).alias("pn")).withColumns({"_px": first("pe"), "_py": first("pn")})
-    p = p.withColumn("cx", F.explode(F.sequence("_px", last("pe")))).withColumn("cy", F.explode(F.sequence("_py", last("pn"))))
-    roads, on = _box(edges.select("edge", "a", "b", "ae", "an", "be", "bn", "length"), cell), ["cx", "cy"]
-    if work is not None:
-        (p, roads), on = _deal(p, roads, [*keys, "pe", "pn"], work), [*on, "part"]
-    pairs = p.join(roads, on).where((F.col("cx") == F.greatest("_px", "_x0")) & (F.col("cy") == F.greatest("_py", "_y0"))).drop(*on, "_px", "_py", "_x0", "_y0")
-    near = pairs.withColumns(geo.project_to_segment("pe", "pn", "ae", "an", "be", "bn")).where(F.col("distance") <= radius)
-    return near.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", "edge"))).where(F.col("rank") <= k)
+    return _near(points, edges, keys, [float(radius)], k, e, n, work).drop("radius")
 
 
 def near_edges_expanding(points: DataFrame, edges: DataFrame, keys: list[str], radius: float = 60.0, most: float = 200.0, k: int = 8, e: str = "e", n: str = "n", work: int | None = WORK) -> DataFrame:
@@ -123,12 +153,7 @@ def near_edges_expanding(points: DataFrame, edges: DataFrame, keys: list[str], r
     radii = [float(radius)]
     while radii[-1] < most:
         radii.append(2 * radii[-1])
-    near = near_edges(points, edges, keys, radii[-1], k, e, n, work)
-    nearest = F.min("distance").over(W.partitionBy(*keys))
-    own = F.lit(radii[-1])
-    for r in radii[-2::-1]:
-        own = F.when(nearest <= r, r).otherwise(own)
-    return near.withColumn("radius", own).where(F.col("distance") <= F.col("radius"))
+    return _near(points, edges, keys, radii, k, e, n, work)
 
 
 def anchor(points: DataFrame, edges: DataFrame, keys: list[str], heading: str, radius: float = 60.0, k: int = 8) -> DataFrame:
@@ -348,15 +373,30 @@ def hmm_match(points: DataFrame, candidates: DataFrame, edges: DataFrame, keys:
         lasts = rows.groupBy(*at).agg(last.alias("_last")).where("_last is not null")
         before = lasts.withColumn("_last", F.lag("_last").over(W.partitionBy(*keys).orderBy("_block"))).where("_last is not null").select(*at, "_last.*")
         laid, near = laid.unionByName(before.withColumn("_own", F.lit(False))), near.unionByName(before.select(*at, "e", "n"))
-    graph = own_edges(near, edges, at, reach, reach)
+    homes = regions(near, at, 2 * reach).select(*[F.col(x).alias(f"_key_{x}") for x in at], *REGION)
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(homes, [F.col(x).eqNullSafe(F.col(f"_key_{x}")) for x in at]).select(*df.columns, *REGION)
 
-    def path(p: pd.DataFrame, g: pd.DataFrame) -> tuple[list, _Path]:
+    graph = own_edges(placed(near), edges, REGION, reach, reach)
+
+    def path(p: pd.DataFrame, route: _Router) -> tuple[list, _Path]:
         seen = [[] if not isinstance(c, (list, np.ndarray)) else [(x["edge"], (x["e"], x["n"]), x["distance"]) for x in c] for c in p["cand"]]
-        return seen, _Path(seen, p[["e", "n"]].to_numpy(float), _Router(g, cap), sigma, beta)
+        return seen, _Path(seen, p[["e", "n"]].to_numpy(float), route, sigma, beta)
+
+    def blocks(f, names: list[str]):
+        """``f`` of each block of a region; they share what is known of its routes."""
+
+        def each(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+            route = _Router(g, cap)
+            found = [f(q, route) for _, q in p.groupby(at, sort=False, dropna=False)]
+            return pd.concat([x for x in found if len(x)] or [pd.DataFrame({c: np.array([], object) for c in names})], ignore_index=True)
 
-    def score(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        return each
+
+    def score(p: pd.DataFrame, route: _Router) -> pd.DataFrame:
         p = p.sort_values(order)
-        _, steps = path(p, g)
+        _, steps = path(p, route)
         if not steps.have:
             return pd.DataFrame({c: np.array([], object) for c in [*at, "_score"]})
         return p[at].head(1).assign(_score=[steps.scores(not p["_own"].all()).tolist()])
@@ -366,10 +406,10 @@ def hmm_match(points: DataFrame, candidates: DataFrame, edges: DataFrame, keys:
         ends = _ends_of_blocks([np.stack(s) for s in f["_score"]])
         return f[at].assign(_first=[-1, *ends[:-1]], _last=ends)
 
-    def run(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        first, last = (int(p[c].max()) if len(p) else -1 for c in ("_first", "_last"))
+    def run(p: pd.DataFrame, route: _Router) -> pd.DataFrame:
+        first, last = (int(p[c].max()) for c in ("_first", "_last"))
         p = p[p["_own"].notna()].sort_values(order)
-        seen, steps = path(p, g)
+        seen, steps = path(p, route)
         best = [c[i] if i >= 0 else None for c, i in zip(seen, steps.chosen(first, last), strict=True)]
         out = p[[*keys, order]].copy()
         out["edge"] = [b[0] if b else None for b in best]
@@ -378,15 +418,15 @@ def hmm_match(points: DataFrame, candidates: DataFrame, edges: DataFrame, keys:
         out["matched"] = [b is not None for b in best]
         return out[p["_own"].astype(bool)]
 
-    both = lambda left: left.groupBy(*at).cogroup(_own(graph).groupBy(*at))
+    both = lambda left: placed(left).groupBy(*REGION).cogroup(_own(graph).groupBy(*REGION))
     whole = laid.withColumns({"_first": F.lit(-1), "_last": F.lit(-1)})
     if cut:
         several = lasts.groupBy(*keys).count().where("count > 1").select(*keys)
-        scores = both(laid.join(several, keys, "left_semi")).applyInPandas(score, f"{k}, _block long, _score array<array<double>>")
+        scores = both(laid.join(several, keys, "left_semi")).applyInPandas(blocks(score, [*at, "_score"]), f"{k}, _block long, _score array<array<double>>")
         ends = scores.groupBy(*keys).applyInPandas(decide, f"{k}, _block long, _first int, _last int")
         whole = whole.unionByName(_own(ends).withColumn(order, F.lit(0).cast(types[order])), allowMissingColumns=True)
     schema = ", ".join([*(f"`{x}` {types[x]}" for x in [*keys, order]), "edge string, match_e double, match_n double, matched boolean"])
-    return both(whole).applyInPandas(run, schema)
+    return both(whole).applyInPandas(blocks(run, [*keys, order, "edge", "match_e", "match_n", "matched"]), schema)
 
 
 def walk(place: dict, neighbours: dict, frm, to, along: float, yaw: np.ndarray, v: np.ndarray, dt: float, u_turn: bool) -> tuple[np.ndarray, int, float]:

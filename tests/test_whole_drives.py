@@ -72,3 +72,21 @@ def test_free_vs_map_computes_its_steps_once(spark):
     """The plan that is left reads tables; each Python step is in it at most twice, not once for every step behind it."""
     out = journeys.m7_free_vs_map(spark, "/root/testdata/sf0.001")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("InPandas") <= 4
+
+
+def test_trajectories_of_a_region_share_its_edges(spark, monkeypatch):
+    edges = lattice(spark, 12).cache()
+    rows = [(f"d{i}", t, 20.0 + 40 * t, 500.0 + i % 7) for i in range(40) for t in range(20)]
+    p = spark.createDataFrame(rows, "key string, row_idx long, e double, n double")
+    cand, sent = roads.near_edges_expanding(p, edges, ["key", "row_idx"]), []
+    own = roads.own_edges
+    monkeypatch.setattr(roads, "own_edges", lambda *a, **k: sent.append(own(*a, **k)) or sent[-1])
+    out = roads.hmm_match(p, cand, edges, ["key"], 400.0, cap=400.0).collect()
+    assert len(out) == len(rows) and all(r["matched"] and r["match_n"] == 500.0 and r["match_e"] == 20.0 + 40 * r["row_idx"] for r in out)
+    assert sum(x.count() for x in sent) <= 2 * edges.count()
+
+
+def test_regions_are_dealt_where_many_points_meet(spark):
+    p = spark.createDataFrame([(None if i == 0 else f"k{i}", 5.0, 5.0) for i in range(400)] + [("far", 9000.0, 5.0)], "key string, e double, n double")
+    out = roads.regions(p, ["key"], 1000.0, shared=100).collect()
+    assert len(out) == 401 and len({tuple(r[c] for c in roads.REGION) for r in out}) == 5
