@@ -457,26 +457,31 @@ def walk(place: dict, neighbours: dict, frm, to, along: float, yaw: np.ndarray,
     return out, passed, heading
 
 
-def map_aided_walk(samples: DataFrame, anchors: DataFrame, edges: DataFrame, keys: list[str], dt: float = 0.1, u_turn: bool = True, order: str = "step") -> DataFrame:
-    """Walk each episode (yaw_rate, speed) from its anchor along its own subgraph (``edges`` with ``keys``): map_e, map_n, junctions per row.
+def map_aided_walk(samples: DataFrame, anchors: DataFrame, edges: DataFrame, keys: list[str], dt: float = 0.1, u_turn: bool = True, order: str = "step", by: list[str] | None = None) -> DataFrame:
+    """Walk each episode (yaw_rate, speed) from its anchor along its subgraph (``edges`` with ``by``): map_e, map_n, junctions per row.
 
-    ``u_turn``: turn back at a dead end, else stay there. Episodes without an anchor give no rows.
+    ``by``: columns of ``anchors`` and ``edges`` that name the region (``regions``) whose subgraph its episodes share; None:
+    ``keys``, a subgraph for each. ``u_turn``: turn back at a dead end, else stay there. Episodes without an anchor give no rows.
     """
+    by = by or keys
+    cols = [*keys, order, "map_e", "map_n", "junctions"]
 
     def run(s: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        cols = [*keys, order, "map_e", "map_n", "junctions"]
         if not len(s) or not len(g):
             return pd.DataFrame({c: np.array([], object) for c in cols})
-        s = s.sort_values(order)
         place, near = {}, {}
         for a, b, ae, an, be, bn in g[["a", "b", "ae", "an", "be", "bn"]].itertuples(index=False):
             place |= {a: (ae, an), b: (be, bn)}
             near.setdefault(a, []).append(b)
             near.setdefault(b, []).append(a)
+        return pd.concat([episode(x.sort_values(order), place, near) for _, x in s.groupby(keys, sort=False)])
+
+    def episode(s: pd.DataFrame, place: dict, near: dict) -> pd.DataFrame:
         track, passed, _ = walk(place, near, s["frm"].iloc[0], s["to"].iloc[0], float(s["along"].iloc[0]), s["yaw_rate"].to_numpy(float), s["speed"].to_numpy(float), dt, u_turn)
         return s[[*keys, order]].assign(map_e=track[:, 0], map_n=track[:, 1], junctions=passed)[cols]
 
     types = dict(samples.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, order]), "map_e double, map_n double, junctions int"])
-    rows = samples.select(*keys, order, "yaw_rate", "speed").join(anchors.select(*keys, "frm", "to", "along"), keys)
-    return apart(rows, keys).groupBy(*keys).cogroup(apart(_own(edges), keys).groupBy(*keys)).applyInPandas(run, schema)
+    more = [c for c in by if c not in keys]
+    rows = samples.select(*keys, order, "yaw_rate", "speed").join(anchors.select(*keys, *more, "frm", "to", "along"), keys)
+    return apart(rows, by).groupBy(*by).cogroup(apart(_own(edges), by).groupBy(*by)).applyInPandas(run, schema)

@@ -454,7 +454,8 @@ def m4_route_distance(spark, d):
     edge = lambda x, y: F.concat_ws("-", (x * 1000 + y).cast("string"), ((x + 1) * 1000 + y).cast("string"))
     pairs = s.select("session_key", edge(x, y).alias("edge_i"), (x * SPACING + 30).alias("ei"), (y * SPACING).alias("ni"), edge(F.lit(4), F.lit(3)).alias("edge_j"), F.lit(430.0).alias("ej"), F.lit(300.0).alias("nj"))
     ends = pairs.select("session_key", F.explode(F.array(F.struct(F.col("ei").alias("e"), F.col("ni").alias("n")), F.struct(F.col("ej").alias("e"), F.col("nj").alias("n")))).alias("p")).select("session_key", "p.*")
-    out = roads.route_distances(pairs, roads.own_edges(ends, lattice(spark, d), ["session_key"], 500.0), ["session_key"])
+    homes = roads.regions(ends, ["session_key"], 1000.0)
+    out = roads.route_distances(pairs.join(homes, "session_key"), roads.own_edges(ends.join(homes, "session_key"), lattice(spark, d), roads.REGION, 500.0), roads.REGION)
     # on one street both points lie at 30 m of the same or another block
     return rounded(out.select("session_key", "distance"), "distance", places=4)
 
@@ -524,6 +525,10 @@ def m5_hmm_match_whole(spark, d):
     return rounded(out.select("session_key", "row_idx", "match_e", "match_n", "matched"), "match_e", "match_n", places=4)
 
 
+#: Sessions that begin in the same square of so many metres share a region of the lattice.
+REGION_M = 1000.0
+
+
 @query("""SELECT session_key, row_idx AS step, round(CASE WHEN m % 2 = 0 THEN m // 2 * 100.0 + r ELSE (m + 1) // 2 * 100.0 END, 4) AS map_e, round(CASE WHEN m % 2 = 0 THEN m // 2 * 100.0 ELSE (m - 1) // 2 * 100.0 + r END, 4) AS map_n FROM (
   SELECT session_key, row_idx, CASE WHEN p = last THEN CAST(floor(last / 100) AS BIGINT) - 1 ELSE CAST(floor(p / 100) AS BIGINT) END AS m, CASE WHEN p = last THEN 100.0 ELSE p % 100 END AS r FROM (
     SELECT session_key, row_idx, 2 * length + 100 AS last, least(2 * length + 100, 200.0 * (user_id % (streets - 1)) + 15 + 12 * (row_idx + 1)) AS p FROM samples, side))""", FOLDED)
@@ -534,14 +539,16 @@ def m6_map_aided_walk(spark, d):
     # a right angle in the second in which a corner is passed: left after a block east, right after a block north
     turn = F.when(block(F.col("step") + 1) == block(F.col("step")), 0.0).when(block(F.col("step")) % 2 == 0, -math.pi / 2).otherwise(math.pi / 2)
     s = s.withColumn("yaw_rate", turn)
-    start = s.groupBy("session_key", "from").agg((F.sum("speed") + 2 * SPACING).alias("reach"))
+    start = s.groupBy("session_key", "from").agg((F.sum("speed") + 2 * SPACING).alias("reach"), F.count("*").alias("rows"))
     x, y, _ = stairs(F.col("from"))
-    start = start.select("session_key", x.alias("e"), y.alias("n"), F.lit(math.pi / 2).alias("h"), "reach")
+    start = start.select("session_key", x.alias("e"), y.alias("n"), F.lit(math.pi / 2).alias("h"), "reach", "rows")
+    homes = roads.regions(start, ["session_key"], REGION_M, "rows")
     last = lattice(spark, d).agg(F.max("be").alias("be")).select(F.col("be").alias("ae"), F.col("be").alias("an"), (F.col("be") + SPACING).alias("be"), F.col("be").alias("bn"), F.lit(SPACING).alias("length"))
     corner = (F.col("ae") / SPACING * 1001).cast("long").cast("string")
     edges = lattice(spark, d).unionByName(last.withColumns({"a": corner, "b": F.lit("end")}).withColumn("edge", F.concat_ws("-", "a", "b")))
-    at = roads.anchor(start, edges, ["session_key"], "h")
-    out = roads.map_aided_walk(s, at, roads.own_edges(start, edges, ["session_key"], "reach"), ["session_key"], 1.0, False)
+    at = roads.anchor(start, edges, ["session_key"], "h").join(homes, "session_key")
+    own = roads.own_edges(start.join(homes, "session_key"), edges, roads.REGION, "reach")
+    out = roads.map_aided_walk(s, at, own, ["session_key"], 1.0, False, by=roads.REGION)
     return rounded(out.select("session_key", "step", "map_e", "map_n"), "map_e", "map_n", places=4)
 
 
@@ -549,11 +556,13 @@ def m6_map_aided_walk(spark, d):
 def m6_map_aided_walk_whole(spark, d):
     """All rows of all sessions along the whole of a street, turning back at its ends."""
     s = samples(spark, d).select("session_key", "user_id", F.col("row_idx").cast("long").alias("step"), F.lit(0.0).alias("yaw_rate"), F.lit(12.0).alias("speed"))
-    start = with_streets(spark, d, s.groupBy("session_key", "user_id").agg((F.sum("speed") + SPACING).alias("reach")))
-    start = start.select("session_key", F.lit(15.0).alias("e"), (F.pmod("user_id", F.col("streets")) * SPACING).cast("double").alias("n"), F.lit(math.pi / 2).alias("h"), F.least(F.col("reach"), F.col("streets") * SPACING).alias("reach"))
+    start = with_streets(spark, d, s.groupBy("session_key", "user_id").agg((F.sum("speed") + SPACING).alias("reach"), F.count("*").alias("rows")))
+    start = start.select("session_key", F.lit(15.0).alias("e"), (F.pmod("user_id", F.col("streets")) * SPACING).cast("double").alias("n"), F.lit(math.pi / 2).alias("h"), F.least(F.col("reach"), F.col("streets") * SPACING).alias("reach"), "rows")
     streets = lattice(spark, d).where("an = bn")
-    at = roads.anchor(start, streets, ["session_key"], "h")
-    out = roads.map_aided_walk(s, at, roads.own_edges(start, streets, ["session_key"], "reach"), ["session_key"], 1.0)
+    homes = roads.regions(start, ["session_key"], REGION_M, "rows")
+    at = roads.anchor(start, streets, ["session_key"], "h").join(homes, "session_key")
+    own = roads.own_edges(start.join(homes, "session_key"), streets, roads.REGION, "reach")
+    out = roads.map_aided_walk(s, at, own, ["session_key"], 1.0, by=roads.REGION)
     return rounded(out.select("session_key", "step", "map_e", "map_n"), "map_e", "map_n", places=4)
 
 

@@ -90,3 +90,15 @@ def test_regions_are_dealt_where_many_points_meet(spark):
     p = spark.createDataFrame([(None if i == 0 else f"k{i}", 5.0, 5.0) for i in range(400)] + [("far", 9000.0, 5.0)], "key string, e double, n double")
     out = roads.regions(p, ["key"], 1000.0, shared=100).collect()
     assert len(out) == 401 and len({tuple(r[c] for c in roads.REGION) for r in out}) == 5
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+@pytest.mark.parametrize("name", ["m6_map_aided_walk", "m6_map_aided_walk_whole", "m4_route_distance"])
+def test_sessions_of_a_region_share_its_edges(spark, monkeypatch, name):
+    """Copies of the sessions at the same places send no more edges."""
+    sent, own = [], roads.own_edges
+    monkeypatch.setattr(roads, "own_edges", lambda *a, **k: sent.append(own(*a, **k)) or sent[-1])
+    getattr(journeys, name)(spark, D)
+    sessions = spark.read.parquet(f"{D}/events.parquet").select("user_id").distinct().count()
+    (edges,) = sent
+    assert edges.groupBy("edge").count().agg(F.max("count")).head()[0] <= 4 < sessions
