@@ -11,14 +11,28 @@ from pyspark.sql import functions as F
 from roadtrace.functions import geo, stats
 from roadtrace.functions.geo import _c
 from roadtrace.operators import ranking
-from roadtrace.operators.joins import lag_sweep_pairs
 
 SWEEP = "lag int, speed_corr double, median_separation double, p95_separation double"
 
 
+#: Phone rows of ``lag_sweep_exact`` in a task, each with its pairs at all lags.
+SWEPT = 20_000
+
+
 def lag_sweep_exact(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag: int, min_n: int = 20) -> DataFrame:
-    """Speed correlation and separation at every lag by a join: the rows are multiplied by the lags, so it is for short sweeps and checks."""
-    p = lag_sweep_pairs(phone, vehicle, keys, max_lag).withColumn("_sep", geo.haversine_m("lat", "lon", "vehicle_lat", "vehicle_lon"))
+    """Speed correlation and separation at every lag from the pairs of rows themselves: the rows are multiplied by the lags, so it is for short sweeps and checks.
+
+    A window over both recordings of a session finds the vehicle rows around each phone row, so rows are shuffled and pairs are not.
+    """
+    at = F.col("row_idx").cast("long")
+    seen = F.struct(at.alias("at"), "velocity_kmh", "vehicle_lat", "vehicle_lon").alias("_v")
+    own = phone.select(*keys, at.alias("_at"), F.struct("speed_kmh", "lat", "lon").alias("_p"))
+    both = own.unionByName(vehicle.select(*keys, at.alias("_at"), seen), allowMissingColumns=True).dropna(subset=[*keys, "_at"])
+    tasks = max(int(phone.sparkSession.conf.get("spark.sql.shuffle.partitions")), phone.count() // SWEPT)
+    around = F.collect_list("_v").over(W.partitionBy(*keys).orderBy("_at").rangeBetween(-max_lag, max_lag))
+    near = both.repartition(tasks, *keys).withColumn("_near", around).where("_p is not null")
+    p = near.select(*keys, "_at", "_p.*", F.explode("_near").alias("_v")).select(*keys, (F.col("_v.at") - F.col("_at")).cast("int").alias("lag"), "speed_kmh", "lat", "lon", "_v.*")
+    p = p.withColumn("_sep", geo.haversine_m("lat", "lon", "vehicle_lat", "vehicle_lon"))
     return p.groupBy(*keys, "lag").agg(stats.safe_corr("speed_kmh", "velocity_kmh", min_n).alias("speed_corr"), F.percentile("_sep", 0.5).alias("median_separation"), F.percentile("_sep", 0.95).alias("p95_separation"))
 
 

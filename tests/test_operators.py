@@ -468,3 +468,16 @@ def test_replays_do_not_depend_on_the_blocks_of_the_search(spark, monkeypatch):
         out = sinks.replays(df, track, track, found, ["s"], 52.0, -1.5, 10, 10)
         frames.append({(r["start"], r["row_idx"], r["mode"]) for r in out.collect()})
     assert frames[0] == frames[1] and len(frames[0]) > 1_000
+
+
+def test_exact_sweep_shuffles_rows_and_not_their_pairs(spark):
+    from roadtrace.operators import align
+
+    rows = [("a" if i else None, i, float(i % 7), 52.0, 0.001 * i) for i in range(30)]
+    p = spark.createDataFrame(rows, "key string, row_idx int, speed_kmh double, lat double, lon double")
+    v = p.where("row_idx % 5 <> 3").toDF("key", "row_idx", "velocity_kmh", "vehicle_lat", "vehicle_lon")
+    out = align.lag_sweep_exact(p, v, ["key"], 4, 2)
+    plan = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line]
+    assert plan and not any("lag" in line for line in plan)
+    got = {r["lag"]: r["median_separation"] for r in out.collect()}
+    assert sorted(got) == list(range(-4, 5)) and got[0] == 0.0
