@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from roadtrace.functions import geo, stats
 from roadtrace.functions.geo import _c
 from roadtrace.operators import ranking
+from roadtrace.session import written_once
 
 SWEEP = "lag int, speed_corr double, median_separation double, p95_separation double"
 
@@ -104,7 +105,7 @@ def _sweep_whole(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag:
 #: Rows of a session that a task of ``lag_sweep`` takes.
 BLOCK = 100_000
 #: Bits of a separation that a round of ``_sweep_blocks`` looks at; a separation is not negative, so its bits are in its order.
-ROUNDS = (20, 22, 22)
+ROUNDS = (16, 24, 24)
 QUANTILES = (0.5, 0.95)
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy", "x0", "x1", "y0", "y1")
 
@@ -114,13 +115,15 @@ def lag_sweep(phone: DataFrame, vehicle: DataFrame, keys: list[str], max_lag: in
 
     Whether there is such a session is looked up before the plan is made. In it ``row_idx``
     numbers the rows from 0 without a gap, as readers make it. Sessions with a null key are not cut.
+    Both recordings are then written once, and so is what each round finds, so that no round is computed twice.
     """
     left = phone.select(*keys, "row_idx", "speed_kmh", "lat", "lon")
     right = vehicle.select(*[F.col(c).alias(c) for c in (*keys, "row_idx", "velocity_kmh", "vehicle_lat", "vehicle_lon")])
     beyond = left.where(F.col("row_idx") >= block).dropna(subset=keys)
     if beyond.isEmpty():
         return _sweep_whole(left, right, keys, max_lag, min_n)
-    long = beyond.select(*keys).distinct()
+    left, right = written_once(left, "phone"), written_once(right, "vehicle")
+    long = left.where(F.col("row_idx") >= block).dropna(subset=keys).select(*keys).distinct()
     kept = lambda df, how: df.join(long, keys, how)
     whole = _sweep_whole(kept(left, "left_anti"), kept(right, "left_anti"), keys, max_lag, min_n)
     return whole.unionByName(_sweep_blocks(kept(left, "left_semi"), kept(right, "left_semi"), keys, max_lag, min_n, block))
@@ -146,14 +149,14 @@ def _block(p: pd.DataFrame, v: pd.DataFrame, max_lag: int, block: int):
         yield part, ps, vs[i], _haversine(pla, plo, vla[i], vlo[i])
 
 
-def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and how often they are there, without a sort where they lie close together."""
-    if not len(x) or x.max() - x.min() > 4 * len(x):
-        return np.unique(x, return_counts=True)
-    low = x.min()
-    count = np.bincount(x - low)
-    at = np.flatnonzero(count)
-    return at + low, count[at]
+def _sums(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """``_SUMS`` of each row of ``y`` with ``x``, over their jointly finite values; extremes are NaN where there are none."""
+    ok = np.isfinite(x) & np.isfinite(y)
+    x, y = np.broadcast_to(x, y.shape), np.where(ok, y, 0.0)
+    a, n = np.where(ok, x, 0.0), ok.sum(axis=1)
+    with_none = lambda v: np.where(n > 0, v, np.nan)
+    ends = [with_none(f(v, axis=1, where=ok, initial=i)) for v in (a, y) for f, i in ((np.min, np.inf), (np.max, -np.inf))]
+    return dict(zip(_SUMS, (n, a.sum(axis=1), y.sum(axis=1), (a * a).sum(axis=1), (y * y).sum(axis=1), (a * y).sum(axis=1), *ends), strict=True))
 
 
 def _sweep_blocks(left: DataFrame, right: DataFrame, keys: list[str], max_lag: int, min_n: int, block: int) -> DataFrame:
@@ -189,19 +192,17 @@ def _sweep_blocks(left: DataFrame, right: DataFrame, keys: list[str], max_lag: i
         if len(p):
             mx, my = float(p["mx"].iloc[0]), float(p["my"].iloc[0])
             for lags, x, ys, seps in _block(p, v, max_lag, block):
-                for lag, y, sep in zip(lags.tolist(), ys, seps, strict=True):
-                    ok = np.isfinite(x) & np.isfinite(y)
-                    a, c = x[ok] - mx, y[ok] - my
-                    some = len(a) > 0
-                    sums = (len(a), a.sum(), c.sum(), a @ a, c @ c, a @ c, *((a.min(), a.max(), c.min(), c.max()) if some else [np.nan] * 4))
-                    bins, count = _counts(sep[np.isfinite(sep)].view(np.int64) >> (64 - ROUNDS[0]))
-                    out.append(pd.DataFrame({"lag": lag, "bin": [-1, *bins], "count": [0, *count]} | {c: [s, *[np.nan] * len(bins)] for c, s in zip(_SUMS, sums, strict=True)}))
+                out.append(pd.DataFrame({"lag": lags, "bin": -1, "count": 0} | _sums(x - mx, ys - my)))
+                i, j = np.nonzero(np.isfinite(seps))
+                code, count = np.unique((i << ROUNDS[0]) | (seps[i, j].view(np.int64) >> (64 - ROUNDS[0])), return_counts=True)
+                out.append(pd.DataFrame({"lag": lags[code >> ROUNDS[0]], "bin": code & ((1 << ROUNDS[0]) - 1), "count": count}))
         return counted(pd.concat(out, ignore_index=True), p, first) if out else pd.DataFrame(columns=[*keys, *first])
 
     schema = f"{typed}, lag int, bin long, count long, " + ", ".join(f"{c} double" for c in _SUMS)
     group = lambda df: df.groupBy(*keys, "_b")
     least = lambda c: c in ("x0", "y0")
     begun = group(p).cogroup(group(apart(v))).applyInPandas(begin, schema).groupBy(*each, "bin").agg(F.sum("count").alias("count"), *[(F.min if least(c) else F.max if c in ("x1", "y1") else F.sum)(c).alias(c) for c in _SUMS])
+    begun = written_once(begun, "sweep")
 
     # where the wanted order statistics lie
     up = W.partitionBy(*each).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
@@ -212,9 +213,10 @@ def _sweep_blocks(left: DataFrame, right: DataFrame, keys: list[str], max_lag: i
     found = found.where((F.col("rest") >= 0) & (F.col("rest") < F.col("count"))).drop("count")
     left_bits = 64 - ROUNDS[0]
     for bits in ROUNDS[1:]:
-        found = _narrow(found, p, v, sizes, keys, typed, counted, apart, left_bits, bits, max_lag, block)
+        found = _narrow(written_once(found, "ranks"), p, v, sizes, keys, typed, counted, apart, left_bits, bits, max_lag, block)
         left_bits -= bits
 
+    found = written_once(found, "ranks")
     value = lambda t: F.max(F.when(F.col("target") == t, F.col("value")))
     q = found.groupBy(*each).agg(F.max("total").alias("total"), *[value(t).alias(f"_v{t}") for t in range(2 * len(QUANTILES))])
     share = lambda q: at(q) - F.floor(at(q))
@@ -236,18 +238,16 @@ def _narrow(found: DataFrame, p: DataFrame, v: DataFrame, sizes: DataFrame, keys
         if len(p):
             is_row = both["row_idx"].notna()
             v, w = both[is_row].astype({"row_idx": "int64"}), both[~is_row]
-            by_lag = {int(lag): list(zip(f["target"].astype(int), f["prefix"].astype("int64"), strict=True)) for lag, f in w.groupby("lag")}
+            # the wanted prefixes as an array [target, lag]; no separation begins with -1
+            prefix = np.full((2 * len(QUANTILES), 2 * max_lag + 1, 1), -1, np.int64)
+            prefix[w["target"].to_numpy(np.int64), w["lag"].to_numpy(np.int64) + max_lag, 0] = w["prefix"].to_numpy(np.int64)
             for lags, _, _, seps in _block(p, v, max_lag, block):
-                for lag, sep in zip(lags.tolist(), seps, strict=True):
-                    raw = sep[np.isfinite(sep)].view(np.int64)
-                    head = raw >> left_bits
-                    seen: dict = {}
-                    for target, prefix in by_lag.get(lag, ()):
-                        if prefix not in seen:  # neighbours in rank mostly begin alike
-                            own = raw[head == prefix]
-                            seen[prefix] = own, np.unique((own >> (left_bits - bits)) & ((1 << bits) - 1), return_index=True, return_counts=True)
-                        own, (got, where, count) = seen[prefix]
-                        out.append(pd.DataFrame({"lag": lag, "target": target, "bin": got, "count": count, "value": own[where].view(float)}))
+                raw = np.where(np.isfinite(seps), seps, -1.0).view(np.int64)
+                t, i, j = np.nonzero(raw >> left_bits == prefix[:, lags + max_lag])
+                own = raw[i, j]
+                code, where, count = np.unique((t * len(lags) + i << bits) | (own >> (left_bits - bits) & ((1 << bits) - 1)), return_index=True, return_counts=True)
+                group = code >> bits
+                out.append(pd.DataFrame({"lag": lags[group % len(lags)], "target": group // len(lags), "bin": code & ((1 << bits) - 1), "count": count, "value": own[where].view(float)}))
         if not out:
             return pd.DataFrame(columns=[*keys, *names])
         return counted(pd.concat(out, ignore_index=True), p, names)

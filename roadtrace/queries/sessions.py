@@ -12,7 +12,7 @@ from roadtrace.operators import aggregates, align, features, joins, ranking, seg
 from roadtrace.queries.registry import query
 from roadtrace.queries.views import KEYS, PRELUDE, SEGMENT, fixes, imu, imu_vec, long_samples, samples, table, vehicle
 from roadtrace.queries.windows import MAX_GAP, MAX_JUMP, SEGMENTED, archived, motion, rounded
-from roadtrace.session import shared_base
+from roadtrace.session import shared_base, written_once
 from roadtrace.sources import sinks
 
 SEPARATION = "2 * 6371000.0 * atan2(sqrt(hav), sqrt(greatest(1 - hav, 0)))"
@@ -522,8 +522,8 @@ LONG_LAGS = PRELUDE + f""", behind AS (
 
 @query(f"""SELECT driver_id, session_key, lag, round({corr_sql("x", "y", 20)}, 4) AS speed_corr, round(quantile_cont(sep, 0.5), 4) AS median_separation, round(quantile_cont(sep, 0.95), 4) AS p95_separation FROM lagged GROUP BY ALL""", LONG_LAGS)
 def l1_lag_sweep_blocks(spark, d):
-    """The sweep of long sessions (one for each event type) in blocks that share no task."""
-    s = long_samples(spark, d)
+    """The sweep of long sessions (one for each event type) in blocks that share no task. Their rows are numbered once and written."""
+    s = written_once(long_samples(spark, d).select(*KEYS, "row_idx", "speed_kmh", "lat", "lon"), "long")
     velocity = F.lag("speed_kmh", 2).over(W.partitionBy("session_key").orderBy("row_idx"))
     behind = s.select(*KEYS, "row_idx", velocity.alias("velocity_kmh"), (F.col("lat") + 0.0003).alias("vehicle_lat"), F.col("lon").alias("vehicle_lon"))
     return rounded(align.lag_sweep(s, behind, KEYS, 10, block=500), *LAG_COLUMNS, places=4)

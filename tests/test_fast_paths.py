@@ -361,3 +361,13 @@ def test_blackouts_of_a_long_drive():
     assert slow_loops.scan(v, 60.0, 50, 10.0, 3.0, 2.0, 0, 5, 0.0) == got and len(got) > 20
 
 
+
+
+def test_lag_sweep_in_blocks_computes_no_round_twice(spark):
+    from roadtrace.operators import align
+
+    p = spark.range(300).selectExpr("'a' as k", "id as row_idx", "double(id % 17) as speed_kmh", "52 + id / 1e4 as lat", "-1.5 + id % 5 / 1e3 as lon")
+    v = p.selectExpr("k", "row_idx", "speed_kmh as velocity_kmh", "lat as vehicle_lat", "lon as vehicle_lon")
+    out = align.lag_sweep(p, v, ["k"], 5, block=100)
+    # what is left to do in Python is the sweep of sessions that are not cut
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("InPandas") == 1
