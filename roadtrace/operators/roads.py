@@ -264,23 +264,28 @@ BLOCK = 50_000
 
 
 class _Path:
-    """The steps of a trajectory that have candidates (``viterbi``'s), as arrays [step, candidate] filled up with candidates of no likelihood."""
+    """The steps of trajectories that have candidates, as arrays [step, candidate] filled up with candidates of no likelihood.
 
-    def __init__(self, steps: list[list[tuple]], observed: np.ndarray, route: _Router, sigma: float, beta: float):
-        self.have, self.steps, self.route, self.beta = [t for t, c in enumerate(steps) if c], len(steps), route, beta
-        if not self.have:
+    ``size``: candidates of each step; ``edges``, ``places`` and ``off``: theirs, one after the other.
+    ``group`` numbers the trajectories, which follow one another (None: it is one).
+    """
+
+    def __init__(self, size: np.ndarray, edges: np.ndarray, places: np.ndarray, off: np.ndarray, observed: np.ndarray, route: _Router, sigma: float, beta: float, group: np.ndarray | None = None):
+        self.have, self.steps, self.route, self.beta = np.flatnonzero(size), len(size), route, beta
+        if not len(self.have):
             return
-        self.size = np.array([len(steps[t]) for t in self.have])
+        self.group = np.zeros(len(size), np.int64) if group is None else group
+        self.begins = np.diff(self.group[self.have], prepend=-1) != 0
+        self.size = size[self.have]
         self.k = int(self.size.max())
         self.there = np.arange(self.k) < self.size[:, None]
-        flat = [c for t in self.have for c in steps[t]]
-        number = {e: i for i, e in enumerate(dict.fromkeys(c[0] for c in flat))}
-        self.names, ends = list(number), np.array([route.edge[e][2:] for e in number])
+        codes, names = pd.factorize(edges)
+        self.names, ends = list(names), np.array([route.edge[e][2:] for e in names])
         shape = (len(self.have), self.k)
-        self.edge, self.place, off = np.zeros(shape, np.int64), np.zeros((*shape, 2)), np.full(shape, np.inf)
-        self.edge[self.there], self.place[self.there], off[self.there] = [number[c[0]] for c in flat], [c[1] for c in flat], [c[2] for c in flat]
+        self.edge, self.place, far = np.zeros(shape, np.int64), np.zeros((*shape, 2)), np.full(shape, np.inf)
+        self.edge[self.there], self.place[self.there], far[self.there] = codes, places, off
         self.to_end = np.linalg.norm(self.place[:, :, None] - ends[self.edge], axis=3)
-        self.emission = -off * off / (2 * sigma * sigma)
+        self.emission = -far * far / (2 * sigma * sigma)
         self.move = np.linalg.norm(np.diff(observed[self.have], axis=0), axis=1)
 
     def costs(self):
@@ -289,7 +294,7 @@ class _Path:
             b = min(a + STEPS, len(self.have) - 1)
             x, y = slice(a, b), slice(a + 1, b + 1)
             i, j = np.broadcast_arrays(self.edge[x][:, :, None], self.edge[y][:, None, :])
-            other = self.there[x][:, :, None] & self.there[y][:, None, :] & (i != j)
+            other = self.there[x][:, :, None] & self.there[y][:, None, :] & (i != j) & ~self.begins[y][:, None, None]
             codes, at = np.unique(i[other] * len(self.names) + j[other], return_inverse=True)
             pairs = [(self.names[c // len(self.names)], self.names[c % len(self.names)]) for c in codes.tolist()]
             self.route.prepare(pairs)
@@ -312,28 +317,44 @@ class _Path:
             score = (score[:, :, None] - cost).max(axis=1) + self.emission[t]
         return score[:, : self.size[-1]]
 
-    def chosen(self, first: int = -1, last: int = -1) -> list[int]:
-        """Index of the chosen candidate of each step (-1: it has none); ``first`` and ``last`` are chosen already unless they are -1."""
-        out = [-1] * self.steps
-        if not self.have:
+    def chosen(self, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of the chosen candidate of each step (-1: it has none); ``first`` and ``last`` of a group are chosen already unless they are -1."""
+        out = np.full(self.steps, -1)
+        if not len(self.have):
             return out
-        score, back = self.emission[0], np.zeros((len(self.have), self.k), np.int64)
-        if first >= 0:
-            score = np.where(np.arange(self.k) == first, 0.0, -np.inf)
+        begins = np.flatnonzero(self.begins)
+        ends = np.append(begins[1:] - 1, len(self.have) - 1)
+        own = self.group[self.have[begins]]
+        start, final = self.emission[begins], np.full(len(begins), -1)
+        if first is not None:
+            start = np.where(first[own, None] >= 0, np.where(np.arange(self.k) == first[own, None], 0.0, -np.inf), start)
+        if last is not None:
+            final = last[own].copy()
+        score, back, n, begun = start[0], np.zeros((len(self.have), self.k), np.int64), 0, self.begins.tolist()
         for t, cost in self.costs():
+            if begun[t]:
+                final[n] = final[n] if final[n] >= 0 else score.argmax()
+                n += 1
+                score = start[n]
+                continue
             ways = score[:, None] - cost
             back[t] = ways.argmax(axis=0)
-            score = ways[back[t], np.arange(self.k)] + self.emission[t]
-        j = last if last >= 0 else int(np.argmax(score))
-        for n in range(len(self.have) - 1, -1, -1):
-            out[self.have[n]] = j
-            j = int(back[n, j])
+            score = ways.max(axis=0) + self.emission[t]
+        final[n] = final[n] if final[n] >= 0 else score.argmax()
+        # all groups go back together, from their last steps to their first
+        at, j = ends, final
+        while len(at):
+            out[self.have[at]] = j
+            on = ~self.begins[at]
+            at, j = at[on] - 1, back[at[on], j[on]]
         return out
 
 
 def match_path(steps: list[list[tuple]], observed: np.ndarray, route: _Router, sigma: float, beta: float) -> list[int]:
     """``viterbi`` with the transitions of many steps laid out as arrays."""
-    return _Path(steps, observed, route, sigma, beta).chosen()
+    flat = [c for s in steps for c in s]
+    edges, places, off = np.array([c[0] for c in flat], object), np.array([c[1] for c in flat], float).reshape(-1, 2), np.array([c[2] for c in flat], float)
+    return _Path(np.array([len(s) for s in steps], np.int64), edges, places, off, observed, route, sigma, beta).chosen().tolist()
 
 
 def _ends_of_blocks(scores: list[np.ndarray]) -> list[int]:
@@ -380,53 +401,58 @@ def hmm_match(points: DataFrame, candidates: DataFrame, edges: DataFrame, keys:
 
     graph = own_edges(placed(near), edges, REGION, reach, reach)
 
-    def path(p: pd.DataFrame, route: _Router) -> tuple[list, _Path]:
-        seen = [[] if not isinstance(c, (list, np.ndarray)) else [(x["edge"], (x["e"], x["n"]), x["distance"]) for x in c] for c in p["cand"]]
-        return seen, _Path(seen, p[["e", "n"]].to_numpy(float), route, sigma, beta)
-
-    def blocks(f, names: list[str]):
-        """``f`` of each block of a region; they share what is known of its routes."""
-
-        def each(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-            route = _Router(g, cap)
-            found = [f(q, route) for _, q in p.groupby(at, sort=False, dropna=False)]
-            return pd.concat([x for x in found if len(x)] or [pd.DataFrame({c: np.array([], object) for c in names})], ignore_index=True)
-
-        return each
-
-    def score(p: pd.DataFrame, route: _Router) -> pd.DataFrame:
-        p = p.sort_values(order)
-        _, steps = path(p, route)
-        if not steps.have:
-            return pd.DataFrame({c: np.array([], object) for c in [*at, "_score"]})
-        return p[at].head(1).assign(_score=[steps.scores(not p["_own"].all()).tolist()])
+    flat = {"_size": F.when(F.col("cand").isNull(), 0).otherwise(F.size("cand")), "_edges": F.col("cand.edge"), "_e": F.col("cand.e"), "_n": F.col("cand.n"), "_off": F.col("cand.distance")}
+
+    def path(p: pd.DataFrame, route: _Router, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, _Path]:
+        """Number of candidates of each row, their edges and places one after the other, and the steps."""
+        size = p["_size"].to_numpy(np.int64)
+        joined = lambda c, t: np.concatenate([np.empty(0, t), *p[c].to_numpy()[size > 0]])
+        edges, places = joined("_edges", object), np.column_stack([joined("_e", float), joined("_n", float)])
+        return size, edges, places, _Path(size, edges, places, joined("_off", float), p[["e", "n"]].to_numpy(float), route, sigma, beta, group)
+
+    def score(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        """Blocks of a region share what is known of its routes."""
+        route, found = _Router(g, cap), []
+        for _, q in p.groupby(at, sort=False, dropna=False):
+            q = q.sort_values(order)
+            steps = path(q, route)[-1]
+            if len(steps.have):
+                found.append(q[at].head(1).assign(_score=[steps.scores(not q["_own"].all()).tolist()]))
+        return pd.concat(found or [pd.DataFrame({c: np.array([], object) for c in [*at, "_score"]})], ignore_index=True)
 
     def decide(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("_block")
         ends = _ends_of_blocks([np.stack(s) for s in f["_score"]])
         return f[at].assign(_first=[-1, *ends[:-1]], _last=ends)
 
-    def run(p: pd.DataFrame, route: _Router) -> pd.DataFrame:
-        first, last = (int(p[c].max()) for c in ("_first", "_last"))
-        p = p[p["_own"].notna()].sort_values(order)
-        seen, steps = path(p, route)
-        best = [c[i] if i >= 0 else None for c, i in zip(seen, steps.chosen(first, last), strict=True)]
-        out = p[[*keys, order]].copy()
-        out["edge"] = [b[0] if b else None for b in best]
-        out["match_e"] = [b[1][0] if b else e for b, e in zip(best, p["e"], strict=True)]
-        out["match_n"] = [b[1][1] if b else n for b, n in zip(best, p["n"], strict=True)]
-        out["matched"] = [b is not None for b in best]
+    def run(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        """All blocks of a region one after the other, in one layout."""
+        group = p.groupby(at, sort=False, dropna=False).ngroup().to_numpy()
+        chosen = np.full((2, group.max(initial=-1) + 1), -1)
+        for c, known in zip(("_first", "_last"), chosen, strict=True):
+            np.maximum.at(known, group, p[c].to_numpy(np.int64))
+        row = np.lexsort((p[order].to_numpy(), group))
+        row = row[p["_own"].notna().to_numpy()[row]]
+        p, group = p.iloc[row], group[row]
+        size, edges, places, steps = path(p, _Router(g, cap), group)
+        best = steps.chosen(*chosen)
+        matched = best >= 0
+        at_best = (np.cumsum(size) - size + best)[matched]
+        edge, place = np.full(len(p), None, object), p[["e", "n"]].to_numpy(float)
+        edge[matched], place[matched] = edges[at_best], places[at_best]
+        out = p[[*keys, order]].assign(edge=edge, match_e=place[:, 0], match_n=place[:, 1], matched=matched)
         return out[p["_own"].astype(bool)]
 
-    both = lambda left: placed(left).groupBy(*REGION).cogroup(_own(graph).groupBy(*REGION))
+    # a number of partitions of their own, as a region is few bytes, but long work
+    both = lambda left: apart(placed(left).withColumns(flat).drop("cand"), REGION).groupBy(*REGION).cogroup(apart(_own(graph), REGION).groupBy(*REGION))
     whole = laid.withColumns({"_first": F.lit(-1), "_last": F.lit(-1)})
     if cut:
         several = lasts.groupBy(*keys).count().where("count > 1").select(*keys)
-        scores = both(laid.join(several, keys, "left_semi")).applyInPandas(blocks(score, [*at, "_score"]), f"{k}, _block long, _score array<array<double>>")
+        scores = both(laid.join(several, keys, "left_semi")).applyInPandas(score, f"{k}, _block long, _score array<array<double>>")
         ends = scores.groupBy(*keys).applyInPandas(decide, f"{k}, _block long, _first int, _last int")
         whole = whole.unionByName(_own(ends).withColumn(order, F.lit(0).cast(types[order])), allowMissingColumns=True)
     schema = ", ".join([*(f"`{x}` {types[x]}" for x in [*keys, order]), "edge string, match_e double, match_n double, matched boolean"])
-    return both(whole).applyInPandas(blocks(run, [*keys, order, "edge", "match_e", "match_n", "matched"]), schema)
+    return both(whole).applyInPandas(run, schema)
 
 
 def walk(place: dict, neighbours: dict, frm, to, along: float, yaw: np.ndarray, v: np.ndarray, dt: float, u_turn: bool) -> tuple[np.ndarray, int, float]:

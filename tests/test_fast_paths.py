@@ -241,6 +241,26 @@ def test_match_path_is_viterbi():
     assert roads.match_path([[], []], seen[:2], roads._Router(g, 10.0), 25.0, 12.0) == [-1, -1]
 
 
+def test_trajectories_in_one_layout_are_matched_each_for_itself():
+    """Drives of 0, 1 and more rows one after the other; no route from one to the next is searched."""
+    rng = np.random.default_rng(4)
+    g = pd.DataFrame([(f"{x}", str(x), str(x + 1), 100.0 * x, 0.0, 100.0 * (x + 1), 0.0, 100.0) for x in range(40)], columns=["edge", "a", "b", "ae", "an", "be", "bn", "length"])
+    want, steps, seen, group = [], [], [], []
+    for n, (rows, start) in enumerate(((30, 0), (1, 20), (5, 35), (40, 10))):
+        own_seen = np.column_stack([100.0 * start + np.cumsum(rng.uniform(0, 20, rows)), np.zeros(rows)])
+        own = []
+        for e, _ in own_seen:
+            near = [x for x in (int(e // 100) - 1, int(e // 100)) if 0 <= x < 40][: rng.integers(0, 3)] if n != 2 else []
+            own.append([(str(x), (float(np.clip(e, 100 * x, 100 * x + 100)), 0.0), float(abs(e - np.clip(e, 100 * x, 100 * x + 100))) + 1) for x in near])
+        want += roads.viterbi(own, [tuple(p) for p in own_seen], roads._Router(g, 400.0), 25.0, 12.0)
+        steps, seen, group = steps + own, [*seen, *own_seen], group + [n] * rows
+    flat = [c for s in steps for c in s]
+    route = roads._Router(g, 400.0)
+    path = roads._Path(np.array([len(s) for s in steps]), np.array([c[0] for c in flat], object), np.array([c[1] for c in flat]), np.array([c[2] for c in flat]), np.array(seen), route, 25.0, 12.0, np.array(group))
+    assert path.chosen().tolist() == want and -1 in want
+    assert all(abs(int(u) - int(v)) < 5 for u, known in route.known.items() for v in known)
+
+
 def test_search_for_targets_is_the_whole_search():
     rng = np.random.default_rng(5)
     for cap in (40.0, 120.0, 1e9):
