@@ -624,19 +624,19 @@ def _recording(s: DataFrame, columns: list[str], filled: dict) -> DataFrame:
     return s.select("file", "row_idx", *[filled.get(c, F.lit("")).cast("string").alias(c) for c in columns])
 
 
-def _write_csv(df: DataFrame):
-    # one file for each session: sessions are sorted inside the task that writes them
-    return lambda path: df.repartition("file").sortWithinPartitions("file", "row_idx").drop("row_idx").write.partitionBy("file").option("header", "true").csv(path)
+def _write_csv(df: DataFrame, columns: list[str]):
+    # one file for each session
+    return lambda path: sinks.write_recordings(df, path, columns)
 
 
 @query("SELECT session_key, row_idx, round(lat, 6) AS lat, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS gps_speed_ms, round(k / 1000, 6) AS elapsed_s FROM samples", PRELUDE)
 def s3_read_phone(spark, d):
     s = samples(spark, d).withColumn("file", F.concat(F.lit("S-"), "session_key"))
     csv = _recording(s, recordings.PHONE, {"lat": F.round("lat", 6), "gps_speed_ms": F.when(F.pmod("event_id", F.lit(10)) == 0, "n/a").otherwise(F.col("value").cast("string")), "elapsed_ms": F.col("k")})
-    path = _round_trip(spark, _write_csv(csv), "phone")
-    # the folder name stands for the file name here, and the rows keep their order in it
+    path = _round_trip(spark, _write_csv(csv, recordings.PHONE), "phone")
+    # the rows keep their order in their file
     raw = recordings._read(spark, path, recordings.PHONE, {"phone_ts", "unused"})
-    rows = recordings.with_source_row(raw.withColumn("path", F.regexp_extract("path", "file=S-([^/]+)", 1)))
+    rows = recordings.with_source_row(raw.withColumn("path", F.regexp_extract("path", r"/S-([^/]+)\.csv$", 1)))
     return rows.select(F.col("path").alias("session_key"), "row_idx", "lat", "gps_speed_ms", F.round(signals.elapsed_seconds("elapsed_ms"), 6).alias("elapsed_s"))
 
 
@@ -644,9 +644,9 @@ def s3_read_phone(spark, d):
 def s4_read_vehicle(spark, d):
     s = samples(spark, d).withColumn("file", F.concat(F.lit("V-"), "session_key"))
     csv = _recording(s, recordings.VEHICLE, {"velocity_kmh": F.col("value"), "acc_long_g": F.col("k") / 100})
-    path = _round_trip(spark, _write_csv(csv), "vehicle")
+    path = _round_trip(spark, _write_csv(csv, recordings.VEHICLE), "vehicle")
     raw = recordings._read(spark, path, recordings.VEHICLE, set())
-    rows = recordings.with_source_row(raw.withColumn("path", F.regexp_extract("path", "file=V-([^/]+)", 1)))
+    rows = recordings.with_source_row(raw.withColumn("path", F.regexp_extract("path", r"/V-([^/]+)\.csv$", 1)))
     return rows.select(F.col("path").alias("session_key"), "row_idx", "velocity_kmh", F.round(F.col("acc_long_g") * recordings.STANDARD_GRAVITY, 8).alias("acc_long"))
 
 

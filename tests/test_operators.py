@@ -481,3 +481,18 @@ def test_exact_sweep_shuffles_rows_and_not_their_pairs(spark):
     assert plan and not any("lag" in line for line in plan)
     got = {r["lag"]: r["median_separation"] for r in out.collect()}
     assert sorted(got) == list(range(-4, 5)) and got[0] == 0.0
+
+
+def test_recordings_are_a_file_each_and_need_no_folder_each(spark, tmp_path):
+    from roadtrace.sources import sinks
+
+    rows = [(f"S-{n}", i, None if i == 2 else f'{n} "x", {i}', "") for n in range(40) for i in range(n % 4 + 1)]
+    df = spark.createDataFrame(rows, "file string, row_idx long, a string, b string").repartition(7)
+    assert sinks.write_recordings(df, f"file://{tmp_path}/r", ["a", "b"]) == 40
+    files = {f.stem: f for f in (tmp_path / "r").glob("*/*.csv")}
+    assert set(files) == {f"S-{n}" for n in range(40)} and len(list((tmp_path / "r").iterdir())) <= 4
+    assert not [f for f in (tmp_path / "r").glob("*/.*") if not f.name.endswith(".crc")]
+    raw = spark.read.csv(str(tmp_path / "r"), schema="a string, b string", header=True, enforceSchema=True, multiLine=True, escape="\\")
+    got = raw.selectExpr("regexp_extract(_metadata.file_path, '(S-[0-9]+).csv', 1) as file", "a", "b").collect()
+    assert sorted((r["file"], r["a"] or "", r["b"] or "") for r in got) == sorted((f, a or "", b) for f, _, a, b in rows)
+    assert sinks.write_recordings(df.limit(0), f"{tmp_path}/none", ["a", "b"]) == 0
