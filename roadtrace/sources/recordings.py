@@ -25,6 +25,7 @@ VEHICLE = (
     "yaw_rate_deg indicated_kmh acc_long_g acc_lat_g handbrake gear_requested gear engine_speed coolant_temp clutch brake_pressure brake_position battery air_temp pedal"
 ).split()
 STANDARD_GRAVITY = 9.80665
+BUFFER_CHARS = 16_384
 # Columns of a drive log.
 LOG = "kind t ax ay az lx ly lz gx gy gz mx my mz lat lon speed course acc mode est_lat est_lon est_v est_h".split()
 
@@ -61,7 +62,8 @@ def list_pairs(files: DataFrame) -> DataFrame:
 def _read(spark: SparkSession, paths, names: list[str], text: set[str]) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     # one task for each file, so that the rows can be numbered in their order
-    raw = spark.read.csv(paths, schema=schema, header=True, enforceSchema=True, multiLine=True, mode="PERMISSIVE")
+    # a parser is made for each file: its own buffer of a million characters would cost more than a short recording
+    raw = spark.read.option("inputBufferSize", BUFFER_CHARS).csv(paths, schema=schema, header=True, enforceSchema=True, multiLine=True, mode="PERMISSIVE")
     raw = raw.withColumns({"path": F.col("_metadata.file_path"), "_order": F.monotonically_increasing_id()})
     cast = [stats.finite_number(n).alias(n) if n not in text else F.col(n) for n in names]
     return raw.select("path", "_order", *cast)

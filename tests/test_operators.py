@@ -277,6 +277,19 @@ def test_recordings_round_trip(spark, tmp_path):
     assert vehicle["acc_long"] == pytest.approx(9.80665) and vehicle["row_idx"] == 0
 
 
+def test_reader_buffer_is_no_larger_than_a_short_recording_needs(spark, tmp_path):
+    line = ",".join(["{}.5", *["1.0"] * 6, "{}", *["1.0"] * 16])
+    for name, end in (("S-Unix", "\n"), ("S-Windows", "\r\n")):
+        (tmp_path / f"{name}.csv").write_bytes(end.join([",".join(recordings.PHONE), *[line.format(i, i) for i in range(1_000)]]).encode())
+    phone = recordings.read_phone(spark, str(tmp_path))
+    # recordings longer than the buffer are read whole, in their order
+    got = phone.select("session_key", "row_idx", "lat", "roll_deg", "elapsed_s").collect()
+    assert {(r["session_key"], r["row_idx"], r["lat"], r["roll_deg"]) for r in got} == {(k, i, i + 0.5, 1.0) for k in ("unix", "windows") for i in range(1_000)} and len(got) == 2_000
+    options = phone._jdf.queryExecution().analyzed().collectLeaves().head().relation().options()
+    # without the option the reader's own default of 1,048,576 holds
+    assert options.contains("inputBufferSize") and int(options.apply("inputBufferSize")) <= 65_536
+
+
 def test_resolve_column():
     headers = ["GYROSCOPE X (rad/s)", "GRAVITY Y", "GYROSCOPE Y (rad/s)"]
     assert recordings.resolve_column(headers, "gyroscope", "y") == headers[2] and recordings.resolve_column(headers, "gravity", "y") == headers[1] and recordings.resolve_column(headers, "mag", "y") is None
