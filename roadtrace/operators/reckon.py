@@ -1,7 +1,7 @@
 """Calibration before a blackout and dead reckoning through it.
 
 The numpy cores are small pure functions of one episode's arrays; Spark groups the
-rows. An episode has some hundred rows, so a group is always small.
+rows. An episode has some hundred rows, so a group is always small, and many of them are handed to Python at once.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadtrace.functions.geo import _c
-from roadtrace.operators.groups import apart
+from roadtrace.operators.groups import apart, apart_in_order, doubles, of_groups, whole_groups
 
 RATE = 10.0
 #: Values by which ``lowpass`` extends a series at either end.
@@ -127,9 +128,16 @@ def calibrate_window(acc, gravity, gyro, speed, course, azimuth, angles: int = 1
 
 
 CALIBRATION = "up array<double>, forward array<double>, accel_bias double, yaw_sign double, yaw_bias double, corr double, az_offset double"
+#: What has its NaN given back as null.
+_array = functools.partial(pa.array, from_pandas=True)
 CHANNELS = ["acc_x", "acc_y", "acc_z", "gravity_x", "gravity_y", "gravity_z", "gyro_x", "gyro_y", "gyro_z"]
 
 
+def _channels(x: np.ndarray):
+    """Accelerometer, gravity and gyro [row, axis] of an array [channel, row]."""
+    return x[:3].T, x[3:6].T, x[6:9].T
+
+
 def _arrays(f: pd.DataFrame):
     x = f[CHANNELS].to_numpy(float)
     return x[:, :3], x[:, 3:6], x[:, 6:9]
@@ -138,17 +146,22 @@ def _arrays(f: pd.DataFrame):
 def calibrate(df: DataFrame, keys: list[str], order: str = "row_idx") -> DataFrame:
     """``calibrate_window`` of each group: CHANNELS, speed (m/s), course_deg, az_deg; a group of one row has no rates and gives no row."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(order)
-        if len(f) < 2:
-            return pd.DataFrame({c.split(" ")[0].strip("`"): np.array([], object) for c in schema.split(", ")})
-        acc, gravity, gyro = _arrays(f)
-        out = calibrate_window(acc, gravity, gyro, f["speed"].to_numpy(float), np.radians(f["course_deg"].to_numpy(float)), np.radians(f["az_deg"].to_numpy(float)))
-        return pd.DataFrame({k: [frame[k].iloc[0]] for k in keys} | {k: [v] for k, v in out.items()})
+    columns = [*CHANNELS, "speed", "course_deg", "az_deg"]
+
+    def run(batches):
+        for batch, at in whole_groups(batches, keys):
+            x, found = doubles(batch, columns), {}
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if b - a > 1:
+                    f = x[:, a:b].copy()
+                    found[a] = calibrate_window(*_channels(f), f[9], np.radians(f[10]), np.radians(f[11]))
+            yield of_groups(batch, keys, [*found], {c: _array([f[c] for f in found.values()], pa.list_(pa.float64()) if c in ("up", "forward") else pa.float64()) for c in names})
 
     types = dict(df.dtypes)
+    names = [c.split(" ")[0] for c in CALIBRATION.split(", ")]
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), CALIBRATION])
-    return apart(df, keys).groupBy(*keys).applyInPandas(run, schema)
+    rows = df.select(*keys, F.col(order).alias("_order"), *[F.col(c).cast("double").alias(c) for c in columns])
+    return apart_in_order(rows, keys, "_order").mapInArrow(run, schema)
 
 
 def procrustes_yaw(forward_rate: np.ndarray, lateral: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[float, float]:
@@ -244,20 +257,26 @@ def reckon_track(acc, gravity, gyro, speed, course, azimuth, cal: dict, speed_mo
 def dead_reckon(df: DataFrame, calibrations: DataFrame, keys: list[str], speed_mode: str = "ins", heading_mode: str = "fused", order: str = "step") -> DataFrame:
     """Final error, distance and drift of each blackout (CHANNELS, speed, course_deg, az_deg, gt_e, gt_n) under its calibration."""
     names = ["forward", "accel_bias", "yaw_sign", "yaw_bias", "az_offset"]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(order)
-        acc, gravity, gyro = _arrays(f)
-        cal = {n: f[n].iloc[0] for n in names}
-        v = f["speed"].to_numpy(float)
-        e, n, _, _ = reckon_track(acc, gravity, gyro, v, np.radians(f["course_deg"].to_numpy(float)), np.radians(f["az_deg"].to_numpy(float)), cal, speed_mode, heading_mode)
-        error = float(np.hypot(e[-1] - f["gt_e"].iloc[-1], n[-1] - f["gt_n"].iloc[-1]))
-        distance = max(float(v.sum() / RATE), 1e-6)
-        return pd.DataFrame({k: [frame[k].iloc[0]] for k in keys} | {"final_error_m": [error], "distance_m": [distance], "drift_percent": [100 * error / distance]})
+    columns = [*CHANNELS, "speed", "course_deg", "az_deg", "gt_e", "gt_n", *names[1:]]
+
+    def run(batches):
+        for batch, at in whole_groups(batches, keys):
+            x, found = doubles(batch, columns), []
+            forward = batch.column("forward").take(pa.array(at[:-1])).to_pylist()
+            for a, b, axis in zip(at[:-1].tolist(), at[1:].tolist(), forward, strict=True):
+                f = x[:, a:b].copy()
+                cal, v = {"forward": axis} | dict(zip(names[1:], f[14:, 0].tolist(), strict=True)), f[9]
+                e, n, _, _ = reckon_track(*_channels(f), v, np.radians(f[10]), np.radians(f[11]), cal, speed_mode, heading_mode)
+                error = float(np.hypot(e[-1] - f[12, -1], n[-1] - f[13, -1]))
+                distance = max(float(v.sum() / RATE), 1e-6)
+                found.append((error, distance, 100 * error / distance))
+            yield of_groups(batch, keys, at[:-1], {c: _array(v, pa.float64()) for c, v in zip(("final_error_m", "distance_m", "drift_percent"), zip(*found, strict=True), strict=True)})
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "final_error_m double, distance_m double, drift_percent double"])
-    return apart(df.join(calibrations.select(*keys, *names), keys), keys).groupBy(*keys).applyInPandas(run, schema)
+    rows = df.select(*keys, F.col(order).alias("_order"), *[F.col(c).cast("double").alias(c) for c in columns[:14]])
+    known = calibrations.select(*keys, "forward", *[F.col(c).cast("double").alias(c) for c in names[1:]])
+    return apart_in_order(rows.join(known, keys), keys, "_order").mapInArrow(run, schema)
 
 
 def drift_stats(df: DataFrame, keys: list[str], order: str = "step", rate: float = RATE) -> DataFrame:

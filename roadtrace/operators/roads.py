@@ -500,10 +500,15 @@ def map_aided_walk(samples: DataFrame, anchors: DataFrame, edges: DataFrame, key
             place |= {a: (ae, an), b: (be, bn)}
             near.setdefault(a, []).append(b)
             near.setdefault(b, []).append(a)
-        return pd.concat([episode(x.sort_values(order), place, near) for _, x in s.groupby(keys, sort=False)])
-
-    def episode(s: pd.DataFrame, place: dict, near: dict) -> pd.DataFrame:
-        track, passed, _ = walk(place, near, s["frm"].iloc[0], s["to"].iloc[0], float(s["along"].iloc[0]), s["yaw_rate"].to_numpy(float), s["speed"].to_numpy(float), dt, u_turn)
+        # all episodes in one layout, each in its order
+        episode = s.groupby(keys, sort=False).ngroup().to_numpy()
+        row = np.lexsort((s[order].to_numpy(), episode))
+        s, episode = s.iloc[row], episode[row]
+        at = [*np.flatnonzero(np.diff(episode, prepend=-1)).tolist(), len(s)]
+        frm, to, along, yaw, v = s["frm"].to_numpy(), s["to"].to_numpy(), s["along"].to_numpy(float), s["yaw_rate"].to_numpy(float), s["speed"].to_numpy(float)
+        track, passed = np.empty((len(s), 2)), np.empty(len(s), np.int64)
+        for a, b in zip(at, at[1:], strict=False):
+            track[a:b], passed[a:b], _ = walk(place, near, frm[a], to[a], float(along[a]), yaw[a:b], v[a:b], dt, u_turn)
         return s[[*keys, order]].assign(map_e=track[:, 0], map_n=track[:, 1], junctions=passed)[cols]
 
     types = dict(samples.dtypes)

@@ -58,6 +58,20 @@ def test_groups_of_an_arrow_batch():
     assert groups.starts_of(batch, ["a", "b"]).tolist() == [0, 2, 3, 4] and groups.key_at(batch, ["a", "b"], 1) == (None, "x")
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 100])
+def test_whole_groups_over_batches(size):
+    import pyarrow as pa
+
+    lengths, keys = [3, 1, 9, 2, 4, 1], [(None, 1.0), ("x", 1.0), ("x", math.nan), ("x", None), ("y", math.nan), ("y", None)]
+    rows = [k for k, n in zip(keys, lengths, strict=True) for _ in range(n)]
+    table = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64()), pa.array(range(len(rows)))], ["a", "b", "i"])
+    parts, found = [table.slice(i, size) for i in range(0, len(rows), size)], []
+    for batch, at in groups.whole_groups(iter([table.slice(0, 0), *parts]), ["a", "b"]):
+        i = batch.column("i").to_numpy()
+        found += [i[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert [len(x) for x in found] == lengths and [x for f in found for x in f] == [*range(len(rows))]
+
+
 def test_control_speeds_of_many_episodes_are_those_of_each():
     rng = np.random.default_rng(2)
     a, c, g, v0 = rng.normal(0, 2, (5, 40)), rng.normal(0, 0.2, (5, 40)), np.abs(rng.normal(0, 0.04, (5, 40))), np.array([0.1, 9, 0.5, 3, 0.7])
@@ -216,6 +230,48 @@ def test_ridge_calibration_of_the_query(spark):
         assert mae == pytest.approx(np.mean(errors), rel=1e-6)
 
 
+def test_many_blackouts_are_calibrated_and_reckoned_by_one_call(spark):
+    """Groups of one to thirty rows, one with a null key and one with gaps, over batches of seven rows: what each gives alone."""
+    rng, rows, frames = np.random.default_rng(3), [], {}
+    for g in range(40):
+        n = 1 + g % 30
+        f = pd.DataFrame(rng.normal(0, 1, (n, len(reckon.CHANNELS))), columns=reckon.CHANNELS).assign(gravity_z=9.81, speed=rng.uniform(5, 15, n), course_deg=rng.uniform(0, 20, n), az_deg=50.0, gt_e=np.arange(n) + 0.5, gt_n=1.0)
+        if g == 29:
+            f.loc[3, "speed"] = np.nan
+        frames[None if g == 7 else g] = f
+        rows += [(None if g == 7 else g, i, *[None if pd.isna(x) else x for x in r]) for i, r in enumerate(f.itertuples(index=False))]
+    df = spark.createDataFrame(rows, "key long, step int, " + ", ".join(f"{c} double" for c in f)).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = reckon.calibrate(df, ["key"], "step")
+        cal = {r["key"]: r for r in found.collect()}
+        tracks = {m: reckon.dead_reckon(df, found, ["key"], *m) for m in (("const", "gyro"), ("ins", "fused"))}
+        ends = {m: {r["key"]: r for r in t.collect()} for m, t in tracks.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for out in (found, *tracks.values()):
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert cal.keys() == {g for g, f in frames.items() if len(f) > 1} and len(cal) == 38
+    for g, r in cal.items():
+        f = frames[g]
+        acc, gravity, gyro = reckon._arrays(f)
+        course, az = np.radians(f["course_deg"].to_numpy()), np.radians(f["az_deg"].to_numpy())
+        want = reckon.calibrate_window(acc, gravity, gyro, f["speed"].to_numpy(), course, az)
+        if g == 29:
+            assert r["accel_bias"] is None and r["yaw_bias"] == pytest.approx(want["yaw_bias"])
+            continue
+        assert r["up"] == pytest.approx(want["up"]) and r["forward"] == pytest.approx(want["forward"])
+        assert [r[c] for c in ("accel_bias", "yaw_sign", "yaw_bias", "corr", "az_offset")] == pytest.approx([want[c] for c in ("accel_bias", "yaw_sign", "yaw_bias", "corr", "az_offset")])
+        for m, end in ends.items():
+            if g is not None:
+                e, n, _, _ = reckon.reckon_track(acc, gravity, gyro, f["speed"].to_numpy(), course, az, want, *m)
+                assert end[g]["final_error_m"] == pytest.approx(math.hypot(e[-1] - f["gt_e"].iloc[-1], n[-1] - 1.0))
+                assert end[g]["distance_m"] == pytest.approx(f["speed"].sum() / 10)
+    for m, end in ends.items():
+        assert end.keys() == cal.keys() - {None}
+        assert (end[29]["drift_percent"] is None) and (end[29]["distance_m"] is None)
+
+
 def test_calibration_of_one_row_gives_none(spark):
     row = {c: 0.0 for c in reckon.CHANNELS} | {"gravity_z": 9.81, "speed": 1.0, "course_deg": 0.0, "az_deg": 0.0, "key": "a", "row_idx": 0}
     assert reckon.calibrate(spark.createDataFrame([row]), ["key"]).count() == 0

@@ -419,6 +419,25 @@ def test_blackouts_of_long_drives_with_gaps(spark, monkeypatch, block):
     assert got == {k: w for k, w in want.items() if w} and len(got["a", 60.0]) > 200
 
 
+def test_blackouts_of_many_short_drives(spark):
+    """Drives of any length up to and beyond what is scanned at once, over small batches, without a call for each."""
+    rng = np.random.default_rng(2)
+    span = episodes._Chain([20.0, 45.0], 10, 10.0, 5.0, None, 5, 0, 11, 1.0).span
+    drives = {f"d{i}" if i else None: rng.uniform(4, 15, n) for i, n in enumerate([*range(5, 120), span - 1, span, span + 1])}
+    df = spark.createDataFrame([(s, i, float(x)) for s, v in drives.items() for i, x in enumerate(v)], "s string, row_idx int, v double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = episodes.distance_blackouts(df, ["s"], "v", [20.0, 45.0], 10, min_speed=5.0, step_s=0.5, min_rows=11)
+        got = {}
+        for r in out.orderBy("start").collect():
+            got.setdefault((r["s"], r["distance_m"]), []).append((r["start"], r["end"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = {(s, d): slow_loops.scan(v, d, 10, 10.0, 5.0, 0.5, 0, 11, 1.0) for s, v in drives.items() if len(v) > 10 for d in (20.0, 45.0)}
+    assert got == {k: w for k, w in want.items() if w} and len(got) > 150
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+
+
 def test_a_million_rows_of_one_drive(spark):
     """One null among four thousand rows costs no blackout; a long drive is cut in blocks of equal work."""
     one = spark.range(4_000).select(F.lit("s").alias("s"), F.col("id").alias("row_idx"), F.when(F.col("id") != 600, 15.0).alias("v"))

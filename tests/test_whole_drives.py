@@ -74,6 +74,15 @@ def test_free_vs_map_computes_its_steps_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("InPandas") <= 4
 
 
+def test_blackouts_of_a_region_share_its_edges(spark, monkeypatch):
+    sent, own = [], roads.own_edges
+    monkeypatch.setattr(roads, "own_edges", lambda *a, **k: sent.append(own(*a, **k)) or sent[-1])
+    out = journeys.m7_free_vs_map(spark, "/root/testdata/sf0.001")
+    blackouts = out.where("track = 'map'").agg(F.sum("blackouts")).head()[0]
+    (edges,) = sent
+    assert edges.groupBy("edge").count().agg(F.max("count")).head()[0] <= 4 < blackouts
+
+
 def test_trajectories_of_a_region_share_its_edges(spark, monkeypatch):
     edges = lattice(spark, 12).cache()
     rows = [(f"d{i}", t, 20.0 + 40 * t, 500.0 + i % 7) for i in range(40) for t in range(20)]
