@@ -74,6 +74,18 @@ def test_free_vs_map_computes_its_steps_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("InPandas") <= 4
 
 
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_roads_do_not_pass_through_the_driver(spark):
+    """A lattice is exploded from one row, so Spark takes it for small; only the list of full cells, which has a bound, is broadcast."""
+    points = spark.createDataFrame([("p", 120.0, 130.0), ("q", 410.0, 210.0)], "key string, e double, n double")
+    edges = journeys.lattice(spark, D)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(roads.own_edges(points, edges, ["key"], 180.0))
+    assert "BroadcastHashJoin" not in plan(roads.near_edges(points, edges, ["key"], 180.0, work=None))
+    joins = [x for x in plan(roads.near_edges(points, edges, ["key"], 180.0)).splitlines() if "BroadcastHashJoin" in x]
+    assert len(joins) == 2 and all("LeftOuter" in x and "BuildRight" in x for x in joins)
+
+
 def test_blackouts_of_a_region_share_its_edges(spark, monkeypatch):
     sent, own = [], roads.own_edges
     monkeypatch.setattr(roads, "own_edges", lambda *a, **k: sent.append(own(*a, **k)) or sent[-1])
