@@ -265,7 +265,7 @@ def dead_reckon(df: DataFrame, calibrations: DataFrame, keys: list[str], speed_m
             forward = batch.column("forward").take(pa.array(at[:-1])).to_pylist()
             for a, b, axis in zip(at[:-1].tolist(), at[1:].tolist(), forward, strict=True):
                 f = x[:, a:b].copy()
-                cal, v = {"forward": axis} | dict(zip(names[1:], f[14:, 0].tolist(), strict=True)), f[9]
+                cal, v = {"forward": axis if axis is None else np.array(axis, float)} | dict(zip(names[1:], f[14:, 0].tolist(), strict=True)), f[9]
                 e, n, _, _ = reckon_track(*_channels(f), v, np.radians(f[10]), np.radians(f[11]), cal, speed_mode, heading_mode)
                 error = float(np.hypot(e[-1] - f[12, -1], n[-1] - f[13, -1]))
                 distance = max(float(v.sum() / RATE), 1e-6)
