@@ -276,7 +276,8 @@ def dead_reckon(df: DataFrame, calibrations: DataFrame, keys: list[str], speed_m
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "final_error_m double, distance_m double, drift_percent double"])
     rows = df.select(*keys, F.col(order).alias("_order"), *[F.col(c).cast("double").alias(c) for c in columns[:14]])
     known = calibrations.select(*keys, "forward", *[F.col(c).cast("double").alias(c) for c in names[1:]])
-    return apart_in_order(rows.join(known, keys), keys, "_order").mapInArrow(run, schema)
+    # a row for each blackout: well packed files would look small enough to be broadcast
+    return apart_in_order(rows.join(known.hint("merge"), keys), keys, "_order").mapInArrow(run, schema)
 
 
 def drift_stats(df: DataFrame, keys: list[str], order: str = "step", rate: float = RATE) -> DataFrame:

@@ -23,8 +23,8 @@ def _own(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _shuffled(df: DataFrame) -> DataFrame:
-    """The same rows as a side of a join that meets the other in a shuffle: roads that few rows are exploded to (a lattice) look small to Spark, which would collect them in the driver to broadcast them."""
+def shuffled(df: DataFrame) -> DataFrame:
+    """The same rows as a side of a join that meets the other in a shuffle: roads that few rows are exploded to (a lattice), or a table in well packed files, look small to Spark, which would collect them in the driver to broadcast them."""
     return df.hint("merge")
 
 
@@ -75,7 +75,7 @@ def own_edges(points: DataFrame, edges: DataFrame, keys: list[str], reach, cell:
     at = at.groupBy(*keys, "_x", "_y").agg(F.ceil(F.max("_r") / cell).alias("_r"))
     side = lambda c: F.sequence(F.col(c) - F.col("_r"), F.col(c) + F.col("_r"))
     cells = at.select(*keys, F.explode(side("_x")).alias("cx"), side("_y").alias("_y")).select(*keys, "cx", F.explode("_y").alias("cy")).distinct()
-    return cells.join(_shuffled(grid_index(edges, cell)), ["cx", "cy"]).select(*keys, "edge").distinct().join(_shuffled(edges), "edge")
+    return cells.join(shuffled(grid_index(edges, cell)), ["cx", "cy"]).select(*keys, "edge").distinct().join(shuffled(edges), "edge")
 
 
 #: Columns of a region, and rows of the trajectories that share one.
@@ -106,7 +106,7 @@ def _deal(points: DataFrame, roads: DataFrame, by: list[str], work: int) -> tupl
     Where more than ``DEALT_CELLS`` cells could be that full, ``work`` grows, so the list of these cells has a bound.
     """
     count = lambda df, name: df.groupBy("cx", "cy").agg(F.count("*").alias(name))
-    cells = count(points, "_p").join(_shuffled(count(roads, "_e")), ["cx", "cy"]).withColumn("_work", F.col("_p").cast("double") * F.col("_e"))
+    cells = count(points, "_p").join(shuffled(count(roads, "_e")), ["cx", "cy"]).withColumn("_work", F.col("_p").cast("double") * F.col("_e"))
     limit = cells.agg(F.greatest(F.lit(float(work)), F.sum("_work") / DEALT_CELLS).alias("_limit"))
     hot = cells.join(F.broadcast(limit), F.col("_work") > F.col("_limit"))
     hot = F.broadcast(hot.select("cx", "cy", F.least("_p", F.ceil(F.col("_work") / F.col("_limit"))).alias("_parts")))
@@ -128,7 +128,7 @@ def _near(points: DataFrame, edges: DataFrame, keys: list[str], radii: list[floa
     if work is not None:
         (p, roads), on = _deal(p, roads, [*keys, "pe", "pn"], work), [*on, "part"]
     p = apart(p, on)
-    near = p.join(_shuffled(roads), on).withColumns(geo.project_to_segment("pe", "pn", "ae", "an", "be", "bn")).where(F.col("distance") <= most)
+    near = p.join(shuffled(roads), on).withColumns(geo.project_to_segment("pe", "pn", "ae", "an", "be", "bn")).where(F.col("distance") <= most)
 
     def ranked(near: DataFrame, by: list[str]) -> DataFrame:
         w = W.partitionBy(*by)
@@ -163,7 +163,7 @@ def near_edges_expanding(points: DataFrame, edges: DataFrame, keys: list[str], r
 
 def anchor(points: DataFrame, edges: DataFrame, keys: list[str], heading: str, radius: float = 60.0, k: int = 8) -> DataFrame:
     """The directed edge that best fits place and heading: least angle + 0.02 per metre (ties: the nearer, then its given direction); no row without a road."""
-    near = near_edges(points, edges, keys, radius, k).join(points.select(*keys, heading), keys)
+    near = near_edges(points, edges, keys, radius, k).join(shuffled(points.select(*keys, heading)), keys)
     both = near.withColumn("flip", F.explode(F.array(F.lit(0), F.lit(1))))
     pick = lambda x, y: F.when(F.col("flip") == 0, F.col(x)).otherwise(F.col(y))
     both = both.withColumns({"frm": pick("a", "b"), "to": pick("b", "a"), "fe": pick("ae", "be"), "fn": pick("an", "bn"), "te": pick("be", "ae"), "tn": pick("bn", "an")})

@@ -32,21 +32,21 @@ def free_vs_map(drives: DataFrame, edges: DataFrame, keys: list[str], by: list[s
     found = episodes.distance_blackouts(rows, keys, "speed", list(distances), history, rate, min_speed, step_s, min_rows=min_rows, min_history=min_history, order="position")
     each = [*keys, "blackout_m", "start"]
     found = found.withColumnRenamed("distance_m", "blackout_m").withColumn("position", F.explode(F.expr(f"sequence(start - {history}, end - 1)")))
-    placed = written_once(found.join(rows, [*keys, "position"]).withColumn("step", F.col("position") - F.col("start")), "blackouts")
+    placed = written_once(found.join(roads.shuffled(rows), [*keys, "position"]).withColumn("step", F.col("position") - F.col("start")), "blackouts")
     calibrations = written_once(reckon.calibrate(placed.where("step < 0"), each, "step"), "calibrations")
     dark = placed.where("step >= 0")
     reach = F.count("*") * F.max(F.when(F.col("step") == 0, F.col("speed"))) / rate + RADIUS
     first = lambda c: F.max(F.when(F.col("step") == 0, F.col(c)))
     origin = written_once(dark.groupBy(*each).agg(first("e").alias("e0"), first("n").alias("n0"), first("speed").alias("v0"), F.radians(first("course_deg")).alias("heading"), reach.alias("reach"), F.count("*").alias("rows")), "origins")
-    dark = dark.join(origin, each)
+    dark = dark.join(roads.shuffled(origin), each)
     free = reckon.dead_reckon(dark.withColumns({"gt_e": F.col("e") - F.col("e0"), "gt_n": F.col("n") - F.col("n0")}), calibrations, each, "const", "gyro")
     begins = origin.select(*each, F.col("e0").alias("e"), F.col("n0").alias("n"), "heading", "reach", "rows")
     homes = roads.regions(begins, each, REGION_M, "rows")
-    at = roads.anchor(begins, edges, each, "heading", RADIUS).join(homes, each)
+    at = roads.anchor(begins, edges, each, "heading", RADIUS).join(roads.shuffled(homes), each)
     up = F.sqrt(sum(F.col(f"gravity_{x}") ** 2 for x in "xyz"))
     yaw = sum(F.col(f"gyro_{x}") * F.col(f"gravity_{x}") for x in "xyz") / F.greatest(up, F.lit(1e-6))
-    moved = dark.join(calibrations.select(*each, "yaw_sign", "yaw_bias"), each).select(*each, "step", (F.col("yaw_sign") * yaw - F.col("yaw_bias")).alias("yaw_rate"), F.col("v0").alias("speed"))
-    walked = roads.map_aided_walk(moved, at, roads.own_edges(begins.join(homes, each), edges, roads.REGION, "reach"), each, 1 / rate, by=roads.REGION)
+    moved = dark.join(roads.shuffled(calibrations.select(*each, "yaw_sign", "yaw_bias")), each).select(*each, "step", (F.col("yaw_sign") * yaw - F.col("yaw_bias")).alias("yaw_rate"), F.col("v0").alias("speed"))
+    walked = roads.map_aided_walk(moved, at, roads.own_edges(begins.join(roads.shuffled(homes), each), edges, roads.REGION, "reach"), each, 1 / rate, by=roads.REGION)
     mapped = dark.select(*each, "step", "speed", F.col("e").alias("gt_e"), F.col("n").alias("gt_n")).join(walked, [*each, "step"])
     mapped = reckon.drift_stats(mapped.withColumns({"east_est": F.col("map_e"), "north_est": F.col("map_n")}), each)
     drifts = [d.select(*each, "drift_percent").withColumn("track", F.lit(t)) for t, d in (("free", free), ("map", mapped))]

@@ -84,6 +84,8 @@ def test_roads_do_not_pass_through_the_driver(spark):
     assert "BroadcastHashJoin" not in plan(roads.near_edges(points, edges, ["key"], 180.0, work=None))
     joins = [x for x in plan(roads.near_edges(points, edges, ["key"], 180.0)).splitlines() if "BroadcastHashJoin" in x]
     assert len(joins) == 2 and all("LeftOuter" in x and "BuildRight" in x for x in joins)
+    blackouts = plan(journeys.m7_free_vs_map(spark, D)).splitlines()
+    assert [x for x in blackouts if "SortMergeJoin [" in x and "blackout_m" in x] and not [x for x in blackouts if "BroadcastHashJoin" in x and "blackout_m" in x]
 
 
 def test_blackouts_of_a_region_share_its_edges(spark, monkeypatch):
